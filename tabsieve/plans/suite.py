@@ -171,3 +171,210 @@ register("unique_pairs", """
 WITH d AS (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)
 SELECT l_returnflag, l_linestatus, (SELECT count(*) FROM d) AS n_pairs FROM d
 """)(C.unique_pairs)
+
+
+# ---------------------------------------------------------------- profiling / distributions
+from . import tabular as T  # noqa: E402
+
+FEAT_SQL = """feat AS (
+  SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, l_extendedprice, nullif(l_discount, 0) AS l_discount, l_tax,
+         CASE WHEN l_quantity > 20 THEN l_tax END AS sparse_tax, CAST(floor(l_tax) AS DOUBLE) AS tax_floor,
+         l_extendedprice * (1 + l_tax) AS gross, l_extendedprice / l_quantity AS unit_price
+  FROM lineitem)"""
+
+
+def _nan_null(x: str) -> str:
+    return f"(CASE WHEN isnan({x}) THEN NULL ELSE {x} END)"
+
+
+def _describe_sql() -> str:
+    parts = [f"SELECT '{c}' AS column, {rhu(f'avg({c})', 6)} AS mean, {rhu(f'median({c})', 6)} AS median, "
+             f"min({c}) AS min, max({c}) AS max, count({c}) AS n, count(*) AS total FROM feat" for c in T.FEATURES]
+    return f"WITH {FEAT_SQL} " + " UNION ALL ".join(parts)
+
+
+def _null_sql() -> str:
+    parts = [f"SELECT {i} AS pos, '{c}' AS column, count_if({c} IS NULL) AS nulls, "
+             f"{rhu(f'count_if({c} IS NULL) / count(*)', 6)} AS null_fraction FROM feat" for i, c in enumerate(T.FEATURES)]
+    return (f"WITH {FEAT_SQL}, p AS ({' UNION ALL '.join(parts)}) "
+            f"SELECT *, (SELECT CAST(sum(nulls) AS BIGINT) FROM p) AS total_missing FROM p")
+
+
+def _moments_sql() -> str:
+    parts = [f"SELECT {i} AS pos, '{c}' AS column, count({c}) AS n, {rhu(f'avg({c})', 6)} AS mean, "
+             f"{rhu(f'median({c})', 6)} AS median, {rhu(f'stddev_pop({c})', 6)} AS std_pop, "
+             f"{rhu(f'var_samp({c})', 3)} AS var_samp, var_samp({c}) = 0 AS zero_variance FROM feat"
+             for i, c in enumerate(T.FEATURES)]
+    return f"WITH {FEAT_SQL} " + " UNION ALL ".join(parts)
+
+
+def _corr_sql() -> str:
+    f = T.FEATURES
+    parts = [f"SELECT {i} AS i, {j} AS j, '{f[i]}' AS col_i, '{f[j]}' AS col_j, "
+             f"CAST(count_if({f[i]} IS NOT NULL AND {f[j]} IS NOT NULL) AS DOUBLE) AS n, "
+             f"{rhu(_nan_null(f'corr({f[i]}, {f[j]})'), 6)} AS r FROM feat"
+             for i in range(len(f)) for j in range(i + 1, len(f))]
+    return f"WITH {FEAT_SQL} " + " UNION ALL ".join(parts)
+
+
+def _selection_sql() -> str:
+    f = T.FEATURES
+    prof = " UNION ALL ".join(
+        f"SELECT {i} AS pos, '{c}' AS column, 1 - count({c}) / count(*) AS null_fraction, var_samp({c}) AS variance, "
+        f"median({c}) AS med FROM feat" for i, c in enumerate(f))
+    filled = ", ".join(f"coalesce({c}, (SELECT med FROM prof WHERE pos = {i})) AS c{i}" for i, c in enumerate(f))
+    pairs = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {_nan_null(f'corr(c{i}, c{j})')} AS r FROM filled"
+                               for i in range(len(f)) for j in range(i + 1, len(f)))
+    return f"""WITH {FEAT_SQL}, prof AS ({prof}),
+stage AS (SELECT *, CASE WHEN null_fraction > 0.5 THEN 'missing' WHEN variance = 0 THEN 'zero_variance' END AS r12 FROM prof),
+filled AS (SELECT {filled} FROM feat),
+pairs AS ({pairs}),
+cand AS (SELECT p.i, p.j, abs(p.r) AS ar FROM pairs p
+         JOIN stage si ON si.pos = p.i AND si.r12 IS NULL JOIN stage sj ON sj.pos = p.j AND sj.r12 IS NULL
+         WHERE abs(p.r) > 0.95),
+firstp AS (SELECT j, min(i) AS i, arg_min(ar, i) AS ar FROM cand GROUP BY j)
+SELECT s.pos, s.column, {rhu('s.null_fraction', 6)} AS null_fraction, {rhu('s.variance', 3)} AS variance,
+       si.column AS corr_partner, {rhu('fp.ar', 6)} AS partner_abs_r,
+       (s.r12 IS NULL AND fp.j IS NULL) AS kept,
+       coalesce(s.r12, CASE WHEN fp.j IS NOT NULL THEN 'correlated' END) AS reason
+FROM stage s LEFT JOIN firstp fp ON fp.j = s.pos LEFT JOIN stage si ON si.pos = fp.i"""
+
+
+register("describe", _describe_sql())(T.describe)
+register("null_profile", _null_sql())(T.null_profile)
+register("moments", _moments_sql())(T.moments)
+register("correlation", _corr_sql())(T.correlation)
+register("feature_selection", _selection_sql())(T.feature_selection)
+
+register("value_counts", f"""
+WITH c AS (SELECT event_type, count(*) AS count FROM events WHERE event_type IS NOT NULL GROUP BY 1)
+SELECT event_type, count, {rhu('count * 1e2 / (SELECT count(*) FROM events WHERE event_type IS NOT NULL)', 6)} AS percent FROM c
+""")(T.value_counts)
+
+register("repeated_groups", """
+WITH g AS (SELECT o_custkey, count(*) AS size FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+SELECT o_custkey, size, (SELECT count(*) FROM g) AS n_groups FROM g ORDER BY size DESC, o_custkey LIMIT 10
+""")(T.repeated_groups)
+
+register("range_share", f"""
+SELECT count(*) AS total, count_if(o_totalprice BETWEEN 200000 AND 320000) AS in_range,
+       {spct('count_if(o_totalprice BETWEEN 200000 AND 320000)', 'count(*)', 1)} AS percent FROM orders
+""")(T.range_share)
+
+
+def _buckets_sql() -> str:
+    parts = []
+    for i, (name, lo, hi) in enumerate(T.SIZE_BUCKETS):
+        cond = f"size >= {lo!r}" if hi is None else f"size >= {lo!r} AND size < {hi!r}"
+        parts.append(f"SELECT {i} AS pos, '{name}' AS bucket, count_if({cond}) AS count, "
+                     f"{spct(f'count_if({cond})', 'count(size)', 1)} AS percent FROM s")
+    return "WITH s AS (SELECT p_size / 1e1 AS size FROM part) " + " UNION ALL ".join(parts)
+
+
+register("size_buckets", _buckets_sql())(T.size_buckets)
+
+register("family_summary", f"""
+SELECT l_returnflag, {rhu('avg(l_extendedprice)', 4)} AS mean, max(l_extendedprice) AS max, count(l_extendedprice) AS count,
+       {rhu('stddev_samp(l_extendedprice)', 4)} AS std, {rhu('avg(l_discount)', 4)} AS mean_l_discount
+FROM lineitem GROUP BY l_returnflag
+""")(T.family_summary)
+
+register("width_histogram", f"""
+WITH mm AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
+b AS (SELECT CASE WHEN hi = lo THEN 1 ELSE least(CAST(floor((o_totalprice - lo) * 2e1 / (hi - lo)) AS INTEGER) + 1, 20) END AS bin,
+             lo, hi FROM orders, mm WHERE o_totalprice IS NOT NULL)
+SELECT bin, {rhu('lo + (bin - 1) * (hi - lo) / 2e1', 6)} AS lower, count(*) AS count FROM b GROUP BY bin, lo, hi
+""")(T.width_histogram)
+
+BRAND_SQL = """byb AS (
+  SELECT p_brand, sum(rev) AS rev FROM (
+    SELECT l_partkey, sum(l_extendedprice * (1 - l_discount)) AS rev FROM lineitem GROUP BY l_partkey) r
+  JOIN part ON r.l_partkey = part.p_partkey GROUP BY p_brand),
+imp AS (SELECT p_brand, rev / (SELECT sum(rev) FROM byb) AS importance FROM byb),
+cum AS (SELECT p_brand, importance,
+               row_number() OVER (ORDER BY importance DESC, p_brand) AS position,
+               sum(importance) OVER (ORDER BY importance DESC, p_brand ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative
+        FROM imp)"""
+
+register("pareto", f"""
+WITH {BRAND_SQL}
+SELECT position, p_brand, {rhu('importance', 6)} AS importance, {rhu('cumulative', 6)} AS cumulative FROM cum
+""")(T.pareto)
+
+register("pareto_thresholds", f"""
+WITH {BRAND_SQL}, sh AS (SELECT position, cumulative / (SELECT sum(importance) FROM imp) AS share FROM cum)
+""" + " UNION ALL ".join(
+    f"SELECT {t!r} AS threshold, (SELECT min(position) FROM sh WHERE share >= {t!r} - 1e-12) AS n_items"
+    for t in T.THRESHOLDS))(T.pareto_thresholds)
+
+register("importance_summary", f"""
+WITH {BRAND_SQL}
+SELECT {rhu('max(importance)', 6)} AS max, {rhu('avg(importance)', 6)} AS mean,
+       count_if(importance > 0.04) AS n_above, count_if(importance = 0) AS n_zero FROM imp
+""")(T.importance_summary)
+
+register("class_weights", f"""
+WITH c AS (SELECT l_returnflag, count(*) AS count FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1)
+SELECT l_returnflag, count,
+       {rhu('CAST((SELECT sum(count) FROM c) AS BIGINT) / ((SELECT count(*) FROM c) * count)', 9)} AS weight FROM c
+""")(T.class_weights)
+
+
+def _rank_sql(seed: int) -> str:
+    return f"""r AS (
+  SELECT l_orderkey, l_linenumber, l_returnflag,
+         row_number() OVER (PARTITION BY l_returnflag ORDER BY
+             md5(CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':{seed}'), l_orderkey, l_linenumber) AS rank,
+         count(*) OVER (PARTITION BY l_returnflag) AS n_label
+  FROM lineitem)"""
+
+
+register("stratified_split", f"""
+WITH {_rank_sql(42)}, s AS (SELECT *, floor(n_label * 2e-1 + 5e-1) AS n_test FROM r)
+SELECT l_orderkey, l_linenumber, l_returnflag, rank,
+       CASE WHEN rank <= n_test THEN 'test'
+            WHEN rank <= n_test + floor((n_label - n_test) * {0.1 / 0.8!r} + 5e-1) THEN 'val' ELSE 'train' END AS split
+FROM s
+""")(T.stratified_split)
+
+register("kfold", f"""
+WITH {_rank_sql(7)}
+SELECT l_orderkey, l_linenumber, l_returnflag, CAST((rank - 1) % 5 AS INTEGER) AS fold FROM r
+""")(T.kfold)
+
+LABELS_SQL = f"""WITH {CATALOGUE_SQL}, lab AS (
+  SELECT {canon('actual_disposition')} AS actual, {canon('disposition')} AS predicted FROM cat)"""
+
+register("confusion", f"""
+{LABELS_SQL}
+SELECT actual, count_if(predicted = 'FILLED') AS FILLED, count_if(predicted = 'OPEN') AS OPEN,
+       count_if(predicted = 'PARTIAL_FILL') AS PARTIAL_FILL
+FROM lab WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY actual
+""")(T.confusion)
+
+
+def _report_sql() -> str:
+    return f"""{LABELS_SQL},
+cl AS (SELECT actual, predicted, count(*) AS count FROM lab WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY 1, 2),
+classes AS (SELECT actual AS label FROM cl UNION SELECT predicted FROM cl),
+per0 AS (
+  SELECT c.label,
+         coalesce((SELECT sum(count) FROM cl WHERE actual = c.label AND predicted = c.label), 0) AS tp,
+         coalesce((SELECT sum(count) FROM cl WHERE actual = c.label), 0) AS support,
+         coalesce((SELECT sum(count) FROM cl WHERE predicted = c.label), 0) AS npred
+  FROM classes c),
+per1 AS (SELECT label, tp, support,
+                CASE WHEN npred > 0 THEN tp / npred ELSE 0e0 END AS precision,
+                CASE WHEN support > 0 THEN tp / support ELSE 0e0 END AS recall FROM per0),
+per AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2e0 * precision * recall / (precision + recall) ELSE 0e0 END AS f1 FROM per1),
+tot AS (SELECT sum(support) AS n, sum(tp) AS tp, count(*) AS k, sum(precision) AS sp, sum(recall) AS sr, sum(f1) AS sf,
+               sum(precision * support) AS wp, sum(recall * support) AS wr, sum(f1 * support) AS wf FROM per),
+allr AS (
+  SELECT label, precision, recall, f1, CAST(support AS BIGINT) AS support FROM per
+  UNION ALL SELECT 'accuracy', tp / n, tp / n, tp / n, CAST(n AS BIGINT) FROM tot
+  UNION ALL SELECT 'macro avg', sp / k, sr / k, sf / k, CAST(n AS BIGINT) FROM tot
+  UNION ALL SELECT 'weighted avg', wp / n, wr / n, wf / n, CAST(n AS BIGINT) FROM tot)
+SELECT label, {rhu('precision', 6)} AS precision, {rhu('recall', 6)} AS recall, {rhu('f1', 6)} AS f1, support FROM allr"""
+
+
+register("class_report", _report_sql())(T.class_report)
