@@ -66,5 +66,7 @@ def any_not_null(df: DataFrame, col: str) -> bool:
 
 def min_content(df: DataFrame, text_col: str, min_chars: int = 100) -> tuple[DataFrame, DataFrame]:
     """split into (kept, quarantined) by stripped length >= min_chars."""
-    ok = F.length(F.trim(F.col(text_col))) >= min_chars
+    from ..functions.text import py_strip
+
+    ok = F.length(py_strip(F.col(text_col))) >= min_chars
     return df.filter(ok), df.filter(~ok | F.col(text_col).isNull())

@@ -378,3 +378,117 @@ SELECT label, {rhu('precision', 6)} AS precision, {rhu('recall', 6)} AS recall,
 
 
 register("class_report", _report_sql())(T.class_report)
+
+
+# ---------------------------------------------------------------- text corpus
+from . import corpus as K  # noqa: E402
+from ..functions.text import HTML_ENTITIES, OCR_REPLACEMENTS, PY_WHITESPACE_CLASS, SENTENCE_DELIMITERS  # noqa: E402
+
+
+def sq(s: str) -> str:
+    """SQL string literal (newlines via chr(10))."""
+    parts = s.split("\n")
+    return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in parts) if len(parts) > 1 else "'" + s.replace("'", "''") + "'"
+
+
+def py_strip_sql(x: str) -> str:
+    ws = PY_WHITESPACE_CLASS
+    return f"regexp_replace({x}, '\\A{ws}+|{ws}+\\z', '', 'g')"
+
+
+def clean_sql(x: str) -> str:
+    y = f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    y = f"regexp_replace({y}, ' {{2,}}', ' ', 'g')"
+    y = f"regexp_replace({y}, '\\n\\p{{Nd}}+\\n', chr(10), 'g')"
+    for a, b in OCR_REPLACEMENTS:
+        y = f"replace({y}, {sq(a)}, {sq(b)})"
+    return py_strip_sql(y)
+
+
+def html_sql(x: str) -> str:
+    y = f"regexp_replace({x}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g')"
+    y = f"regexp_replace({y}, '(?i)<br\\s*/?>|</(p|div|h[1-6]|li|tr|article|section|title)>', chr(10), 'g')"
+    y = f"regexp_replace({y}, '<[^>]*>', '', 'g')"
+    for a, b in HTML_ENTITIES:
+        y = f"replace({y}, {sq(a)}, {sq(b)})"
+    return y
+
+
+def _re_escape(d: str) -> str:
+    return "".join("\\" + ch if ch in ".!?" else ("\\n" if ch == "\n" else ch) for ch in d)
+
+
+def chunk_ctes(src: str, id_cols: list[str], size: int = 1000, overlap: int = 200) -> str:
+    """Recursive-CTE twin of ``chunk_spans`` over CTE ``src`` (id cols, t).
+    Needs the enclosing query to start with WITH RECURSIVE. Produces CTE
+    ``chunked`` with ids, chunk_index, n_chunks, start, end, text."""
+    ids = ", ".join(id_cols)
+    on = " AND ".join(f"sp.{c} = d.{c}" for c in id_cols)
+
+    def end_expr(s: str) -> str:
+        snaps = []
+        for d in SENTENCE_DELIMITERS:
+            pat = f"(?s)^(.*){_re_escape(d)}"
+            snaps.append(f"WHEN regexp_matches(w, '{pat}') THEN {s} + length(regexp_extract(w, '{pat}', 1)) + {len(d)}")
+        snap = f"(CASE {' '.join(snaps)} ELSE {s} + {size} END)"
+        return (f"CASE WHEN {s} + {size} >= n THEN {s} + {size} "
+                f"WHEN {snap} - {overlap} <= {s} THEN {s} + {size} ELSE {snap} END")
+
+    return f"""docs_c AS (SELECT {ids}, t, length(t) AS n FROM {src} WHERE t IS NOT NULL),
+spans AS (
+  SELECT {ids}, 0 AS idx, s, {end_expr('s')} AS e
+  FROM (SELECT {ids}, t, n, 0 AS s, substring(t, 1, {size}) AS w FROM docs_c)
+  UNION ALL
+  SELECT {ids}, idx, s, {end_expr('s')} AS e
+  FROM (SELECT {', '.join('sp.' + c for c in id_cols)}, sp.idx + 1 AS idx, d.t, d.n, sp.e - {overlap} AS s,
+               substring(d.t, sp.e - {overlap} + 1, {size}) AS w
+        FROM spans sp JOIN docs_c d ON {on} WHERE sp.e - {overlap} < d.n AND d.n > {size})
+),
+chunked AS (
+  SELECT {', '.join('sp.' + c for c in id_cols)}, CAST(sp.idx AS INTEGER) AS chunk_index,
+         CAST(count(*) OVER (PARTITION BY {', '.join('sp.' + c for c in id_cols)}) AS INTEGER) AS n_chunks,
+         CAST(sp.s AS INTEGER) AS start, CAST(least(sp.e, d.n) AS INTEGER) AS "end",
+         CASE WHEN d.n <= {size} THEN d.t ELSE {py_strip_sql(f'substring(d.t, sp.s + 1, sp.e - sp.s)')} END AS text
+  FROM spans sp JOIN docs_c d ON {on}
+)"""
+
+
+DIRTY_SQL = f"""dirty AS (
+  SELECT doc_id, source, '  ' || replace(replace(text, '. ', '.  '), chr(10), chr(10) || chr(10) || chr(10))
+         || {sq(chr(10) * 4 + '7' + chr(10) + 'ﬁnal ﬂow – and — end' + chr(10) * 3 + '  ')} AS text
+  FROM documents),
+cleaned AS (SELECT doc_id, source, {clean_sql('text')} AS text FROM dirty)"""
+
+register("clean_text", f"""
+WITH {DIRTY_SQL}
+SELECT doc_id, text, length(text) AS n_chars FROM cleaned
+""")(K.clean)
+
+register("chunks", f"""
+WITH RECURSIVE {DIRTY_SQL}, src AS (SELECT doc_id, text AS t FROM cleaned),
+{chunk_ctes('src', ['doc_id'])}
+SELECT * FROM chunked
+""")(K.chunks)
+
+CORPUS_SQL = f"""{DIRTY_SQL}, src AS (SELECT doc_id, source, text AS t FROM cleaned),
+{chunk_ctes('src', ['doc_id', 'source'])},
+corpus AS (SELECT source AS type, 'doc-' || CAST(doc_id AS VARCHAR) AS filename, doc_id, chunk_index, n_chunks, text FROM chunked)"""
+
+register("corpus_types", f"""
+WITH RECURSIVE {CORPUS_SQL}
+SELECT coalesce(type, 'unknown') AS type, count(*) AS n_chunks, count(DISTINCT filename) AS n_files
+FROM corpus GROUP BY 1
+""")(K.corpus_types)
+
+register("corpus_files", f"""
+WITH RECURSIVE {CORPUS_SQL}
+SELECT filename, arg_min(type, chunk_index) AS type, arg_min(n_chunks, chunk_index) AS n_chunks
+FROM corpus GROUP BY filename
+""")(K.corpus_files)
+
+register("page_ingest", f"""
+WITH RECURSIVE pt AS (SELECT page_id, url, {clean_sql(html_sql('html'))} AS text FROM pages),
+kept AS (SELECT page_id, url, text AS t FROM pt WHERE length({py_strip_sql('text')}) >= 100),
+{chunk_ctes('kept', ['page_id', 'url'])}
+SELECT page_id, 'page' AS type, url AS filename, chunk_index, n_chunks, start, "end", text FROM chunked
+""")(K.page_ingest)
