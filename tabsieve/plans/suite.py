@@ -492,3 +492,66 @@ kept AS (SELECT page_id, url, text AS t FROM pt WHERE length({py_strip_sql('text
 {chunk_ctes('kept', ['page_id', 'url'])}
 SELECT page_id, 'page' AS type, url AS filename, chunk_index, n_chunks, start, "end", text FROM chunked
 """)(K.page_ingest)
+
+
+# ---------------------------------------------------------------- retrieval
+from . import retrieval as RV  # noqa: E402
+from ..operators.retrieve import PROMPT_NO_CONTEXT, PROMPT_WITH_CONTEXT  # noqa: E402
+
+
+def letters_sql(x: str) -> list[str]:
+    return [f"CAST(length(lower({x})) - length(replace(lower({x}), '{ch}', '')) AS DOUBLE)" for ch in "abcdefghijklmnopqrstuvwxyz"]
+
+
+def l2_sql(a: list[str], b: list[str]) -> str:
+    return " + ".join(f"(({x}) - ({y})) * (({x}) - ({y}))" for x, y in zip(a, b))
+
+
+register("nearest_centroids", f"""
+WITH u AS (SELECT label, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+cen AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS c FROM u GROUP BY label, pos),
+d AS (SELECT c.label AS qid, u.vec_id, sum((CAST(u.x AS DOUBLE) - c.c) * (CAST(u.x AS DOUBLE) - c.c)) AS dist
+      FROM u JOIN cen c ON u.pos = c.pos GROUP BY c.label, u.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM d)
+SELECT qid AS label, CAST(rank AS INTEGER) AS rank, vec_id, {rhu('dist', 6)} AS dist FROM r WHERE rank <= 5
+""")(RV.nearest_centroids)
+
+_QL = letters_sql("q.text")
+_DL = letters_sql("d.text")
+
+register("knn_quality", f"""
+WITH d AS (SELECT doc_id, quality, text FROM documents JOIN labels USING (doc_id)),
+pairs AS (SELECT q.item_id, d.doc_id, d.quality, {l2_sql(_QL, _DL)} AS dist FROM benchmark q, d),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dist, doc_id) AS rank FROM pairs),
+v AS (SELECT item_id, quality, CAST(count(*) AS DOUBLE) AS votes FROM r WHERE rank <= 5 GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY votes DESC, quality) AS rr FROM v)
+SELECT item_id, quality AS predicted, votes FROM b WHERE rr = 1
+""")(RV.knn_quality)
+
+
+def _prompt_sql(ctx: str, q: str, domain: str = "the subject of the corpus") -> str:
+    w = PROMPT_WITH_CONTEXT.replace("{domain}", domain).split("{context}")
+    w2 = w[1].split("{question}")
+    n = PROMPT_NO_CONTEXT.replace("{domain}", domain).split("{question}")
+    return (f"CASE WHEN {ctx} IS NOT NULL AND length({ctx}) > 0 THEN {sq(w[0])} || {ctx} || {sq(w2[0])} || {q} || {sq(w2[1])} "
+            f"ELSE {sq(n[0])} || {q} || {sq(n[1])} END")
+
+
+_CL = letters_sql("c.text")
+
+register("rag_context", f"""
+WITH RECURSIVE {DIRTY_SQL}, src AS (SELECT doc_id, text AS t FROM cleaned),
+{chunk_ctes('src', ['doc_id'])},
+corp AS (SELECT doc_id * {RV.CHUNK_ID_BASE} + chunk_index AS chunk_id, text FROM chunked),
+pairs AS (SELECT q.item_id, c.chunk_id, c.text, {l2_sql(_QL, _CL)} AS dist FROM benchmark q, corp c),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dist, chunk_id) AS rank FROM pairs),
+top AS (SELECT * FROM r WHERE rank <= 5),
+ctx AS (SELECT item_id, CAST(count(*) AS INTEGER) AS num_sources,
+               string_agg('[Document ' || CAST(rank AS VARCHAR) || ']:' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
+               arg_min(CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '...' ELSE text END, rank) AS top_source,
+               {rhu('arg_min(dist, rank)', 6)} AS top_score
+        FROM top GROUP BY item_id)
+SELECT q.item_id, coalesce(ctx.num_sources, 0) AS num_sources, ctx.context, {_prompt_sql('ctx.context', 'q.text')} AS prompt,
+       ctx.top_source, ctx.top_score
+FROM benchmark q LEFT JOIN ctx USING (item_id)
+""")(RV.rag_context)
