@@ -614,3 +614,27 @@ UNION ALL SELECT * FROM sizes UNION ALL SELECT * FROM method"""
 
 
 register("fact_documents", _facts_sql())(FD.fact_documents)
+
+
+# ---------------------------------------------------------------- publishing
+from . import publishing as PU  # noqa: E402
+
+register("upsert", f"""
+WITH u AS (SELECT o_custkey AS c_custkey, {rhu('sum(o_totalprice) / 1e3', 2)} AS new_bal FROM orders
+           WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey)
+SELECT c.c_custkey, c.c_name,
+       CASE WHEN u.c_custkey IS NOT NULL THEN u.new_bal ELSE c.c_acctbal END AS c_acctbal,
+       CASE WHEN u.c_custkey IS NOT NULL THEN 'PRIORITY' ELSE c.c_mktsegment END AS c_mktsegment,
+       u.c_custkey IS NOT NULL AS updated
+FROM customer c LEFT JOIN u ON c.c_custkey = u.c_custkey
+""")(PU.upsert)
+
+register("match_counts", """
+WITH k AS (SELECT DISTINCT c_custkey FROM customer WHERE c_acctbal >= 0)
+SELECT count(*) AS n_updates, count(k.c_custkey) AS matched, count_if(k.c_custkey IS NULL) AS unmatched
+FROM orders o LEFT JOIN k ON o.o_custkey = k.c_custkey
+""")(PU.match_counts)
+
+register("key_check", """
+SELECT p_name, count(*) AS count FROM part GROUP BY p_name HAVING count(*) > 1
+""")(PU.key_check)
