@@ -638,3 +638,17 @@ FROM orders o LEFT JOIN k ON o.o_custkey = k.c_custkey
 register("key_check", """
 SELECT p_name, count(*) AS count FROM part GROUP BY p_name HAVING count(*) > 1
 """)(PU.key_check)
+
+
+# ---------------------------------------------------------------- learning (rows-only checks)
+from . import modeling as MD  # noqa: E402
+
+register("train_evaluate")(MD.train_evaluate)
+register("confusion_test")(MD.confusion_test)
+register("cv_scores")(MD.cv_scores)
+register("model_search")(MD.model_search)
+register("family_leaderboard")(MD.family_leaderboard)
+register("batch_scores")(MD.batch_scores)
+register("feature_importance")(MD.feature_importance)
+register("tree_metrics")(MD.tree_metrics)
+register("split_usage")(MD.split_usage)
