@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import _c, all_not_null, canonical_label, pct, round_half_up
+from .quantiles import column_stats
 
 
 # ---------------------------------------------------------------- A2/A5/A6/A7/A8/A9
@@ -82,20 +83,16 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False, count_col: st
 # ---------------------------------------------------------------- A10/A16/A17/A18/A20/A21
 def describe_columns(df: DataFrame, cols: Sequence[str], digits: int | None = 6) -> DataFrame:
     """A10: mean / median / min / max / non-null count per column, long form
-    (column, mean, median, min, max, n, total). One aggregate for all columns,
-    then a stack (unpivot) of the single result row."""
-    aggs = [F.count(F.lit(1)).alias("__total")]
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.mean(x).alias(f"{c}__mean"), F.median(x).alias(f"{c}__median"),
-                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"), F.count(x).alias(f"{c}__n")]
-    one = df.agg(*aggs)
-    r = (lambda v: round_half_up(v, digits)) if digits is not None else (lambda v: v)
-    rows = [F.struct(F.lit(c).alias("column"), r(F.col(f"{c}__mean")).alias("mean"),
-                     r(F.col(f"{c}__median")).alias("median"), F.col(f"{c}__min").alias("min"),
-                     F.col(f"{c}__max").alias("max"), F.col(f"{c}__n").alias("n"),
-                     F.col("__total").alias("total")) for c in cols]
-    return one.select(F.inline(F.array(*rows)))
+    (column, mean, median, min, max, n, total). Statistics come from
+    ``column_stats`` (exact median with bounded memory); the per-column
+    scalars form a small frame."""
+    st = column_stats(df, cols, ("mean", "min", "max"))
+    rows = [(d["column"], d["mean"], d["median"], d["min"], d["max"], d["count"], d["total"]) for d in st]
+    out = df.sparkSession.createDataFrame(
+        rows, "column string, mean double, median double, min double, max double, n long, total long")
+    if digits is not None:
+        out = out.withColumns({"mean": round_half_up("mean", digits), "median": round_half_up("median", digits)})
+    return out
 
 
 def null_fractions(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -109,18 +106,11 @@ def null_fractions(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 
 def column_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """A18/A20/A21 in one pass: sample variance, median, mean, population std."""
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.var_samp(x).alias(f"v{i}"), F.median(x).alias(f"m{i}"), F.mean(x).alias(f"a{i}"),
-                 F.stddev_pop(x).alias(f"s{i}"), F.count(x).alias(f"n{i}")]
-    one = df.agg(*aggs)
-    rows = [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), F.col(f"n{i}").alias("n"),
-                     F.col(f"a{i}").alias("mean"), F.col(f"m{i}").alias("median"),
-                     F.col(f"s{i}").alias("std_pop"), F.col(f"v{i}").alias("var_samp"))
-            for i, c in enumerate(cols)]
-    return one.select(F.inline(F.array(*rows)))
+    """Sample variance, exact median, mean, population std."""
+    st = column_stats(df, cols, ("mean", "stddev_pop", "var_samp"))
+    rows = [(d["pos"], d["column"], d["count"], d["mean"], d["median"], d["stddev_pop"], d["var_samp"]) for d in st]
+    return df.sparkSession.createDataFrame(
+        rows, "pos int, column string, n long, mean double, median double, std_pop double, var_samp double")
 
 
 # ---------------------------------------------------------------- A11/A12

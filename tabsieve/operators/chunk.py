@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SENTENCE_DELIMITERS
+from .partitioning import spread
 
 CHUNK_SCHEMA = "chunk_index int, n_chunks int, start int, end int, text string"
 
@@ -84,7 +85,7 @@ def chunk_documents(df: DataFrame, id_cols: Sequence[str], text_col: str = "text
     if overlap >= size:
         raise ValueError("overlap must be smaller than chunk size")
     id_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*id_cols).schema.fields)
-    return df.select(*id_cols, text_col).mapInPandas(
+    return spread(df.select(*id_cols, text_col)).mapInPandas(
         _chunker(list(id_cols), text_col, size, overlap, drop_suffix_tail), f"{id_schema}, {CHUNK_SCHEMA}")
 
 

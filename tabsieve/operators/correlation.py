@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .partitioning import spread
+
 BUILTIN_MAX = 12
 
 _PARTIAL_SCHEMA = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
@@ -87,7 +89,7 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], fill: dict[str, float]
     else:
         means = x.agg(*[F.mean(c).alias(c) for c in cols]).first()
         mu = [float(means[c]) if means[c] is not None else 0.0 for c in cols]
-        parts = x.mapInPandas(_gram_partials(cols, mu), _PARTIAL_SCHEMA)
+        parts = spread(x).mapInPandas(_gram_partials(cols, mu), _PARTIAL_SCHEMA)
         s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
         n = F.col("n")
         cov = n * F.col("sxy") - F.col("sx") * F.col("sy")

@@ -69,8 +69,21 @@ def report_from_long(cl: DataFrame, digits: int | None = None) -> DataFrame:
 
 
 def classification_report(df: DataFrame, actual: str, predicted: str, digits: int | None = None) -> DataFrame:
-    """A24 from scored rows."""
-    return report_from_long(confusion_long(df, actual, predicted), digits)
+    """A24 from scored rows. The long confusion table (at most k^2 rows, k =
+    number of classes) is computed once and reused by every metric, instead
+    of re-running the scoring plan per metric."""
+    return report_from_long(materialize_small(confusion_long(df, actual, predicted)), digits)
+
+
+MAX_CLASSES = 10_000
+
+
+def materialize_small(cl: DataFrame) -> DataFrame:
+    """Collect a table bounded by the class count (checked) into a local frame."""
+    rows = cl.limit(MAX_CLASSES * MAX_CLASSES // 100 + 1).collect()
+    if len(rows) > MAX_CLASSES * MAX_CLASSES // 100:
+        raise ValueError("too many label pairs for a confusion table")
+    return cl.sparkSession.createDataFrame(rows, cl.schema)
 
 
 def report_from_matrix(spark: SparkSession, matrix: Sequence[Sequence[int]], classes: Sequence[str],

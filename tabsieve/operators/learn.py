@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import standardise
+from .quantiles import column_stats
 
 # Column names / patterns that must never become features (quirk 10 leak
 # guard: scored output columns fed back by a retrain).
@@ -51,8 +52,8 @@ class Preprocessor:
     @classmethod
     def fit(cls, train: DataFrame, features: Sequence[str], missing: str = "train_median") -> "Preprocessor":
         feats = list(features)
-        med = train.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in feats]).first()
-        medians = {c: (med[c] if med[c] is not None else 0.0) for c in feats}
+        st = column_stats(train, feats, ())
+        medians = {d["column"]: (d["median"] if d["median"] is not None else 0.0) for d in st}
         # mean / population std of the imputed column (what the scaler sees)
         filled = [F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))) for c in feats]
         mom = train.agg(*[F.mean(x).alias(f"m{i}") for i, x in enumerate(filled)],

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .correlation import correlation_pairs
+from .quantiles import column_stats
 
 # Default thresholds of the reference's selection rules.
 MISSING_THRESHOLD = 0.5
@@ -23,20 +24,14 @@ SELECTION_SCHEMA = ("pos int, column string, null_fraction double, variance doub
 
 
 def column_profile(df: DataFrame, cols: Sequence[str]) -> list[dict]:
-    """One pass: per column null fraction, sample variance, median, mean,
-    population std, non-null count. Returns a list of dicts (one per column)."""
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.var_samp(x).alias(f"v{i}"), F.median(x).alias(f"m{i}"),
-                 F.mean(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"s{i}")]
-    r = df.agg(*aggs).first()
-    n = r["__n"]
+    """Per column null fraction, sample variance, exact median, mean,
+    population std and non-null count (dicts, one per column)."""
     out = []
-    for i, c in enumerate(cols):
-        out.append({"pos": i, "column": c, "count": r[f"n{i}"],
-                    "null_fraction": (1.0 - r[f"n{i}"] / n) if n else None,
-                    "variance": r[f"v{i}"], "median": r[f"m{i}"], "mean": r[f"a{i}"], "std_pop": r[f"s{i}"]})
+    for d in column_stats(df, cols, ("var_samp", "mean", "stddev_pop")):
+        n = d["total"]
+        out.append({"pos": d["pos"], "column": d["column"], "count": d["count"],
+                    "null_fraction": (1.0 - d["count"] / n) if n else None, "variance": d["var_samp"],
+                    "median": d["median"], "mean": d["mean"], "std_pop": d["stddev_pop"]})
     return out
 
 

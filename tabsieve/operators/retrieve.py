@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import _c, truncate_text
+from .partitioning import spread
 
 MAX_QUERY_ROWS = 50_000          # per broadcast batch
 MAX_QUERY_BYTES = 256 << 20      # vectors as float64
@@ -90,7 +91,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query
     bq = spark.sparkContext.broadcast(q)
     qtype = queries.schema[query_id].dataType.simpleString()
     itype = corpus.schema[corpus_id].dataType.simpleString()
-    cand = corpus.select(corpus_id, vec_col).mapInPandas(
+    cand = spread(corpus.select(corpus_id, vec_col)).mapInPandas(
         _partial_topk(bq, qids, k, corpus_id, vec_col), f"qid {qtype}, id {itype}, dist double")
     w = Window.partitionBy("qid").orderBy(F.col("dist"), F.col("id"))
     top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -17,7 +17,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import bounded_broadcast
 
 HASH_PREFIX_DIGITS = 3  # 16^3 = 4096 buckets per label
 
@@ -37,8 +36,9 @@ def stratified_rank(df: DataFrame, label: str, keys: Sequence[str], seed: int =
         label, "__b",
         (F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__cnt")).alias("__off"),
         F.sum("__cnt").over(Window.partitionBy(label)).alias("n_label"))
-    # offsets has at most (#labels x 4096) rows: broadcast behind the size check
-    d = d.join(bounded_broadcast(offsets, 4_000_000), [label, "__b"], "inner")
+    # offsets has at most (#labels x 4096) rows; AQE broadcasts it from its
+    # measured runtime size (no extra counting job)
+    d = d.join(offsets, [label, "__b"], "inner")
     wr = Window.partitionBy(label, "__b").orderBy("__h", *keys)
     return d.withColumn("rank", F.col("__off") + F.row_number().over(wr)).drop("__h", "__b", "__off")
 
@@ -90,4 +90,4 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def with_weights(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
     """Attach each row's class weight (broadcast lookup of <= #classes rows)."""
     w = class_weights(df, label).select(label, F.col("weight").alias(weight_col))
-    return df.join(bounded_broadcast(w, 100_000), label, "left")
+    return df.join(w, label, "left")   # one row per class: AQE broadcasts it

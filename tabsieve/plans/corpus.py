@@ -10,6 +10,7 @@ from ..functions.text import clean_text, html_to_text
 from ..operators.aggregates import first_per_key
 from ..operators.chunk import chunk_documents
 from ..operators.filters import min_content
+from ..operators.partitioning import spread
 from ..sources.tables import Tables
 
 
@@ -18,7 +19,7 @@ def dirty_documents(t: Tables) -> DataFrame:
     spaces, doubled sentence spaces, tripled newlines, a page-number line,
     ligatures and long dashes."""
     x = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".  ")), F.lit("\n"), F.lit("\n\n\n"))
-    return t.documents.select("doc_id", "source", F.concat(
+    return spread(t.documents).select("doc_id", "source", F.concat(
         F.lit("  "), x, F.lit("\n\n\n\n7\nﬁnal ﬂow – and — end\n\n\n  ")).alias("text"))
 
 
@@ -59,7 +60,7 @@ def corpus_files(t: Tables) -> DataFrame:
 
 def page_text(t: Tables) -> DataFrame:
     """S12 with the default HTML extractor, cleaned."""
-    return t.pages.select("page_id", "url", clean_text(html_to_text("html")).alias("text"))
+    return spread(t.pages).select("page_id", "url", clean_text(html_to_text("html")).alias("text"))
 
 
 def page_ingest(t: Tables) -> DataFrame:

@@ -8,6 +8,7 @@ preparation code serves wide catalogue tables.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from ..operators import learn as L
 from ..operators import ordering as O
 from ..operators import split as S
 from ..operators import trees as TR
+from ..operators.partitioning import spread
 from ..session import scratch_path
 from ..sources.tables import Tables
 
@@ -30,8 +32,11 @@ def feature_table(t: Tables) -> DataFrame:
 
 
 def split_table(t: Tables) -> DataFrame:
+    """Split + weights, persisted: training reads it many times (statistics,
+    tree levels), and it is deterministic (hash ranks), so a lost cached
+    block is recomputed to the same rows."""
     s = S.stratified_split(feature_table(t), "label", ["vec_id"], test=0.2, val=0.1, seed=42)
-    return S.with_weights(s, "label")
+    return spread(S.with_weights(s, "label")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _fit(t: Tables, family: str = "random_forest", params: dict | None = None):
@@ -59,7 +64,7 @@ def confusion_test(t: Tables) -> DataFrame:
 def cv_scores(t: Tables) -> DataFrame:
     """M5 + M9 + A25: 3-fold stratified CV accuracy of logistic regression."""
     f = S.stratified_folds(feature_table(t), "label", ["vec_id"], k=3, seed=42)
-    f = S.with_weights(f, "label")
+    f = spread(S.with_weights(f, "label")).persist(StorageLevel.MEMORY_AND_DISK)
     scores = L.cross_validate(f, FEATURES, "label", "fold", 3, "logistic_regression", {"max_iter": 50})
     return E.score_summary(t.spark, scores).select("mean", "std", F.size("folds").alias("n_folds"))
 
