@@ -193,3 +193,8 @@ def first_per_key(df: DataFrame, key: str, order: str, cols: Sequence[str]) -> D
     """First row per key by ``order`` (deterministic ``dropDuplicates``):
     ``min_by`` is a partial aggregate, so a hot key is combined map-side."""
     return df.groupBy(key).agg(*[F.min_by(c, order).alias(c) for c in cols if c != key])
+
+
+def distinct_values(df: DataFrame, col: str) -> DataFrame:
+    """Distinct non-null values of a column."""
+    return df.select(col).filter(F.col(col).isNotNull()).distinct()

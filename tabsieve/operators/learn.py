@@ -291,3 +291,66 @@ def load_model(spark: SparkSession, path: str):
     model = PipelineModel.load(f"{path}/pipeline")
     meta = spark.read.json(f"{path}/meta").first()
     return model, Preprocessor.from_json(meta["preprocessor"]), json.loads(meta["labels"])
+
+
+# ---------------------------------------------------------------- M15/M17/M19/M20
+def score_record(spark: SparkSession, record: dict, model: PipelineModel, pre: Preprocessor,
+                 labels: Sequence[str]) -> DataFrame:
+    """One record scored by the same code path as a batch (M14); absent
+    features are filled like any batch row (quirk 9: one missing policy)."""
+    present = {k: (float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v)
+               for k, v in record.items()}
+    schema = ", ".join(f"`{k}` double" if isinstance(v, float) else f"`{k}` string" for k, v in present.items())
+    row = spark.createDataFrame([tuple(present.values())], schema)
+    return predict(model, pre, row, labels, keep=[k for k in present if k not in pre.features])
+
+
+def union_for_retrain(existing: DataFrame, uploaded: DataFrame) -> DataFrame:
+    """Rows of both tables by column name (missing columns null),
+    minus scored-output columns (quirk 10 leak guard)."""
+    u = existing.unionByName(uploaded, allowMissingColumns=True)
+    return u.select(*leak_guard(u.columns))
+
+
+def retrain(existing: DataFrame, uploaded: DataFrame, features: Sequence[str], label: str, key: str,
+            family: str = "gradient_boosting", params: dict | None = None, seed: int = 42):
+    """Union, split (exact stratified, M4), weights (A22), fit (M6/M7)
+    on train, report on test. Returns (model, preprocessor, labels, report)."""
+    from .evaluate import classification_report
+    from .split import stratified_split, with_weights
+
+    d = union_for_retrain(existing, uploaded)
+    feats = [f for f in leak_guard(features) if f in d.columns]
+    s = with_weights(stratified_split(d, label, [key], seed=seed), label)
+    train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
+    pre = Preprocessor.fit(train, feats)
+    model, labels = fit_pipeline(train, pre, label, family, params or {}, seed=seed)
+    rep = classification_report(predict(model, pre, test, labels, keep=[label]), label, "predicted")
+    return model, pre, labels, rep
+
+
+def plot_data(spark: SparkSession, scored: DataFrame, actual: str, predicted: str, model: PipelineModel | None = None,
+              features: Sequence[str] = (), scores: Sequence[float] = ()) -> dict[str, DataFrame]:
+    """The data behind the reference's charts, as tidy tables (no
+    pictures): confusion, class distribution, confidence histogram,
+    per-class recall, feature importance top 15, CV scores."""
+    from .aggregates import value_counts, width_histogram
+    from .evaluate import agreement, confusion_long
+
+    out = {"confusion": confusion_long(scored, actual, predicted),
+           "class_distribution": value_counts(scored, actual, normalize=True),
+           "per_class": agreement(scored, actual, predicted)}
+    if "confidence" in scored.columns:
+        out["confidence_histogram"] = width_histogram(scored, "confidence", 20)
+    if model is not None and features:
+        out["importance"] = feature_importances(spark, model, features).orderBy(F.desc("importance"), "pos").limit(15)
+    if scores:
+        out["cv_scores"] = spark.createDataFrame([(i + 1, float(s)) for i, s in enumerate(scores)], "fold int, score double")
+    return out
+
+
+def model_status(spark: SparkSession, registry_folder: str) -> DataFrame:
+    """Newest complete run in an artefact folder."""
+    from ..sources.artefacts import latest_complete_run, listing
+
+    return latest_complete_run(listing(spark, registry_folder))

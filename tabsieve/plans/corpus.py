@@ -69,3 +69,18 @@ def page_ingest(t: Tables) -> DataFrame:
     ch = chunk_documents(kept, ["page_id", "url"], "text", 1000, 200)
     return ch.select("page_id", F.lit("page").alias("type"), F.col("url").alias("filename"),
                      "chunk_index", "n_chunks", "start", "end", "text")
+
+
+def save_corpus(corpus: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Persist (doc, chunk, text, metadata, embedding) as Parquet."""
+    corpus.write.mode(mode).parquet(path)
+
+
+def load_corpus(spark, path: str) -> DataFrame:
+    """Load a saved corpus."""
+    return spark.read.parquet(path)
+
+
+def append_corpus(chunks: DataFrame, path: str) -> None:
+    """Append new chunks to an existing corpus; existing rows untouched."""
+    chunks.write.mode("append").parquet(path)
