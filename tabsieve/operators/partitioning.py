@@ -19,9 +19,29 @@ def parallelism(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of the optimized plan (file sizes through
+    projections/filters); planning only, nothing is executed."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _already_spread(df: DataFrame) -> bool:
+    p = df._jdf.queryExecution().optimizedPlan()
+    while p.nodeName() in ("Project", "Filter") and p.children().size() == 1:
+        p = p.children().apply(0)
+    return p.nodeName() in ("Repartition", "RepartitionByExpression")
+
+
 def is_narrow(df: DataFrame) -> bool:
-    """Fewer partitions than cores (planning only, no job)."""
-    return df.rdd.getNumPartitions() < parallelism(df)
+    """Small enough to fit in fewer splits than cores, i.e. below
+    parallelism x maxPartitionBytes by the plan estimate. (Asking the RDD
+    for its partition count would execute the shuffle stages of an adaptive
+    plan, so it is not used.)"""
+    if _already_spread(df):
+        return False
+    conf = df.sparkSession.conf
+    max_split = int(str(conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b") or 134217728)
+    return estimated_bytes(df) < parallelism(df) * max_split
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -35,10 +35,9 @@ def sq_l2(a, b) -> Column:
 
 
 def _collect_queries(queries: DataFrame, qid: str, vec: str) -> tuple[np.ndarray, list]:
-    n = queries.limit(MAX_QUERY_ROWS + 1).count()
-    if n > MAX_QUERY_ROWS:
+    rows = queries.select(qid, vec).limit(MAX_QUERY_ROWS + 1).collect()
+    if len(rows) > MAX_QUERY_ROWS:
         raise ValueError(f"query batch has more than {MAX_QUERY_ROWS} rows; split it into batches")
-    rows = queries.select(qid, vec).collect()
     ids = [r[0] for r in rows]
     q = np.array([np.asarray(r[1], dtype="float64") for r in rows], dtype="float64")
     if q.nbytes > MAX_QUERY_BYTES:
@@ -46,18 +45,20 @@ def _collect_queries(queries: DataFrame, qid: str, vec: str) -> tuple[np.ndarray
     return q, ids
 
 
-def _partial_topk(bq, qids: list, k: int, id_col: str, vec_col: str):
+def _partial_topk(bq, qids: list, k: int, id_col: str, vec_col: str, payload: Sequence[str] = ()):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = bq.value
         m = len(q)
         cand_d = [np.empty(0)] * m
         cand_i: list = [np.empty(0, dtype=object)] * m
+        cand_p: list = [np.empty((0, len(payload)), dtype=object)] * m
         for pdf in batches:
             pdf = pdf[pdf[vec_col].notna()]
             if len(pdf) == 0 or m == 0:
                 continue
             v = np.stack([np.asarray(x, dtype="float64") for x in pdf[vec_col].to_numpy()])
             ids = pdf[id_col].to_numpy()
+            pay = pdf[list(payload)].to_numpy(dtype=object) if payload else np.empty((len(pdf), 0), dtype=object)
             d = v.shape[1]
             qb = max(1, _BLOCK_ELEMS // max(1, len(v) * d))
             for s in range(0, m, qb):
@@ -66,36 +67,45 @@ def _partial_topk(bq, qids: list, k: int, id_col: str, vec_col: str):
                     j = s + r
                     dd = np.concatenate([cand_d[j], blk[r]])
                     ii = np.concatenate([cand_i[j], ids])
+                    pp = np.concatenate([cand_p[j], pay])
                     if len(dd) > k:
                         kth = np.partition(dd, k - 1)[k - 1]
                         keep = dd <= kth
-                        dd, ii = dd[keep], ii[keep]
-                    cand_d[j], cand_i[j] = dd, ii
+                        dd, ii, pp = dd[keep], ii[keep], pp[keep]
+                    cand_d[j], cand_i[j], cand_p[j] = dd, ii, pp
         out_q, out_i, out_d = [], [], []
+        out_p = [[] for _ in payload]
         for j in range(m):
             out_q += [qids[j]] * len(cand_d[j])
             out_i += list(cand_i[j])
             out_d += list(cand_d[j])
+            for c in range(len(payload)):
+                out_p[c] += list(cand_p[j][:, c])
         if out_q:
-            yield pd.DataFrame({"qid": out_q, "id": out_i, "dist": out_d})
+            cols = {"qid": out_q, "id": out_i, "dist": out_d}
+            cols.update({name: vals for name, vals in zip(payload, out_p)})
+            yield pd.DataFrame(cols)
     return run
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query_id: str,
-            vec_col: str = "embedding", query_vec_col: str | None = None) -> DataFrame:
+            vec_col: str = "embedding", query_vec_col: str | None = None, payload: Sequence[str] = ()) -> DataFrame:
     """For every query, the k nearest corpus rows by squared L2
-    (ascending, ties by corpus id): (query_id, rank, corpus_id, dist).
+    (ascending, ties by corpus id): (query_id, rank, corpus_id, dist,
+    *payload). ``payload`` columns (e.g. the chunk text) travel with the few
+    candidates, so no second pass over the corpus is needed to fetch them.
     k is capped by the corpus size naturally (fewer rows, fewer ranks)."""
     spark = corpus.sparkSession
     q, qids = _collect_queries(queries, query_id, query_vec_col or vec_col)
     bq = spark.sparkContext.broadcast(q)
     qtype = queries.schema[query_id].dataType.simpleString()
     itype = corpus.schema[corpus_id].dataType.simpleString()
-    cand = spread(corpus.select(corpus_id, vec_col)).mapInPandas(
-        _partial_topk(bq, qids, k, corpus_id, vec_col), f"qid {qtype}, id {itype}, dist double")
+    pschema = "".join(f", `{c}` {corpus.schema[c].dataType.simpleString()}" for c in payload)
+    cand = spread(corpus.select(corpus_id, vec_col, *payload)).mapInPandas(
+        _partial_topk(bq, qids, k, corpus_id, vec_col, payload), f"qid {qtype}, id {itype}, dist double{pschema}")
     w = Window.partitionBy("qid").orderBy(F.col("dist"), F.col("id"))
     top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.select(F.col("qid").alias(query_id), "rank", F.col("id").alias(corpus_id), "dist")
+    return top.select(F.col("qid").alias(query_id), "rank", F.col("id").alias(corpus_id), "dist", *payload)
 
 
 def knn_vote(neighbours: DataFrame, labels: DataFrame, query_id: str, corpus_id: str, label: str,
@@ -132,7 +142,8 @@ def assemble_context(hits: DataFrame, docs: DataFrame, query_id: str, corpus_id:
     """Per query, the context string ``[Document i]:\\n<text>``
     joined by blank lines in rank order, the number of sources and the
     sources (text cut to 500 chars + '...', score, extra columns)."""
-    j = hits.join(docs.select(corpus_id, text_col, *extra_cols), corpus_id)
+    need = [text_col, *extra_cols]
+    j = hits if all(c in hits.columns for c in need) else hits.join(docs.select(corpus_id, *need), corpus_id)
     item = F.struct(F.col("rank"), F.col(text_col).alias("text"), F.col("dist").alias("score"), *[F.col(c) for c in extra_cols])
     g = j.groupBy(query_id).agg(F.array_sort(F.collect_list(item)).alias("__items"))
     ctx = F.array_join(F.transform("__items", lambda s: F.concat(F.lit("[Document "), s["rank"].cast("string"),

@@ -55,7 +55,7 @@ def chunk_corpus(t: Tables) -> DataFrame:
 def rag_context(t: Tables) -> DataFrame:
     corpus = chunk_corpus(t)
     qs = benchmark_queries(t)
-    hits = R.nearest(corpus, qs, TOP_K, "chunk_id", "item_id")
+    hits = R.nearest(corpus, qs, TOP_K, "chunk_id", "item_id", payload=["text"])
     ctx = R.assemble_context(hits, corpus, "item_id", "chunk_id", "text")
     p = R.build_prompts(qs.select("item_id", F.col("text").alias("question")), ctx, "item_id", "question")
     return p.select("item_id", "num_sources", "context", "prompt",
