@@ -5,16 +5,18 @@ Spark's exact ``median``/``percentile`` keeps a map of every distinct value
 per group; on a global aggregate all maps merge into ONE task, which does
 not survive a column with 10^11 distinct values. Here:
 
-1. one aggregate gives count / mean / min / max / variance and an
-   approximate bracket ``[lo, hi]`` around the median from
-   ``percentile_approx`` (rank error <= n / accuracy, so the bracket taken
-   at 0.5 -/+ 2 / accuracy is guaranteed to contain the median ranks);
-2. one aggregate counts the rows below ``lo`` and inside the bracket;
-3. only the rows inside the bracket (about 4n / accuracy per column) are
-   ranked, one window partition per column, to pick the exact middle
-   value(s), interpolated like pandas/numpy.
-
-Three passes instead of one, but every task holds bounded state.
+1. one aggregate gives count / min / max and the requested moments;
+2. one aggregate builds an equal-width histogram per column (``BINS``
+   bins between min and max: count, smallest and largest value per bin;
+   at most columns x BINS rows). Bin order follows value order, so the
+   cumulative counts locate the bin holding each middle rank. A rank that
+   falls on a bin edge, or in a bin of one distinct value, is answered
+   directly;
+3. otherwise only the rows of that bin are ranked (one window partition
+   per target), or, when the bin is still large, the bin is re-binned
+   (step 2 again on its range).
+
+Every task holds bounded state; the driver sees per-bin counts only.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .partitioning import reusable
 
-ACCURACY = 10_000
 # Inputs with at most this many rows (checked) use Spark's exact median in one
 # pass: its per-task state is bounded by the row count.
 SMALL_ROWS = 100_000
@@ -39,37 +40,119 @@ STAT_FUNCS = {
 
 
 def column_stats(df: DataFrame, cols: Sequence[str], stats: Sequence[str] = ("mean", "min", "max"),
-                 median: bool = True, accuracy: int = ACCURACY) -> list[dict]:
+                 median: bool = True) -> list[dict]:
     """Per column dict: name, count, total, requested stats and (exact)
     median. Only per-column scalars reach the driver."""
     cols = list(cols)
     if median and df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
         return _small_stats(df, cols, stats)
     with reusable(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])) as x:
-        return _column_stats(x, cols, stats, median, accuracy)
+        return _column_stats(x, cols, stats, median)
 
 
-def _column_stats(x: DataFrame, cols: list[str], stats: Sequence[str], median: bool, accuracy: int) -> list[dict]:
-    eps = 2.0 / accuracy
-    probs = [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)]
+def _column_stats(x: DataFrame, cols: list[str], stats: Sequence[str], median: bool) -> list[dict]:
     aggs = [F.count(F.lit(1)).alias("__total")]
     for i in range(len(cols)):
         c = F.col(f"c{i}")
-        aggs.append(F.count(c).alias(f"n{i}"))
+        aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"__lo{i}"), F.max(c).alias(f"__hi{i}")]
         aggs += [STAT_FUNCS[s](c).alias(f"{s}{i}") for s in stats]
-        if median:
-            aggs.append(F.percentile_approx(c, probs, accuracy).alias(f"q{i}"))
     r = x.agg(*aggs).first()
     out = []
     for i, name in enumerate(cols):
-        d = {"pos": i, "column": name, "count": r[f"n{i}"], "total": r["__total"]}
+        d = {"pos": i, "column": name, "count": r[f"n{i}"], "total": r["__total"], "median": None}
         d.update({s: r[f"{s}{i}"] for s in stats})
         out.append(d)
     if median:
-        _medians(x, out, [r[f"q{i}"] for i in range(len(cols))])
+        targets = []
+        for i, d in enumerate(out):
+            n = d["count"] or 0
+            if n == 0:
+                continue
+            for k in sorted({(n - 1) // 2, n // 2}):
+                targets.append({"col": i, "k": k, "lo": float(r[f"__lo{i}"]), "hi": float(r[f"__hi{i}"]), "below": 0})
+        values = _rank_values(x, targets)
+        for i, d in enumerate(out):
+            n = d["count"] or 0
+            if n:
+                a, b = values[(i, (n - 1) // 2)], values[(i, n // 2)]
+                d["median"] = a if a == b else (a + b) / 2.0
     return out
 
 
+BINS = 1024
+RANK_LIMIT = 2_000_000   # rows of one bin ranked in one window partition
+MAX_REFINE = 4
+
+
+def _rank_values(x: DataFrame, targets: list[dict]) -> dict:
+    """Value at 0-based rank ``k`` of each target column (ranks counted from
+    ``below`` rows under ``lo``), restricted to values in [lo, hi]."""
+    done: dict = {}
+    for step in range(MAX_REFINE + 1):
+        pending = [t for t in targets if (t["col"], t["k"]) not in done]
+        if not pending:
+            break
+        if step == MAX_REFINE:
+            _rank_in_range(x, pending, done)
+            break
+        hist = _histograms(x, pending)
+        refine, rank = [], []
+        for j, t in enumerate(pending):
+            cum = t["below"]
+            for b in sorted(hist.get(j, {})):
+                n, mn, mx = hist[j][b]
+                if cum + n > t["k"]:
+                    p = t["k"] - cum
+                    if mn == mx or p == 0:
+                        done[(t["col"], t["k"])] = mn
+                    elif p == n - 1:
+                        done[(t["col"], t["k"])] = mx
+                    else:
+                        nt = dict(t, lo=mn, hi=mx, below=cum, n=n)
+                        (rank if n <= RANK_LIMIT else refine).append(nt)
+                    break
+                cum += n
+        if rank:
+            _rank_in_range(x, rank, done)
+        targets = refine
+        if not refine:
+            break
+    return done
+
+
+def _histograms(x: DataFrame, ts: list[dict]) -> dict:
+    structs = []
+    for j, t in enumerate(ts):
+        v = F.col(f"c{t['col']}")
+        width = t["hi"] - t["lo"]
+        scale = BINS / width if width > 0 and width != float("inf") else 0.0
+        ok = v.between(F.lit(t["lo"]), F.lit(t["hi"]))
+        raw = F.floor((v - F.lit(t["lo"])) * F.lit(scale))
+        b = F.when(ok, F.least(F.greatest(raw, F.lit(0)), F.lit(BINS - 1)).cast("int"))
+        structs.append(F.struct(F.lit(j).alias("j"), b.alias("b"), v.alias("v"), ok.alias("ok")))
+    rows = (x.select(F.inline(F.filter(F.array(*structs), lambda s: s["ok"])))
+             .groupBy("j", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
+             .collect())
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r["j"], {})[r["b"]] = (r["n"], r["mn"], r["mx"])
+    return out
+
+
+def _rank_in_range(x: DataFrame, ts: list[dict], done: dict) -> None:
+    """Rank the rows of [lo, hi] for each target (one window partition each)."""
+    cand = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"c{t['col']}").alias("v"),
+                              F.col(f"c{t['col']}").between(F.lit(t["lo"]), F.lit(t["hi"])).alias("ok"))
+                     for j, t in enumerate(ts)])
+    inside = x.select(F.inline(F.filter(cand, lambda s: s["ok"]))).select("j", "v")
+    ranked = inside.withColumn("rn", F.row_number().over(Window.partitionBy("j").orderBy("v")))
+    cond = reduce(lambda a, b: a | b, [(F.col("j") == j) & (F.col("rn") == t["k"] - t["below"] + 1)
+                                        for j, t in enumerate(ts)])
+    for r in ranked.filter(cond).select("j", "v").collect():
+        t = ts[r["j"]]
+        done[(t["col"], t["k"])] = r["v"]
+
+
 def _small_stats(df: DataFrame, cols: list[str], stats: Sequence[str]) -> list[dict]:
     x = [F.col(c).cast("double") for c in cols]
     aggs = [F.count(F.lit(1)).alias("__total")]
@@ -82,36 +165,3 @@ def _small_stats(df: DataFrame, cols: list[str], stats: Sequence[str]) -> list[d
         d.update({s: r[f"{s}{i}"] for s in stats})
         out.append(d)
     return out
-
-
-def _medians(x: DataFrame, out: list[dict], brackets: list) -> None:
-    live = [i for i, d in enumerate(out) if d["count"] and brackets[i] is not None]
-    for d in out:
-        d["median"] = None
-    if not live:
-        return
-    lo = {i: float(brackets[i][0]) for i in live}
-    hi = {i: float(brackets[i][1]) for i in live}
-    # a bracket of one value holds both middle ranks: that value is the median
-    for i in [i for i in live if lo[i] == hi[i]]:
-        out[i]["median"] = lo[i]
-    live = [i for i in live if lo[i] != hi[i]]
-    if not live:
-        return
-    below = x.agg(*[F.count_if(F.col(f"c{i}") < F.lit(lo[i])).alias(f"b{i}") for i in live]).first()
-    want = {}
-    for i in live:
-        n, b = out[i]["count"], below[f"b{i}"]
-        k1, k2 = (n - 1) // 2, n // 2          # 0-based middle ranks
-        want[i] = (k1 - b + 1, k2 - b + 1)     # 1-based positions inside the bracket
-    # one scan: each row emits only its in-bracket values as (i, v)
-    cand = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("v"), F.lit(lo[i]).alias("lo"),
-                              F.lit(hi[i]).alias("hi")) for i in live])
-    inside = x.select(F.inline(F.filter(cand, lambda s: s["v"].between(s["lo"], s["hi"])))).select("i", "v")
-    pos = F.row_number().over(Window.partitionBy("i").orderBy("v"))
-    cond = reduce(lambda a, b: a | b, [(F.col("i") == i) & F.col("rn").isin(list(set(want[i]))) for i in live])
-    picked = inside.withColumn("rn", pos).filter(cond).select("i", "rn", "v").collect()
-    got = {(p["i"], p["rn"]): p["v"] for p in picked}
-    for i in live:
-        a, b = want[i]
-        out[i]["median"] = (got[(i, a)] + got[(i, b)]) / 2.0 if a != b else got[(i, a)]
