@@ -8,7 +8,9 @@ query only the candidates that can still be in the top k (every row tied
 with the k-th distance included, so tie-breaking by id stays exact), and
 emits those few rows. A final ``row_number() <= k`` per query over the
 candidates (tasks x queries x k rows) picks the answer. Corpus rows never
-move across the network; only candidates are shuffled.
+move across the network; only candidates are shuffled. A query set over the
+budget is split into hash batches that each fit it (one corpus scan per
+batch), so there is no cap on the number of queries.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import _c, truncate_text
 from .partitioning import spread
 
-MAX_QUERY_ROWS = 50_000          # per broadcast batch
+MAX_QUERY_ROWS = 50_000          # per broadcast batch; larger sets are split
 MAX_QUERY_BYTES = 256 << 20      # vectors as float64
 _BLOCK_ELEMS = 8_000_000         # queries x rows x dims per NumPy block
 
@@ -34,17 +36,35 @@ def sq_l2(a, b) -> Column:
                        F.lit(0.0), lambda acc, v: acc + v)
 
 
-def _collect_queries(queries: DataFrame, qid: str, vec: str) -> tuple[np.ndarray, list]:
-    rows = queries.select(qid, vec).limit(MAX_QUERY_ROWS + 1).collect()
-    if len(rows) > MAX_QUERY_ROWS:
-        raise ValueError(f"query batch has more than {MAX_QUERY_ROWS} rows; split it into batches")
+def _collect_queries(queries: DataFrame, qid: str, vec: str, max_rows: int) -> tuple[np.ndarray, list] | None:
+    """The query batch as a matrix, or None when it is over the row or byte
+    budget (the caller then splits it)."""
+    rows = queries.select(qid, vec).limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
     ids = [r[0] for r in rows]
     q = np.array([np.asarray(r[1], dtype="float64") for r in rows], dtype="float64")
     if q.nbytes > MAX_QUERY_BYTES:
-        raise ValueError("query vectors exceed the broadcast budget; split the batch")
+        return None
     return q, ids
 
 
+def _query_batches(queries: DataFrame, qid: str, vec: str, max_rows: int) -> list[DataFrame]:
+    """Split an over-budget query set into hash batches that each fit the
+    broadcast budget. Only per-batch counts reach the driver; a batch that
+    still comes out too large (hash imbalance) doubles the batch count."""
+    n = queries.count()
+    dims = queries.select(F.max(F.size(vec)).alias("d")).first()["d"] or 1
+    per = max(1, min(max_rows, MAX_QUERY_BYTES // (8 * dims)))
+    b = max(2, -(-2 * n // per))
+    while True:
+        keyed = queries.withColumn("__qb", F.pmod(F.xxhash64(F.col(qid)), F.lit(b)))
+        big = keyed.groupBy("__qb").count().agg(F.max("count").alias("m")).first()["m"]
+        if big is None or big <= per:
+            return [keyed.filter(F.col("__qb") == i).drop("__qb") for i in range(b)]
+        b *= 2
+
+
 def _partial_topk(bq, qids: list, k: int, id_col: str, vec_col: str, payload: Sequence[str] = ()):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = bq.value
@@ -89,20 +109,43 @@ def _partial_topk(bq, qids: list, k: int, id_col: str, vec_col: str, payload: Se
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query_id: str,
-            vec_col: str = "embedding", query_vec_col: str | None = None, payload: Sequence[str] = ()) -> DataFrame:
+            vec_col: str = "embedding", query_vec_col: str | None = None, payload: Sequence[str] = (),
+            max_query_rows: int = MAX_QUERY_ROWS) -> DataFrame:
     """For every query, the k nearest corpus rows by squared L2
     (ascending, ties by corpus id): (query_id, rank, corpus_id, dist,
     *payload). ``payload`` columns (e.g. the chunk text) travel with the few
     candidates, so no second pass over the corpus is needed to fetch them.
-    k is capped by the corpus size naturally (fewer rows, fewer ranks)."""
+    k is capped by the corpus size naturally (fewer rows, fewer ranks).
+    Query sets over ``max_query_rows`` (or the byte budget) are split into
+    hash batches, one corpus scan each; the answer stays exact."""
     spark = corpus.sparkSession
-    q, qids = _collect_queries(queries, query_id, query_vec_col or vec_col)
-    bq = spark.sparkContext.broadcast(q)
+    qvec = query_vec_col or vec_col
+    qsel = queries.select(query_id, qvec)
     qtype = queries.schema[query_id].dataType.simpleString()
     itype = corpus.schema[corpus_id].dataType.simpleString()
     pschema = "".join(f", `{c}` {corpus.schema[c].dataType.simpleString()}" for c in payload)
-    cand = spread(corpus.select(corpus_id, vec_col, *payload)).mapInPandas(
-        _partial_topk(bq, qids, k, corpus_id, vec_col, payload), f"qid {qtype}, id {itype}, dist double{pschema}")
+    body = spread(corpus.select(corpus_id, vec_col, *payload))
+
+    def candidates(batch) -> DataFrame:
+        q, qids = batch
+        bq = spark.sparkContext.broadcast(q)
+        return body.mapInPandas(_partial_topk(bq, qids, k, corpus_id, vec_col, payload),
+                                f"qid {qtype}, id {itype}, dist double{pschema}")
+
+    one = _collect_queries(qsel, query_id, qvec, max_query_rows)
+    if one is not None:
+        cand = candidates(one)
+    else:
+        # every query lies in exactly one batch, so the union of per-batch
+        # candidates holds each query's exact top k
+        parts = []
+        for part in _query_batches(qsel, query_id, qvec, max_query_rows):
+            got = _collect_queries(part, query_id, qvec, max_query_rows)
+            if got is not None and got[1]:
+                parts.append(candidates(got))
+        cand = parts[0]
+        for p_ in parts[1:]:
+            cand = cand.unionByName(p_)
     w = Window.partitionBy("qid").orderBy(F.col("dist"), F.col("id"))
     top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return top.select(F.col("qid").alias(query_id), "rank", F.col("id").alias(corpus_id), "dist", *payload)
