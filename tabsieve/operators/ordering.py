@@ -32,22 +32,45 @@ def page_after(df: DataFrame, key: str, last_key=None, limit: int = 100) -> Data
     return out.orderBy(key).limit(limit)
 
 
+def global_positions(df: DataFrame, order: Sequence[Column], name: str = "position",
+                     running: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """Exact 1..N position over a total order, plus running sums
+    (``running_<col>``), without moving the input into one task.
+
+    Rows are range-partitioned on the order (partition i holds the i-th key
+    range); one aggregate gives each partition's row count and column sums,
+    a prefix over those (one row per partition, so bounded by the partition
+    count and broadcast) gives each partition's offsets, and a window
+    partitioned by range numbers the rows locally. Both uses of the range
+    exchange are one exchange in the plan (reused), so the offsets always
+    belong to the same split of the rows."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
+    per = r.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"), *[F.sum(c).alias(f"__s{i}") for i, c in enumerate(running)])
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over <= n rows
+    offs = per.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"),
+                      *[F.coalesce(F.sum(f"__s{i}").over(before), F.lit(0)).alias(f"__o{i}") for i in range(len(running))])
+    local = Window.partitionBy("__p").orderBy(*order)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    out = r.join(F.broadcast(offs), "__p").withColumn(name, F.row_number().over(local) + F.col("__o"))
+    for i, c in enumerate(running):
+        out = out.withColumn(f"running_{c}", F.sum(c).over(upto) + F.col(f"__o{i}"))
+    return out.drop("__p", "__o", *[f"__o{i}" for i in range(len(running))])
+
+
 def rank_numbers(df: DataFrame, by: str, tie: Sequence[str] = (), desc: bool = True, name: str = "rank") -> DataFrame:
-    """1..N numbering of a small ranked table (leaderboards). A global
-    order is one task; use only on bounded inputs (trials, features)."""
+    """1..N numbering by ``by`` (desc by default), ties by ``tie``
+    (leaderboards); distributed, see ``global_positions``."""
     o = F.desc(by) if desc else F.asc(by)
-    return df.withColumn(name, F.row_number().over(Window.orderBy(o, *[F.asc(t) for t in tie])))
+    return global_positions(df, [o, *[F.asc(t) for t in tie]], name=name)
 
 
 def cumulative_share(df: DataFrame, value: str, tie: str, name: str = "cumulative") -> DataFrame:
     """Running sum of ``value`` in descending order (ties by ``tie``),
-    plus the running share of the total and the position. Bounded input
-    (one row per feature / category)."""
-    w = Window.orderBy(F.desc(value), F.asc(tie))
+    plus the running share of the total and the position."""
     total = df.agg(F.sum(value)).scalar()
-    return (df.withColumn("position", F.row_number().over(w))
-              .withColumn(name, F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("share", F.col(name) / total))
+    g = global_positions(df, [F.desc(value), F.asc(tie)], name="position", running=[value])
+    return g.withColumnRenamed(f"running_{value}", name).withColumn("share", F.col(name) / total)
 
 
 def first_reaching(cum: DataFrame, thresholds: Sequence[float], share_col: str = "share",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import stamp_of
@@ -60,5 +60,4 @@ def completeness(files: DataFrame, kinds: Sequence[str] = RUN_KINDS) -> DataFram
 def latest_complete_run(files: DataFrame, kinds: Sequence[str] = RUN_KINDS) -> DataFrame:
     """The newest complete run (by stamp)."""
     c = completeness(files, kinds).filter("complete")
-    w = Window.orderBy(F.desc("stamp"))
-    return c.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    return c.orderBy(F.desc("stamp")).limit(1)
