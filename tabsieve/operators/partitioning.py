@@ -37,7 +37,8 @@ def is_narrow(df: DataFrame) -> bool:
     parallelism x maxPartitionBytes by the plan estimate. (Asking the RDD
     for its partition count would execute the shuffle stages of an adaptive
     plan, so it is not used.)"""
-    if _already_spread(df):
+    if df.isStreaming or _already_spread(df):
+        # a stream has no size to check; micro-batches keep the source's splits
         return False
     conf = df.sparkSession.conf
     max_split = int(str(conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b") or 134217728)
