@@ -106,3 +106,18 @@ def test_streaming_corpus_append(spark, scratch, tables_small):
     q.awaitTermination(120)
     st = corpus_status(spark, out).first()
     assert n1 < st["n_documents"] == docs.count()
+
+
+def _hinted(df):
+    return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_bounded_broadcast_checks_rows_and_bytes(tables_small):
+    from tabsieve.operators.joins import bounded_broadcast
+
+    n = tables_small.nation
+    assert _hinted(bounded_broadcast(n))
+    assert not _hinted(bounded_broadcast(n, max_rows=10))
+    # 25 names of a few bytes each plus two ints: well over 100 bytes, under 10 kB
+    assert not _hinted(bounded_broadcast(n, max_bytes=100))
+    assert _hinted(bounded_broadcast(n, max_bytes=10_000))
