@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import round_half_up, truncate_text
 from ..functions.text import letter_counts
+from ..operators.partitioning import spread
 from ..operators import retrieve as R
 from ..sources.tables import Tables
 from . import corpus as K
@@ -31,7 +32,8 @@ def nearest_centroids(t: Tables) -> DataFrame:
 
 
 def labelled_documents(t: Tables) -> DataFrame:
-    d = t.documents.join(t.labels.select("doc_id", "quality"), "doc_id")
+    # the embedding is per-row CPU work over whole texts: spread narrow scans
+    d = spread(t.documents).join(t.labels.select("doc_id", "quality"), "doc_id")
     return d.select("doc_id", "quality", letter_counts("text").alias("embedding"))
 
 
