@@ -75,15 +75,18 @@ def classification_report(df: DataFrame, actual: str, predicted: str, digits: in
     return report_from_long(materialize_small(confusion_long(df, actual, predicted)), digits)
 
 
-MAX_CLASSES = 10_000
+LOCAL_PAIRS = 10_000   # label pairs held as a local frame; larger tables stay distributed
 
 
 def materialize_small(cl: DataFrame) -> DataFrame:
-    """Collect a table bounded by the class count (checked) into a local frame."""
-    rows = cl.limit(MAX_CLASSES * MAX_CLASSES // 100 + 1).collect()
-    if len(rows) > MAX_CLASSES * MAX_CLASSES // 100:
-        raise ValueError("too many label pairs for a confusion table")
-    return cl.sparkSession.createDataFrame(rows, cl.schema)
+    """Compute the confusion table once for its several readers. Up to
+    ``LOCAL_PAIRS`` rows (checked with a bounded collect) it becomes a local
+    frame; a larger one (many classes) is written once as a reliable
+    checkpoint under the shared checkpoint folder and read back."""
+    rows = cl.limit(LOCAL_PAIRS + 1).collect()
+    if len(rows) <= LOCAL_PAIRS:
+        return cl.sparkSession.createDataFrame(rows, cl.schema)
+    return cl.checkpoint(eager=True)
 
 
 def report_from_matrix(spark: SparkSession, matrix: Sequence[Sequence[int]], classes: Sequence[str],

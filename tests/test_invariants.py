@@ -103,3 +103,17 @@ def test_selection_rule_matches_pandas_rule(spark):
     drop = [c for c in upper.columns if any(upper[c] > 0.95)]
     assert got == {"a": None, "b": "correlated", "c": None, "d": "missing", "e": "zero_variance", "f": "correlated"}
     assert sorted(c for c, r in got.items() if r == "correlated") == sorted(drop)
+
+
+def test_report_with_many_classes_uses_distributed_table(tables_mid, monkeypatch):
+    from pyspark.sql import functions as F
+    from tabsieve.operators import evaluate as E
+
+    li = tables_mid.lineitem.select((F.col("l_orderkey") % 150).cast("string").alias("a"),
+                                    (F.col("l_partkey") % 150).cast("string").alias("p"))
+    assert E.confusion_long(li, "a", "p").count() > E.LOCAL_PAIRS
+    big = {r["label"]: tuple(r)[1:] for r in E.classification_report(li, "a", "p", digits=9).collect()}
+    monkeypatch.setattr(E, "LOCAL_PAIRS", 1_000_000)
+    local = {r["label"]: tuple(r)[1:] for r in E.classification_report(li, "a", "p", digits=9).collect()}
+    assert big == local and len(big) == 153
+    assert big["accuracy"][3] == li.count()
