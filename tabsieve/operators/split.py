@@ -4,10 +4,11 @@ Exact stratified ranks without a per-label window: a label that holds a
 third of all rows would otherwise be ranked in one task. Rows are ordered by
 ``h = md5(key || seed)``; the first hex digits of ``h`` give a bucket, so the
 order by ``h`` equals the order by (bucket, h). Per (label, bucket) counts
-are a small aggregate (labels x 4096 rows); their running sums give each
+are a small aggregate (labels x buckets rows); their running sums give each
 bucket's offset inside its label. A row's rank is its bucket offset plus
 its row number inside (label, bucket): the window is partitioned by
-(label, bucket), so a hot label is spread over up to 4096 tasks.
+(label, bucket), so a hot label is spread over many tasks. The bucket count
+(4096 and up) grows with the input size estimate.
 """
 
 from __future__ import annotations
@@ -17,8 +18,25 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .partitioning import estimated_bytes
 
-HASH_PREFIX_DIGITS = 3  # 16^3 = 4096 buckets per label
+HASH_PREFIX_DIGITS = 3            # at least 16^3 = 4096 buckets per label
+MAX_PREFIX_DIGITS = 7             # 16^7 buckets still fit an int
+BYTES_PER_BUCKET_SET = 64 << 30   # input bytes (plan estimate) per 4096-bucket level
+
+
+def prefix_digits(df: DataFrame) -> int:
+    """Hex digits of the bucket prefix: one more (16x the buckets) for every
+    16x of input above 64 GB by Catalyst's size estimate (planning only), so
+    a label holding a third of 100 TB is still ranked in small windows. The
+    ranks do not depend on it: the order by hash is the order by (prefix,
+    hash) for any prefix length."""
+    if df.isStreaming:
+        return HASH_PREFIX_DIGITS
+    est, d = estimated_bytes(df), HASH_PREFIX_DIGITS
+    while d < MAX_PREFIX_DIGITS and est > BYTES_PER_BUCKET_SET * 16 ** (d - HASH_PREFIX_DIGITS):
+        d += 1
+    return d
 
 
 def order_hash(keys: Sequence[str], seed: int) -> Column:
@@ -26,18 +44,21 @@ def order_hash(keys: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
 
 
-def stratified_rank(df: DataFrame, label: str, keys: Sequence[str], seed: int = 42) -> DataFrame:
+def stratified_rank(df: DataFrame, label: str, keys: Sequence[str], seed: int = 42,
+                    digits: int | None = None) -> DataFrame:
     """Adds ``rank`` (1-based, per label, by hash order) and ``n_label``."""
+    digits = digits or prefix_digits(df)
     d = df.withColumn("__h", order_hash(keys, seed)).withColumn(
-        "__b", F.conv(F.substring("__h", 1, HASH_PREFIX_DIGITS), 16, 10).cast("int"))
+        "__b", F.conv(F.substring("__h", 1, digits), 16, 10).cast("int"))
     counts = d.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.partitionBy(label).orderBy("__b")
     offsets = counts.select(
         label, "__b",
         (F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__cnt")).alias("__off"),
         F.sum("__cnt").over(Window.partitionBy(label)).alias("n_label"))
-    # offsets has at most (#labels x 4096) rows; AQE broadcasts it from its
-    # measured runtime size (no extra counting job)
+    # offsets has at most (#labels x buckets) rows; AQE broadcasts it from its
+    # measured runtime size (no extra counting job); when it is large the
+    # sort-merge join shares the (label, bucket) partitioning with the window
     d = d.join(offsets, [label, "__b"], "inner")
     wr = Window.partitionBy(label, "__b").orderBy("__h", *keys)
     return d.withColumn("rank", F.col("__off") + F.row_number().over(wr)).drop("__h", "__b", "__off")

@@ -117,3 +117,14 @@ def test_report_with_many_classes_uses_distributed_table(tables_mid, monkeypatch
     local = {r["label"]: tuple(r)[1:] for r in E.classification_report(li, "a", "p", digits=9).collect()}
     assert big == local and len(big) == 153
     assert big["accuracy"][3] == li.count()
+
+
+def test_split_ranks_do_not_depend_on_bucket_count(tables_small):
+    from tabsieve.operators import split as S
+
+    li = tables_small.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag")
+    a = S.stratified_rank(li, "l_returnflag", ["l_orderkey", "l_linenumber"], seed=3, digits=3)
+    b = S.stratified_rank(li, "l_returnflag", ["l_orderkey", "l_linenumber"], seed=3, digits=5)
+    key = ["l_orderkey", "l_linenumber", "l_returnflag", "rank", "n_label"]
+    assert sorted(map(tuple, a.select(*key).collect())) == sorted(map(tuple, b.select(*key).collect()))
+    assert S.prefix_digits(li) == S.HASH_PREFIX_DIGITS
