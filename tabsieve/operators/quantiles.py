@@ -5,16 +5,16 @@ Spark's exact ``median``/``percentile`` keeps a map of every distinct value
 per group; on a global aggregate all maps merge into ONE task, which does
 not survive a column with 10^11 distinct values. Here:
 
-1. one aggregate gives count / min / max and the requested moments;
-2. one aggregate builds an equal-width histogram per column (``BINS``
-   bins between min and max: count, smallest and largest value per bin;
-   at most columns x BINS rows). Bin order follows value order, so the
-   cumulative counts locate the bin holding each middle rank. A rank that
-   falls on a bin edge, or in a bin of one distinct value, is answered
-   directly;
-3. otherwise only the rows of that bin are ranked (one window partition
-   per target), or, when the bin is still large, the bin is re-binned
-   (step 2 again on its range).
+1. one scan gives the requested moments and a log-scale histogram per
+   column (``log_bin``: 64 bins per octave, bin order follows value order;
+   count, smallest and largest value per bin). The cumulative counts
+   locate the bin holding each middle rank; only those bins reach the
+   driver. A rank that falls on a bin edge, or in a bin of one distinct
+   value, is answered directly;
+2. otherwise only the rows of that bin are ranked (one window partition
+   per target), or, when the bin still holds more than ``RANK_LIMIT`` rows,
+   it is re-binned with ``BINS`` equal-width bins between its smallest and
+   largest value (repeated on the new bin) until it is small enough.
 
 Every task holds bounded state; the driver sees per-bin counts only.
 """
@@ -24,7 +24,8 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .partitioning import reusable
@@ -50,27 +51,93 @@ def column_stats(df: DataFrame, cols: Sequence[str], stats: Sequence[str] = ("me
         return _column_stats(x, cols, stats, median)
 
 
+SUB_BINS = 64          # log-scale bins per octave in the first pass
+_EXP_OFFSET = 1100     # > 1074, so every finite exponent gives a positive bin
+_TOP = 1 << 40         # bins of +-infinity; NaN (largest in Spark order) above
+
+
+def log_bin(v: Column) -> Column:
+    """Bin number that never decreases as the value grows: 0 for zero,
+    +-(octave x 64 + step) for non-zero values, then infinities and NaN.
+    ``floor(log2|v|)`` is non-decreasing (log is semi-monotonic, floor and
+    division by a constant are monotone) and, inside one octave, ``|v| /
+    2^e`` is an exact scaling, so larger values never land in lower bins
+    and every bin covers one interval of values. No min/max is needed, so
+    the histogram is built in the same pass as the moments."""
+    a = F.abs(v)
+    e = F.floor(F.log2(a))
+    frac = a / F.pow(F.lit(2.0), e)
+    m = F.least(F.greatest(F.floor((frac - F.lit(1.0)) * F.lit(float(SUB_BINS))), F.lit(0)), F.lit(SUB_BINS - 1))
+    k = (e + F.lit(_EXP_OFFSET)) * F.lit(SUB_BINS) + m + F.lit(1)
+    return (F.when(F.isnan(v), F.lit(_TOP + 1))
+             .when(a == F.lit(float("inf")), F.when(v > 0, F.lit(_TOP)).otherwise(F.lit(-_TOP)))
+             .when(v > 0, k).when(v < 0, -k).otherwise(F.lit(0))).cast("long")
+
+
 def _column_stats(x: DataFrame, cols: list[str], stats: Sequence[str], median: bool) -> list[dict]:
-    aggs = [F.count(F.lit(1)).alias("__total")]
-    for i in range(len(cols)):
-        c = F.col(f"c{i}")
-        aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"__lo{i}"), F.max(c).alias(f"__hi{i}")]
-        aggs += [STAT_FUNCS[s](c).alias(f"{s}{i}") for s in stats]
-    r = x.agg(*aggs).first()
+    """Pass 1 (one scan): per column the moments and, by grouping sets on
+    (column, bin) and (column), a log-scale histogram whose cumulative
+    counts (a window over the bins of one column, bounded by the bin count)
+    pick the bin of each middle rank; only those bins and the per-column
+    rows reach the driver. Pass 2 ranks inside the chosen bins, or refines
+    a still-crowded bin with equal-width histograms."""
+    structs = [F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("v"))]
+    structs += [F.struct(F.lit(i).alias("j"), (log_bin(F.col(f"c{i}")) if median else F.lit(0).cast("long")).alias("b"),
+                         F.col(f"c{i}").alias("v")) for i in range(len(cols))]
+    long = x.select(F.inline(F.filter(F.array(*structs), lambda r: r["v"].isNotNull())))
+    sets = [["j", "b"], ["j"]] if median else [["j"]]
+    # the aggregate (one row per column and bin) feeds three branches that
+    # keep different columns; cached, it is computed by one scan instead of
+    # one pruned copy per branch
+    g = long.groupingSets(sets, "j", "b").agg(
+        F.grouping_id().alias("gid"), F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),
+        *[STAT_FUNCS[s_]("v").alias(s_) for s_ in stats]).persist(StorageLevel.MEMORY_AND_DISK)
+    per_col = g.filter(F.col("gid") == 1).drop("b")
+    try:
+        got = per_col.collect()          # computes and caches the aggregate
+        if median:
+            # a column's count is the sum of its bins (no self-join); the
+            # window runs over bins, read back from the cache
+            w = Window.partitionBy("j").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+            bins = (g.filter(F.col("gid") == 0).select("j", "b", "n", "mn", "mx")
+                     .withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+                     .withColumn("__nj", F.sum("n").over(Window.partitionBy("j"))))
+            lo_k, hi_k = F.floor((F.col("__nj") - 1) / 2), F.floor(F.col("__nj") / 2)
+            holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+            got += bins.filter(holds(lo_k) | holds(hi_k)).drop("__nj").withColumn("gid", F.lit(0)).collect()
+    finally:
+        g.unpersist()
+    head = {r["j"]: r for r in got if r["gid"] == 1}
+    total = head[-1]["n"] if -1 in head else 0
     out = []
     for i, name in enumerate(cols):
-        d = {"pos": i, "column": name, "count": r[f"n{i}"], "total": r["__total"], "median": None}
-        d.update({s: r[f"{s}{i}"] for s in stats})
+        r = head.get(i)
+        d = {"pos": i, "column": name, "count": r["n"] if r else 0, "total": total, "median": None}
+        d.update({s_: (r[s_] if r else None) for s_ in stats})
         out.append(d)
     if median:
-        targets = []
+        chosen_bins: dict = {}
+        for r in got:
+            if r["gid"] == 0:
+                chosen_bins.setdefault(r["j"], []).append(r)
+        values: dict = {}
+        rank, refine = [], []
         for i, d in enumerate(out):
             n = d["count"] or 0
-            if n == 0:
-                continue
-            for k in sorted({(n - 1) // 2, n // 2}):
-                targets.append({"col": i, "k": k, "lo": float(r[f"__lo{i}"]), "hi": float(r[f"__hi{i}"]), "below": 0})
-        values = _rank_values(x, targets)
+            for k in sorted({(n - 1) // 2, n // 2}) if n else []:
+                b = next(b for b in chosen_bins[i] if b["before"] <= k < b["before"] + b["n"])
+                p_, mn, mx = k - b["before"], b["mn"], b["mx"]
+                if mn == mx or mn != mn or p_ == 0:
+                    values[(i, k)] = mn
+                elif p_ == b["n"] - 1:
+                    values[(i, k)] = mx
+                else:
+                    t = {"col": i, "k": k, "lo": float(mn), "hi": float(mx), "below": b["before"], "n": b["n"]}
+                    (rank if b["n"] <= RANK_LIMIT else refine).append(t)
+        if rank:
+            _rank_in_range(x, rank, values)
+        if refine:
+            values.update(_rank_values(x, refine))
         for i, d in enumerate(out):
             n = d["count"] or 0
             if n:

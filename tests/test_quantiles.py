@@ -6,9 +6,13 @@ import pandas as pd
 from tabsieve.operators import quantiles as Q
 
 
-def test_medians_match_numpy(spark, monkeypatch):
+import pytest
+
+
+@pytest.mark.parametrize("rank_limit", [50, Q.RANK_LIMIT])
+def test_medians_match_numpy(spark, monkeypatch, rank_limit):
     monkeypatch.setattr(Q, "SMALL_ROWS", 10)          # force the bounded path
-    monkeypatch.setattr(Q, "RANK_LIMIT", 50)          # force refinement rounds
+    monkeypatch.setattr(Q, "RANK_LIMIT", rank_limit)  # 50: force refinement rounds
     rng = np.random.default_rng(3)
     n = 20001
     cols = {
@@ -18,6 +22,10 @@ def test_medians_match_numpy(spark, monkeypatch):
         "even": np.concatenate([rng.normal(size=n - 1), [np.nan]]),  # even count after null
         "spike": np.where(rng.random(n) < 0.6, 5.0, rng.normal(size=n)),
         "allnull": np.full(n, np.nan),
+        "signed": np.where(rng.random(n) < 0.1, 0.0, rng.normal(scale=1e-3, size=n)),   # zeros, negatives
+        "edges": 2.0 ** rng.integers(-1074, 1023, size=n).astype(float) * rng.choice([-1, 1], size=n),
+        "tiny": rng.integers(1, 50, size=n) * 5e-324,                                   # subnormals
+        "infs": np.where(rng.random(n) < 0.3, np.inf, np.where(rng.random(n) < 0.5, -np.inf, rng.normal(size=n))),
     }
     pdf = pd.DataFrame(cols)
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"{c} double" for c in cols))
