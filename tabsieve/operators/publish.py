@@ -51,12 +51,19 @@ def upsert(target: DataFrame, updates: DataFrame, key: str, cols: Sequence[str],
 
 
 def match_counts(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """How many update rows match a target key and how many do not, in
-    one aggregate over the update set left-joined to the distinct keys."""
+    """How many update rows match a target key and how many do not.
+    Update rows are first counted per key (map-side partial counts, so a key
+    holding a third of the updates is one row per task), then the per-key
+    counts are left-joined to the distinct target keys; both sides are
+    hash-partitioned on the key by their aggregates, so the join adds no
+    shuffle."""
     keys = target.select(key).distinct().withColumn("__m", F.lit(1))
-    j = updates.select(key).join(keys, key, "left")
-    return j.agg(F.count(F.lit(1)).alias("n_updates"), F.count("__m").alias("matched"),
-                 F.count_if(F.col("__m").isNull()).alias("unmatched"))
+    per = updates.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    j = per.join(keys, key, "left")
+    zero = F.lit(0).cast("long")
+    return j.agg(F.coalesce(F.sum("__n"), zero).alias("n_updates"),
+                 F.coalesce(F.sum(F.when(F.col("__m").isNotNull(), F.col("__n"))), zero).alias("matched"),
+                 F.coalesce(F.sum(F.when(F.col("__m").isNull(), F.col("__n"))), zero).alias("unmatched"))
 
 
 def has_values(df: DataFrame, col: str) -> bool:
