@@ -62,3 +62,16 @@ def reusable(df: DataFrame):
             d.unpersist()
     else:
         yield df
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """A derived table read by several jobs (e.g. a join result feeding many
+    summaries): written once as Parquet in a fresh folder under the shared
+    ``spark.checkpoint.dir`` and read back, so the jobs scan (and prune)
+    the written columns instead of each re-running the joins. The files
+    survive executor loss (unlike a local checkpoint or a cache)."""
+    from ..session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
