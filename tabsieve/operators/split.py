@@ -48,7 +48,10 @@ def stratified_rank(df: DataFrame, label: str, keys: Sequence[str], seed: int =
                     digits: int | None = None) -> DataFrame:
     """Adds ``rank`` (1-based, per label, by hash order) and ``n_label``."""
     digits = digits or prefix_digits(df)
-    d = df.withColumn("__h", order_hash(keys, seed)).withColumn(
+    # rows without a label take no part (as an inner join would drop them);
+    # filtering here lets the offsets join be a left join, so no null check
+    # on the hash bucket is inferred (it would evaluate md5 a second time)
+    d = df.filter(F.col(label).isNotNull()).withColumn("__h", order_hash(keys, seed)).withColumn(
         "__b", F.conv(F.substring("__h", 1, digits), 16, 10).cast("int"))
     counts = d.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.partitionBy(label).orderBy("__b")
@@ -59,7 +62,7 @@ def stratified_rank(df: DataFrame, label: str, keys: Sequence[str], seed: int =
     # offsets has at most (#labels x buckets) rows; AQE broadcasts it from its
     # measured runtime size (no extra counting job); when it is large the
     # sort-merge join shares the (label, bucket) partitioning with the window
-    d = d.join(offsets, [label, "__b"], "inner")
+    d = d.join(offsets, [label, "__b"], "left")
     wr = Window.partitionBy(label, "__b").orderBy("__h", *keys)
     return d.withColumn("rank", F.col("__off") + F.row_number().over(wr)).drop("__h", "__b", "__off")
 
