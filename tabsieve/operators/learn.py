@@ -1,7 +1,8 @@
 """Preparation, training, search and scoring on ``pyspark.ml``.
 
-Statistics for the imputer/scaler come from one aggregate on the training
-rows (exact median, mean, population std) and are applied as plain column
+Statistics for the imputer/scaler come from the training rows in the exact
+median's passes (median, mean, population std of the observed values; the
+imputed column's moments follow arithmetically) and are applied as plain column
 expressions, so scoring stays inside whole-stage codegen. Models are
 ``pyspark.ml`` estimators; the driver only loops over models and folds,
 never over data.
@@ -52,14 +53,23 @@ class Preprocessor:
     @classmethod
     def fit(cls, train: DataFrame, features: Sequence[str], missing: str = "train_median") -> "Preprocessor":
         feats = list(features)
-        st = column_stats(train, feats, ())
-        medians = {d["column"]: (d["median"] if d["median"] is not None else 0.0) for d in st}
-        # mean / population std of the imputed column (what the scaler sees)
-        filled = [F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))) for c in feats]
-        mom = train.agg(*[F.mean(x).alias(f"m{i}") for i, x in enumerate(filled)],
-                        *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(filled)]).first()
-        means = {c: float(mom[f"m{i}"] or 0.0) for i, c in enumerate(feats)}
-        stds = {c: float(mom[f"s{i}"] or 0.0) for i, c in enumerate(feats)}
+        st = column_stats(train, feats, ("mean", "stddev_pop"))
+        medians, means, stds = {}, {}, {}
+        for d in st:
+            c, big_n, n = d["column"], d["total"] or 0, d["count"] or 0
+            f = float(d["median"]) if d["median"] is not None else 0.0
+            medians[c] = f
+            # mean / population std of the imputed column (what the scaler
+            # sees), from the observed moments: the N - n filled rows all
+            # equal f, so no second pass over the data is needed
+            if big_n == 0:
+                means[c], stds[c] = 0.0, 0.0
+                continue
+            m = float(d["mean"]) if n else 0.0
+            v = float(d["stddev_pop"]) ** 2 if n else 0.0
+            mu = (n * m + (big_n - n) * f) / big_n
+            var = (n * v + n * (m - mu) ** 2 + (big_n - n) * (f - mu) ** 2) / big_n
+            means[c], stds[c] = mu, var ** 0.5
         return cls(feats, medians, means, stds, missing)
 
     def columns(self, df: DataFrame) -> list[Column]:

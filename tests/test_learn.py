@@ -27,6 +27,24 @@ def test_preprocessor_standardises(frame):
     assert x.count() == frame.count()
 
 
+def test_imputed_moments_match_a_direct_pass(frame, monkeypatch):
+    from tabsieve.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "SMALL_ROWS", 10)   # the bounded median path too
+    # holes in some columns: the scaler's moments are those of the filled column
+    holed = frame.select("label", *[F.when(F.col("vec_id") % (i + 2) != 0, F.col(c)).alias(c)
+                                    for i, c in enumerate(FEATS)])
+    pre = L.Preprocessor.fit(holed, FEATS)
+    filled = [F.coalesce(F.col(c), F.lit(pre.medians[c])) for c in FEATS]
+    want = holed.agg(*[F.mean(x).alias(f"m{i}") for i, x in enumerate(filled)],
+                     *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(filled)]).first()
+    for i, c in enumerate(FEATS):
+        assert abs(pre.means[c] - want[f"m{i}"]) < 1e-9 * max(1.0, abs(want[f"m{i}"]))
+        assert abs(pre.stds[c] - want[f"s{i}"]) < 1e-9 * max(1.0, want[f"s{i}"])
+    stds = holed.select(*pre.columns(holed)).agg(*[F.stddev_pop(c).alias(c) for c in FEATS]).first()
+    assert all(abs(stds[c] - 1.0) < 1e-9 for c in FEATS)
+
+
 def test_ovr_probabilities_sum_to_one_and_record_path(spark, frame):
     s = with_weights(stratified_split(frame, "label", ["vec_id"]), "label")
     train = s.filter(F.col("split") == "train")
