@@ -7,8 +7,9 @@ variable; each task scans its share of the corpus once with NumPy, keeps per
 query only the candidates that can still be in the top k (every row tied
 with the k-th distance included, so tie-breaking by id stays exact), and
 emits those few rows. A final ``row_number() <= k`` per query over the
-candidates (tasks x queries x k rows) picks the answer. Corpus rows never
-move across the network; only candidates are shuffled. A query set over the
+candidates (tasks x queries x k rows; the scan is coalesced to a few tasks
+per core, so this does not grow with the corpus) picks the answer. Corpus
+rows never move across the network; only candidates are shuffled. A query set over the
 budget is split into hash batches that each fit it (one corpus scan per
 batch), so there is no cap on the number of queries.
 """
@@ -23,11 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import _c, truncate_text
-from .partitioning import spread
+from .partitioning import is_narrow, parallelism, spread
 
 MAX_QUERY_ROWS = 50_000          # per broadcast batch; larger sets are split
 MAX_QUERY_BYTES = 256 << 20      # vectors as float64
 _BLOCK_ELEMS = 8_000_000         # queries x rows x dims per NumPy block
+SCAN_TASKS_PER_CORE = 4          # corpus scan tasks per core (bounds candidates)
 
 
 def sq_l2(a, b) -> Column:
@@ -124,7 +126,12 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query
     qtype = queries.schema[query_id].dataType.simpleString()
     itype = corpus.schema[corpus_id].dataType.simpleString()
     pschema = "".join(f", `{c}` {corpus.schema[c].dataType.simpleString()}" for c in payload)
-    body = spread(corpus.select(corpus_id, vec_col, *payload))
+    body = corpus.select(corpus_id, vec_col, *payload)
+    # every scan task emits up to (batch x k) candidates, so the candidate
+    # volume is bounded by bounding the task count: a narrow input is spread
+    # over the cores; a large one is coalesced (no shuffle) to a few tasks
+    # per core, each reading several splits
+    body = spread(body) if is_narrow(body) else body.coalesce(SCAN_TASKS_PER_CORE * parallelism(body))
 
     def candidates(batch) -> DataFrame:
         q, qids = batch

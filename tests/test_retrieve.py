@@ -46,3 +46,12 @@ def test_query_batches_cover_each_query_once(tables_small):
     sizes = [p.count() for p in parts]
     assert sorted(ids) == sorted(r["qid"] for r in q.select("qid").collect())
     assert max(sizes) <= 40
+
+
+def test_nearest_on_the_large_input_path(tables_small, monkeypatch):
+    emb = tables_small.embeddings
+    queries = emb.select(F.col("vec_id").alias("qid"),
+                         F.transform("embedding", lambda x: x * F.lit(0.5)).alias("embedding"))
+    want = _brute(emb.toPandas(), queries.toPandas())
+    monkeypatch.setattr(R, "is_narrow", lambda df: False)   # coalesced scan instead of spread
+    assert _spark_hits(R.nearest(emb.repartition(16), queries, K, "vec_id", "qid")) == want
