@@ -54,24 +54,28 @@ def global_positions(df: DataFrame, order: Sequence[Column], name: str = "positi
     (``running_<col>``), without moving the input into one task.
 
     Rows are range-partitioned on the order (partition i holds the i-th key
-    range); one aggregate gives each partition's row count and column sums,
-    a prefix over those (one row per partition, so bounded by the partition
-    count and broadcast) gives each partition's offsets, and a window
-    partitioned by range numbers the rows locally. Both uses of the range
-    exchange are one exchange in the plan (reused), so the offsets always
-    belong to the same split of the rows."""
+    range) and sorted inside each range; each row gets its range number and
+    its index inside the range (the low bits of
+    ``monotonically_increasing_id``). A range exchange samples its bounds
+    anew on every execution, so these rows are written once as a reliable
+    checkpoint (shared checkpoint folder) and every later use reads the
+    same split. One aggregate gives each range's row count and column sums;
+    a prefix over them (one row per range, broadcast) gives the offsets:
+    position = offset + index + 1; running sums add a window partitioned by
+    range and ordered by the index."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
+    r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+           .withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}))
+    r = r.withColumn("__i", F.col("__i") - F.shiftleft(F.col("__p").cast("long"), 33)).checkpoint(eager=True)
     per = r.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"), *[F.sum(c).alias(f"__s{i}") for i, c in enumerate(running)])
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over <= n rows
     offs = per.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"),
                       *[F.coalesce(F.sum(f"__s{i}").over(before), F.lit(0)).alias(f"__o{i}") for i in range(len(running))])
-    local = Window.partitionBy("__p").orderBy(*order)
-    upto = local.rowsBetween(Window.unboundedPreceding, 0)
-    out = r.join(F.broadcast(offs), "__p").withColumn(name, F.row_number().over(local) + F.col("__o"))
+    out = r.join(F.broadcast(offs), "__p").withColumn(name, F.col("__i") + F.lit(1) + F.col("__o"))
+    upto = Window.partitionBy("__p").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
     for i, c in enumerate(running):
         out = out.withColumn(f"running_{c}", F.sum(c).over(upto) + F.col(f"__o{i}"))
-    return out.drop("__p", "__o", *[f"__o{i}" for i in range(len(running))])
+    return out.drop("__p", "__i", "__o", *[f"__o{i}" for i in range(len(running))])
 
 
 def rank_numbers(df: DataFrame, by: str, tie: Sequence[str] = (), desc: bool = True, name: str = "rank") -> DataFrame:

@@ -38,3 +38,30 @@ def test_deep_page_equals_shallow_page(tables_mid, monkeypatch):
     assert deep == shallow and len(deep) == 300
     tail = O.page(li, order, skip=59_990)
     assert tail.count() == li.count() - 59_990
+
+
+def test_global_positions_without_running_sums(tables_mid):
+    keys = ["l_quantity", "l_orderkey", "l_linenumber"]
+    li = tables_mid.lineitem.select(*keys, "l_partkey")
+    got = O.global_positions(li, [F.desc("l_quantity"), F.asc("l_orderkey"), F.asc("l_linenumber")],
+                             partitions=11).toPandas().sort_values("position").reset_index(drop=True)
+    want = li.toPandas().sort_values(keys, ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    assert list(got["position"]) == list(range(1, len(want) + 1))
+    assert (got[keys].to_numpy() == want[keys].to_numpy()).all()
+
+
+def test_running_sums_with_payload_columns(tables_mid, spark):
+    # extra columns the counting branch does not need: the split of rows must
+    # still be the one the numbering uses (it is written once)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        keys = ["l_extendedprice", "l_orderkey", "l_linenumber"]
+        li = tables_mid.lineitem.select(*keys, "l_partkey", "l_quantity")
+        got = O.global_positions(li, [F.asc(k) for k in keys], running=["l_quantity"], partitions=7).toPandas()
+        got = got.sort_values("position").reset_index(drop=True)
+        want = li.toPandas().sort_values(keys, kind="stable").reset_index(drop=True)
+        assert list(got["position"]) == list(range(1, len(want) + 1))
+        assert (got[keys].to_numpy() == want[keys].to_numpy()).all()
+        assert np.allclose(got["running_l_quantity"], got["l_quantity"].cumsum())
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
