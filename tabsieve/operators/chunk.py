@@ -54,14 +54,15 @@ def chunk_spans(text: str, size: int = 1000, overlap: int = 200, drop_suffix_tai
     return spans
 
 
-def _chunker(id_cols: Sequence[str], text_col: str, size: int, overlap: int, drop_suffix_tail: bool):
+def _chunker(id_cols: Sequence[str], text_col: str, size: int, overlap: int, drop_suffix_tail: bool,
+             min_chars: int = 0):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = {c: [] for c in id_cols}
             cols = {"chunk_index": [], "n_chunks": [], "start": [], "end": [], "text": []}
             ids = [pdf[c].tolist() for c in id_cols]
             for r, text in enumerate(pdf[text_col].tolist()):
-                if text is None:
+                if text is None or (min_chars and len(text.strip()) < min_chars):
                     continue
                 spans = chunk_spans(text, size, overlap, drop_suffix_tail)
                 whole = len(text) <= size  # returned as is, not stripped
@@ -79,14 +80,21 @@ def _chunker(id_cols: Sequence[str], text_col: str, size: int, overlap: int, dro
 
 
 def chunk_documents(df: DataFrame, id_cols: Sequence[str], text_col: str = "text", size: int = 1000,
-                    overlap: int = 200, drop_suffix_tail: bool = False) -> DataFrame:
+                    overlap: int = 200, drop_suffix_tail: bool = False, min_chars: int = 0) -> DataFrame:
     """One row per chunk: id columns + (chunk_index, n_chunks, start, end,
-    text). Only the id and text columns travel to Python."""
+    text). Only the id and text columns travel to Python.
+
+    ``min_chars`` (F11 inside the chunker): texts whose stripped length is
+    below it give no chunks. A filter on a derived text column would be
+    pushed below the repartition and the scan, evaluating the whole text
+    derivation twice (once in the scan task); checked here, the text is
+    derived once, in parallel. Python's ``str.strip`` uses the same
+    whitespace set as ``text.py_strip``."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than chunk size")
     id_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*id_cols).schema.fields)
     return spread(df.select(*id_cols, text_col)).mapInPandas(
-        _chunker(list(id_cols), text_col, size, overlap, drop_suffix_tail), f"{id_schema}, {CHUNK_SCHEMA}")
+        _chunker(list(id_cols), text_col, size, overlap, drop_suffix_tail, min_chars), f"{id_schema}, {CHUNK_SCHEMA}")
 
 
 def with_chunk_metadata(chunks: DataFrame, type_value, filename, extra: dict | None = None,

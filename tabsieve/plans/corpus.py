@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_text, html_to_text
 from ..operators.aggregates import first_per_key
 from ..operators.chunk import chunk_documents
-from ..operators.filters import min_content
 from ..operators.partitioning import spread
 from ..sources.tables import Tables
 
@@ -64,9 +63,10 @@ def page_text(t: Tables) -> DataFrame:
 
 
 def page_ingest(t: Tables) -> DataFrame:
-    """T4: extract -> minimum-content check (F11) -> clean -> chunk -> metadata."""
-    kept, _ = min_content(page_text(t), "text", 100)
-    ch = chunk_documents(kept, ["page_id", "url"], "text", 1000, 200)
+    """T4: extract -> clean -> minimum-content check (F11, applied by the
+    chunker so the extraction runs once) -> chunk -> metadata. The rejected
+    pages are ``filters.min_content(page_text(t), "text", 100)[1]``."""
+    ch = chunk_documents(page_text(t), ["page_id", "url"], "text", 1000, 200, min_chars=100)
     return ch.select("page_id", F.lit("page").alias("type"), F.col("url").alias("filename"),
                      "chunk_index", "n_chunks", "start", "end", "text")
 

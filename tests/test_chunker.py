@@ -68,3 +68,18 @@ def test_drop_suffix_tail():
     drop = chunk_spans(text, drop_suffix_tail=True)
     assert len(drop) <= len(keep)
     assert drop[-1][1] >= len(text)
+
+
+def test_min_chars_in_chunker_equals_min_content_filter(tables_mid):
+    from tabsieve.operators.chunk import chunk_documents
+    from tabsieve.operators.filters import min_content
+    from tabsieve.plans.corpus import page_text
+
+    pt = page_text(tables_mid)
+    lengths = sorted(len(r["text"].strip()) for r in pt.select("text").collect() if r["text"] is not None)
+    for threshold in (100, lengths[len(lengths) // 2]):
+        kept, rejected = min_content(pt, "text", threshold)
+        a = chunk_documents(kept, ["page_id"], "text", 1000, 200)
+        b = chunk_documents(pt, ["page_id"], "text", 1000, 200, min_chars=threshold)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert rejected.count() > 0 and kept.count() > 0
