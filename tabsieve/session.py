@@ -36,6 +36,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -64,3 +65,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tabsieve`` importable in the Python workers (the functions run
+    by ``mapInPandas`` refer to module-level helpers). This is what
+    ``--py-files`` does at submit time: the package is zipped on the driver
+    and registered once per application with ``addPyFile``; Spark copies it
+    to every executor, including ones that join later. Skipped when the
+    package is not a plain folder (already installed as a wheel/zip)."""
+    import io
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = Path(__file__).resolve().parent
+    if not (pkg / "__init__.py").exists():
+        return
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(pkg.rglob("*.py")):
+            z.write(f, f.relative_to(pkg.parent).as_posix())
+    # the archive is code for the driver to hand to Spark, not job data
+    out_dir = Path(tempfile.mkdtemp(prefix="tabsieve-pyfiles-"))
+    target = out_dir / "tabsieve.zip"
+    target.write_bytes(buf.getvalue())
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)
