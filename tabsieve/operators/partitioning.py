@@ -32,9 +32,16 @@ def _already_spread(df: DataFrame) -> bool:
     return p.nodeName() in ("Repartition", "RepartitionByExpression")
 
 
+# Above this size an input is never reshuffled just to add tasks: it already
+# spans dozens of splits, and a shuffle of it would cost more than it gains.
+SPREAD_MAX_BYTES = 8 << 30
+
+
 def is_narrow(df: DataFrame) -> bool:
     """Small enough to fit in fewer splits than cores, i.e. below
-    parallelism x maxPartitionBytes by the plan estimate. (Asking the RDD
+    parallelism x maxPartitionBytes by the plan estimate, and small in
+    absolute terms (``SPREAD_MAX_BYTES``), so a 1000-executor cluster does
+    not reshuffle a 500 GB table to double its task count. (Asking the RDD
     for its partition count would execute the shuffle stages of an adaptive
     plan, so it is not used.)"""
     if df.isStreaming or _already_spread(df):
@@ -42,7 +49,7 @@ def is_narrow(df: DataFrame) -> bool:
         return False
     conf = df.sparkSession.conf
     max_split = int(str(conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b") or 134217728)
-    return estimated_bytes(df) < parallelism(df) * max_split
+    return estimated_bytes(df) < min(parallelism(df) * max_split, SPREAD_MAX_BYTES)
 
 
 def spread(df: DataFrame) -> DataFrame:
