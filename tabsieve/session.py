@@ -71,18 +71,19 @@ _SHIPPED: set = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``tabsieve`` importable in the Python workers (the functions run
-    by ``mapInPandas`` refer to module-level helpers). This is what
-    ``--py-files`` does at submit time: the package is zipped on the driver
-    and registered once per application with ``addPyFile``; Spark copies it
-    to every executor, including ones that join later. Skipped when the
-    package is not a plain folder (already installed as a wheel/zip)."""
+    """Make ``tabsieve`` importable in the Python workers of a local session
+    (the functions run by ``mapInPandas`` refer to module-level helpers),
+    whatever the working directory: the package is zipped and registered
+    once per application with ``addPyFile``, as ``--py-files`` would. On a
+    cluster the package is deployed with the job (``--py-files`` or an
+    installed wheel), so nothing is written here. Skipped when the package
+    is not a plain folder (already installed as a wheel/zip)."""
     import io
     import zipfile
     from pathlib import Path
 
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED or not sc.master.startswith("local"):
         return
     pkg = Path(__file__).resolve().parent
     if not (pkg / "__init__.py").exists():
@@ -91,7 +92,6 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(pkg.rglob("*.py")):
             z.write(f, f.relative_to(pkg.parent).as_posix())
-    # the archive is code for the driver to hand to Spark, not job data
     out_dir = Path(tempfile.mkdtemp(prefix="tabsieve-pyfiles-"))
     target = out_dir / "tabsieve.zip"
     target.write_bytes(buf.getvalue())
