@@ -148,7 +148,9 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query
         parts = []
         for part in _query_batches(qsel, query_id, qvec, max_query_rows):
             got = _collect_queries(part, query_id, qvec, max_query_rows)
-            if got is not None and got[1]:
+            if got is None:   # batches are sized by rows and bytes: never drop queries
+                raise RuntimeError("a query batch exceeds the broadcast budget after splitting")
+            if got[1]:
                 parts.append(candidates(got))
         cand = parts[0]
         for p_ in parts[1:]:
