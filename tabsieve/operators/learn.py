@@ -22,7 +22,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,6 +218,67 @@ def predict(model: PipelineModel, pre: Preprocessor, df: DataFrame, labels: Sequ
     return out.select(*cols, F.lit(source).alias("source"))
 
 
+class BoostedOvR:
+    """M7 model: one binary boosted-tree model per class (one-vs-rest).
+    ``transform`` adds ``rawPrediction`` (vector of per-class margins) and
+    ``prediction`` (index of the largest margin, first on ties), the columns
+    ``predict`` turns into labels and normalised sigmoid probabilities.
+    ``stages[-1].models`` gives the per-class models (importances, summary)."""
+
+    def __init__(self, indexer, models: list):
+        self.models = models
+        self.stages = [indexer, self]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.stages[0].transform(df) if self.stages[0].getInputCol() in df.columns else df
+        margins = []
+        for i, m in enumerate(self.models):
+            mi = m.copy()
+            mi.setRawPredictionCol(f"__raw{i}").setPredictionCol(f"__pred{i}").setProbabilityCol(f"__prob{i}")
+            out = mi.transform(out)
+            margins.append(vector_to_array(f"__raw{i}")[1])
+        raw = F.array(*margins)
+        tmp = [f"__{k}{i}" for i in range(len(self.models)) for k in ("raw", "pred", "prob")]
+        return (out.withColumn("rawPrediction", array_to_vector(raw))
+                   .withColumn("prediction", (F.array_position(raw, F.array_max(raw)) - 1).cast("double"))
+                   .drop(*tmp))
+
+
+def fit_boosted(train: DataFrame, pre: Preprocessor, label: str, params: dict, weight: str | None = "weight",
+                validation_col: str | None = None, tol: float = 0.01, seed: int = 42):
+    """M7: multi-class boosted trees as one binary GBT per class with class
+    weights; with ``validation_col`` (true on validation rows, e.g. the
+    split's 'val' part) each GBT stops early when the validation loss stops
+    improving by ``tol`` (``validationIndicatorCol`` / ``validationTol``).
+    Returns (model, labels, loss history): the history has one row per
+    class and iteration with the training and validation log-loss
+    (``evaluateEachIteration``; one aggregate per class, not per tree)."""
+    keep = [label] + ([weight] if weight else []) + ([validation_col] if validation_col else [])
+    x = pre.transform(train, keep=keep)
+    idx = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc").fit(x)
+    x = idx.transform(x)
+    p = dict(params)
+    models, history = [], []
+    for i, lab in enumerate(idx.labels):
+        xi = x.withColumn("__y", (F.col("label_idx") == i).cast("double"))
+        gbt = GBTClassifier(featuresCol="features", labelCol="__y", maxDepth=int(p.get("max_depth", 3)),
+                            maxIter=int(p.get("n_estimators", 10)), stepSize=float(p.get("learning_rate", 0.1)),
+                            subsamplingRate=float(p.get("subsample", 1.0)), seed=seed,
+                            minInstancesPerNode=max(1, int(float(p.get("min_child_weight", 1)))),
+                            minInfoGain=float(p.get("gamma", 0.0)), **({"weightCol": weight} if weight else {}),
+                            **({"validationIndicatorCol": validation_col, "validationTol": float(tol)}
+                               if validation_col else {}))
+        m = gbt.fit(xi)
+        models.append(m)
+        tr = xi.filter(~F.col(validation_col)) if validation_col else xi
+        tr_loss = m.evaluateEachIteration(tr)
+        va_loss = m.evaluateEachIteration(xi.filter(F.col(validation_col))) if validation_col else [None] * len(tr_loss)
+        history += [(lab, it + 1, float(a), None if b is None else float(b)) for it, (a, b) in enumerate(zip(tr_loss, va_loss))]
+    spark = train.sparkSession
+    hist = spark.createDataFrame(history, "label string, iteration int, train_loss double, val_loss double")
+    return BoostedOvR(idx, models), list(idx.labels), hist
+
+
 def fallback_predictions(df: DataFrame, actual: str, keep: Sequence[str]) -> DataFrame:
     """Without a model, the recorded label stands in (source = dataset)."""
     return df.select(*[F.col(k) for k in keep], F.col(actual).alias("predicted"),

@@ -124,3 +124,16 @@ def split_usage(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "forest")
     model.stages[-1].write().overwrite().save(path)
     return TR.split_counts(TR.node_table(t.spark, path), FEATURES, top=10)
+
+
+def boosted_history(t: Tables) -> DataFrame:
+    """M7: one-vs-rest boosted trees with class weights, early stopping on
+    the split's validation rows, and the per-class loss history (training
+    and validation log-loss per iteration)."""
+    d = split_table(t)
+    fit_rows = d.filter(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
+    pre = L.Preprocessor.fit(fit_rows.filter(~F.col("is_val")), FEATURES)
+    _, _, hist = L.fit_boosted(fit_rows, pre, "label", {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.3},
+                               validation_col="is_val", tol=0.01)
+    return hist.select("label", "iteration", F.round("train_loss", 6).alias("train_loss"),
+                       F.round("val_loss", 6).alias("val_loss"))

@@ -652,3 +652,4 @@ register("batch_scores")(MD.batch_scores)
 register("feature_importance")(MD.feature_importance)
 register("tree_metrics")(MD.tree_metrics)
 register("split_usage")(MD.split_usage)
+register("boosted_history")(MD.boosted_history)

@@ -77,3 +77,23 @@ def test_search_captures_failures(spark, frame):
                                                    FEATS, "label", trials, parallelism=2).collect()}
     assert res[0]["success"] and res[0]["score"] is not None
     assert not res[1]["success"] and "unknown family" in res[1]["error"]
+
+
+def test_boosted_ovr_early_stopping_history_and_scoring(frame):
+    s = with_weights(stratified_split(frame, "label", ["vec_id"]), "label")
+    fit_rows = s.filter(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
+    pre = L.Preprocessor.fit(fit_rows.filter(~F.col("is_val")), FEATS)
+    model, labels, hist = L.fit_boosted(fit_rows, pre, "label", {"n_estimators": 8, "max_depth": 2},
+                                        validation_col="is_val", tol=0.01)
+    h = hist.toPandas()
+    assert set(h["label"]) == set(labels) and h["val_loss"].notna().all()
+    # every class model has as many iterations as trees, at most the requested 8
+    for lab, g in h.groupby("label"):
+        assert list(g["iteration"]) == list(range(1, len(g) + 1)) and len(g) <= 8
+    assert len(model.models) == len(labels)
+    pred = L.predict(model, pre, s.filter(F.col("split") == "test"), labels, keep=["vec_id", "label"]).toPandas()
+    probs = pred[[f"prob_{lab}" for lab in labels]].sum(axis=1)
+    assert (abs(probs - 1.0) < 1e-9).all() and set(pred["predicted"]) <= set(labels)
+    assert (pred["confidence"] == pred[[f"prob_{lab}" for lab in labels]].max(axis=1)).all()
+    imp = L.feature_importances(frame.sparkSession, model, FEATS).toPandas()
+    assert len(imp) == len(FEATS)
