@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 
 LEARNING = {"train_evaluate", "confusion_test", "cv_scores", "model_search", "family_leaderboard",
-            "batch_scores", "feature_importance", "tree_metrics", "split_usage"}
+            "batch_scores", "feature_importance", "tree_metrics", "split_usage", "boosted_history"}
 
 
 def _nodes(plan):
