@@ -75,6 +75,8 @@ def global_positions(df: DataFrame, order: Sequence[Column], name: str = "positi
     upto = Window.partitionBy("__p").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
     for i, c in enumerate(running):
         out = out.withColumn(f"running_{c}", F.sum(c).over(upto) + F.col(f"__o{i}"))
+        # the column total from the per-range sums (one row per range)
+        out = out.withColumn(f"total_{c}", F.lit(per.agg(F.sum(f"__s{i}")).scalar()))
     return out.drop("__p", "__i", "__o", *[f"__o{i}" for i in range(len(running))])
 
 
@@ -88,9 +90,9 @@ def rank_numbers(df: DataFrame, by: str, tie: Sequence[str] = (), desc: bool = T
 def cumulative_share(df: DataFrame, value: str, tie: str, name: str = "cumulative") -> DataFrame:
     """Running sum of ``value`` in descending order (ties by ``tie``),
     plus the running share of the total and the position."""
-    total = df.agg(F.sum(value)).scalar()
     g = global_positions(df, [F.desc(value), F.asc(tie)], name="position", running=[value])
-    return g.withColumnRenamed(f"running_{value}", name).withColumn("share", F.col(name) / total)
+    return (g.withColumnRenamed(f"running_{value}", name)
+             .withColumn("share", F.col(name) / F.col(f"total_{value}")).drop(f"total_{value}"))
 
 
 def first_reaching(cum: DataFrame, thresholds: Sequence[float], share_col: str = "share",
