@@ -164,8 +164,10 @@ def knn_vote(neighbours: DataFrame, labels: DataFrame, query_id: str, corpus_id:
              weights: str = "uniform") -> DataFrame:
     """Label by neighbour vote. ``uniform`` counts votes, ``distance``
     weights by 1/dist (an exact match takes the vote alone). Ties go to the
-    smallest label. Both inputs are small per query (k rows)."""
-    j = neighbours.join(labels.select(corpus_id, label), corpus_id)
+    smallest label. When the label already travels with the neighbours
+    (``nearest(..., payload=[label])``) no join is needed; otherwise it is
+    joined by corpus id (k rows per query)."""
+    j = neighbours if label in neighbours.columns else neighbours.join(labels.select(corpus_id, label), corpus_id)
     if weights == "distance":
         has0 = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy(query_id))
         w = F.when(has0 == 1, F.when(F.col("dist") == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(F.lit(1.0) / F.col("dist"))

@@ -43,7 +43,8 @@ def benchmark_queries(t: Tables) -> DataFrame:
 
 def knn_quality(t: Tables) -> DataFrame:
     docs = labelled_documents(t)
-    hits = R.nearest(docs, benchmark_queries(t), TOP_K, "doc_id", "item_id")
+    # the label travels with the candidates: no join back to the documents
+    hits = R.nearest(docs, benchmark_queries(t), TOP_K, "doc_id", "item_id", payload=["quality"])
     v = R.knn_vote(hits, docs, "item_id", "doc_id", "quality", weights="uniform")
     return v.select("item_id", "predicted", "votes")
 
