@@ -70,12 +70,14 @@ def conditional_counts(df: DataFrame, conds: dict[str, Column], total: str | Non
 # ---------------------------------------------------------------- A3/A4
 def value_counts(df: DataFrame, col: str, normalize: bool = False, count_col: str = "count") -> DataFrame:
     """A3 (A4 with ``normalize``): counts per non-null value, ordered by count
-    desc then value. The share divides by a scalar subquery (one partial
-    count per task), never by a single-partition window."""
+    desc then value. The share divides by a scalar subquery over the
+    grouped counts, never by a single-partition window."""
     nn = df.filter(F.col(col).isNotNull())
     vc = nn.groupBy(col).agg(F.count(F.lit(1)).alias(count_col))
     if normalize:
-        total = nn.agg(F.count(F.lit(1))).scalar()
+        # the total is the sum of the group counts: the subquery shares the
+        # grouped aggregate's exchange instead of scanning the input again
+        total = vc.agg(F.sum(count_col)).scalar()
         vc = vc.withColumn("percent", round_half_up(F.col(count_col) * 100.0 / total, 6))
     return vc.orderBy(F.desc(count_col), F.col(col))
 
@@ -171,8 +173,8 @@ def width_histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     """Equal-width histogram over [min, max]; the max value falls into the
     last bin. min and max are scalar subqueries (partial min/max per task)."""
     x = F.col(col).cast("double")
-    lo = df.agg(F.min(x)).scalar()
-    hi = df.agg(F.max(x)).scalar()
+    mm = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))   # one aggregate, shared by both subqueries
+    lo, hi = mm.select("lo").scalar(), mm.select("hi").scalar()
     v = df.select(x.alias("__v")).filter(F.col("__v").isNotNull())
     b = F.when(hi == lo, F.lit(1)).otherwise(
         F.least(F.floor((F.col("__v") - lo) * F.lit(float(bins)) / (hi - lo)).cast("int") + 1, F.lit(bins)))
