@@ -116,10 +116,15 @@ def column_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A11/A12
-def repeated_groups(df: DataFrame, key: str, top: int | None = 10) -> DataFrame:
+def repeated_groups(df: DataFrame, key: str, top: int | None = 10, member: str | None = None) -> DataFrame:
     """Groups of size > 1 (null keys dropped) ordered by size desc,
-    key asc; ``n_groups`` = number of such groups before the top-N cut."""
-    g = (df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+    key asc; ``n_groups`` = number of such groups before the top-N cut.
+    ``member`` (quirk 23): size = distinct non-null members instead of rows,
+    so rows repeated by a one-to-many join are not counted twice (Spark
+    plans it as a two-level aggregate: (key, member) first, so a hot group
+    is still pre-combined map-side)."""
+    size = F.count_distinct(F.col(member)) if member else F.count(F.lit(1))
+    g = (df.filter(F.col(key).isNotNull()).groupBy(key).agg(size.alias("size"))
          .filter(F.col("size") > 1))
     g = g.withColumn("n_groups", g.agg(F.count(F.lit(1))).scalar())
     g = g.orderBy(F.desc("size"), F.col(key))

@@ -70,9 +70,10 @@ def parameter_docs(cat: DataFrame, described: Sequence[tuple[str, str]]) -> Data
                     F.col("column").alias("category"), text.alias("text"))
 
 
-def groups_doc(cat: DataFrame, key: str) -> DataFrame:
-    """Groups with more than one member: count and the top 10 by size."""
-    g = A.repeated_groups(cat, key, top=None)
+def groups_doc(cat: DataFrame, key: str, member: str | None = None) -> DataFrame:
+    """Groups with more than one member: count and the top 10 by size
+    (``member``: count distinct member keys, quirk 23)."""
+    g = A.repeated_groups(cat, key, top=None, member=member)
     top = g.orderBy(F.desc("size"), F.col(key)).limit(10)
     lines = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), F.col(key).cast("string").alias("k"))))
                     .alias("items"))

@@ -128,3 +128,17 @@ def test_split_ranks_do_not_depend_on_bucket_count(tables_small):
     key = ["l_orderkey", "l_linenumber", "l_returnflag", "rank", "n_label"]
     assert sorted(map(tuple, a.select(*key).collect())) == sorted(map(tuple, b.select(*key).collect()))
     assert S.prefix_digits(li) == S.HASH_PREFIX_DIGITS
+
+
+def test_repeated_groups_by_distinct_member(tables_small):
+    from pyspark.sql import functions as F
+    from tabsieve.operators.aggregates import repeated_groups
+
+    o = tables_small.orders.select("o_custkey", "o_orderkey")
+    doubled = o.unionByName(o)                      # every order twice, as a fan-out join would
+    plain = {r["o_custkey"]: r["size"] for r in repeated_groups(o, "o_custkey", top=None).collect()}
+    by_member = {r["o_custkey"]: r["size"] for r in
+                 repeated_groups(doubled, "o_custkey", top=None, member="o_orderkey").collect()}
+    assert by_member == plain
+    rows = {r["o_custkey"]: r["size"] for r in repeated_groups(doubled, "o_custkey", top=None).collect()}
+    assert all(rows[k] == 2 * v for k, v in plain.items())
