@@ -103,6 +103,14 @@ def group_split(df: DataFrame, group: str, test: float = 0.2, val: float = 0.1,
     return df.withColumn(col, F.when(u < test, "test").when(u < test + val, "val").otherwise("train"))
 
 
+def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42, col: str = "fold") -> DataFrame:
+    """Quirk 12 for M5: every row of a group (one object) gets the same fold,
+    by the group's hash (fold sizes follow the group count within sampling
+    error); no shuffle. Usable as ``foldCol`` of ``CrossValidator``."""
+    h = F.conv(F.substring(order_hash([group], seed), 1, 8), 16, 10).cast("long")
+    return df.withColumn(col, F.pmod(h, F.lit(k)).cast("int"))
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights n / (k * n_c) per class; one small aggregate."""
     counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("count"))

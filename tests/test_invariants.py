@@ -142,3 +142,16 @@ def test_repeated_groups_by_distinct_member(tables_small):
     assert by_member == plain
     rows = {r["o_custkey"]: r["size"] for r in repeated_groups(doubled, "o_custkey", top=None).collect()}
     assert all(rows[k] == 2 * v for k, v in plain.items())
+
+
+def test_group_folds_keep_groups_together(tables_mid):
+    from pyspark.sql import functions as F
+    from tabsieve.operators.split import group_folds, group_split
+
+    li = tables_mid.lineitem.select("l_orderkey", "l_linenumber")
+    f = group_folds(li, "l_orderkey", k=5, seed=3)
+    assert f.groupBy("l_orderkey").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
+    sizes = [r["count"] for r in f.groupBy("fold").count().collect()]
+    assert len(sizes) == 5 and min(sizes) > 0.15 * li.count()
+    s = group_split(li, "l_orderkey", seed=3)
+    assert s.groupBy("l_orderkey").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
