@@ -74,6 +74,42 @@ def log_bin(v: Column) -> Column:
              .when(v > 0, k).when(v < 0, -k).otherwise(F.lit(0))).cast("long")
 
 
+def _long_form(x: DataFrame, ncols: int, binned: bool) -> DataFrame:
+    """(j, b, v): one row per non-null value (j = column, b = ``log_bin``)
+    plus one row-counter row (j = -1) per input row. Plain ``inline`` and a
+    Filter stay in generated code (a lambda filter is interpreted per row)."""
+    structs = [F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("v"))]
+    structs += [F.struct(F.lit(i).alias("j"), (log_bin(F.col(f"c{i}")) if binned else F.lit(0).cast("long")).alias("b"),
+                         F.col(f"c{i}").alias("v")) for i in range(ncols)]
+    return x.select(F.inline(F.array(*structs))).filter(F.col("v").isNotNull())
+
+
+def _rank_in_bins(x: DataFrame, ts: list[dict], done: dict) -> None:
+    """Value at each target rank inside its bin [lo, hi]: rows outside every
+    range are dropped by a plain predicate; the remaining values of the
+    target columns are joined on the column number to the ranges (at most
+    two per column, broadcast) and ranked inside each range (at most
+    ``RANK_LIMIT`` rows per window partition). No per-target structs are
+    built per row."""
+    spark = x.sparkSession
+    ranges = sorted({(t["col"], t["lo"], t["hi"]) for t in ts})
+    gid = {r: g for g, r in enumerate(ranges)}
+    rdf = spark.createDataFrame([(j, lo, hi, g) for (j, lo, hi), g in gid.items()],
+                                "j int, lo double, hi double, g int")
+    pdf = spark.createDataFrame([(gid[(t["col"], t["lo"], t["hi"])], t["k"] - t["below"] + 1, t["col"], t["k"]) for t in ts],
+                                "g int, r long, tj int, k long")
+    cols = sorted({j for j, _, _ in ranges})
+    any_ok = reduce(lambda a, c: a | c, [F.col(f"c{j}").between(F.lit(lo), F.lit(hi)) for j, lo, hi in ranges])
+    long = (x.filter(any_ok)
+             .select(F.inline(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"c{j}").alias("v")) for j in cols])))
+             .filter(F.col("v").isNotNull()))
+    b = F.broadcast(rdf)
+    inside = long.join(b, (long["j"] == b["j"]) & long["v"].between(b["lo"], b["hi"])).select("g", "v")
+    ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("v")))
+    for row in ranked.join(F.broadcast(pdf), ["g", "r"]).select("tj", "k", "v").collect():
+        done[(row["tj"], row["k"])] = row["v"]
+
+
 def _column_stats(x: DataFrame, cols: list[str], stats: Sequence[str], median: bool) -> list[dict]:
     """Pass 1 (one scan): per column the moments and, by grouping sets on
     (column, bin) and (column), a log-scale histogram whose cumulative
@@ -81,10 +117,7 @@ def _column_stats(x: DataFrame, cols: list[str], stats: Sequence[str], median: b
     pick the bin of each middle rank; only those bins and the per-column
     rows reach the driver. Pass 2 ranks inside the chosen bins, or refines
     a still-crowded bin with equal-width histograms."""
-    structs = [F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("v"))]
-    structs += [F.struct(F.lit(i).alias("j"), (log_bin(F.col(f"c{i}")) if median else F.lit(0).cast("long")).alias("b"),
-                         F.col(f"c{i}").alias("v")) for i in range(len(cols))]
-    long = x.select(F.inline(F.filter(F.array(*structs), lambda r: r["v"].isNotNull())))
+    long = _long_form(x, len(cols), median)
     sets = [["j", "b"], ["j"]] if median else [["j"]]
     # the aggregate (one row per column and bin) feeds three branches that
     # keep different columns; cached, it is computed by one scan instead of
@@ -132,10 +165,11 @@ def _column_stats(x: DataFrame, cols: list[str], stats: Sequence[str], median: b
                 elif p_ == b["n"] - 1:
                     values[(i, k)] = mx
                 else:
-                    t = {"col": i, "k": k, "lo": float(mn), "hi": float(mx), "below": b["before"], "n": b["n"]}
+                    t = {"col": i, "k": k, "lo": float(mn), "hi": float(mx), "below": b["before"], "n": b["n"],
+                         "b": b["b"]}
                     (rank if b["n"] <= RANK_LIMIT else refine).append(t)
         if rank:
-            _rank_in_range(x, rank, values)
+            _rank_in_bins(x, rank, values)
         if refine:
             values.update(_rank_values(x, refine))
         for i, d in enumerate(out):
@@ -197,7 +231,10 @@ def _histograms(x: DataFrame, ts: list[dict]) -> dict:
         raw = F.floor((v - F.lit(t["lo"])) * F.lit(scale))
         b = F.when(ok, F.least(F.greatest(raw, F.lit(0)), F.lit(BINS - 1)).cast("int"))
         structs.append(F.struct(F.lit(j).alias("j"), b.alias("b"), v.alias("v"), ok.alias("ok")))
-    rows = (x.select(F.inline(F.filter(F.array(*structs), lambda s: s["ok"])))
+    # rows outside every range are dropped by a plain predicate first; only
+    # the few remaining rows build the per-target structs
+    any_ok = reduce(lambda a, c: a | c, [F.col(f"c{t['col']}").between(F.lit(t["lo"]), F.lit(t["hi"])) for t in ts])
+    rows = (x.filter(any_ok).select(F.inline(F.array(*structs))).filter(F.col("ok"))
              .groupBy("j", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
              .collect())
     out: dict = {}
@@ -211,7 +248,8 @@ def _rank_in_range(x: DataFrame, ts: list[dict], done: dict) -> None:
     cand = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"c{t['col']}").alias("v"),
                               F.col(f"c{t['col']}").between(F.lit(t["lo"]), F.lit(t["hi"])).alias("ok"))
                      for j, t in enumerate(ts)])
-    inside = x.select(F.inline(F.filter(cand, lambda s: s["ok"]))).select("j", "v")
+    any_ok = reduce(lambda a, c: a | c, [F.col(f"c{t['col']}").between(F.lit(t["lo"]), F.lit(t["hi"])) for t in ts])
+    inside = x.filter(any_ok).select(F.inline(cand)).filter(F.col("ok")).select("j", "v")
     ranked = inside.withColumn("rn", F.row_number().over(Window.partitionBy("j").orderBy("v")))
     cond = reduce(lambda a, b: a | b, [(F.col("j") == j) & (F.col("rn") == t["k"] - t["below"] + 1)
                                         for j, t in enumerate(ts)])
