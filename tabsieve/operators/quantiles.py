@@ -194,7 +194,7 @@ def _rank_values(x: DataFrame, targets: list[dict]) -> dict:
         if not pending:
             break
         if step == MAX_REFINE:
-            _rank_in_range(x, pending, done)
+            _rank_in_bins(x, pending, done)
             break
         hist = _histograms(x, pending)
         refine, rank = [], []
@@ -214,7 +214,7 @@ def _rank_values(x: DataFrame, targets: list[dict]) -> dict:
                     break
                 cum += n
         if rank:
-            _rank_in_range(x, rank, done)
+            _rank_in_bins(x, rank, done)
         targets = refine
         if not refine:
             break
@@ -243,21 +243,6 @@ def _histograms(x: DataFrame, ts: list[dict]) -> dict:
     return out
 
 
-def _rank_in_range(x: DataFrame, ts: list[dict], done: dict) -> None:
-    """Rank the rows of [lo, hi] for each target (one window partition each)."""
-    cand = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"c{t['col']}").alias("v"),
-                              F.col(f"c{t['col']}").between(F.lit(t["lo"]), F.lit(t["hi"])).alias("ok"))
-                     for j, t in enumerate(ts)])
-    any_ok = reduce(lambda a, c: a | c, [F.col(f"c{t['col']}").between(F.lit(t["lo"]), F.lit(t["hi"])) for t in ts])
-    inside = x.filter(any_ok).select(F.inline(cand)).filter(F.col("ok")).select("j", "v")
-    ranked = inside.withColumn("rn", F.row_number().over(Window.partitionBy("j").orderBy("v")))
-    cond = reduce(lambda a, b: a | b, [(F.col("j") == j) & (F.col("rn") == t["k"] - t["below"] + 1)
-                                        for j, t in enumerate(ts)])
-    for r in ranked.filter(cond).select("j", "v").collect():
-        t = ts[r["j"]]
-        done[(t["col"], t["k"])] = r["v"]
-
-
 def _small_stats(df: DataFrame, cols: list[str], stats: Sequence[str]) -> list[dict]:
     x = [F.col(c).cast("double") for c in cols]
     aggs = [F.count(F.lit(1)).alias("__total")]
