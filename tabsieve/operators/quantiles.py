@@ -74,25 +74,56 @@ def log_bin(v: Column) -> Column:
              .when(v > 0, k).when(v < 0, -k).otherwise(F.lit(0))).cast("long")
 
 
+# Up to this many columns / target ranges the per-row struct forms are
+# cheaper (less job overhead); above it the codegen'd inline and the range
+# join are.
+FEW_RANGES = 16
+
+
 def _long_form(x: DataFrame, ncols: int, binned: bool) -> DataFrame:
     """(j, b, v): one row per non-null value (j = column, b = ``log_bin``)
-    plus one row-counter row (j = -1) per input row. Plain ``inline`` and a
-    Filter stay in generated code (a lambda filter is interpreted per row)."""
+    plus one row-counter row (j = -1) per input row. For many columns a
+    plain ``inline`` and a Filter stay in generated code (a lambda filter is
+    interpreted per row); for few, filtering inside the array is cheaper."""
     structs = [F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("v"))]
     structs += [F.struct(F.lit(i).alias("j"), (log_bin(F.col(f"c{i}")) if binned else F.lit(0).cast("long")).alias("b"),
                          F.col(f"c{i}").alias("v")) for i in range(ncols)]
+    if ncols <= FEW_RANGES:
+        # few columns: dropping nulls inside the array emits fewer rows
+        return x.select(F.inline(F.filter(F.array(*structs), lambda r: r["v"].isNotNull())))
     return x.select(F.inline(F.array(*structs))).filter(F.col("v").isNotNull())
 
 
+def _rank_few(x: DataFrame, ts: list[dict], done: dict) -> None:
+    """Few targets: rows outside every range are dropped by a plain
+    predicate, the rest emit one (target, value) row per range they fall
+    in, ranked inside each target (one window partition per target)."""
+    any_ok = reduce(lambda a, c: a | c, [F.col(f"c{t['col']}").between(F.lit(t["lo"]), F.lit(t["hi"])) for t in ts])
+    cand = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"c{t['col']}").alias("v"),
+                              F.col(f"c{t['col']}").between(F.lit(t["lo"]), F.lit(t["hi"])).alias("ok"))
+                     for j, t in enumerate(ts)])
+    inside = x.filter(any_ok).select(F.inline(cand)).filter(F.col("ok")).select("j", "v")
+    ranked = inside.withColumn("rn", F.row_number().over(Window.partitionBy("j").orderBy("v")))
+    cond = reduce(lambda a, b: a | b, [(F.col("j") == j) & (F.col("rn") == t["k"] - t["below"] + 1)
+                                        for j, t in enumerate(ts)])
+    for r in ranked.filter(cond).select("j", "v").collect():
+        t = ts[r["j"]]
+        done[(t["col"], t["k"])] = r["v"]
+
+
 def _rank_in_bins(x: DataFrame, ts: list[dict], done: dict) -> None:
     """Value at each target rank inside its bin [lo, hi]: rows outside every
     range are dropped by a plain predicate; the remaining values of the
     target columns are joined on the column number to the ranges (at most
     two per column, broadcast) and ranked inside each range (at most
     ``RANK_LIMIT`` rows per window partition). No per-target structs are
-    built per row."""
+    built per row; up to ``FEW_RANGES`` ranges the struct form is used
+    instead (cheaper to plan and run when the targets are few)."""
     spark = x.sparkSession
     ranges = sorted({(t["col"], t["lo"], t["hi"]) for t in ts})
+    if len(ranges) <= FEW_RANGES:
+        _rank_few(x, ts, done)
+        return
     gid = {r: g for g, r in enumerate(ranges)}
     rdf = spark.createDataFrame([(j, lo, hi, g) for (j, lo, hi), g in gid.items()],
                                 "j int, lo double, hi double, g int")
