@@ -9,10 +9,12 @@ from tabsieve.operators import quantiles as Q
 import pytest
 
 
+@pytest.mark.parametrize("few", [Q.FEW_RANGES, 0])
 @pytest.mark.parametrize("rank_limit", [50, Q.RANK_LIMIT])
-def test_medians_match_numpy(spark, monkeypatch, rank_limit):
+def test_medians_match_numpy(spark, monkeypatch, rank_limit, few):
     monkeypatch.setattr(Q, "SMALL_ROWS", 10)          # force the bounded path
     monkeypatch.setattr(Q, "RANK_LIMIT", rank_limit)  # 50: force refinement rounds
+    monkeypatch.setattr(Q, "FEW_RANGES", few)         # 0: wide-table forms (inline + range join)
     rng = np.random.default_rng(3)
     n = 20001
     cols = {
