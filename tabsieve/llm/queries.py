@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, jaccard_join, lm_score, mixing, sharding, substring_dedup
-from .common import documents
+from . import chat, decontaminate, exact_dedup, jaccard_join, lm_score, mixing, sharding, substring_dedup
+from .common import benchmark, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -105,3 +105,8 @@ def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_ngram_jaccard_join")
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(documents(spark, sf_dir))
+
+
+@register("op6_bm25_wand_decontamination")
+def op6_bm25_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), benchmark(spark, sf_dir))
