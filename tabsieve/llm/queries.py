@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, lm_score, mixing, sharding, substring_dedup
-from .common import benchmark, documents
+from . import chat, decontaminate, exact_dedup, jaccard_join, language_id, lm_score, mixing, sharding, substring_dedup
+from .common import benchmark, documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -110,3 +110,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_bm25_wand_decontamination")
 def op6_bm25_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+@register("op3_nearest_centroid_language")
+def op3_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(language_id.training_rows(docs))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
