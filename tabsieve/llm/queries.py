@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, language_id, lm_score, mixing, sharding, substring_dedup
+from . import chat, decontaminate, exact_dedup, jaccard_join, language_id, lm_score, mixing, quality_mil, sharding, substring_dedup
 from .common import benchmark, documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,11 @@ def op3_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame
     model = language_id.fit(language_id.training_rows(docs))
     found = language_id.identify(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@register("op2_attention_mil_quality")
+def op2_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    model = quality_mil.fit(docs, quality_mil.training_labels(labels))
+    scored = quality_mil.score_quality(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_passages")
