@@ -5,24 +5,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsieve.llm import mixing
-from tabsieve.llm.common import documents
-from tabsieve.llm.common import written
-from tabsieve.llm.queries import shard_digest
+from tabsieve.llm import decontaminate, jaccard_join, language_id, mixing, sharding
+from tabsieve.llm.common import benchmark, documents, written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language stay; those without a letter or far from
+    every language go. Learned from the documents that are not held out."""
+    return language_id.keep_identified(docs, language_id.fit(language_id.training_rows(docs)))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.drop_leaks(docs, benchmark(spark, sf_dir))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that the sources meet their targets."""
+    """Documents are repeated or left out so that sources meet their targets."""
     return mixing.mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts every row into one of 16 shards that all match the mixture."""
-    return shard_digest(docs)
-
-
-STAGES = [("mix_sources", mix_sources), ("shard", shard)]
-ORACLE_SQL = None
+    """Every row, whole, with its shard of 16 that all match the mixture."""
+    return sharding.place(sharding.measured(docs)).drop("position")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate_benchmark),
+    ("source_mix", mix_sources),
+    ("sharding", shard),
+]
+ORACLE_SQL = None   # k-means centroids and BM25 passages have no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

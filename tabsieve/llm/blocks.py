@@ -17,12 +17,13 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import written
 from .words import runs, text_bytes
 
 BLOCK_BYTES = 4 << 20
-SCHEMA = "block long, size long, ids binary, offsets binary, texts binary"
+SCHEMA = "block long, size long, ids binary, marks binary, offsets binary, texts binary"
 NO_ID = np.iinfo(np.int64).max   # stands for a null doc_id, after all others
 
 
@@ -35,21 +36,24 @@ def unpack(b: bytes, kind=np.uint8) -> np.ndarray:
 
 
 def make_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, size in bytes, ids, offsets, texts), the arrays compressed. A document longer
-    than ``block_bytes`` is a block of its own."""
+    """(block, size in bytes, ids, marks, offsets, texts), the arrays
+    compressed; a mark is the 64-bit hash of a text, by which its row is
+    found again. A document longer than ``block_bytes`` is a block of its
+    own."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             ids = batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            marks = batch.column(2).to_numpy(zero_copy_only=False)
             for i, j in runs(offsets, block_bytes):
                 lo, hi = int(offsets[i]), int(offsets[j])
                 yield pa.RecordBatch.from_arrays([
                     pa.array([number], pa.int64()), pa.array([hi - lo], pa.int64()), pa.array([pack(ids[i:j])], pa.binary()),
-                    pa.array([pack(offsets[i:j + 1] - lo)], pa.binary()),
-                    pa.array([pack(np.ascontiguousarray(data[lo:hi]), 3)], pa.binary())], ["block", "size", "ids", "offsets", "texts"])
+                    pa.array([pack(marks[i:j])], pa.binary()), pa.array([pack(offsets[i:j + 1] - lo)], pa.binary()),
+                    pa.array([pack(np.ascontiguousarray(data[lo:hi]), 3)], pa.binary())], ["block", "size", "ids", "marks", "offsets", "texts"])
                 number += 1
-    return written(docs.select(id_col, text_col).mapInArrow(write, SCHEMA), "blocks")
+    return written(docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(write, SCHEMA), "blocks")
 
 
 def read_block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

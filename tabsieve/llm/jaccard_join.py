@@ -48,7 +48,7 @@ TILE_ROWS = 200_000    # rows of a batch
 # The similarity 0.8 stands in the code as the ratio 4 / 5.
 MESSAGE = "part long, block long, prints binary"
 REPLY = "block long, part long, shared binary"
-SETS = "row long, doc_id long, n long, class binary, shingles binary"
+SETS = "row long, doc_id long, mark long, n long, class binary, shingles binary"
 
 
 def bands(most: int) -> np.ndarray:
@@ -171,12 +171,12 @@ def _sets(block: pa.Table, replies: pa.Table, parts: int) -> pa.Table:
             told.add(raw[i])
         sets.append(value[first[i]:first[i + 1]].tobytes() if send else None)
     number = (row["block"] >> 32 << 40) + ((row["block"] & 0xFFFFFFFF) << 20) + np.arange(len(n))   # of the row, its own
-    return pa.table([pa.array(number), pa.array(ids, mask=ids == NO_ID), pa.array(n.astype(np.int64)), pa.array(raw, pa.binary()),
-                     pa.array(sets, pa.binary())], ["row", "doc_id", "n", "class", "shingles"])
+    return pa.table([pa.array(number), pa.array(ids, mask=ids == NO_ID), pa.array(unpack(row["marks"], np.int64)), pa.array(n.astype(np.int64)), pa.array(raw, pa.binary()),
+                     pa.array(sets, pa.binary())], ["row", "doc_id", "mark", "n", "class", "shingles"])
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> DataFrame:
-    """(row, doc_id, n, class, shingles) of every row (steps 1 and 2)."""
+    """(row, doc_id, mark, n, class, shingles) of every row (steps 1 and 2)."""
     blocks = make_blocks(docs, id_col, text_col)
     size = blocks.agg(F.sum("size")).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
@@ -305,7 +305,8 @@ def open_pairs(tiles: DataFrame, roots: DataFrame, sets: DataFrame, block_sets:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES,
                     block_sets: int = BLOCK_SETS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest
-    doc_id reachable by links, its own included).
+    doc_id reachable by links, its own included), ``kept`` (true for one row
+    of each component, one with that id) and ``mark`` (hash of the text).
 
     Null texts, empty ones and those without words have no shingle, link to
     nothing and are their own component; fewer than five words make one
@@ -316,8 +317,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = document_sets(docs, id_col, text_col, part_bytes)
     classes = written(rows.filter("n > 0").groupBy("class").agg(
-        F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("n").alias("n"),
-        F.first("shingles", ignorenulls=True).alias("shingles")), "classes")
+        F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"),
+        F.first("n").alias("n"), F.first("shingles", ignorenulls=True).alias("shingles")), "classes")
     sets = classes.filter("shingles is not null").select("node", "n", "shingles")
     tiles = written(sets.mapInArrow(_tile_rows, "shingle long, band int, node long, n long"), "tiles")
     first = linked(hub_pairs(tiles), sets).checkpoint()
@@ -326,8 +327,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(first.union(more))
     named = classes.select("class", "least", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = written(named, "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    place = named.join(least, "root").select("class", "component_id")
-    found = rows.select("doc_id", "n", "class").join(place, "class", "left")
+    least = named.groupBy("root").agg(F.min("least").alias("least"))
+    place = named.select("class", "root").join(least, "root").select(
+        "class", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("stays"))
+    found = rows.select("row", "doc_id", "mark", "n", "class").join(place, "class", "left")
+    words_ = F.col("n") > 0
     return found.select("doc_id", F.col("n").alias("n_shingles"),
-                        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+                        F.when(words_, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                        F.when(words_, F.col("row") == F.col("stays")).otherwise(F.lit(True)).alias("kept"), "mark")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) that stay: one of each group of near
+    duplicates. Rows are found again by id and text, so rows equal in both
+    count as one."""
+    found = near_duplicates(docs, id_col, text_col).filter("kept")
+    key = F.coalesce(F.col(id_col), F.lit(NO_ID))
+    stay = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("mark").alias("__mark")).distinct()
+    rows = docs.withColumns({"__id": key, "__mark": F.xxhash64(text_col)}).join(stay, ["__id", "__mark"], "left_semi")
+    return rows.dropDuplicates(["__id", "__mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -130,8 +130,8 @@ def _fit(group: pd.DataFrame, idf: np.ndarray, k: int) -> pd.DataFrame:
     counts = np.concatenate([c for _, c in counted(pa.array(group["text"]))])
     x, bins = vectors(counts, idf), length_bin(counts)
     x, bins = x[counts.sum(1) > 0], bins[counts.sum(1) > 0]
-    if not len(x):
-        return pd.DataFrame({"lang": [], "centroids": [], "limits": []})
+    if not len(x):                                      # no text of the language has a letter
+        return pd.DataFrame({"lang": [], "centroids": [], "limits": []}).astype("object")
     c = k_means(x, k)
     near = (x @ c.T).max(1)
     limits = np.zeros(32)

@@ -78,17 +78,8 @@ def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op8_stratified_interleave")
 def op8_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_digest(documents(spark, sf_dir))
-
-
-def shard_digest(docs: DataFrame) -> DataFrame:
-    """The placed rows: id, size (UTF-8 bytes + 1), checksum, law and place.
-    What needs the text is computed before the rows move."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "source", "text", (F.octet_length(text) + 1).cast("long").alias("size"),
-                       F.crc32(text).alias("text_crc32"))
-    return sharding.place(rows).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-                                       F.lit(None).cast("int").alias("grown_shard"))
+    placed = sharding.place(sharding.measured(documents(spark, sf_dir).select("doc_id", "text", "source")))
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @register("op9_superkmer_dedup")
@@ -104,7 +95,7 @@ def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op10_ngram_jaccard_join")
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(documents(spark, sf_dir))
+    return jaccard_join.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 @register("op6_bm25_wand_decontamination")

@@ -78,3 +78,10 @@ def place(docs: DataFrame, n_shards: int = 16, seed: int = SEED, cell_rows: int
         "shard", F.expr(f"cast((position * {n_shards}) div {max(1, total)} as int)"))
     first = F.expr(f"(shard * {total}L + {n_shards} - 1) div {n_shards}")
     return placed.select(*[F.col(f"`{c}`") for c in keep], "shard", (F.col("position") - first).alias("slot"), "position")
+
+
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``size`` (UTF-8 bytes and 1), ``text_crc32`` and ``law``,
+    computed where the text is read; a null text counts as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text), "law": F.lit("rows")})

@@ -45,7 +45,11 @@ def brute(rows):
 
 
 def found(df, **options):
-    return sorted([tuple(r) for r in J.near_duplicates(df, **options).collect()], key=repr)
+    rows = J.near_duplicates(df, **options).collect()
+    stay = [r.component_id for r in rows if r.kept and r.n_shingles]
+    assert len([c for c in stay if c is not None]) >= len({r.component_id for r in rows if r.n_shingles} - {None})
+    assert all(r.component_id == r.doc_id for r in rows if r.kept)
+    return sorted([tuple(r)[:3] for r in rows], key=repr)
 
 
 def test_whole_table(sf_docs, sf_rows):
@@ -88,6 +92,16 @@ def test_edges(make_docs):
     assert found(make_docs([])) == []
 
 
+def test_one_of_each_group_stays(make_docs):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [(5, a), (3, a + " x"), (9, a + " y"), (4, b), (4, b), (None, b), (6, None), (7, ""), (None, "no id"), (4, "other text")]
+    df = make_docs(rows)
+    kept = J.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(
+        [(3, a + " x"), (4, b), (6, None), (7, ""), (None, "no id"), (4, "other text")], key=repr)
+
+
 def test_null_text_and_ids_of_one_row(make_docs):
     assert found(make_docs([(None, None)])) == [(None, 0, None)]
 
