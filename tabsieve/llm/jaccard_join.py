@@ -13,7 +13,8 @@ pairs of a group is ever made.
    keep a set that could have been left out. Sets below 0.8 are done.
 3. *Tiles.* Of the rest, linked sets share one of their n - ceil(0.8 n) + 1
    least shingles and lie in the same or in neighbouring size bands (widths
-   of 1.25): a tile is one such shingle and two neighbouring bands.
+   of 1.25): a tile is one such shingle and two neighbouring bands. Of
+   shingles that are held by the very same sets, one makes the tiles.
 4. *Hubs.* Every tile names one hub; each set is compared with one hub of
    its tiles. This ties large groups of near copies together with one
    comparison per set.
@@ -32,7 +33,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import NO_ID, make_blocks, pack, read_block, unpack
@@ -43,7 +44,8 @@ from .words import LOWER, U, mix64, window_hashes, word_hashes, words
 SHINGLE = 5            # words
 PART_BYTES = 4 << 20   # text bytes per hash partition of the shared-shingle test
 BLOCK_SETS = 1024      # sets on each side of a bitmap block
-TILE_ROWS = 200_000    # rows of a batch
+PREFIX_ROWS = 200_000  # rows of a batch
+GROUP_ROWS = 50_000    # rows of bitmap blocks compared in one call
 
 # The similarity 0.8 stands in the code as the ratio 4 / 5.
 MESSAGE = "part long, block long, prints binary"
@@ -186,25 +188,40 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, part_bytes: int)
     return written(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(sets, SETS), "sets")
 
 
-def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, band, node, n): the tiles of each set."""
+def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, node, n): the shingles of each set that may make its tiles."""
     def rows(parts):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["shingle", "band", "node", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["shingle", "node", "n"])
 
     for batch in batches:
         out, held = [], 0
         for node, n, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "shingles"))):
             least = np.frombuffer(raw, np.int64)[:n - -(-4 * n // 5) + 1]
-            k, b = len(least), int(band_of(n))
-            out.append((np.tile(least, 2), np.repeat(np.array([b, b + 1], np.int32), k), np.full(2 * k, node), np.full(2 * k, n)))
-            held += 2 * k
-            if held > TILE_ROWS:
+            out.append((least, np.full(len(least), node), np.full(len(least), n)))
+            held += len(least)
+            if held > PREFIX_ROWS:
                 yield rows(out)
                 out, held = [], 0
         if out:
             yield rows(out)
 
 
+def band_column(n: Column) -> Column:
+    """The size band of a set size (a search in the bands' first sizes)."""
+    return F.size(F.filter(F.array(*[F.lit(int(b)) for b in BANDS]), lambda b: b <= n)) - 1
+
+
+def make_tiles(sets: DataFrame) -> DataFrame:
+    """(shingle, band, node, n): the members of every tile. A shingle's
+    members are told from another's by their number and two xors of hashes."""
+    rows = written(sets.mapInArrow(_prefix_rows, "shingle long, node long, n long"), "prefixes")
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                                       F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    one = held.filter("k > 1").groupBy("k", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle")
+    b = band_column(F.col("n"))
+    return written(rows.join(one, "shingle").select("shingle", F.explode(F.array(b, b + 1)).alias("band"), "node", "n"), "tiles")
+
+
 def bitmap(shingles: np.ndarray, band: int) -> np.ndarray:
     """A hashed bitmap with at least two bits for each member a set of the
     band may have."""
@@ -247,25 +264,31 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _compare(key: tuple, table: pa.Table) -> pa.Table:
-    """The pairs of a block - one set of each side, of different components,
-    sizes within 0.8 - whose bitmaps allow the overlap they need."""
-    t = {c: table.column(c).to_pylist() for c in ("node", "n", "root", "side", "bits")}
-    side = np.array(t["side"])
-    node, n, root = (np.array(t[c], np.int64) for c in ("node", "n", "root"))
-    bits = np.frombuffer(b"".join(t["bits"]), U).reshape(len(node), -1)
-    a, b = np.flatnonzero(side != 2), np.flatnonzero(side != 1)   # 1: rows, 2: columns, 3: both
-    out_a, out_b = [], []
-    for i in a:
-        j = b[(root[b] != root[i]) & (5 * np.minimum(n[b], n[i]) >= 4 * np.maximum(n[b], n[i]))]
-        if len(j):
-            more = np.bitwise_count(bits[i] & ~bits[j]).sum(1).astype(np.int64)
-            less = np.bitwise_count(bits[j] & ~bits[i]).sum(1).astype(np.int64)
-            most = np.minimum(n[i] - more, n[j] - less)
-            j = j[9 * most >= 4 * (n[i] + n[j])]
-            out_a.append(np.minimum(node[i], node[j]))
-            out_b.append(np.maximum(node[i], node[j]))
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return pa.table([pa.array(join(out_a)), pa.array(join(out_b))], ["a", "b"])
+    """In each of a group's blocks, the pairs - one set of each side, of
+    different components, sizes within 0.8 - whose bitmaps allow the overlap
+    they need."""
+    col = {c: table.column(c).to_numpy() for c in ("shingle", "band", "r", "c", "node", "n", "root", "side")}
+    raw = table.column("bits").to_pylist()
+    order = np.lexsort([col[c] for c in ("c", "r", "band", "shingle")])
+    name = np.stack([col[c][order] for c in ("c", "r", "band", "shingle")])
+    cuts = np.flatnonzero((name[:, 1:] != name[:, :-1]).any(0)) + 1
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for block in np.split(order, cuts):
+        side, node, n, root = (col[c][block] for c in ("side", "node", "n", "root"))
+        a, b = np.flatnonzero(side != 2), np.flatnonzero(side != 1)   # 1: rows, 2: columns, 3: both
+        bits = None
+        for i in a:
+            j = b[(root[b] != root[i]) & (5 * np.minimum(n[b], n[i]) >= 4 * np.maximum(n[b], n[i]))]
+            if len(j):
+                if bits is None:
+                    bits = np.frombuffer(b"".join(raw[k] for k in block), U).reshape(len(block), -1)
+                more = np.bitwise_count(bits[i] & ~bits[j]).sum(1).astype(np.int64)
+                less = np.bitwise_count(bits[j] & ~bits[i]).sum(1).astype(np.int64)
+                j = j[9 * np.minimum(n[i] - more, n[j] - less) >= 4 * (n[i] + n[j])]
+                out_a.append(np.minimum(node[i], node[j]))
+                out_b.append(np.maximum(node[i], node[j]))
+    pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
+    return pa.table([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
 def hub_pairs(tiles: DataFrame) -> DataFrame:
@@ -283,7 +306,10 @@ def open_pairs(tiles: DataFrame, roots: DataFrame, sets: DataFrame, block_sets:
     parts = t.groupBy("shingle", "band", "root").agg(F.count(F.lit(1)).alias("k"))
     tile = parts.groupBy("shingle", "band").agg(F.count(F.lit(1)).alias("roots"), F.sum("k").alias("members"),
                                                 F.max(F.struct("k", "root")).alias("top"))
-    unsettled = tile.filter("roots > 1").select(
+    unsettled = tile.filter("roots > 1")
+    rows = unsettled.agg(F.sum(F.col("members") * F.ceil(F.col("members") / block_sets))).first()[0] or 0   # at most
+    groups = max(1, -(-int(rows) // GROUP_ROWS))
+    unsettled = unsettled.select(
         "shingle", "band", F.col("top.root").alias("top"), F.ceil(F.col("top.k") / block_sets).cast("int").alias("of_top"),
         F.ceil((F.col("members") - F.col("top.k")) / block_sets).cast("int").alias("of_rest"))
     t = t.join(unsettled, ["shingle", "band"])
@@ -299,7 +325,8 @@ def open_pairs(tiles: DataFrame, roots: DataFrame, sets: DataFrame, block_sets:
     t = t.select("shingle", "band", "node", "n", "root", F.inline("cells"))
     maps = sets.mapInArrow(_bitmap_rows, "node long, band int, bits binary")
     t = t.join(maps, ["node", "band"])
-    return t.groupBy("shingle", "band", "r", "c").applyInArrow(_compare, "a long, b long").distinct()
+    t = t.withColumn("group", F.pmod(F.xxhash64("shingle", "band", "r", "c"), F.lit(groups)))
+    return t.groupBy("group").applyInArrow(_compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES,
@@ -320,7 +347,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"),
         F.first("n").alias("n"), F.first("shingles", ignorenulls=True).alias("shingles")), "classes")
     sets = classes.filter("shingles is not null").select("node", "n", "shingles")
-    tiles = written(sets.mapInArrow(_tile_rows, "shingle long, band int, node long, n long"), "tiles")
+    tiles = make_tiles(sets)
     first = linked(hub_pairs(tiles), sets).checkpoint()
     roots = components(first)
     more = linked(open_pairs(tiles, roots, sets, block_sets), sets)
