@@ -1,288 +1,132 @@
 """Exact medians with bounded memory, plus the one-pass column statistics
 that go with them.
 
-Spark's exact ``median``/``percentile`` keeps a map of every distinct value
-per group; on a global aggregate all maps merge into ONE task, which does
-not survive a column with 10^11 distinct values. Here:
-
-1. one scan gives the requested moments and a log-scale histogram per
-   column (``log_bin``: 64 bins per octave, bin order follows value order;
-   count, smallest and largest value per bin). The cumulative counts
-   locate the bin holding each middle rank; only those bins reach the
-   driver. A rank that falls on a bin edge, or in a bin of one distinct
-   value, is answered directly;
-2. otherwise only the rows of that bin are ranked (one window partition
-   per target), or, when the bin still holds more than ``RANK_LIMIT`` rows,
-   it is re-binned with ``BINS`` equal-width bins between its smallest and
-   largest value (repeated on the new bin) until it is small enough.
-
-Every task holds bounded state; the driver sees per-bin counts only.
+Spark's exact ``median`` keeps a map of every distinct value per group; on a
+global aggregate all maps merge into one task, which does not survive a
+column with 10^11 distinct values. Here every pass is one flat aggregate over
+the wide rows (no row is exploded), whatever the size of the input:
+
+1. one scan gives the requested moments and, from a quantile sketch of
+   bounded size, a bracket [lo, hi] of actual values around the middle ranks;
+2. another scan counts the rows below lo, at lo, between, at hi. A middle
+   rank at lo or hi is answered; one between them is, while the rows between
+   may be more than ``KEEP``, bracketed again among them (a sketch narrows a
+   bracket some thousandfold);
+3. the at most ``KEEP`` values between the brackets are sorted and read at
+   their ranks.
+
+Only per-column scalars reach the driver. NaN counts as null.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import nan_to_null
 from .partitioning import reusable
 
-# Inputs with at most this many rows (checked) use Spark's exact median in one
-# pass: its per-task state is bounded by the row count.
-SMALL_ROWS = 100_000
-
 STAT_FUNCS = {
     "mean": F.mean, "min": F.min, "max": F.max, "var_samp": F.var_samp, "stddev_pop": F.stddev_pop,
     "stddev_samp": F.stddev_samp,
 }
 
+ACCURACY = 10_000     # of the sketch: its ranks are off by at most rows / ACCURACY
+KEEP = 50_000         # values of a column sorted at the end
+
 
 def column_stats(df: DataFrame, cols: Sequence[str], stats: Sequence[str] = ("mean", "min", "max"),
-                 median: bool = True) -> list[dict]:
+                 median: bool = True, keep: int = KEEP, accuracy: int = ACCURACY) -> list[dict]:
     """Per column dict: name, count, total, requested stats and (exact)
     median. Only per-column scalars reach the driver."""
     cols = list(cols)
-    if median and df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        return _small_stats(df, cols, stats)
-    with reusable(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])) as x:
-        return _column_stats(x, cols, stats, median)
-
-
-SUB_BINS = 64          # log-scale bins per octave in the first pass
-_EXP_OFFSET = 1100     # > 1074, so every finite exponent gives a positive bin
-_TOP = 1 << 40         # bins of +-infinity; NaN (largest in Spark order) above
-
-
-def log_bin(v: Column) -> Column:
-    """Bin number that never decreases as the value grows: 0 for zero,
-    +-(octave x 64 + step) for non-zero values, then infinities and NaN.
-    ``floor(log2|v|)`` is non-decreasing (log is semi-monotonic, floor and
-    division by a constant are monotone) and, inside one octave, ``|v| /
-    2^e`` is an exact scaling, so larger values never land in lower bins
-    and every bin covers one interval of values. No min/max is needed, so
-    the histogram is built in the same pass as the moments."""
-    a = F.abs(v)
-    e = F.floor(F.log2(a))
-    frac = a / F.pow(F.lit(2.0), e)
-    m = F.least(F.greatest(F.floor((frac - F.lit(1.0)) * F.lit(float(SUB_BINS))), F.lit(0)), F.lit(SUB_BINS - 1))
-    k = (e + F.lit(_EXP_OFFSET)) * F.lit(SUB_BINS) + m + F.lit(1)
-    return (F.when(F.isnan(v), F.lit(_TOP + 1))
-             .when(a == F.lit(float("inf")), F.when(v > 0, F.lit(_TOP)).otherwise(F.lit(-_TOP)))
-             .when(v > 0, k).when(v < 0, -k).otherwise(F.lit(0))).cast("long")
-
-
-# Up to this many columns / target ranges the per-row struct forms are
-# cheaper (less job overhead); above it the codegen'd inline and the range
-# join are.
-FEW_RANGES = 16
-
-
-def _long_form(x: DataFrame, ncols: int, binned: bool) -> DataFrame:
-    """(j, b, v): one row per non-null value (j = column, b = ``log_bin``)
-    plus one row-counter row (j = -1) per input row. For many columns a
-    plain ``inline`` and a Filter stay in generated code (a lambda filter is
-    interpreted per row); for few, filtering inside the array is cheaper."""
-    structs = [F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("v"))]
-    structs += [F.struct(F.lit(i).alias("j"), (log_bin(F.col(f"c{i}")) if binned else F.lit(0).cast("long")).alias("b"),
-                         F.col(f"c{i}").alias("v")) for i in range(ncols)]
-    if ncols <= FEW_RANGES:
-        # few columns: dropping nulls inside the array emits fewer rows
-        return x.select(F.inline(F.filter(F.array(*structs), lambda r: r["v"].isNotNull())))
-    return x.select(F.inline(F.array(*structs))).filter(F.col("v").isNotNull())
-
-
-def _rank_few(x: DataFrame, ts: list[dict], done: dict) -> None:
-    """Few targets: rows outside every range are dropped by a plain
-    predicate, the rest emit one (target, value) row per range they fall
-    in, ranked inside each target (one window partition per target)."""
-    any_ok = reduce(lambda a, c: a | c, [F.col(f"c{t['col']}").between(F.lit(t["lo"]), F.lit(t["hi"])) for t in ts])
-    cand = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"c{t['col']}").alias("v"),
-                              F.col(f"c{t['col']}").between(F.lit(t["lo"]), F.lit(t["hi"])).alias("ok"))
-                     for j, t in enumerate(ts)])
-    inside = x.filter(any_ok).select(F.inline(cand)).filter(F.col("ok")).select("j", "v")
-    ranked = inside.withColumn("rn", F.row_number().over(Window.partitionBy("j").orderBy("v")))
-    cond = reduce(lambda a, b: a | b, [(F.col("j") == j) & (F.col("rn") == t["k"] - t["below"] + 1)
-                                        for j, t in enumerate(ts)])
-    for r in ranked.filter(cond).select("j", "v").collect():
-        t = ts[r["j"]]
-        done[(t["col"], t["k"])] = r["v"]
-
-
-def _rank_in_bins(x: DataFrame, ts: list[dict], done: dict) -> None:
-    """Value at each target rank inside its bin [lo, hi]: rows outside every
-    range are dropped by a plain predicate; the remaining values of the
-    target columns are joined on the column number to the ranges (at most
-    two per column, broadcast) and ranked inside each range (at most
-    ``RANK_LIMIT`` rows per window partition). No per-target structs are
-    built per row; up to ``FEW_RANGES`` ranges the struct form is used
-    instead (cheaper to plan and run when the targets are few)."""
-    spark = x.sparkSession
-    ranges = sorted({(t["col"], t["lo"], t["hi"]) for t in ts})
-    if len(ranges) <= FEW_RANGES:
-        _rank_few(x, ts, done)
-        return
-    gid = {r: g for g, r in enumerate(ranges)}
-    rdf = spark.createDataFrame([(j, lo, hi, g) for (j, lo, hi), g in gid.items()],
-                                "j int, lo double, hi double, g int")
-    pdf = spark.createDataFrame([(gid[(t["col"], t["lo"], t["hi"])], t["k"] - t["below"] + 1, t["col"], t["k"]) for t in ts],
-                                "g int, r long, tj int, k long")
-    cols = sorted({j for j, _, _ in ranges})
-    any_ok = reduce(lambda a, c: a | c, [F.col(f"c{j}").between(F.lit(lo), F.lit(hi)) for j, lo, hi in ranges])
-    long = (x.filter(any_ok)
-             .select(F.inline(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"c{j}").alias("v")) for j in cols])))
-             .filter(F.col("v").isNotNull()))
-    b = F.broadcast(rdf)
-    inside = long.join(b, (long["j"] == b["j"]) & long["v"].between(b["lo"], b["hi"])).select("g", "v")
-    ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("v")))
-    for row in ranked.join(F.broadcast(pdf), ["g", "r"]).select("tj", "k", "v").collect():
-        done[(row["tj"], row["k"])] = row["v"]
-
-
-def _column_stats(x: DataFrame, cols: list[str], stats: Sequence[str], median: bool) -> list[dict]:
-    """Pass 1 (one scan): per column the moments and, by grouping sets on
-    (column, bin) and (column), a log-scale histogram whose cumulative
-    counts (a window over the bins of one column, bounded by the bin count)
-    pick the bin of each middle rank; only those bins and the per-column
-    rows reach the driver. Pass 2 ranks inside the chosen bins, or refines
-    a still-crowded bin with equal-width histograms."""
-    long = _long_form(x, len(cols), median)
-    sets = [["j", "b"], ["j"]] if median else [["j"]]
-    # the aggregate (one row per column and bin) feeds three branches that
-    # keep different columns; cached, it is computed by one scan instead of
-    # one pruned copy per branch
-    g = long.groupingSets(sets, "j", "b").agg(
-        F.grouping_id().alias("gid"), F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),
-        *[STAT_FUNCS[s_]("v").alias(s_) for s_ in stats]).persist(StorageLevel.MEMORY_AND_DISK)
-    per_col = g.filter(F.col("gid") == 1).drop("b")
-    try:
-        got = per_col.collect()          # computes and caches the aggregate
+    with reusable(df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])) as x:
+        aggs = [F.count(F.lit(1)).alias("total")]
+        for i in range(len(cols)):
+            v = F.col(f"c{i}")
+            aggs += [F.count(v).alias(f"n{i}"), *[STAT_FUNCS[s](v).alias(f"{s}{i}") for s in stats]]
+            if median:
+                aggs.append(bracket(v, F.lit(0.5), F.lit(0.5), accuracy).alias(f"q{i}"))
+        r = x.agg(*aggs).first()
+        out = [{"pos": i, "column": c, "count": r[f"n{i}"], "total": r["total"], "median": None,
+                **{s: r[f"{s}{i}"] for s in stats}} for i, c in enumerate(cols)]
         if median:
-            # a column's count is the sum of its bins (no self-join); the
-            # window runs over bins, read back from the cache
-            w = Window.partitionBy("j").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-            bins = (g.filter(F.col("gid") == 0).select("j", "b", "n", "mn", "mx")
-                     .withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-                     .withColumn("__nj", F.sum("n").over(Window.partitionBy("j"))))
-            lo_k, hi_k = F.floor((F.col("__nj") - 1) / 2), F.floor(F.col("__nj") / 2)
-            holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
-            got += bins.filter(holds(lo_k) | holds(hi_k)).drop("__nj").withColumn("gid", F.lit(0)).collect()
-    finally:
-        g.unpersist()
-    head = {r["j"]: r for r in got if r["gid"] == 1}
-    total = head[-1]["n"] if -1 in head else 0
-    out = []
-    for i, name in enumerate(cols):
-        r = head.get(i)
-        d = {"pos": i, "column": name, "count": r["n"] if r else 0, "total": total, "median": None}
-        d.update({s_: (r[s_] if r else None) for s_ in stats})
-        out.append(d)
-    if median:
-        chosen_bins: dict = {}
-        for r in got:
-            if r["gid"] == 0:
-                chosen_bins.setdefault(r["j"], []).append(r)
-        values: dict = {}
-        rank, refine = [], []
-        for i, d in enumerate(out):
-            n = d["count"] or 0
-            for k in sorted({(n - 1) // 2, n // 2}) if n else []:
-                b = next(b for b in chosen_bins[i] if b["before"] <= k < b["before"] + b["n"])
-                p_, mn, mx = k - b["before"], b["mn"], b["mx"]
-                if mn == mx or mn != mn or p_ == 0:
-                    values[(i, k)] = mn
-                elif p_ == b["n"] - 1:
-                    values[(i, k)] = mx
-                else:
-                    t = {"col": i, "k": k, "lo": float(mn), "hi": float(mx), "below": b["before"], "n": b["n"],
-                         "b": b["b"]}
-                    (rank if b["n"] <= RANK_LIMIT else refine).append(t)
-        if rank:
-            _rank_in_bins(x, rank, values)
-        if refine:
-            values.update(_rank_values(x, refine))
-        for i, d in enumerate(out):
-            n = d["count"] or 0
-            if n:
-                a, b = values[(i, (n - 1) // 2)], values[(i, n // 2)]
-                d["median"] = a if a == b else (a + b) / 2.0
+            targets = [{"col": i, "n": d["count"], "lo": r[f"q{i}"][0], "hi": r[f"q{i}"][1], "below": 0, "inside": d["count"],
+                        "open": (None, None), "ranks": sorted({(d["count"] - 1) // 2, d["count"] // 2})}
+                       for i, d in enumerate(out) if d["count"]]
+            values = ranked_values(x, targets, keep, accuracy)
+            for i, d in enumerate(out):
+                if d["count"]:
+                    a, b = values[i, (d["count"] - 1) // 2], values[i, d["count"] // 2]
+                    d["median"] = a if a == b else (a + b) / 2.0
     return out
 
 
-BINS = 1024
-RANK_LIMIT = 2_000_000   # rows of one bin ranked in one window partition
-MAX_REFINE = 4
+def bracket(v: Column, low: Column, high: Column, accuracy: int) -> Column:
+    """[lo, hi]: values of ``v`` whose ranks, as shares, surround low to high:
+    the sketch's values two of its errors outside them."""
+    off = F.lit(2.0 / accuracy)
+    return F.percentile_approx(v, F.array(F.greatest(low - off, F.lit(0.0)), F.least(high + off, F.lit(1.0))), accuracy)
 
 
-def _rank_values(x: DataFrame, targets: list[dict]) -> dict:
-    """Value at 0-based rank ``k`` of each target column (ranks counted from
-    ``below`` rows under ``lo``), restricted to values in [lo, hi]."""
-    done: dict = {}
-    for step in range(MAX_REFINE + 1):
-        pending = [t for t in targets if (t["col"], t["k"]) not in done]
-        if not pending:
-            break
-        if step == MAX_REFINE:
-            _rank_in_bins(x, pending, done)
-            break
-        hist = _histograms(x, pending)
-        refine, rank = [], []
-        for j, t in enumerate(pending):
-            cum = t["below"]
-            for b in sorted(hist.get(j, {})):
-                n, mn, mx = hist[j][b]
-                if cum + n > t["k"]:
-                    p = t["k"] - cum
-                    if mn == mx or p == 0:
-                        done[(t["col"], t["k"])] = mn
-                    elif p == n - 1:
-                        done[(t["col"], t["k"])] = mx
-                    else:
-                        nt = dict(t, lo=mn, hi=mx, below=cum, n=n)
-                        (rank if n <= RANK_LIMIT else refine).append(nt)
-                    break
-                cum += n
-        if rank:
-            _rank_in_bins(x, rank, done)
-        targets = refine
-        if not refine:
-            break
-    return done
+def inside(v: Column, interval: tuple) -> Column:
+    """Whether a value lies in an open interval; None is no bound."""
+    a, b = interval
+    return (F.lit(True) if a is None else v > a) & (F.lit(True) if b is None else v < b) & v.isNotNull()
 
 
-def _histograms(x: DataFrame, ts: list[dict]) -> dict:
-    structs = []
-    for j, t in enumerate(ts):
-        v = F.col(f"c{t['col']}")
-        width = t["hi"] - t["lo"]
-        scale = BINS / width if width > 0 and width != float("inf") else 0.0
-        ok = v.between(F.lit(t["lo"]), F.lit(t["hi"]))
-        raw = F.floor((v - F.lit(t["lo"])) * F.lit(scale))
-        b = F.when(ok, F.least(F.greatest(raw, F.lit(0)), F.lit(BINS - 1)).cast("int"))
-        structs.append(F.struct(F.lit(j).alias("j"), b.alias("b"), v.alias("v"), ok.alias("ok")))
-    # rows outside every range are dropped by a plain predicate first; only
-    # the few remaining rows build the per-target structs
-    any_ok = reduce(lambda a, c: a | c, [F.col(f"c{t['col']}").between(F.lit(t["lo"]), F.lit(t["hi"])) for t in ts])
-    rows = (x.filter(any_ok).select(F.inline(F.array(*structs))).filter(F.col("ok"))
-             .groupBy("j", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-             .collect())
-    out: dict = {}
-    for r in rows:
-        out.setdefault(r["j"], {})[r["b"]] = (r["n"], r["mn"], r["mx"])
-    return out
-
-
-def _small_stats(df: DataFrame, cols: list[str], stats: Sequence[str]) -> list[dict]:
-    x = [F.col(c).cast("double") for c in cols]
-    aggs = [F.count(F.lit(1)).alias("__total")]
-    for i, c in enumerate(x):
-        aggs += [F.count(c).alias(f"n{i}"), F.median(c).alias(f"m{i}")] + [STAT_FUNCS[s](c).alias(f"{s}{i}") for s in stats]
-    r = df.agg(*aggs).first()
-    out = []
-    for i, name in enumerate(cols):
-        d = {"pos": i, "column": name, "count": r[f"n{i}"], "total": r["__total"], "median": r[f"m{i}"]}
-        d.update({s: r[f"{s}{i}"] for s in stats})
-        out.append(d)
-    return out
+def ranked_values(x: DataFrame, targets: list[dict], keep: int, accuracy: int) -> dict:
+    """{(column, rank): value} for 0-based ranks. Of each target, ``below``
+    rows lie under the open interval ``open``, ``inside`` rows in it, and
+    [``lo``, ``hi``] is the bracket to look at next."""
+    done: dict = {}
+    todo = targets
+    while todo:
+        aggs = []
+        for k, t in enumerate(todo):
+            v = F.col(f"c{t['col']}")
+            within = inside(v, t["open"])
+            inner = F.when((v > t["lo"]) & (v < t["hi"]), v)
+            aggs += [F.count_if(within & (v < t["lo"])).alias(f"below{k}"), F.count_if(within & (v == t["lo"])).alias(f"lo{k}"),
+                     F.count(inner).alias(f"in{k}"), F.count_if(within & (v == t["hi"])).alias(f"hi{k}")]
+            # the rows between the bracket's ends are at most six sketch errors
+            t["fits"] = 6 * t["inside"] / accuracy + 2 <= keep
+            if t["fits"]:
+                aggs.append(F.array_sort(F.collect_list(inner)).alias(f"v{k}"))
+        r = x.agg(*aggs).first()
+        after = []
+        for k, t in enumerate(todo):
+            lo, hi = t["lo"], t["hi"]
+            start = t["below"] + r[f"below{k}"]
+            at_lo, inner, at_hi = r[f"lo{k}"], r[f"in{k}"], r[f"hi{k}"] if hi != lo else 0
+            for rank in t["ranks"]:
+                p = rank - start
+                if 0 <= p < at_lo:
+                    done[t["col"], rank] = lo
+                elif 0 <= p - at_lo - inner < at_hi:
+                    done[t["col"], rank] = hi
+                elif at_lo <= p < at_lo + inner and t["fits"]:
+                    done[t["col"], rank] = r[f"v{k}"][p - at_lo]
+                elif at_lo <= p < at_lo + inner:
+                    share = (p - at_lo) / inner
+                    after.append({**t, "open": (lo, hi), "below": start + at_lo, "inside": inner, "ranks": [rank], "share": share})
+                elif p < 0:           # the sketch was off: look below the bracket
+                    after.append({**t, "open": (t["open"][0], lo), "inside": r[f"below{k}"], "ranks": [rank],
+                                  "share": (rank - t["below"]) / max(1, r[f"below{k}"])})
+                else:                 # or above it
+                    gone = at_lo + inner + at_hi
+                    after.append({**t, "open": (hi, t["open"][1]), "below": start + gone, "ranks": [rank],
+                                  "inside": t["inside"] - r[f"below{k}"] - gone,
+                                  "share": (p - gone) / max(1, t["inside"] - r[f"below{k}"] - gone)})
+        if after:
+            aggs = []
+            for k, t in enumerate(after):
+                v = F.col(f"c{t['col']}")
+                aggs.append(bracket(F.when(inside(v, t["open"]), v), F.lit(t["share"]), F.lit(t["share"]), accuracy).alias(f"q{k}"))
+            r = x.agg(*aggs).first()
+            for k, t in enumerate(after):
+                t["lo"], t["hi"] = r[f"q{k}"]
+        todo = after
+    return done

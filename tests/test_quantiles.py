@@ -9,12 +9,8 @@ from tabsieve.operators import quantiles as Q
 import pytest
 
 
-@pytest.mark.parametrize("few", [Q.FEW_RANGES, 0])
-@pytest.mark.parametrize("rank_limit", [50, Q.RANK_LIMIT])
-def test_medians_match_numpy(spark, monkeypatch, rank_limit, few):
-    monkeypatch.setattr(Q, "SMALL_ROWS", 10)          # force the bounded path
-    monkeypatch.setattr(Q, "RANK_LIMIT", rank_limit)  # 50: force refinement rounds
-    monkeypatch.setattr(Q, "FEW_RANGES", few)         # 0: wide-table forms (inline + range join)
+@pytest.mark.parametrize("keep,accuracy", [(Q.KEEP, Q.ACCURACY), (20, 50)])   # the second refines in rounds
+def test_medians_match_numpy(spark, keep, accuracy):
     rng = np.random.default_rng(3)
     n = 20001
     cols = {
@@ -31,7 +27,7 @@ def test_medians_match_numpy(spark, monkeypatch, rank_limit, few):
     }
     pdf = pd.DataFrame(cols)
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"{c} double" for c in cols))
-    got = {d["column"]: d for d in Q.column_stats(df, list(cols), ("mean", "min", "max"))}
+    got = {d["column"]: d for d in Q.column_stats(df, list(cols), ("mean", "min", "max"), keep=keep, accuracy=accuracy)}
     for c, v in cols.items():
         vals = v[~np.isnan(v)]
         if len(vals) == 0:
@@ -39,3 +35,16 @@ def test_medians_match_numpy(spark, monkeypatch, rank_limit, few):
         else:
             assert got[c]["median"] == np.median(vals), c
             assert got[c]["count"] == len(vals)
+
+
+def test_a_sketch_that_is_off_is_corrected(spark):
+    df = spark.range(1, 10_001).selectExpr("cast(id as double) AS c0")
+    for lo, hi in ((1.0, 3.0), (9000.0, 9500.0), (5000.0, 5000.0), (4990.0, 5001.0)):
+        t = {"col": 0, "n": 10_000, "lo": lo, "hi": hi, "below": 0, "inside": 10_000, "open": (None, None), "ranks": [4999, 5000]}
+        assert Q.ranked_values(df, [t], 50_000, 10_000) == {(0, 4999): 5000.0, (0, 5000): 5001.0}
+
+
+def test_nan_counts_as_null(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
+    (d,) = Q.column_stats(df, ["x"])
+    assert (d["count"], d["total"], d["median"], d["mean"]) == (2, 4, 2.0, 2.0)
