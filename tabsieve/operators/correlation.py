@@ -1,16 +1,11 @@
 """Pearson correlation of many columns.
 
-Two strategies, same result:
-
-* ``builtin``: one aggregate of ``F.corr`` per pair. Cheap for a handful of
-  columns; cost grows per aggregate, so it is used up to ``BUILTIN_MAX``
-  columns.
-* ``gram``: every task turns its Arrow batches into a NumPy block and emits,
-  per column pair, the masked partial sums n, sum x, sum y, sum x^2, sum y^2,
-  sum xy over the rows where both values are present (pairwise-complete,
-  like pandas). The partials are p*(p-1)/2 rows per task, independent of the
-  row count, and are summed by a ``groupBy(i, j)`` (map-side combined).
-  Columns are centred by their mean first to avoid cancellation.
+Every task turns its Arrow batches into a NumPy block and emits, per column
+pair, the masked partial sums n, sum x, sum y, sum x^2, sum y^2, sum xy over
+the rows where both values are present (pairwise-complete, like pandas). The
+partials are p*(p-1)/2 rows per task, independent of the row count, and are
+summed by a ``groupBy(i, j)`` (map-side combined). Columns are centred by
+their mean first to avoid cancellation. NaN counts as null.
 """
 
 from __future__ import annotations
@@ -22,10 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import nan_to_null
 from .partitioning import spread
 
-BUILTIN_MAX = 12
-
 _PARTIAL_SCHEMA = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
 
 
@@ -55,8 +49,7 @@ def _gram_partials(cols: Sequence[str], means: Sequence[float]):
     return run
 
 
-def correlation_pairs(df: DataFrame, cols: Sequence[str], fill: dict[str, float] | None = None,
-                      method: str = "auto") -> DataFrame:
+def correlation_pairs(df: DataFrame, cols: Sequence[str], fill: dict[str, float] | None = None) -> DataFrame:
     """Upper-triangle pairs (i, j, col_i, col_j, n, r) with i < j.
 
     ``fill``: per-column constants substituted for nulls first (the median
@@ -64,40 +57,20 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], fill: dict[str, float]
     null when either side has zero variance on the shared rows.
     """
     cols = list(cols)
-    x = df.select(*[(F.coalesce(F.col(c).cast("double"), F.lit(float(fill[c]))) if fill and c in fill
-                     else F.col(c).cast("double")).alias(c) for c in cols])
+    value = {c: nan_to_null(F.col(c).cast("double")) for c in cols}
+    x = df.select(*[(F.coalesce(value[c], F.lit(float(fill[c]))) if fill and c in fill else value[c]).alias(c) for c in cols])
     names = F.array(*[F.lit(c) for c in cols])
-    if method == "builtin" or (method == "auto" and len(cols) <= BUILTIN_MAX):
-        aggs, rows = [], []
-        k = 0
-        for i in range(len(cols)):
-            for j in range(i + 1, len(cols)):
-                a, b = F.col(cols[i]), F.col(cols[j])
-                both = a.isNotNull() & b.isNotNull()
-                # F.corr raises DIVIDE_BY_ZERO under ANSI on a constant column,
-                # so the guarded form is spelled out on the shared rows.
-                xa, xb = F.when(both, a), F.when(both, b)
-                va, vb = F.var_pop(xa), F.var_pop(xb)
-                r = F.when((va > 0) & (vb > 0), F.covar_pop(xa, xb) / F.sqrt(va * vb))
-                aggs += [r.alias(f"r{k}"), F.count_if(both).alias(f"n{k}")]
-                rows.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                     F.col(f"n{k}").cast("double").alias("n"), F.col(f"r{k}").alias("r")))
-                k += 1
-        if not rows:
-            return df.sparkSession.createDataFrame([], "i int, j int, col_i string, col_j string, n double, r double")
-        out = x.agg(*aggs).select(F.inline(F.array(*rows)))
-    else:
-        means = x.agg(*[F.mean(c).alias(c) for c in cols]).first()
-        mu = [float(means[c]) if means[c] is not None else 0.0 for c in cols]
-        parts = spread(x).mapInPandas(_gram_partials(cols, mu), _PARTIAL_SCHEMA)
-        s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-        n = F.col("n")
-        cov = n * F.col("sxy") - F.col("sx") * F.col("sy")
-        vx = n * F.col("sxx") - F.col("sx") * F.col("sx")
-        vy = n * F.col("syy") - F.col("sy") * F.col("sy")
-        r = F.when((n > 1) & (vx > 0) & (vy > 0),
-                   F.least(F.greatest(cov / F.sqrt(vx * vy), F.lit(-1.0)), F.lit(1.0)))
-        out = s.select("i", "j", "n", r.alias("r"))
+    means = x.agg(*[F.mean(c).alias(c) for c in cols]).first()
+    mu = [float(means[c]) if means[c] is not None else 0.0 for c in cols]
+    parts = spread(x).mapInPandas(_gram_partials(cols, mu), _PARTIAL_SCHEMA)
+    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+    cov = n * F.col("sxy") - F.col("sx") * F.col("sy")
+    vx = n * F.col("sxx") - F.col("sx") * F.col("sx")
+    vy = n * F.col("syy") - F.col("sy") * F.col("sy")
+    r = F.when((n > 1) & (vx > 0) & (vy > 0),
+               F.least(F.greatest(cov / F.sqrt(vx * vy), F.lit(-1.0)), F.lit(1.0)))
+    out = s.select("i", "j", "n", r.alias("r"))
     return out.select("i", "j", F.element_at(names, F.col("i") + 1).alias("col_i"),
                       F.element_at(names, F.col("j") + 1).alias("col_j"), "n", "r")
 

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .correlation import correlation_pairs
-from .partitioning import reusable
 from .quantiles import column_stats
 
 # Default thresholds of the reference's selection rules.
@@ -46,11 +45,8 @@ def select_features(df: DataFrame, cols: Sequence[str], missing: float = MISSING
 
     Returns one row per input column with the decision and its reason.
     """
-    with reusable(df.select(*cols)) as x:
-        return _select(x, list(cols), missing, corr_threshold, fill)
-
-
-def _select(df: DataFrame, cols: list[str], missing: float, corr_threshold: float, fill: str) -> DataFrame:
+    cols = list(cols)
+    df = df.select(*cols)
     spark: SparkSession = df.sparkSession
     prof = column_profile(df, cols)
     decision = {}

@@ -6,12 +6,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.scalar import nan_to_null_all
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; NaN in its number columns is read as null."""
+    return nan_to_null_all(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 class Tables:

@@ -69,20 +69,18 @@ def test_confusion_total_equals_support(tables_small):
     assert m[["FILLED", "OPEN", "PARTIAL_FILL"]].to_numpy().sum() == rep.loc["accuracy", "support"]
 
 
-def test_gram_and_builtin_correlation_agree_with_pandas(spark):
+def test_correlation_agrees_with_pandas(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 15))
     x[:, 3] = x[:, 2] * 2 + rng.normal(scale=0.01, size=3000)
     x[rng.random(x.shape) < 0.1] = np.nan
     pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(15)])
-    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None))
+    df = spark.createDataFrame(pdf)                      # NaN stays NaN: it counts as null
     cols = list(pdf.columns)
-    gram = {(r["i"], r["j"]): r["r"] for r in correlation_pairs(df, cols, method="gram").collect()}
-    built = {(r["i"], r["j"]): r["r"] for r in correlation_pairs(df, cols, method="builtin").collect()}
+    gram = {(r["i"], r["j"]): r["r"] for r in correlation_pairs(df, cols).collect()}
     ref = pdf.corr()
     for (i, j), v in gram.items():
         assert v == pytest.approx(ref.iloc[i, j], abs=1e-9)
-        assert built[(i, j)] == pytest.approx(v, abs=1e-9)
 
 
 def test_selection_rule_matches_pandas_rule(spark):
@@ -105,17 +103,37 @@ def test_selection_rule_matches_pandas_rule(spark):
     assert sorted(c for c, r in got.items() if r == "correlated") == sorted(drop)
 
 
-def test_report_with_many_classes_uses_distributed_table(tables_mid, monkeypatch):
+def test_one_nan_does_not_drop_a_column(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 2))
+    x[3, 1] = np.nan
+    got = select_features(spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"])), ["a", "b"]).collect()
+    assert [r["reason"] for r in got] == [None, None]
+
+
+def test_rows_without_a_label_keep_a_part(spark):
+    from tabsieve.operators import split as S
+
+    df = spark.createDataFrame([(i, "x" if i % 3 else None) for i in range(30)], "k long, y string")
+    got = S.stratified_split(df, "y", ["k"]).collect()
+    assert len(got) == 30 and {r["split"] for r in got if r["y"] is None} == {S.UNLABELLED}
+    assert all(r["rank"] is None for r in got if r["y"] is None)
+    folds = S.stratified_folds(df, "y", ["k"]).collect()
+    assert len(folds) == 30 and all((r["fold"] is None) == (r["y"] is None) for r in folds)
+
+
+def test_report_with_many_classes(tables_mid):
     from pyspark.sql import functions as F
     from tabsieve.operators import evaluate as E
 
     li = tables_mid.lineitem.select((F.col("l_orderkey") % 150).cast("string").alias("a"),
                                     (F.col("l_partkey") % 150).cast("string").alias("p"))
-    assert E.confusion_long(li, "a", "p").count() > E.LOCAL_PAIRS
+    assert E.confusion_long(li, "a", "p").count() > 10_000
     big = {r["label"]: tuple(r)[1:] for r in E.classification_report(li, "a", "p", digits=9).collect()}
-    monkeypatch.setattr(E, "LOCAL_PAIRS", 1_000_000)
-    local = {r["label"]: tuple(r)[1:] for r in E.classification_report(li, "a", "p", digits=9).collect()}
-    assert big == local and len(big) == 153
+    assert len(big) == 153
+    pdf = li.toPandas()
+    assert big["accuracy"][0] == pytest.approx((pdf.a == pdf.p).mean(), abs=1e-9)
+    assert big["7"][0] == pytest.approx(((pdf.a == "7") & (pdf.p == "7")).sum() / (pdf.p == "7").sum(), abs=1e-9)
     assert big["accuracy"][3] == li.count()
 
 
