@@ -2,8 +2,9 @@
 
 Plain Parquet has no row-level MERGE, so a keyed update is a left join of
 the target with the update set (co-partitioned on the key by the planner)
-that writes a NEW snapshot folder; a small pointer table then names the
-current snapshot. Readers never see a half-written table, and a lost
+that writes a NEW snapshot folder; a one-row pointer file, appended for each
+version, then names it, and the newest pointer is the current one. No file is
+ever replaced: readers see the version before or the one after, and a lost
 executor only re-runs tasks of the snapshot being written.
 """
 
@@ -13,6 +14,7 @@ import time
 import uuid
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,16 +74,27 @@ def has_values(df: DataFrame, col: str) -> bool:
 
 
 # ---------------------------------------------------------------- snapshots
+POINTER = "path string, version long"
+
+
 def _pointer(base: str) -> str:
     return f"{base.rstrip('/')}/_current"
 
 
 def current_snapshot(spark: SparkSession, base: str) -> str | None:
+    """The newest published snapshot's folder; None before the first publish
+    (no pointer folder). A pointer folder that cannot be read, or holds no
+    pointer, is an error: it never counts as a first publish."""
     try:
-        r = spark.read.json(_pointer(base)).orderBy(F.desc("written_at")).first()
-    except Exception:  # no pointer yet
+        pointers = spark.read.schema(POINTER).json(_pointer(base))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return r["path"] if r else None
+    r = pointers.filter(F.col("path").isNotNull()).orderBy(F.desc("version")).first()
+    if r is None:
+        raise RuntimeError(f"{_pointer(base)} names no snapshot")
+    return r["path"]
 
 
 def read_current(spark: SparkSession, base: str) -> DataFrame | None:
@@ -90,15 +103,14 @@ def read_current(spark: SparkSession, base: str) -> DataFrame | None:
 
 
 def write_snapshot(df: DataFrame, base: str, partition_by: Sequence[str] = ()) -> str:
-    """Write ``df`` to a fresh snapshot folder, then swap the pointer."""
+    """Write ``df`` to a fresh snapshot folder, then append its pointer."""
     spark = df.sparkSession
     path = f"{base.rstrip('/')}/snapshot-{time.strftime('%Y%m%d_%H%M%S')}-{uuid.uuid4().hex[:8]}"
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    spark.createDataFrame([(path, time.time())], "path string, written_at double") \
-         .coalesce(1).write.mode("overwrite").json(_pointer(base))
+    spark.createDataFrame([(path, time.time_ns())], POINTER).coalesce(1).write.mode("append").json(_pointer(base))
     return path
 
 
