@@ -1,173 +1,145 @@
 """Exact nearest-neighbour retrieval and context assembly (J4, X12, O7,
 T12-T14, T18, M18).
 
-Exact top-k without a join of all pairs: the query batch (checked to be at
-most ``MAX_QUERY_ROWS`` vectors) is shipped to the executors as a broadcast
-variable; each task scans its share of the corpus once with NumPy, keeps per
-query only the candidates that can still be in the top k (every row tied
-with the k-th distance included, so tie-breaking by id stays exact), and
-emits those few rows. A final ``row_number() <= k`` per query over the
-candidates (tasks x queries x k rows; the scan is coalesced to a few tasks
-per core, so this does not grow with the corpus) picks the answer. Corpus
-rows never move across the network; only candidates are shuffled. A query set over the
-budget is split into hash batches that each fit it (one corpus scan per
-batch), so there is no cap on the number of queries.
+Exact top-k without a join of all pairs: a batch of queries (bounded in rows
+and bytes) is broadcast; each task scans its share of the corpus once with
+NumPy and keeps exactly k rows per query by (distance, id). The matrix
+product gives distances up to rounding; only rows that could be among the k
+are measured exactly. Candidates (tasks x queries x k rows) are merged in two
+steps, first in groups of tasks, then per query. Corpus rows never move
+across the network. A query set of any size is cut into batches, one after
+the other: a batch's answers are written to the shared folder and its matrix
+released before the next is read.
 """
 
 from __future__ import annotations
 
+import heapq
 from typing import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import _c, truncate_text
-from .partitioning import is_narrow, parallelism, spread
-
-MAX_QUERY_ROWS = 50_000          # per broadcast batch; larger sets are split
-MAX_QUERY_BYTES = 256 << 20      # vectors as float64
-_BLOCK_ELEMS = 8_000_000         # queries x rows x dims per NumPy block
-SCAN_TASKS_PER_CORE = 4          # corpus scan tasks per core (bounds candidates)
-
-
-def sq_l2(a, b) -> Column:
-    """Squared L2 distance of two array columns, in double."""
-    return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: (x.cast("double") - y.cast("double")) ** 2),
-                       F.lit(0.0), lambda acc, v: acc + v)
-
-
-def _collect_queries(queries: DataFrame, qid: str, vec: str, max_rows: int) -> tuple[np.ndarray, list] | None:
-    """The query batch as a matrix, or None when it is over the row or byte
-    budget (the caller then splits it)."""
-    rows = queries.select(qid, vec).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    ids = [r[0] for r in rows]
-    q = np.array([np.asarray(r[1], dtype="float64") for r in rows], dtype="float64")
-    if q.nbytes > MAX_QUERY_BYTES:
-        return None
-    return q, ids
-
-
-def _query_batches(queries: DataFrame, qid: str, vec: str, max_rows: int) -> list[DataFrame]:
-    """Split an over-budget query set into hash batches that each fit the
-    broadcast budget. Only per-batch counts reach the driver; a batch that
-    still comes out too large (hash imbalance) doubles the batch count."""
-    n = queries.count()
-    dims = queries.select(F.max(F.size(vec)).alias("d")).first()["d"] or 1
-    per = max(1, min(max_rows, MAX_QUERY_BYTES // (8 * dims)))
-    b = max(2, -(-2 * n // per))
-    while True:
-        keyed = queries.withColumn("__qb", F.pmod(F.xxhash64(F.col(qid)), F.lit(b)))
-        big = keyed.groupBy("__qb").count().agg(F.max("count").alias("m")).first()["m"]
-        if big is None or big <= per:
-            return [keyed.filter(F.col("__qb") == i).drop("__qb") for i in range(b)]
-        b *= 2
+from ..functions.scalar import truncate_text
+from ..session import scratch_path
+from .partitioning import spread
+from .publish import assert_unique
+
+MAX_QUERY_ROWS = 50_000          # of a batch
+MAX_QUERY_BYTES = 256 << 20      # of a batch, vectors as float64
+_BLOCK_ELEMS = 4_000_000         # queries x rows of a block of distances
+MERGE_GROUPS = 256               # groups of tasks in the first merge
+
 
+def finite_vectors(df: DataFrame, vec: str) -> DataFrame:
+    """Rows whose vector has only finite numbers (no null, NaN, infinity)."""
+    ok = F.forall(F.col(vec), lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))
+    return df.filter(F.col(vec).isNotNull() & ok)
 
-def _partial_topk(bq, qids: list, k: int, id_col: str, vec_col: str, payload: Sequence[str] = ()):
+
+def query_batches(queries: DataFrame, qid: str, vec: str, max_rows: int) -> Iterator[tuple[list, np.ndarray]]:
+    """(ids, matrix) of each batch, one at a time: unique ids hashed into as
+    many batches as the largest needs to fit (only counts are read first)."""
+    dims, n = queries.agg(F.max(F.size(vec)), F.count(F.lit(1))).first()
+    per = max(1, min(max_rows, MAX_QUERY_BYTES // (8 * max(1, dims or 1))))
+    b = max(1, -(-n // per))
+    while True:
+        keyed = queries.withColumn("__qb", F.pmod(F.xxhash64(qid), F.lit(b)))
+        sizes = {r[0]: r[1] for r in keyed.groupBy("__qb").count().collect()}
+        if max(sizes.values(), default=0) <= per:
+            break
+        b *= 2
+    for k in sorted(sizes):
+        rows = keyed.filter(F.col("__qb") == k).select(qid, vec).collect()
+        yield [r[0] for r in rows], np.array([r[1] for r in rows], dtype="float64")
+
+
+class _Best:
+    """The k best (distance, ids, payload) of each query so far."""
+
+    def __init__(self, q: np.ndarray, k: int):
+        self.q, self.k, self.q2 = q, k, (q * q).sum(1)
+        self.kept: list[list[tuple]] = [[] for _ in q]
+        self.last = np.full(len(q), np.inf)        # the k-th distance
+
+    def add(self, v: np.ndarray, rows: list[tuple]) -> None:
+        v2 = (v * v).sum(1)
+        step = max(1, _BLOCK_ELEMS // max(1, len(v)))
+        for lo in range(0, len(self.q), step):
+            q2 = self.q2[lo:lo + step, None]
+            about = q2 + v2[None, :] - 2.0 * (self.q[lo:lo + step] @ v.T)
+            off = 1e-10 * (q2[:, 0] + v2.max(initial=0.0))       # more than the product's rounding
+            within = np.minimum(self.last[lo:lo + step], np.partition(about, self.k - 1, axis=1)[:, self.k - 1]
+                                if len(v) >= self.k else np.inf) + 2 * off
+            for j in np.flatnonzero((about <= within[:, None]).any(1)):
+                at = np.flatnonzero(about[j] <= within[j])
+                exact = ((v[at] - self.q[lo + j]) ** 2).sum(1)
+                best = heapq.nsmallest(self.k, self.kept[lo + j] + [(d, *rows[i]) for d, i in zip(exact.tolist(), at)],
+                                       key=lambda r: r[:2])
+                self.kept[lo + j] = best
+                if len(best) == self.k:
+                    self.last[lo + j] = best[-1][0]
+
+
+def _scan(shared, k: int, ids: Sequence[str], vec: str, payload: Sequence[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = bq.value
-        m = len(q)
-        cand_d = [np.empty(0)] * m
-        cand_i: list = [np.empty(0, dtype=object)] * m
-        cand_p: list = [np.empty((0, len(payload)), dtype=object)] * m
+        names, q = shared.value
+        best = _Best(q, k)
         for pdf in batches:
-            pdf = pdf[pdf[vec_col].notna()]
-            if len(pdf) == 0 or m == 0:
-                continue
-            v = np.stack([np.asarray(x, dtype="float64") for x in pdf[vec_col].to_numpy()])
-            ids = pdf[id_col].to_numpy()
-            pay = pdf[list(payload)].to_numpy(dtype=object) if payload else np.empty((len(pdf), 0), dtype=object)
-            d = v.shape[1]
-            qb = max(1, _BLOCK_ELEMS // max(1, len(v) * d))
-            for s in range(0, m, qb):
-                blk = ((q[s:s + qb, None, :] - v[None, :, :]) ** 2).sum(axis=2)
-                for r in range(blk.shape[0]):
-                    j = s + r
-                    dd = np.concatenate([cand_d[j], blk[r]])
-                    ii = np.concatenate([cand_i[j], ids])
-                    pp = np.concatenate([cand_p[j], pay])
-                    if len(dd) > k:
-                        kth = np.partition(dd, k - 1)[k - 1]
-                        keep = dd <= kth
-                        dd, ii, pp = dd[keep], ii[keep], pp[keep]
-                    cand_d[j], cand_i[j], cand_p[j] = dd, ii, pp
-        out_q, out_i, out_d = [], [], []
-        out_p = [[] for _ in payload]
-        for j in range(m):
-            out_q += [qids[j]] * len(cand_d[j])
-            out_i += list(cand_i[j])
-            out_d += list(cand_d[j])
-            for c in range(len(payload)):
-                out_p[c] += list(cand_p[j][:, c])
-        if out_q:
-            cols = {"qid": out_q, "id": out_i, "dist": out_d}
-            cols.update({name: vals for name, vals in zip(payload, out_p)})
-            yield pd.DataFrame(cols)
+            if len(pdf):
+                keys = list(zip(*[pdf[c].tolist() for c in ids]))
+                extra = list(zip(*[pdf[c].tolist() for c in payload])) if payload else [()] * len(pdf)
+                best.add(np.array(pdf[vec].tolist(), dtype="float64"), list(zip(keys, extra)))
+        out = [(name, *key, d, *extra) for name, rows in zip(names, best.kept) for d, key, extra in rows]
+        if out:
+            yield pd.DataFrame(out, columns=["qid", *ids, "dist", *payload])
     return run
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, query_id: str,
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str | Sequence[str], query_id: str,
             vec_col: str = "embedding", query_vec_col: str | None = None, payload: Sequence[str] = (),
             max_query_rows: int = MAX_QUERY_ROWS) -> DataFrame:
     """For every query, the k nearest corpus rows by squared L2
-    (ascending, ties by corpus id): (query_id, rank, corpus_id, dist,
-    *payload). ``payload`` columns (e.g. the chunk text) travel with the few
-    candidates, so no second pass over the corpus is needed to fetch them.
-    k is capped by the corpus size naturally (fewer rows, fewer ranks).
-    Query sets over ``max_query_rows`` (or the byte budget) are split into
-    hash batches, one corpus scan each; the answer stays exact."""
+    (ascending, ties by the corpus id columns in order): (query_id, rank,
+    *corpus id, dist, *payload). Vectors with a null, NaN or infinite number
+    take no part on either side; query ids must be unique. ``payload``
+    columns (e.g. the chunk text) travel with the candidates, so no second
+    pass over the corpus fetches them. Fewer corpus rows than k give fewer
+    ranks."""
     spark = corpus.sparkSession
+    ids = [corpus_id] if isinstance(corpus_id, str) else list(corpus_id)
     qvec = query_vec_col or vec_col
-    qsel = queries.select(query_id, qvec)
+    asked = finite_vectors(queries.select(query_id, qvec), qvec)
+    assert_unique(asked, query_id)
+    kind = lambda df, c: f"`{c}` {df.schema[c].dataType.simpleString()}"
     qtype = queries.schema[query_id].dataType.simpleString()
-    itype = corpus.schema[corpus_id].dataType.simpleString()
-    pschema = "".join(f", `{c}` {corpus.schema[c].dataType.simpleString()}" for c in payload)
-    body = corpus.select(corpus_id, vec_col, *payload)
-    # every scan task emits up to (batch x k) candidates, so the candidate
-    # volume is bounded by bounding the task count: a narrow input is spread
-    # over the cores; a large one is coalesced (no shuffle) to a few tasks
-    # per core, each reading several splits
-    body = spread(body) if is_narrow(body) else body.coalesce(SCAN_TASKS_PER_CORE * parallelism(body))
-
-    def candidates(batch) -> DataFrame:
-        q, qids = batch
-        bq = spark.sparkContext.broadcast(q)
-        return body.mapInPandas(_partial_topk(bq, qids, k, corpus_id, vec_col, payload),
-                                f"qid {qtype}, id {itype}, dist double{pschema}")
-
-    one = _collect_queries(qsel, query_id, qvec, max_query_rows)
-    if one is not None:
-        cand = candidates(one)
-    else:
-        # every query lies in exactly one batch, so the union of per-batch
-        # candidates holds each query's exact top k
-        parts = []
-        for part in _query_batches(qsel, query_id, qvec, max_query_rows):
-            got = _collect_queries(part, query_id, qvec, max_query_rows)
-            if got is None:   # batches are sized by rows and bytes: never drop queries
-                raise RuntimeError("a query batch exceeds the broadcast budget after splitting")
-            if got[1]:
-                parts.append(candidates(got))
-        cand = parts[0]
-        for p_ in parts[1:]:
-            cand = cand.unionByName(p_)
-    w = Window.partitionBy("qid").orderBy(F.col("dist"), F.col("id"))
-    top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.select(F.col("qid").alias(query_id), "rank", F.col("id").alias(corpus_id), "dist", *payload)
-
-
-def knn_vote(neighbours: DataFrame, labels: DataFrame, query_id: str, corpus_id: str, label: str,
-             weights: str = "uniform") -> DataFrame:
-    """Label by neighbour vote. ``uniform`` counts votes, ``distance``
+    schema = ", ".join([f"qid {qtype}", *[kind(corpus, c) for c in ids], "dist double", *[kind(corpus, c) for c in payload]])
+    body = spread(finite_vectors(corpus.select(*ids, vec_col, *payload), vec_col))
+    path = scratch_path(spark, "nearest")
+    order = [F.col("dist"), *[F.col(f"`{c}`") for c in ids]]
+    group = Window.partitionBy("qid", "__g").orderBy(*order)
+    every = Window.partitionBy("qid").orderBy(*order)
+    answer = spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    answer.write.parquet(path)
+    for batch in query_batches(asked, query_id, qvec, max_query_rows):
+        shared = spark.sparkContext.broadcast(batch)
+        cand = body.mapInPandas(_scan(shared, k, ids, vec_col, list(payload)), schema)
+        cand = cand.withColumn("__g", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
+        cand = cand.withColumn("__r", F.row_number().over(group)).filter(F.col("__r") <= k).drop("__g", "__r")
+        cand.withColumn("rank", F.row_number().over(every)).filter(F.col("rank") <= k).write.mode("append").parquet(path)
+        shared.destroy()
+    top = spark.read.schema(answer.schema).parquet(path)
+    return top.select(F.col("qid").alias(query_id), "rank", *ids, "dist", *payload)
+
+
+def knn_vote(neighbours: DataFrame, query_id: str, label: str, weights: str = "uniform") -> DataFrame:
+    """Label by neighbour vote; the label travels with the neighbours
+    (``nearest(..., payload=[label])``). ``uniform`` counts votes, ``distance``
     weights by 1/dist (an exact match takes the vote alone). Ties go to the
-    smallest label. When the label already travels with the neighbours
-    (``nearest(..., payload=[label])``) no join is needed; otherwise it is
-    joined by corpus id (k rows per query)."""
-    j = neighbours if label in neighbours.columns else neighbours.join(labels.select(corpus_id, label), corpus_id)
+    smallest label."""
+    j = neighbours
     if weights == "distance":
         has0 = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy(query_id))
         w = F.when(has0 == 1, F.when(F.col("dist") == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(F.lit(1.0) / F.col("dist"))
@@ -191,13 +163,12 @@ def _template(t: str, domain: str) -> str:
     return t.replace("{domain}", domain).replace("%", "%%").replace("{context}", "%1$s").replace("{question}", "%2$s")
 
 
-def assemble_context(hits: DataFrame, docs: DataFrame, query_id: str, corpus_id: str, text_col: str = "text",
-                     extra_cols: Sequence[str] = ()) -> DataFrame:
+def assemble_context(hits: DataFrame, query_id: str, text_col: str = "text", extra_cols: Sequence[str] = ()) -> DataFrame:
     """Per query, the context string ``[Document i]:\\n<text>``
     joined by blank lines in rank order, the number of sources and the
-    sources (text cut to 500 chars + '...', score, extra columns)."""
-    need = [text_col, *extra_cols]
-    j = hits if all(c in hits.columns for c in need) else hits.join(docs.select(corpus_id, *need), corpus_id)
+    sources (text cut to 500 chars + '...', score, extra columns). The text
+    travels with the hits."""
+    j = hits
     item = F.struct(F.col("rank"), F.col(text_col).alias("text"), F.col("dist").alias("score"), *[F.col(c) for c in extra_cols])
     g = j.groupBy(query_id).agg(F.array_sort(F.collect_list(item)).alias("__items"))
     ctx = F.array_join(F.transform("__items", lambda s: F.concat(F.lit("[Document "), s["rank"].cast("string"),

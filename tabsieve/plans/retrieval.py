@@ -16,7 +16,6 @@ from ..sources.tables import Tables
 from . import corpus as K
 
 TOP_K = 5
-CHUNK_ID_BASE = 100_000  # chunk_id = doc_id * base + chunk_index
 
 
 def centroids(emb: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
@@ -45,21 +44,29 @@ def knn_quality(t: Tables) -> DataFrame:
     docs = labelled_documents(t)
     # the label travels with the candidates: no join back to the documents
     hits = R.nearest(docs, benchmark_queries(t), TOP_K, "doc_id", "item_id", payload=["quality"])
-    v = R.knn_vote(hits, docs, "item_id", "doc_id", "quality", weights="uniform")
-    return v.select("item_id", "predicted", "votes")
+    return R.knn_vote(hits, "item_id", "quality", weights="uniform").select("item_id", "predicted", "votes")
+
+
+def knn_distance(t: Tables) -> DataFrame:
+    """M18 with distance weights: the class of embeddings in even places from
+    those in odd ones."""
+    emb = t.embeddings
+    hits = R.nearest(emb.filter("vec_id % 2 = 1"), emb.filter("vec_id % 2 = 0").select(
+        F.col("vec_id").alias("qid"), "embedding"), TOP_K, "vec_id", "qid", payload=["label"])
+    v = R.knn_vote(hits, "qid", "label", weights="distance")
+    return v.select("qid", "predicted", round_half_up("votes", 6).alias("votes"))
 
 
 def chunk_corpus(t: Tables) -> DataFrame:
     ch = K.chunks(t)
-    return ch.select((F.col("doc_id") * CHUNK_ID_BASE + F.col("chunk_index")).alias("chunk_id"), "text",
-                     letter_counts("text").alias("embedding"))
+    return ch.select("doc_id", "chunk_index", "text", letter_counts("text").alias("embedding"))
 
 
 def rag_context(t: Tables) -> DataFrame:
     corpus = chunk_corpus(t)
     qs = benchmark_queries(t)
-    hits = R.nearest(corpus, qs, TOP_K, "chunk_id", "item_id", payload=["text"])
-    ctx = R.assemble_context(hits, corpus, "item_id", "chunk_id", "text")
+    hits = R.nearest(corpus, qs, TOP_K, ["doc_id", "chunk_index"], "item_id", payload=["text"])
+    ctx = R.assemble_context(hits, "item_id", "text")
     p = R.build_prompts(qs.select("item_id", F.col("text").alias("question")), ctx, "item_id", "question")
     return p.select("item_id", "num_sources", "context", "prompt",
                     F.col("sources")[0]["text"].alias("top_source"),

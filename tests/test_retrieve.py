@@ -2,6 +2,7 @@
 broadcast batch and split into many hash batches."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tabsieve.operators import retrieve as R
@@ -39,19 +40,39 @@ def test_nearest_single_and_batched_match_brute_force(tables_small):
     assert _spark_hits(batched) == want
 
 
+def test_ties_copies_and_broken_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, 2.0]) for i in range(10_000)] + [(20_000 + i, [float(x) for x in rng.normal(size=2)]) for i in range(50)]
+    rows += [(-1, [float("nan"), 0.0]), (-2, None), (-3, [float("inf"), 0.0]), (-4, [None, 1.0])]
+    emb = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    queries = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, None)], "qid long, embedding array<double>")
+    got = _spark_hits(R.nearest(emb, queries, K, "vec_id", "qid"))
+    ok = emb.filter("vec_id >= 0").toPandas()
+    assert got == _brute(ok, queries.filter("qid < 3").toPandas())
+    assert [i for i, _ in got[1]] == [0, 1, 2, 3, 4]
+
+
+def test_repeated_query_ids_are_refused(spark):
+    from tabsieve.operators.publish import DuplicateKeyError
+
+    emb = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0]), (1, [2.0])], "qid long, embedding array<double>")
+    with pytest.raises(DuplicateKeyError):
+        R.nearest(emb, queries, K, "vec_id", "qid")
+
+
 def test_query_batches_cover_each_query_once(tables_small):
     q = tables_small.embeddings.select(F.col("vec_id").alias("qid"), "embedding")
-    parts = R._query_batches(q, "qid", "embedding", 40)
-    ids = [r["qid"] for p in parts for r in p.select("qid").collect()]
-    sizes = [p.count() for p in parts]
+    parts = list(R.query_batches(q, "qid", "embedding", 40))
+    ids = [i for names, _ in parts for i in names]
+    sizes = [len(m) for _, m in parts]
     assert sorted(ids) == sorted(r["qid"] for r in q.select("qid").collect())
     assert max(sizes) <= 40
 
 
-def test_nearest_on_the_large_input_path(tables_small, monkeypatch):
+def test_partitions_do_not_matter(tables_small):
     emb = tables_small.embeddings
     queries = emb.select(F.col("vec_id").alias("qid"),
                          F.transform("embedding", lambda x: x * F.lit(0.5)).alias("embedding"))
     want = _brute(emb.toPandas(), queries.toPandas())
-    monkeypatch.setattr(R, "is_narrow", lambda df: False)   # coalesced scan instead of spread
     assert _spark_hits(R.nearest(emb.repartition(16), queries, K, "vec_id", "qid")) == want
