@@ -10,6 +10,7 @@ slower. No shuffle is introduced; the output keeps the input partitioning.
 
 from __future__ import annotations
 
+from itertools import pairwise
 from typing import Iterator, Sequence
 
 import pandas as pd
@@ -22,35 +23,38 @@ from .partitioning import spread
 CHUNK_SCHEMA = "chunk_index int, n_chunks int, start int, end int, text string"
 
 
+def boundary(text: str, start: int, size: int, overlap: int) -> int:
+    """Where the window beginning at ``start`` ends: behind the last delimiter
+    of the first kind (in priority order, quirk 20) that the window holds; at
+    full size if it holds none, reaches the text's end, or would not let the
+    next window begin later than this one (quirk 18)."""
+    full = start + size
+    if full >= len(text):
+        return full
+    found = ((text.rfind(d, start, full), len(d)) for d in SENTENCE_DELIMITERS)
+    end = next((at + width for at, width in found if at >= 0), full)
+    return end if end > start + overlap else full
+
+
+def windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """All windows of a text longer than ``size``: each begins ``overlap``
+    before the end of the one before."""
+    span = (0, boundary(text, 0, size, overlap))
+    while span[0] < len(text):
+        yield span
+        begin = span[1] - overlap
+        span = (begin, boundary(text, begin, size, overlap))
+
+
 def chunk_spans(text: str, size: int = 1000, overlap: int = 200, drop_suffix_tail: bool = False) -> list[tuple[int, int]]:
-    """(start, end) offsets in code points.
-
-    A window [start, start+size) ends at the last delimiter found, trying
-    delimiters in priority order (quirk 20). The next window starts
-    ``overlap`` before the end. If snapping would not move the start forward
-    (quirk 18), the window is cut hard at start+size. A tail window that is a
-    suffix of the previous one (quirk 19) is kept unless ``drop_suffix_tail``.
-    """
-    n = len(text)
-    if n <= size:
-        return [(0, n)]
-    spans: list[tuple[int, int]] = []
-    start = 0
-    while start < n:
-        end = start + size
-        if end < n:
-            window = text[start:end]
-            for d in SENTENCE_DELIMITERS:
-                k = window.rfind(d)
-                if k != -1:
-                    end = start + k + len(d)
-                    break
-            if end - overlap <= start:
-                end = start + size
-        if drop_suffix_tail and spans and spans[-1][1] >= n:
-            break
-        spans.append((start, end))
-        start = end - overlap
+    """(start, end) offsets in code points. A text of at most ``size`` is one
+    chunk. A last window that only repeats the end of the one before (quirk
+    19) is kept unless ``drop_suffix_tail``."""
+    if len(text) <= size:
+        return [(0, len(text))]
+    spans = list(windows(text, size, overlap))
+    if drop_suffix_tail:
+        spans = spans[:1] + [b for a, b in pairwise(spans) if a[1] < len(text)]
     return spans
 
 

@@ -70,23 +70,9 @@ def report_from_long(cl: DataFrame, digits: int | None = None) -> DataFrame:
 
 def classification_report(df: DataFrame, actual: str, predicted: str, digits: int | None = None) -> DataFrame:
     """A24 from scored rows. The long confusion table (at most k^2 rows, k =
-    number of classes) is computed once and reused by every metric, instead
-    of re-running the scoring plan per metric."""
-    return report_from_long(materialize_small(confusion_long(df, actual, predicted)), digits)
-
-
-LOCAL_PAIRS = 10_000   # label pairs held as a local frame; larger tables stay distributed
-
-
-def materialize_small(cl: DataFrame) -> DataFrame:
-    """Compute the confusion table once for its several readers. Up to
-    ``LOCAL_PAIRS`` rows (checked with a bounded collect) it becomes a local
-    frame; a larger one (many classes) is written once as a reliable
-    checkpoint under the shared checkpoint folder and read back."""
-    rows = cl.limit(LOCAL_PAIRS + 1).collect()
-    if len(rows) <= LOCAL_PAIRS:
-        return cl.sparkSession.createDataFrame(rows, cl.schema)
-    return cl.checkpoint(eager=True)
+    number of classes) is computed once, as a checkpoint in the shared folder
+    that every metric reads."""
+    return report_from_long(confusion_long(df, actual, predicted).checkpoint(), digits)
 
 
 def report_from_matrix(spark: SparkSession, matrix: Sequence[Sequence[int]], classes: Sequence[str],

@@ -15,24 +15,20 @@ def top_n(df: DataFrame, by: str, n: int, tie: Sequence[str] = (), desc: bool =
     return df.orderBy(o, *[F.asc(t) for t in tie]).limit(n)
 
 
-# Pages whose last row lies deeper than this are cut from global positions
-# instead of a single-task top-(skip + limit).
-SHALLOW_ROWS = 100_000
-
-
 def page(df: DataFrame, order: Sequence[str], skip: int = 0, limit: int | None = None) -> DataFrame:
-    """O3: skip/limit over a total order (quirk 5: never unordered).
-
-    Shallow pages plan as a per-task top-(skip + limit) merged in one task
-    (TakeOrderedAndProject). A deep page, or all rows after a skip, would
-    put skip + limit rows (or everything) through one task, so it is cut
-    by position from ``global_positions`` instead (range partitions, no
-    single-task step); rows come back sorted by the same order."""
-    if limit is not None and skip + limit <= SHALLOW_ROWS:
-        out = df.orderBy(*order)
-        return (out.offset(skip) if skip else out).limit(limit)
-    if not skip and limit is None:
-        return df.orderBy(*order)
+    """O3: skip/limit over a total order (quirk 5: never unordered). With a
+    limit it plans as a per-task top-(skip + limit) merged in one task; for
+    pages far down the order use ``deep_page``."""
+    if limit is None:
+        return deep_page(df, order, skip) if skip else df.orderBy(*order)
+    out = df.orderBy(*order)
+    return (out.offset(skip) if skip else out).limit(limit)
+
+
+def deep_page(df: DataFrame, order: Sequence[str], skip: int = 0, limit: int | None = None) -> DataFrame:
+    """O3 at any depth: rows skip + 1 to skip + limit (or all after skip), cut
+    by position from ``global_positions`` (range partitions, no single-task
+    step); rows come back sorted by the same order."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     g = global_positions(df, cols, name="__pos")
     keep = F.col("__pos") > F.lit(skip)

@@ -22,6 +22,7 @@ from .partitioning import estimated_bytes
 
 HASH_PREFIX_DIGITS = 3            # at least 16^3 = 4096 buckets per label
 MAX_PREFIX_DIGITS = 7             # 16^7 buckets still fit an int
+UNLABELLED = "unlabelled"         # the part of rows without a label (folds: null)
 BYTES_PER_BUCKET_SET = 64 << 30   # input bytes (plan estimate) per 4096-bucket level
 
 
@@ -46,14 +47,12 @@ def order_hash(keys: Sequence[str], seed: int) -> Column:
 
 def stratified_rank(df: DataFrame, label: str, keys: Sequence[str], seed: int = 42,
                     digits: int | None = None) -> DataFrame:
-    """Adds ``rank`` (1-based, per label, by hash order) and ``n_label``."""
+    """Adds ``rank`` (1-based, per label, by hash order) and ``n_label``; both
+    are null on rows without a label, which are kept."""
     digits = digits or prefix_digits(df)
-    # rows without a label take no part (as an inner join would drop them);
-    # filtering here lets the offsets join be a left join, so no null check
-    # on the hash bucket is inferred (it would evaluate md5 a second time)
-    d = df.filter(F.col(label).isNotNull()).withColumn("__h", order_hash(keys, seed)).withColumn(
+    d = df.withColumn("__h", order_hash(keys, seed)).withColumn(
         "__b", F.conv(F.substring("__h", 1, digits), 16, 10).cast("int"))
-    counts = d.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__cnt"))
+    counts = d.filter(F.col(label).isNotNull()).groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.partitionBy(label).orderBy("__b")
     offsets = counts.select(
         label, "__b",
@@ -64,6 +63,7 @@ def stratified_rank(df: DataFrame, label: str, keys: Sequence[str], seed: int =
     # sort-merge join shares the (label, bucket) partitioning with the window
     d = d.join(offsets, [label, "__b"], "left")
     wr = Window.partitionBy(label, "__b").orderBy("__h", *keys)
+    # (the join gives rows without a label a null offset, hence a null rank)
     return d.withColumn("rank", F.col("__off") + F.row_number().over(wr)).drop("__h", "__b", "__off")
 
 
@@ -76,13 +76,14 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test: float
                      seed: int = 42, col: str = "split") -> DataFrame:
     """M4: exact per-class split. Test takes round(n_c * test) rows of each
     class, validation round((n_c - n_test) * val / (1 - test)) of the rest
-    (the reference's ``val / (1 - test)``), train the remainder."""
+    (``val / (1 - test)`` of the rest), train the remainder. Rows without a
+    label get the part ``UNLABELLED``."""
     r = stratified_rank(df, label, keys, seed)
     n = F.col("n_label")
     n_test = half_up_count(n, test)
     vf = val / (1.0 - test) if val else 0.0
     n_val = F.floor((n - n_test) * F.lit(vf) + F.lit(0.5))
-    return r.withColumn(col, F.when(F.col("rank") <= n_test, "test")
+    return r.withColumn(col, F.when(F.col("rank").isNull(), UNLABELLED).when(F.col("rank") <= n_test, "test")
                              .when(F.col("rank") <= n_test + n_val, "val").otherwise("train"))
 
 

@@ -3,18 +3,17 @@
 ``pyspark.ml`` saves random forests and boosted trees as a Parquet node
 table (``treeID``, ``nodeData`` with id, leftChild, rightChild, split...).
 Depth is found by expanding the frontier level by level with a join of the
-(small) node table: at most maxDepth + 1 rounds.
+(small) node table, a round per level until no node is left.
 """
 
 from __future__ import annotations
 
+from itertools import count
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 64
-
 
 def node_table(spark: SparkSession, model_path: str) -> DataFrame:
     """Flat node table (treeID, id, left, right, feature, gain, prediction)."""
@@ -29,12 +28,12 @@ def node_table(spark: SparkSession, model_path: str) -> DataFrame:
 def node_depths(nodes: DataFrame) -> DataFrame:
     """(treeID, id, depth) by level-wise expansion from the roots (id 0)."""
     edges = nodes.filter(F.col("left") >= 0).select(
-        "treeID", F.col("id").alias("parent"), F.explode(F.array("left", "right")).alias("child")).cache()
+        "treeID", F.col("id").alias("parent"), F.explode(F.array("left", "right")).alias("child")).checkpoint()
     level = nodes.filter(F.col("id") == 0).select("treeID", "id", F.lit(0).alias("depth"))
     out = level
-    for depth in range(1, MAX_LEVELS):
+    for depth in count(1):
         nxt = (level.join(edges, (level["treeID"] == edges["treeID"]) & (level["id"] == edges["parent"]))
-                    .select(level["treeID"], F.col("child").alias("id"), F.lit(depth).alias("depth"))).cache()
+                    .select(level["treeID"], F.col("child").alias("id"), F.lit(depth).alias("depth"))).checkpoint()
         if nxt.isEmpty():
             break
         out = out.unionByName(nxt)

@@ -22,9 +22,9 @@ from ..operators import schema as P
 from ..operators.joins import bounded_broadcast, left_join
 from ..sources.tables import Tables
 
-# Label rules for the order catalogue (ordered; first hit wins).
+# Label rules of the order catalogue (ordered; the first hit wins).
 STATUS_RULES = [("F", True, "FILLED"), ("P", False, "PARTIAL_FILL"), ("O", None, "OPEN")]
-# Class names, in the predicted spelling (space form, quirk 1).
+# Class names, in the predicted spelling (space form, quirk 1).
 CLASSES = ["FILLED", "OPEN", "PARTIAL FILL"]
 
 # Curated projection groups (P1) for the listing and lookup queries.
@@ -62,20 +62,26 @@ def scored_orders(t: Tables) -> DataFrame:
     })
 
 
-def prepare_catalogue(t: Tables) -> DataFrame:
-    """Q10: scored objects with derived actual columns (X4) joined to the host
-    side: ``customer`` (rows with negative balance left out, so some keys do
-    not match) and ``nation`` (region 4 left out). nation is broadcast behind
-    its size check; the customer join is left to the planner/AQE."""
-    o = scored_orders(t)
+def labelled_orders(t: Tables) -> DataFrame:
+    """Scored objects with the actual columns derived from their status."""
     cat = categorize("o_orderstatus", STATUS_RULES)
-    o = o.withColumns({"actual_disposition": cat["category"], "actual_is_filled": cat["flag"]})
-    c = t.customer.filter(F.col("c_acctbal") >= 0).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey")
-    n = t.nation.filter(F.col("n_regionkey") < 4).select("n_nationkey", "n_name", "n_regionkey")
+    return scored_orders(t).withColumns({"actual_disposition": cat["category"], "actual_is_filled": cat["flag"]})
+
+
+def with_hosts(t: Tables, o: DataFrame) -> DataFrame:
+    """Objects left-joined to ``customer`` and ``nation``. nation is broadcast
+    behind its size check; the customer join is left to the planner/AQE."""
+    c = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey")
+    n = t.nation.select("n_nationkey", "n_name", "n_regionkey")
     j = o.join(c, o["o_custkey"] == c["c_custkey"], "left")
     return j.join(bounded_broadcast(n, 100_000), j["c_nationkey"] == n["n_nationkey"], "left")
 
 
+def prepare_catalogue(t: Tables) -> DataFrame:
+    """Q10: labelled objects with their host side."""
+    return with_hosts(t, labelled_orders(t))
+
+
 def stats(t: Tables) -> DataFrame:
     """Q5: one aggregate over the catalogue."""
     return A.prediction_stats(prepare_catalogue(t), "disposition", "actual_disposition", CLASSES,
@@ -98,18 +104,19 @@ def listing(t: Tables, skip: int = 0, limit: int | None = 100, disposition: str
             only_filled: bool | None = None, include_actual: bool = False,
             include_probabilities: bool = False) -> DataFrame:
     """Q3: optional filters (F1-F3), ordered page (O3), curated projection with
-    flags (P1/P2), rename (P3), probabilities folded to a map (P4)."""
-    cat = prepare_catalogue(t)
+    flags (P1/P2), rename (P3), probabilities folded to a map (P4). The page
+    is cut from the objects alone; only its rows are joined to their hosts
+    (unique keys, so the join adds no row)."""
     pred = Fl.conjunction([Fl.eq_param("disposition", disposition), Fl.true_only("is_filled", bool(only_filled))])
-    cat = Fl.where(cat, pred)
+    rows = O.page(Fl.where(labelled_orders(t), pred), ["o_orderkey"], skip, limit)
+    cat = with_hosts(t, rows)
     deny = list(DENY)
     if not include_actual:
         deny += ["actual_disposition", "actual_is_filled"]
     keep_probs = include_probabilities
     if not keep_probs:
         deny += ["prob_FILLED", "prob_OPEN", "prob_PARTIAL_FILL"]
-    out = P.curated_select(cat, ALLOW_GROUPS, deny)
-    out = O.page(out, ["o_orderkey"], skip, limit)
+    out = P.curated_select(cat, ALLOW_GROUPS, deny).orderBy("o_orderkey")
     out = P.rename(out, {"prediction_confidence": "confidence"})
     if keep_probs:
         out = P.fold_to_map(out, "prob_", "probabilities")
@@ -127,9 +134,8 @@ def lookup(t: Tables, custkey: int, include_actual: bool = True) -> DataFrame:
 
 def enrich(t: Tables, digits: int = 6) -> DataFrame:
     """Q1: objects (lineitem rows named like 'Supplier#000000042 3') get a host
-    key by first token (X1), are left-joined to hosts (supplier rows with a
-    non-negative balance) keeping fan-out (J1) with colliding columns renamed
-    (J2), take host coordinates when the host has a distance (P11), and get
+    key by first token (X1), are left-joined to hosts keeping fan-out (J1)
+    with colliding columns renamed (J2), take host coordinates when the host has a distance (P11), and get
     Cartesian position (X2) and light-year distance (X3)."""
     li = t.lineitem.select(
         "l_orderkey", "l_linenumber",
@@ -138,7 +144,7 @@ def enrich(t: Tables, digits: int = 6) -> DataFrame:
         (F.col("l_discount") * 3600.0).alias("ra"),
         (F.col("l_tax") * 1000.0 - 40.0).alias("dec"))
     li = li.withColumn("host", first_token("object_name"))
-    hosts = t.supplier.filter(F.col("s_acctbal") >= 0).select(
+    hosts = t.supplier.select(
         F.col("s_name").alias("hostname"),
         F.pmod(F.col("s_acctbal"), F.lit(360.0)).alias("ra"),
         (F.col("s_nationkey") * 7 - 84).cast("double").alias("dec"),

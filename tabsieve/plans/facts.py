@@ -26,10 +26,10 @@ DESCRIBED = [
     ("prediction_confidence", "Model confidence - largest class probability"),
     ("o_shippriority", "Shipping priority - not present in this table"),
 ]
-BUCKETS = [("Small (0.8-1.25)", 0.8, 1.25), ("Medium (1.25-2)", 1.25, 2.0),
-           ("Large (2-6)", 2.0, 6.0), ("Huge (6+)", 6.0, None)]
+# Order values in units of 100,000.
+BUCKETS = [("below 0.5", 0.0, 0.5), ("0.5 to 1", 0.5, 1.0), ("1 to 1.5", 1.0, 1.5), ("1.5 to 3", 1.5, 3.0), ("3 and more", 3.0, None)]
 
-# The static methodology document.
+# The static methodology document.
 METHOD_TEXT = ("Method:\n"
                "Each object receives a class from a trained model; the catalogue keeps the model's class,\n"
                "its confidence and the per-class probabilities next to the recorded class.\n\n"
@@ -125,8 +125,12 @@ def fact_documents(t: Tables) -> DataFrame:
     return out
 
 
-def rebuild_corpus(existing: DataFrame, facts: DataFrame, keep_type: str = "pdf") -> DataFrame:
-    """New fact documents plus the uploaded rows (type == keep_type) of
-    the existing corpus, which a rebuild must not discard (quirk 22)."""
-    kept = existing.filter(F.col("type") == keep_type)
+GENERATED_TYPES = ("statistics", "parameter", "systems", "science", "methodology")
+
+
+def rebuild_corpus(existing: DataFrame, facts: DataFrame) -> DataFrame:
+    """New fact documents plus every row of the existing corpus that no
+    rebuild generates: only the generated types are replaced, rows of any
+    other type (and of none) stay (quirk 22)."""
+    kept = existing.filter(~F.coalesce(F.col("type").isin(*GENERATED_TYPES), F.lit(False)))
     return kept.unionByName(facts, allowMissingColumns=True)

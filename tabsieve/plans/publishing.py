@@ -26,8 +26,7 @@ def upsert(t: Tables) -> DataFrame:
 
 def match_counts(t: Tables) -> DataFrame:
     updates = t.orders.select(F.col("o_custkey").alias("c_custkey"))
-    target = t.customer.filter(F.col("c_acctbal") >= 0)
-    return PB.match_counts(target, updates, "c_custkey")
+    return PB.match_counts(t.customer, updates, "c_custkey")
 
 
 def key_check(t: Tables) -> DataFrame:

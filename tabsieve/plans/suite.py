@@ -77,8 +77,8 @@ scored AS (
   SELECT s.*, c.c_custkey, c.c_name, c.c_acctbal, c.c_mktsegment, c.c_nationkey,
          n.n_nationkey, n.n_name, n.n_regionkey
   FROM scored3 s
-  LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) c ON s.o_custkey = c.c_custkey
-  LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 4) n ON c.c_nationkey = n.n_nationkey
+  LEFT JOIN customer c ON s.o_custkey = c.c_custkey
+  LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 )"""
 
 
@@ -147,9 +147,9 @@ WITH li AS (
 ), li2 AS (
   SELECT *, nullif(regexp_extract(trim(object_name), '^\\s*(\\S+)', 1), '') AS host FROM li
 ), hosts AS (
-  SELECT s_name AS hostname, fmod(s_acctbal, 36e1) AS host_ra, CAST(s_nationkey * 7 - 84 AS DOUBLE) AS host_dec,
+  SELECT s_name AS hostname, fmod(fmod(s_acctbal, 36e1) + 36e1, 36e1) AS host_ra, CAST(s_nationkey * 7 - 84 AS DOUBLE) AS host_dec,
          CASE WHEN s_acctbal > 1000 THEN s_acctbal / 1e1 END AS sy_dist
-  FROM supplier WHERE s_acctbal >= 0
+  FROM supplier
 ), m AS (
   SELECT li2.*, hosts.*,
          CASE WHEN sy_dist IS NOT NULL THEN host_ra ELSE ra END AS use_ra,
@@ -529,6 +529,18 @@ SELECT item_id, quality AS predicted, votes FROM b WHERE rr = 1
 """)(RV.knn_quality)
 
 
+register("knn_distance", f"""
+WITH u AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+d AS (SELECT q.vec_id AS qid, v.vec_id, v.label, sum((CAST(v.x AS DOUBLE) - q.x) * (CAST(v.x AS DOUBLE) - q.x)) AS dist
+      FROM u q JOIN u v ON q.pos = v.pos WHERE q.vec_id % 2 = 0 AND v.vec_id % 2 = 1 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM d),
+t AS (SELECT *, max(dist = 0) OVER (PARTITION BY qid) AS exact FROM r WHERE rank <= 5),
+v AS (SELECT qid, label, sum(CASE WHEN exact THEN CASE WHEN dist = 0 THEN 1e0 ELSE 0e0 END ELSE 1e0 / dist END) AS votes FROM t GROUP BY 1, 2)
+SELECT qid, label AS predicted, {rhu('votes', 6)} AS votes
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, label) AS rr FROM v) WHERE rr = 1
+""")(RV.knn_distance)
+
+
 def _prompt_sql(ctx: str, q: str, domain: str = "the subject of the corpus") -> str:
     w = PROMPT_WITH_CONTEXT.replace("{domain}", domain).split("{context}")
     w2 = w[1].split("{question}")
@@ -542,9 +554,9 @@ _CL = letters_sql("c.text")
 register("rag_context", f"""
 WITH RECURSIVE {DIRTY_SQL}, src AS (SELECT doc_id, text AS t FROM cleaned),
 {chunk_ctes('src', ['doc_id'])},
-corp AS (SELECT doc_id * {RV.CHUNK_ID_BASE} + chunk_index AS chunk_id, text FROM chunked),
-pairs AS (SELECT q.item_id, c.chunk_id, c.text, {l2_sql(_QL, _CL)} AS dist FROM benchmark q, corp c),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dist, chunk_id) AS rank FROM pairs),
+corp AS (SELECT doc_id, chunk_index, text FROM chunked),
+pairs AS (SELECT q.item_id, c.doc_id, c.chunk_index, c.text, {l2_sql(_QL, _CL)} AS dist FROM benchmark q, corp c),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dist, doc_id, chunk_index) AS rank FROM pairs),
 top AS (SELECT * FROM r WHERE rank <= 5),
 ctx AS (SELECT item_id, CAST(count(*) AS INTEGER) AS num_sources,
                string_agg('[Document ' || CAST(rank AS VARCHAR) || ']:' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
@@ -630,7 +642,7 @@ FROM customer c LEFT JOIN u ON c.c_custkey = u.c_custkey
 """)(PU.upsert)
 
 register("match_counts", """
-WITH k AS (SELECT DISTINCT c_custkey FROM customer WHERE c_acctbal >= 0)
+WITH k AS (SELECT DISTINCT c_custkey FROM customer)
 SELECT count(*) AS n_updates, count(k.c_custkey) AS matched, count_if(k.c_custkey IS NULL) AS unmatched
 FROM orders o LEFT JOIN k ON o.o_custkey = k.c_custkey
 """)(PU.match_counts)

@@ -18,9 +18,8 @@ from ..sources.tables import Tables
 from . import catalogue as C
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "sparse_tax", "tax_floor", "gross", "unit_price"]
-# Size buckets of the reference's size-distribution document.
-SIZE_BUCKETS = [("Earth-sized (0.8-1.25)", 0.8, 1.25), ("Super-Earth (1.25-2)", 1.25, 2.0),
-                ("Neptune-sized (2-6)", 2.0, 6.0), ("Jupiter-sized (6+)", 6.0, None)]
+# Part sizes in tens; the shares' base is every size, also those below the first bucket.
+SIZE_BUCKETS = [("half to one", 0.5, 1.0), ("one to two", 1.0, 2.0), ("two to four", 2.0, 4.0), ("four and more", 4.0, None)]
 THRESHOLDS = [0.5, 0.75, 0.9, 0.95]
 
 
@@ -54,8 +53,8 @@ def moments(t: Tables) -> DataFrame:
                     (F.col("var_samp") == 0).alias("zero_variance"))
 
 
-def correlation(t: Tables, method: str = "gram") -> DataFrame:
-    p = correlation_pairs(feature_frame(t), FEATURES, method=method)
+def correlation(t: Tables) -> DataFrame:
+    p = correlation_pairs(feature_frame(t), FEATURES)
     return p.select("i", "j", "col_i", "col_j", "n", round_half_up("r", 6).alias("r"))
 
 
@@ -137,8 +136,7 @@ def kfold(t: Tables) -> DataFrame:
 
 
 def _scored_labels(t: Tables) -> DataFrame:
-    cat = C.prepare_catalogue(t)
-    return cat.select(canonical_label("actual_disposition").alias("actual"),
+    return C.labelled_orders(t).select(canonical_label("actual_disposition").alias("actual"),
                       canonical_label("disposition").alias("predicted"))
 
 

@@ -27,10 +27,11 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    conf = dict(LOCAL_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", os.environ.get("TABSIEVE_DRIVER_MEMORY", "16g"))
-    conf.update(extra or {})
+    conf = {}
+    if master and master.startswith("local["):
+        conf = LOCAL_CONF | {"spark.sql.shuffle.partitions": str(shuffle_partitions),
+                             "spark.driver.memory": os.environ.get("TABSIEVE_DRIVER_MEMORY", "16g")}
+    conf |= extra or {}
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

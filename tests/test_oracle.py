@@ -7,8 +7,10 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from oracle_check import compare, duck, spark_pdf
 
-SQL = E.oracle_sql()
-NAMES = sorted(E.queries())
+from tabsieve.plans import suite
+
+SQL = suite.ORACLE
+NAMES = sorted(suite.QUERIES)
 
 
 @pytest.fixture(scope="module")

@@ -29,12 +29,11 @@ def test_cumulative_share_ends_at_one(tables_small):
     assert (c["v"].diff().dropna() <= 0).all()
 
 
-def test_deep_page_equals_shallow_page(tables_mid, monkeypatch):
+def test_deep_page_equals_shallow_page(tables_mid):
     li = tables_mid.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     order = ["l_quantity", "l_orderkey", "l_linenumber", "l_partkey"]
     shallow = [tuple(r) for r in O.page(li, order, skip=1234, limit=300).collect()]
-    monkeypatch.setattr(O, "SHALLOW_ROWS", 10)
-    deep = [tuple(r) for r in O.page(li, order, skip=1234, limit=300).collect()]
+    deep = [tuple(r) for r in O.deep_page(li, order, skip=1234, limit=300).collect()]
     assert deep == shallow and len(deep) == 300
     tail = O.page(li, order, skip=59_990)
     assert tail.count() == li.count() - 59_990

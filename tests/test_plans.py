@@ -6,6 +6,7 @@ the point lookup reaches the scan as a pushed filter."""
 import pytest
 
 import __spark_entry__ as E
+from tabsieve.plans.suite import QUERIES
 
 LEARNING = {"train_evaluate", "confusion_test", "cv_scores", "model_search", "family_leaderboard",
             "batch_scores", "feature_importance", "tree_metrics", "split_usage", "boosted_history"}
@@ -33,7 +34,7 @@ def _plan(spark, name):
     return _nodes(df._jdf.queryExecution().executedPlan())
 
 
-@pytest.mark.parametrize("name", [q for q in E.queries() if q not in LEARNING])
+@pytest.mark.parametrize("name", [q for q in QUERIES if q not in LEARNING])
 def test_no_single_task_window_over_rows(spark, name):
     for n in _plan(spark, name):
         if n.nodeName() == "Window" and n.partitionSpec().size() == 0:
@@ -41,7 +42,7 @@ def test_no_single_task_window_over_rows(spark, name):
             assert "__p" in order, f"{name}: unkeyed window over {order}"
 
 
-@pytest.mark.parametrize("name", [q for q in E.queries() if q not in LEARNING])
+@pytest.mark.parametrize("name", [q for q in QUERIES if q not in LEARNING])
 def test_scans_prune_columns(spark, name):
     for n in _plan(spark, name):
         if n.nodeName().startswith("Scan parquet") or n.nodeName() == "FileSourceScanExec":
