@@ -49,7 +49,7 @@ def fmt_fixed(c: ColumnOrName, digits: int = 2) -> Column:
 def first_token(c: ColumnOrName) -> Column:
     """First whitespace-delimited token of a name; blank or null -> null.
 
-    'Kepler-62 f' -> 'Kepler-62'. The optional '-suffix' part of the token is
+    'Supplier#000000007 2' -> 'Supplier#000000007'. An optional '-suffix' part of the token is
     already included because a token never contains whitespace.
     """
     return F.nullif(F.regexp_extract(F.trim(_c(c)), r"^\s*(\S+)", 1), F.lit(""))

@@ -29,15 +29,16 @@ from pyspark.sql import functions as F
 from ..functions.scalar import standardise
 from .quantiles import column_stats
 
-# Column names / patterns that must never become features (quirk 10 leak
-# guard: scored output columns fed back by a retrain).
-LEAK_COLUMNS = ["prediction", "rawPrediction", "probability", "prediction_confidence", "confidence",
-                "disposition", "disposition_source", "is_exoplanet", "actual_disposition", "actual_is_exoplanet"]
-LEAK_PREFIXES = ["prob_", "actual_"]
+# What ``predict`` and the estimators themselves add to a table.
+SCORED_COLUMNS = ["prediction", "rawPrediction", "probability", "predicted", "confidence", "source"]
+SCORED_PREFIXES = ["prob_"]
 
 
-def leak_guard(cols: Sequence[str]) -> list[str]:
-    return [c for c in cols if c not in LEAK_COLUMNS and not any(c.startswith(p) for p in LEAK_PREFIXES)]
+def leak_guard(cols: Sequence[str], scored: Sequence[str] = ()) -> list[str]:
+    """``cols`` without those that hold scores or follow from them (quirk 10):
+    what ``predict`` adds and the caller's own ``scored`` columns (labels,
+    flags and confidences derived from a prediction)."""
+    return [c for c in cols if c not in {*SCORED_COLUMNS, *scored} and not any(c.startswith(p) for p in SCORED_PREFIXES)]
 
 
 # ---------------------------------------------------------------- M6
@@ -376,24 +377,24 @@ def score_record(spark: SparkSession, record: dict, model: PipelineModel, pre: P
     return predict(model, pre, row, labels, keep=[k for k in present if k not in pre.features])
 
 
-def union_for_retrain(existing: DataFrame, uploaded: DataFrame) -> DataFrame:
+def union_for_retrain(existing: DataFrame, uploaded: DataFrame, scored: Sequence[str] = ()) -> DataFrame:
     """Rows of both tables by column name (missing columns null),
     minus scored-output columns (quirk 10 leak guard)."""
     u = existing.unionByName(uploaded, allowMissingColumns=True)
-    return u.select(*leak_guard(u.columns))
+    return u.select(*leak_guard(u.columns, scored))
 
 
 def retrain(existing: DataFrame, uploaded: DataFrame, features: Sequence[str], label: str, key: str,
-            family: str = "gradient_boosting", params: dict | None = None, seed: int = 42):
+            family: str = "gradient_boosting", params: dict | None = None, seed: int = 42, scored: Sequence[str] = ()):
     """Union, split (exact stratified, M4), weights (A22), fit (M6/M7)
-    on train, report on test. Returns (model, preprocessor, labels, report)."""
+    on train and validation rows, report on test. Returns (model, preprocessor, labels, report)."""
     from .evaluate import classification_report
     from .split import stratified_split, with_weights
 
-    d = union_for_retrain(existing, uploaded)
-    feats = [f for f in leak_guard(features) if f in d.columns]
+    d = union_for_retrain(existing, uploaded, scored)
+    feats = [f for f in leak_guard(features, scored) if f in d.columns]
     s = with_weights(stratified_split(d, label, [key], seed=seed), label)
-    train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
+    train, test = s.filter(F.col("split").isin("train", "val")), s.filter(F.col("split") == "test")
     pre = Preprocessor.fit(train, feats)
     model, labels = fit_pipeline(train, pre, label, family, params or {}, seed=seed)
     rep = classification_report(predict(model, pre, test, labels, keep=[label]), label, "predicted")

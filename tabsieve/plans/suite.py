@@ -629,6 +629,7 @@ register("fact_documents", _facts_sql())(FD.fact_documents)
 
 
 # ---------------------------------------------------------------- publishing
+from . import cycles as CY  # noqa: E402
 from . import publishing as PU  # noqa: E402
 
 register("upsert", f"""
@@ -652,6 +653,105 @@ SELECT p_name, count(*) AS count FROM part GROUP BY p_name HAVING count(*) > 1
 """)(PU.key_check)
 
 
+register("publish_cycle", f"""
+WITH u AS (SELECT o_custkey AS c_custkey, {rhu('sum(o_totalprice) / 1e3', 2)} AS new_bal FROM orders
+           WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey)
+SELECT c.c_custkey, c.c_name,
+       CASE WHEN u.c_custkey IS NOT NULL THEN u.new_bal ELSE c.c_acctbal END AS c_acctbal,
+       CASE WHEN u.c_custkey IS NOT NULL THEN 'PRIORITY' ELSE c.c_mktsegment END AS c_mktsegment,
+       'insert update skipped' AS actions
+FROM customer c LEFT JOIN u ON c.c_custkey = u.c_custkey
+""")(CY.publish_cycle)
+
+register("csv_cycle", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, 'csv' AS came_from FROM orders")(CY.csv_cycle)
+register("json_cycle", "SELECT p_partkey, p_name, p_retailprice FROM part")(CY.json_cycle)
+
+register("corpus_cycle", f"""
+WITH facts AS ({_facts_sql()}),
+r AS (SELECT source AS type FROM documents UNION ALL SELECT 'page' FROM pages UNION ALL SELECT type FROM facts)
+SELECT type, count(*) AS n FROM r GROUP BY type
+""")(CY.corpus_cycle)
+
+
+# ---------------------------------------------------------------- column preparation
+from . import preparation as PR  # noqa: E402
+
+register("aligned_features", """
+WITH f AS (SELECT *, CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_linenumber AS DOUBLE) END AS code FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN code IS NULL THEN 2 ELSE 1 END AS missing_count,
+       CASE WHEN code IS NULL THEN 'code,not_there' ELSE 'not_there' END AS missing_head,
+       l_tax, code, l_quantity, 0e0 AS not_there
+FROM f
+""")(PR.aligned_features)
+
+register("records", """
+SELECT CAST(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey}) AS VARCHAR) AS record FROM customer
+""")(PR.records)
+
+register("listing_filled", f"""
+WITH {CATALOGUE_SQL}
+SELECT o_orderkey, is_filled, 3 AS n_classes, {rhu('prob_FILLED', 6)} AS p_filled, {rhu('prob_OPEN', 6)} AS p_open,
+       {rhu('prob_PARTIAL_FILL', 6)} AS p_partial_fill
+FROM cat WHERE is_filled ORDER BY o_orderkey LIMIT 80
+""")(PR.listing_filled)
+
+register("deep_page", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem
+ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey LIMIT 500 OFFSET 4000
+""")(PR.deep_page)
+
+register("suffixed_join", """
+SELECT o_orderkey, o_custkey, o_totalprice AS balance, c_custkey, c_acctbal AS balance_right
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+""")(PR.suffixed_join)
+
+register("brands", "SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL")(PR.brands)
+register("best_order", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")(PR.best_order)
+
+register("quarantined_pages", f"""
+WITH pt AS (SELECT page_id, url, {clean_sql(html_sql('html'))} AS text FROM pages)
+SELECT page_id, url FROM pt WHERE text IS NULL OR length({py_strip_sql('text')}) < 1500
+""")(PR.quarantined_pages)
+
+register("chunk_metadata", f"""
+WITH RECURSIVE {CORPUS_SQL}
+SELECT doc_id, chunk_index, type AS m_type, filename AS m_filename, CAST(chunk_index AS VARCHAR) AS m_chunk_index,
+       CAST(n_chunks AS VARCHAR) AS m_total_chunks, 'driver' AS m_origin
+FROM corpus
+""")(PR.chunk_metadata)
+
+register("text_sizes", f"""
+SELECT doc_id, strlen(text) / 1024e0 AS kb, {rhu('strlen(text) / 1048576e0', 9)} AS mb FROM documents
+""")(PR.text_sizes)
+
+
+def _prepared_sql() -> str:
+    f = T.FEATURES
+    med = ", ".join(f"median({c}) AS m{i}" for i, c in enumerate(f))
+    filled = ", ".join(f"coalesce({c}, m{i}) AS x{i}" for i, c in enumerate(f))
+    mom = ", ".join(f"avg(x{i}) AS a{i}, stddev_pop(x{i}) AS s{i}" for i in range(len(f)))
+    out = ", ".join(f"{rhu(f'(x{i} - a{i}) / CASE WHEN s{i} = 0 THEN 1e0 ELSE s{i} END', 5)} AS {c}" for i, c in enumerate(f))
+    return f"""WITH {FEAT_SQL}, med AS (SELECT {med} FROM feat),
+filled AS (SELECT l_orderkey, l_linenumber, {filled} FROM feat, med), mom AS (SELECT {mom} FROM filled)
+SELECT l_orderkey, l_linenumber, {out} FROM filled, mom"""
+
+
+register("prepared_features", _prepared_sql())(PR.prepared_features)
+
+NAN_SQL = """feat AS (
+  SELECT l_quantity, CASE WHEN l_linenumber <> 7 THEN l_tax END AS tax, CASE WHEN l_quantity >= 9 THEN l_discount END AS discount
+  FROM lineitem)"""
+
+register("nan_describe", f"WITH {NAN_SQL} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, {rhu(f'avg({c})', 6)} AS mean, {rhu(f'median({c})', 6)} AS median, min({c}) AS min, "
+    f"max({c}) AS max, count({c}) AS n, count(*) AS total FROM feat" for c in PR.NAN_COLUMNS))(PR.nan_describe)
+
+register("nan_correlation", f"WITH {NAN_SQL} " + " UNION ALL ".join(
+    f"SELECT {i} AS i, {j} AS j, '{a}' AS col_i, '{b}' AS col_j, CAST(count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS DOUBLE) AS n, "
+    f"{rhu(f'corr({a}, {b})', 6)} AS r FROM feat"
+    for i, a in enumerate(PR.NAN_COLUMNS) for j, b in enumerate(PR.NAN_COLUMNS) if i < j))(PR.nan_correlation)
+
+
 # ---------------------------------------------------------------- learning (rows-only checks)
 from . import modeling as MD  # noqa: E402
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,8 +45,9 @@ def resolve_source(spark: SparkSession, table_path: str | None, csv_path: str |
             df = spark.read.parquet(table_path)
             if not df.isEmpty():
                 return df, "table"
-        except Exception:  # missing path: fall through
-            pass
+        except AnalysisException as e:          # only a missing path falls through
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     if csv_path is None:
         raise FileNotFoundError("no source available")
     return read_csv(spark, csv_path, schema), "csv"
@@ -56,9 +58,12 @@ def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: StructType
     return spark.createDataFrame(list(rows), schema)
 
 
-def read_json_artefact(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """JSON artefact (metrics, feature list, corpus); multi-line files."""
-    r = spark.read.option("multiLine", True)
+def read_json_artefact(spark: SparkSession, path: str, schema: StructType | str | None = None,
+                       lines: bool = False) -> DataFrame:
+    """JSON artefact (metrics, feature list): one value per file over any
+    number of lines; with ``lines`` one value per line (what ``write_json``
+    writes, read in parallel)."""
+    r = spark.read.option("multiLine", not lines)
     if schema is not None:
         r = r.schema(schema)
     return r.json(path)

@@ -22,12 +22,12 @@ def scratch():
 def test_csv_roundtrip_nan_and_required(spark, scratch):
     p = os.path.join(scratch, "in.csv")
     with open(p, "w") as f:
-        f.write("kepid,koi_period,name\n1,NaN,a\n2,3.5,\n")
-    df = IO.read_csv(spark, p, "kepid long, koi_period double, name string", required=["kepid"])
-    rows = df.orderBy("kepid").collect()
-    assert rows[0]["koi_period"] is None and rows[1]["koi_period"] == 3.5
+        f.write("part_id,weight,name\n1,NaN,a\n2,3.5,\n")
+    df = IO.read_csv(spark, p, "part_id long, weight double, name string", required=["part_id"])
+    rows = df.orderBy("part_id").collect()
+    assert rows[0]["weight"] is None and rows[1]["weight"] == 3.5
     with pytest.raises(MissingColumnsError):
-        IO.read_csv(spark, p, "kepid long, koi_period double, name string", required=["koi_prad"])
+        IO.read_csv(spark, p, "part_id long, weight double, name string", required=["height"])
     IO.write_csv(df, os.path.join(scratch, "out"))
     assert spark.read.option("header", True).csv(os.path.join(scratch, "out")).count() == 2
 
@@ -55,6 +55,28 @@ def test_snapshot_publish_insert_update_skip(spark, scratch):
     assert PB.publish(upd, base, "k", ["pred"], guard_col="pred")["action"] == "skipped"
 
 
+def test_a_lost_pointer_is_no_first_publish(spark, scratch):
+    base = os.path.join(scratch, "pub")
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, pred string")
+    PB.publish(first, base, "k", ["pred"])
+    PB.publish(first.limit(1), base, "k", ["pred"])
+    pointers = [f for f in os.listdir(f"{base}/_current") if f.startswith("part-")]
+    assert len(pointers) == 2                       # one per version, none replaced
+    for f in pointers:
+        open(f"{base}/_current/{f}", "w").close()
+    with pytest.raises(RuntimeError):
+        PB.publish(first.limit(1), base, "k", ["pred"])
+
+
+def test_rebuild_keeps_every_upload(spark):
+    from tabsieve.plans.facts import rebuild_corpus
+
+    old = spark.createDataFrame([("page", "p"), ("pdf", "q"), (None, "r"), ("statistics", "old")], "type string, text string")
+    new = spark.createDataFrame([("statistics", "new"), ("parameter", "x")], "type string, text string")
+    got = {(r.type, r.text) for r in rebuild_corpus(old, new).collect()}
+    assert got == {("page", "p"), ("pdf", "q"), (None, "r"), ("statistics", "new"), ("parameter", "x")}
+
+
 def test_upsert_rejects_duplicate_keys(spark):
     t = spark.createDataFrame([(1, 1.0)], "k long, v double")
     u = spark.createDataFrame([(1, 2.0), (1, 3.0)], "k long, v double")
