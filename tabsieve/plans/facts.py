@@ -30,24 +30,19 @@ DESCRIBED = [
 BUCKETS = [("below 0.5", 0.0, 0.5), ("0.5 to 1", 0.5, 1.0), ("1 to 1.5", 1.0, 1.5), ("1.5 to 3", 1.5, 3.0), ("3 and more", 3.0, None)]
 
 # The static methodology document.
-METHOD_TEXT = ("Method:\n"
-               "Each object receives a class from a trained model; the catalogue keeps the model's class,\n"
-               "its confidence and the per-class probabilities next to the recorded class.\n\n"
-               "Key points:\n- Counts and shares are computed over the whole catalogue\n"
-               "- Statistics skip missing values\n- Ranges are closed, size buckets half-open\n")
+METHOD_TEXT = ("How these figures come about. A model gives every object a class; the catalogue keeps it with the model's\n"
+               "confidence, the probability of each class and the class on record. Shares refer to the whole catalogue,\n"
+               "missing values are left out of averages, ranges include both ends, and a size bucket its lower end.")
 
 
 def general_doc(cat: DataFrame, label: str, name: str) -> DataFrame:
-    """T5: total rows and a class breakdown rendered like a dict literal,
-    classes by count desc then name."""
+    """T5: total rows and the rows of each class, by count desc then name."""
     total = cat.agg(F.count(F.lit(1))).scalar()
     vc = cat.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     items = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col(label).alias("v"), F.col("n").alias("n"))))
-    br = vc.agg(F.concat(F.lit("{"), F.array_join(F.transform(items, lambda s: F.concat(
-        F.lit("'"), s["v"], F.lit("': "), s["n"].cast("string"))), ", "), F.lit("}")).alias("b"))
-    text = F.concat(F.lit(f"General {name} Statistics:\n- Total number of objects: "), total.cast("string"),
-                    F.lit("\n- Class breakdown: "), F.coalesce(F.col("b"), F.lit("{}")),
-                    F.lit("\n- Data source: driver tables\n"))
+    br = vc.agg(F.array_join(F.transform(items, lambda s: F.concat(s["v"], F.lit(" "), s["n"].cast("string"))), ", ").alias("b"))
+    text = F.concat(F.lit(f"The {name} catalogue holds "), total.cast("string"),
+                    F.lit(" objects. Recorded classes, most frequent first: "), F.coalesce(F.nullif("b", F.lit("")), F.lit("none")), F.lit("."))
     return br.select(F.lit(0).alias("pos"), F.lit("statistics").alias("type"), F.lit("general").alias("category"),
                      text.alias("text"))
 
@@ -61,11 +56,10 @@ def parameter_docs(cat: DataFrame, described: Sequence[tuple[str, str]]) -> Data
     stats = A.describe_columns(cat, [c for c, _ in cols], digits=None)
     desc = spark.createDataFrame([(i, c, d) for i, (c, d) in enumerate(cols)], "i int, column string, description string")
     j = stats.filter(F.col("n") > 0).join(F.broadcast(desc), "column")
-    text = F.concat(F.lit("Parameter: "), F.col("column"), F.lit("\nDescription: "), F.col("description"),
-                    F.lit("\nStatistics:\n- Mean: "), fmt_fixed("mean"), F.lit("\n- Median: "), fmt_fixed("median"),
-                    F.lit("\n- Min: "), fmt_fixed("min"), F.lit("\n- Max: "), fmt_fixed("max"),
-                    F.lit("\n- Available for "), F.col("n").cast("string"), F.lit(" out of "),
-                    F.col("total").cast("string"), F.lit(" objects\n"))
+    text = F.concat(F.col("column"), F.lit(" ("), F.col("description"), F.lit(") lies between "), fmt_fixed("min"), F.lit(" and "),
+                    fmt_fixed("max"), F.lit(", half of its values below "), fmt_fixed("median"), F.lit(", their average being "),
+                    fmt_fixed("mean"), F.lit("; "), F.col("n").cast("string"), F.lit(" of "), F.col("total").cast("string"),
+                    F.lit(" objects have one."))
     return j.select((F.lit(10) + F.col("i")).alias("pos"), F.lit("parameter").alias("type"),
                     F.col("column").alias("category"), text.alias("text"))
 
@@ -78,10 +72,8 @@ def groups_doc(cat: DataFrame, key: str, member: str | None = None) -> DataFrame
     lines = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), F.col(key).cast("string").alias("k"))))
                     .alias("items"))
     n = g.agg(F.count(F.lit(1))).scalar()
-    body = F.array_join(F.transform("items", lambda s: F.concat(F.lit("  - "), s["k"], F.lit(": "),
-                                                                (-s["s"]).cast("string"), F.lit(" members\n"))), "")
-    text = F.concat(F.lit("Multi-member groups:\n- Total groups with more than one member: "), n.cast("string"),
-                    F.lit("\n- Top 10 groups by member count:\n"), body)
+    body = F.array_join(F.transform("items", lambda s: F.concat(s["k"], F.lit(" with "), (-s["s"]).cast("string"))), "; ")
+    text = F.concat(n.cast("string"), F.lit(" groups have several members, the largest being "), body, F.lit("."))
     return lines.filter(n > 0).select(F.lit(20).alias("pos"), F.lit("systems").alias("type"),
                                       F.lit("multi_member").alias("category"), text.alias("text"))
 
@@ -89,8 +81,8 @@ def groups_doc(cat: DataFrame, key: str, member: str | None = None) -> DataFrame
 def range_doc(cat: DataFrame, col: str, lo: float, hi: float) -> DataFrame:
     """Count in a closed range and share of all rows (1 digit)."""
     r = A.range_share(cat, col, lo, hi)
-    text = F.concat(F.lit(f"Objects in range:\n- Number with {col} in [{lo:g}, {hi:g}]: "), F.col("in_range").cast("string"),
-                    F.lit("\n- Percentage of total: "), F.format_string("%.1f", F.col("percent")), F.lit("%\n"))
+    text = F.concat(F.col("in_range").cast("string"), F.lit(f" objects have a {col} from {lo:g} to {hi:g}, that is "),
+                    F.format_string("%.1f", F.col("percent")), F.lit(" percent of all."))
     return r.filter(F.col("in_range") > 0).select(F.lit(30).alias("pos"), F.lit("science").alias("type"),
                                                  F.lit("range").alias("category"), text.alias("text"))
 
@@ -99,11 +91,10 @@ def size_doc(cat: DataFrame, col: str, buckets) -> DataFrame:
     """Half-open buckets with counts and shares over all non-null values."""
     b = A.bucket_shares(cat, col, buckets, digits=1)
     one = b.agg(F.array_sort(F.collect_list(F.struct("pos", "bucket", "count", "percent"))).alias("items"))
-    body = F.array_join(F.transform("items", lambda s: F.concat(F.lit("- "), s["bucket"], F.lit(": "), s["count"].cast("string"),
-                                                                F.lit(" objects ("), F.format_string("%.1f", s["percent"]),
-                                                                F.lit("%)\n"))), "")
+    body = F.array_join(F.transform("items", lambda s: F.concat(s["count"].cast("string"), F.lit(" of size "), s["bucket"], F.lit(" ("),
+                                                                F.format_string("%.1f", s["percent"]), F.lit(" percent)"))), ", ")
     return one.select(F.lit(40).alias("pos"), F.lit("statistics").alias("type"), F.lit("sizes").alias("category"),
-                      F.concat(F.lit("Size Distribution:\n"), body).alias("text"))
+                      F.concat(F.lit("Objects by size: "), body, F.lit(".")).alias("text"))
 
 
 def method_doc(spark) -> DataFrame:

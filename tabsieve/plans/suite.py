@@ -578,49 +578,41 @@ def _fmt2(x: str) -> str:
 
 
 def _facts_sql() -> str:
-    nl = "chr(10)"
-    present = [(c, d) for c, d in FD.DESCRIBED if c in
-               ("o_totalprice", "c_acctbal", "prediction_confidence")]
-    params = []
-    for i, (c, d) in enumerate(present):
-        params.append(
-            f"SELECT {10 + i} AS pos, 'parameter' AS type, '{c}' AS category, "
-            f"'Parameter: {c}' || {nl} || {sq('Description: ' + d)} || {nl} || 'Statistics:' || {nl} || "
-            f"'- Mean: ' || {_fmt2(f'avg({c})')} || {nl} || '- Median: ' || {_fmt2(f'median({c})')} || {nl} || "
-            f"'- Min: ' || {_fmt2(f'min({c})')} || {nl} || '- Max: ' || {_fmt2(f'max({c})')} || {nl} || "
-            f"'- Available for ' || CAST(count({c}) AS VARCHAR) || ' out of ' || CAST(count(*) AS VARCHAR) || ' objects' || {nl} AS text "
-            f"FROM cat HAVING count({c}) > 0")
+    present = [(c, d) for c, d in FD.DESCRIBED if c in ("o_totalprice", "c_acctbal", "prediction_confidence")]
+    params = [
+        f"SELECT {10 + i} AS pos, 'parameter' AS type, '{c}' AS category, {sq(f'{c} ({d}) lies between ')} || {_fmt2(f'min({c})')} "
+        f"|| ' and ' || {_fmt2(f'max({c})')} || ', half of its values below ' || {_fmt2(f'median({c})')} || ', their average being ' "
+        f"|| {_fmt2(f'avg({c})')} || '; ' || count({c}) || ' of ' || count(*) || ' objects have one.' AS text FROM cat HAVING count({c}) > 0"
+        for i, (c, d) in enumerate(present)]
     buckets = []
     for i, (name, lo, hi) in enumerate(FD.BUCKETS):
         cond = f"size >= {lo!r}" if hi is None else f"size >= {lo!r} AND size < {hi!r}"
-        buckets.append(f"SELECT {i} AS bpos, '- {name}: ' || CAST(count_if({cond}) AS VARCHAR) || ' objects (' || "
-                       f"printf('%.1f', {spct(f'count_if({cond})', 'count(size)', 1)}) || '%)' || {nl} AS line FROM sz")
-    method = sq(FD.METHOD_TEXT)
+        buckets.append(f"SELECT {i} AS bpos, count_if({cond}) || ' of size {name} (' || "
+                       f"printf('%.1f', {spct(f'count_if({cond})', 'count(size)', 1)}) || ' percent)' AS line FROM sz")
+    within = "count_if(o_totalprice BETWEEN 200000 AND 320000)"
     return f"""WITH {CATALOGUE_SQL},
 vc AS (SELECT o_orderstatus, count(*) AS n FROM cat WHERE o_orderstatus IS NOT NULL GROUP BY 1),
 general AS (
-  SELECT 0 AS pos, 'statistics' AS type, 'general' AS category,
-         'General Order Statistics:' || {nl} || '- Total number of objects: ' || CAST((SELECT count(*) FROM cat) AS VARCHAR)
-         || {nl} || '- Class breakdown: ' || coalesce(b, '{{}}') || {nl} || '- Data source: driver tables' || {nl} AS text
-  FROM (SELECT '{{' || string_agg('''' || o_orderstatus || ''': ' || CAST(n AS VARCHAR), ', ' ORDER BY n DESC, o_orderstatus) || '}}' AS b FROM vc)),
+  SELECT 0 AS pos, 'statistics' AS type, 'general' AS category, 'The Order catalogue holds ' || (SELECT count(*) FROM cat)
+         || ' objects. Recorded classes, most frequent first: ' || coalesce(b, 'none') || '.' AS text
+  FROM (SELECT string_agg(o_orderstatus || ' ' || n, ', ' ORDER BY n DESC, o_orderstatus) AS b FROM vc)),
 params AS ({' UNION ALL '.join(params)}),
 g AS (SELECT c_name, count(*) AS size FROM cat WHERE c_name IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
 g10 AS (SELECT * FROM g ORDER BY size DESC, c_name LIMIT 10),
 groups AS (
   SELECT 20 AS pos, 'systems' AS type, 'multi_member' AS category,
-         'Multi-member groups:' || {nl} || '- Total groups with more than one member: ' || CAST((SELECT count(*) FROM g) AS VARCHAR)
-         || {nl} || '- Top 10 groups by member count:' || {nl}
-         || coalesce((SELECT string_agg('  - ' || c_name || ': ' || CAST(size AS VARCHAR) || ' members' || {nl}, '' ORDER BY size DESC, c_name) FROM g10), '') AS text
+         (SELECT count(*) FROM g) || ' groups have several members, the largest being '
+         || coalesce((SELECT string_agg(c_name || ' with ' || size, '; ' ORDER BY size DESC, c_name) FROM g10), '') || '.' AS text
   WHERE (SELECT count(*) FROM g) > 0),
 rng AS (
   SELECT 30 AS pos, 'science' AS type, 'range' AS category,
-         'Objects in range:' || {nl} || '- Number with o_totalprice in [200000, 320000]: ' || CAST(count_if(o_totalprice BETWEEN 200000 AND 320000) AS VARCHAR)
-         || {nl} || '- Percentage of total: ' || printf('%.1f', {spct('count_if(o_totalprice BETWEEN 200000 AND 320000)', 'count(*)', 1)}) || '%' || {nl} AS text
-  FROM cat HAVING count_if(o_totalprice BETWEEN 200000 AND 320000) > 0),
+         {within} || ' objects have a o_totalprice from 200000 to 320000, that is ' || printf('%.1f', {spct(within, 'count(*)', 1)})
+         || ' percent of all.' AS text
+  FROM cat HAVING {within} > 0),
 sz AS (SELECT o_totalprice / 1e5 AS size FROM cat),
 bl AS ({' UNION ALL '.join(buckets)}),
-sizes AS (SELECT 40 AS pos, 'statistics' AS type, 'sizes' AS category, 'Size Distribution:' || {nl} || string_agg(line, '' ORDER BY bpos) AS text FROM bl),
-method AS (SELECT 50 AS pos, 'methodology' AS type, 'method' AS category, {method} AS text)
+sizes AS (SELECT 40 AS pos, 'statistics' AS type, 'sizes' AS category, 'Objects by size: ' || string_agg(line, ', ' ORDER BY bpos) || '.' AS text FROM bl),
+method AS (SELECT 50 AS pos, 'methodology' AS type, 'method' AS category, {sq(FD.METHOD_TEXT)} AS text)
 SELECT * FROM general UNION ALL SELECT * FROM params UNION ALL SELECT * FROM groups UNION ALL SELECT * FROM rng
 UNION ALL SELECT * FROM sizes UNION ALL SELECT * FROM method"""
 
