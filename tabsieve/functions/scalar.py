@@ -126,11 +126,6 @@ def normalise_param(value: str | None) -> str | None:
 
 
 # ---------------------------------------------------------------- numbers
-def to_number(c: ColumnOrName) -> Column:
-    """Text to double, unparseable -> null (never raises under ANSI)."""
-    return _c(c).try_cast("double")
-
-
 def nan_to_null(c: ColumnOrName) -> Column:
     """K9: NaN -> null for a floating column."""
     col = _c(c)
@@ -184,8 +179,3 @@ def now_stamp() -> Column:
 def all_not_null(cols: Sequence[ColumnOrName]) -> Column:
     """every listed column non-null."""
     return reduce(lambda a, b: a & b, [_c(x).isNotNull() for x in cols])
-
-
-def numeric_columns(df) -> list[str]:
-    """Names of numeric columns, in order."""
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]

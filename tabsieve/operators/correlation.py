@@ -73,10 +73,3 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], fill: dict[str, float]
     out = s.select("i", "j", "n", r.alias("r"))
     return out.select("i", "j", F.element_at(names, F.col("i") + 1).alias("col_i"),
                       F.element_at(names, F.col("j") + 1).alias("col_j"), "n", "r")
-
-
-def correlated_drops(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """M3 rule: column j is dropped iff some earlier column i < j has
-    |r| > threshold; i counts even if it is itself dropped."""
-    return (pairs.filter(F.abs("r") > threshold).groupBy("j", "col_j")
-                 .agg(F.min("i").alias("first_partner"), F.max(F.abs("r")).alias("max_abs_r")))

@@ -39,11 +39,6 @@ def in_range(col: str, lo, hi) -> Column:
     return F.col(col).between(lo, hi)
 
 
-def columns_equal(a: str, b: str) -> Column:
-    """F8: column-to-column equality; a null on either side is not a match."""
-    return F.coalesce(F.col(a) == F.col(b), F.lit(False))
-
-
 class NotFoundError(LookupError):
     """no row has the key."""
 

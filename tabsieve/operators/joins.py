@@ -67,26 +67,3 @@ def left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
         right = bounded_broadcast(right)
     cond = left[left_key].eqNullSafe(right[rk]) if null_safe else (left[left_key] == right[rk])
     return left.join(right, cond, "left")
-
-
-def match_split(target: DataFrame, updates: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(matched, unmatched) update rows against a target by key, as
-    semi and anti joins (no row of the target is carried)."""
-    t = target.select(key)
-    return updates.join(t, key, "left_semi"), updates.join(t, key, "left_anti")
-
-
-def attach_weights(df: DataFrame, weights: DataFrame, label: str) -> DataFrame:
-    """Label -> weight lookup. The weights table has one row per class,
-    so it is broadcast behind the size check."""
-    return df.join(bounded_broadcast(weights, 100_000), label, "left")
-
-
-def zip_names(spark, names: Sequence[str], values: Sequence[float], name_col: str = "feature",
-              value_col: str = "importance") -> DataFrame:
-    """Pair names with values by position (driver-side lists that are
-    bounded by the number of model features)."""
-    if len(names) != len(values):
-        raise ValueError("names and values differ in length")
-    return spark.createDataFrame([(i, n, float(v)) for i, (n, v) in enumerate(zip(names, values))],
-                                 f"pos int, {name_col} string, {value_col} double")

@@ -97,19 +97,6 @@ class Preprocessor:
 
 
 # ---------------------------------------------------------------- M7/M8/M10
-@dataclass
-class Params:
-    """Boosting-style parameters (M8) mapped onto pyspark.ml names."""
-    max_depth: int = 5
-    learning_rate: float = 0.1
-    n_estimators: int = 20
-    min_child_weight: float = 1.0
-    gamma: float = 0.0
-    subsample: float = 1.0
-    colsample_bytree: float = 1.0
-    early_stopping_rounds: int | None = None
-
-
 def family_estimator(family: str, params: dict[str, Any], label: str = "label", weight: str | None = "weight",
                      num_features: int | None = None, num_classes: int | None = None, seed: int = 42):
     """One estimator per model family (M10). Boosting families use one

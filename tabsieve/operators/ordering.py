@@ -37,13 +37,6 @@ def deep_page(df: DataFrame, order: Sequence[str], skip: int = 0, limit: int | N
     return g.filter(keep).orderBy("__pos").drop("__pos")
 
 
-def page_after(df: DataFrame, key: str, last_key=None, limit: int = 100) -> DataFrame:
-    """O3 keyset form for deep pages: rows with key > last seen key. The
-    predicate is pushed to the scan, so page depth costs nothing."""
-    out = df if last_key is None else df.filter(F.col(key) > F.lit(last_key))
-    return out.orderBy(key).limit(limit)
-
-
 def global_positions(df: DataFrame, order: Sequence[Column], name: str = "position",
                      running: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Exact 1..N position over a total order, plus running sums

@@ -18,6 +18,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .filters import any_not_null
+
 
 class DuplicateKeyError(ValueError):
     """K6: the key is not unique."""
@@ -68,11 +70,6 @@ def match_counts(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
                  F.coalesce(F.sum(F.when(F.col("__m").isNull(), F.col("__n"))), zero).alias("unmatched"))
 
 
-def has_values(df: DataFrame, col: str) -> bool:
-    """K5 guard: does the target already hold values in ``col``."""
-    return col in df.columns and not df.filter(F.col(col).isNotNull()).limit(1).isEmpty()
-
-
 # ---------------------------------------------------------------- snapshots
 POINTER = "path string, version long"
 
@@ -122,7 +119,7 @@ def publish(df: DataFrame, base: str, key: str, cols: Sequence[str], guard_col:
     cur = read_current(spark, base)
     if cur is None:
         return {"action": "insert", "path": write_snapshot(df, base)}
-    if guard_col and has_values(cur, guard_col):
+    if guard_col and any_not_null(cur, guard_col):
         return {"action": "skipped", "path": current_snapshot(spark, base)}
     merged = upsert(cur, df.select(key, *cols), key, cols, flag=None)
     return {"action": "update", "path": write_snapshot(merged, base)}

@@ -40,15 +40,6 @@ def curated_select(df: DataFrame, allow_groups: Sequence[Sequence[str]], deny: I
     return df.select(*seen)
 
 
-def optional_columns(base: Sequence[str], flags: dict[str, tuple[bool, Sequence[str]]]) -> list[str]:
-    """Base list plus the columns of every enabled flag."""
-    out = list(base)
-    for _, (on, cols) in flags.items():
-        if on:
-            out += [c for c in cols if c not in out]
-    return out
-
-
 def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Rename existing columns (absent ones are ignored)."""
     return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns})
@@ -105,11 +96,6 @@ def missing_features(df: DataFrame, features: Sequence[str], head: int = 10) ->
     return df.withColumn("missing_count", F.size(miss)).withColumn("missing_head", F.slice(miss, 1, head))
 
 
-def constant(df: DataFrame, name: str, value) -> DataFrame:
-    """Constant column."""
-    return df.withColumn(name, F.lit(value))
-
-
 def to_records(df: DataFrame, out: str = "record") -> DataFrame:
     """One JSON object per row."""
     return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias(out))

@@ -45,6 +45,32 @@ def _fit(t: Tables, family: str = "random_forest", params: dict | None = None):
     return d, pre, model, labels
 
 
+def nb_scores(t: Tables) -> DataFrame:
+    """M4, M6, M10 and M14 with a Gaussian naive Bayes model: label and
+    confidence of every test row."""
+    d = split_table(t)
+    train = d.filter(F.col("split").isin("train", "val"))
+    pre = L.Preprocessor.fit(train, FEATURES)
+    model, labels = L.fit_pipeline(train, pre, "label", "naive_bayes", {}, weight=None)
+    return L.predict(model, pre, d.filter(F.col("split") == "test"), labels, keep=["vec_id", "label"])
+
+
+def nb_predictions(t: Tables) -> DataFrame:
+    return nb_scores(t).select("vec_id", "label", "predicted", F.round("confidence", 5).alias("confidence"))
+
+
+def nb_report(t: Tables) -> DataFrame:
+    """A24 of those predictions."""
+    return E.classification_report(nb_scores(t), "label", "predicted", digits=6)
+
+
+def nb_fold_scores(t: Tables) -> DataFrame:
+    """M5 + M9: accuracy of each of five stratified folds."""
+    f = materialize(S.stratified_folds(feature_table(t), "label", ["vec_id"], k=5, seed=42), "folds")
+    scores = L.cross_validate(f, FEATURES, "label", "fold", 5, "naive_bayes", {}, weight=None)
+    return t.spark.createDataFrame([(i, round(s, 9)) for i, s in enumerate(scores)], "fold int, score double")
+
+
 def train_evaluate(t: Tables) -> DataFrame:
     """M4 -> A22 -> M6 -> M7 -> M14 -> A24 on the test part."""
     d, pre, model, labels = _fit(t)

@@ -64,6 +64,12 @@ def suffixed_join(t: Tables) -> DataFrame:
     return J.left_join(left, right, "o_custkey", "c_custkey")
 
 
+def top_orders(t: Tables) -> DataFrame:
+    """The three dearest orders of every customer."""
+    o = t.orders.select("o_custkey", "o_orderkey", "o_totalprice")
+    return O.top_k_per_group(o, "o_custkey", [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
+
+
 def brands(t: Tables) -> DataFrame:
     """Distinct values of a column."""
     return A.distinct_values(t.part, "p_brand")

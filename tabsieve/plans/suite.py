@@ -353,8 +353,9 @@ FROM lab WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY actual
 """)(T.confusion)
 
 
-def _report_sql() -> str:
-    return f"""{LABELS_SQL},
+def _report_sql(labels: str) -> str:
+    """The report over a CTE ``lab`` (actual, predicted)."""
+    return f"""{labels},
 cl AS (SELECT actual, predicted, count(*) AS count FROM lab WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY 1, 2),
 classes AS (SELECT actual AS label FROM cl UNION SELECT predicted FROM cl),
 per0 AS (
@@ -377,7 +378,7 @@ allr AS (
 SELECT label, {rhu('precision', 6)} AS precision, {rhu('recall', 6)} AS recall, {rhu('f1', 6)} AS f1, support FROM allr"""
 
 
-register("class_report", _report_sql())(T.class_report)
+register("class_report", _report_sql(LABELS_SQL))(T.class_report)
 
 
 # ---------------------------------------------------------------- text corpus
@@ -697,6 +698,12 @@ SELECT o_orderkey, o_custkey, o_totalprice AS balance, c_custkey, c_acctbal AS b
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 """)(PR.suffixed_join)
 
+register("top_orders", """
+SELECT o_custkey, o_orderkey, o_totalprice, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank
+  FROM orders) WHERE rank <= 3
+""")(PR.top_orders)
+
 register("brands", "SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL")(PR.brands)
 register("best_order", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")(PR.best_order)
 
@@ -744,9 +751,48 @@ register("nan_correlation", f"WITH {NAN_SQL} " + " UNION ALL ".join(
     for i, a in enumerate(PR.NAN_COLUMNS) for j, b in enumerate(PR.NAN_COLUMNS) if i < j))(PR.nan_correlation)
 
 
-# ---------------------------------------------------------------- learning (rows-only checks)
+# ---------------------------------------------------------------- learning
 from . import modeling as MD  # noqa: E402
 
+
+def _nb_sql(k: str) -> str:
+    """Gaussian naive Bayes over CTE ``part`` (vec_id, label, fold, held): for
+    every ``k`` (a fold, or nothing) the rows with fold = k are scored by a
+    model of the others. Ends with CTE ``best``."""
+    return f"""x AS (SELECT e.vec_id, CAST(e.label AS VARCHAR) AS label, unnest(e.embedding) AS v, generate_subscripts(e.embedding, 1) AS pos FROM embeddings e),
+runs AS ({k}),
+model AS (SELECT r.k, x.label, x.pos, avg(CAST(x.v AS DOUBLE)) AS mu, var_pop(CAST(x.v AS DOUBLE)) AS s2, count(*) AS n
+          FROM x JOIN part p USING (vec_id) JOIN runs r ON p.fold <> r.k GROUP BY 1, 2, 3),
+score AS (SELECT r.k, x.vec_id, x.label, m.label AS predicted,
+                 ln(any_value(m.n)) - 5e-1 * sum((x.v - m.mu) * (x.v - m.mu) / m.s2 + ln(m.s2)) AS s
+          FROM x JOIN part p USING (vec_id) JOIN runs r ON p.fold = r.k JOIN model m ON m.k = r.k AND m.pos = x.pos GROUP BY 1, 2, 3, 4),
+best AS (SELECT k, vec_id, label, arg_max(predicted, s) AS predicted, max(s) AS top FROM score GROUP BY 1, 2, 3)"""
+
+
+def _vec_rank(seed: int) -> str:
+    return (f"SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || ':{seed}'), vec_id) AS r, "
+            "count(*) OVER (PARTITION BY label) AS n FROM embeddings")
+
+
+NB_TEST_SQL = f"""WITH part AS (SELECT vec_id, CASE WHEN r <= floor(n * 2e-1 + 5e-1) THEN 0 ELSE 1 END AS fold FROM ({_vec_rank(42)})),
+{_nb_sql('SELECT 0 AS k')}"""
+
+register("nb_predictions", f"""
+{NB_TEST_SQL}
+SELECT b.vec_id, b.label, b.predicted, round(1e0 / sum(exp(s.s - b.top)), 5) AS confidence
+FROM best b JOIN score s USING (vec_id) GROUP BY 1, 2, 3
+""")(MD.nb_predictions)
+
+register("nb_report", _report_sql(f"{NB_TEST_SQL}, lab AS (SELECT label AS actual, predicted FROM best)"))(MD.nb_report)
+
+register("nb_fold_scores", f"""
+WITH part AS (SELECT vec_id, (r - 1) % 5 AS fold FROM ({_vec_rank(42)})),
+{_nb_sql('SELECT unnest([0, 1, 2, 3, 4]) AS k')}
+SELECT CAST(k AS INTEGER) AS fold, round(avg(CASE WHEN label = predicted THEN 1e0 ELSE 0e0 END), 9) AS score FROM best GROUP BY k
+""")(MD.nb_fold_scores)
+
+# (trees and solvers below have no SQL form: rows-only)
+
 register("train_evaluate")(MD.train_evaluate)
 register("confusion_test")(MD.confusion_test)
 register("cv_scores")(MD.cv_scores)
