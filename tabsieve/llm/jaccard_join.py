@@ -45,6 +45,8 @@ SHINGLE = 5            # words
 PART_BYTES = 4 << 20   # text bytes per hash partition of the shared-shingle test
 BLOCK_SETS = 1024      # sets on each side of a bitmap block
 PREFIX_ROWS = 200_000  # rows of a batch
+BITS = 8               # of a bitmap, for each member
+HELD_PAIRS = 500_000   # pairs held before repeats among them are dropped
 GROUP_ROWS = 50_000    # rows of bitmap blocks compared in one call
 
 # The similarity 0.8 stands in the code as the ratio 4 / 5.
@@ -223,10 +225,10 @@ def make_tiles(sets: DataFrame) -> DataFrame:
 
 
 def bitmap(shingles: np.ndarray, band: int) -> np.ndarray:
-    """A hashed bitmap with at least two bits for each member a set of the
-    band may have."""
+    """A hashed bitmap with at least ``BITS`` bits for each member of the
+    band's smallest set: few members share a bit, so the bound is close."""
     bits = 64
-    while bits < 2 * BANDS[band]:
+    while bits < BITS * BANDS[band]:
         bits *= 2
     flags = np.zeros(bits, bool)
     flags[(shingles % U(bits)).astype(np.int64)] = True
@@ -272,7 +274,7 @@ def _compare(key: tuple, table: pa.Table) -> pa.Table:
     order = np.lexsort([col[c] for c in ("c", "r", "band", "shingle")])
     name = np.stack([col[c][order] for c in ("c", "r", "band", "shingle")])
     cuts = np.flatnonzero((name[:, 1:] != name[:, :-1]).any(0)) + 1
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    out, held = [np.zeros((0, 2), np.int64)], 0
     for block in np.split(order, cuts):
         side, node, n, root = (col[c][block] for c in ("side", "node", "n", "root"))
         a, b = np.flatnonzero(side != 2), np.flatnonzero(side != 1)   # 1: rows, 2: columns, 3: both
@@ -285,9 +287,12 @@ def _compare(key: tuple, table: pa.Table) -> pa.Table:
                 more = np.bitwise_count(bits[i] & ~bits[j]).sum(1).astype(np.int64)
                 less = np.bitwise_count(bits[j] & ~bits[i]).sum(1).astype(np.int64)
                 j = j[9 * np.minimum(n[i] - more, n[j] - less) >= 4 * (n[i] + n[j])]
-                out_a.append(np.minimum(node[i], node[j]))
-                out_b.append(np.maximum(node[i], node[j]))
-    pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
+                out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
+                held += len(j)
+        if held > HELD_PAIRS:                         # a pair may come in the blocks of many shingles
+            out = [np.unique(np.concatenate(out), axis=0)]
+            held = 0
+    pairs = np.unique(np.concatenate(out), axis=0)
     return pa.table([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
