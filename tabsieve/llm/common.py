@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import ensure_checkpoint_dir, scratch_path, ship_package
 
 # A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,6 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ready(spark: SparkSession) -> None:
+    """Makes sure of the shared folder and of this package on local workers."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A small table cut from its lineage by a reliable checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def power_of_two(n: float) -> int:
     """The least power of two that is at least ``n``."""
     return 1 << max(0, math.ceil(math.log2(max(1.0, n))))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import NO_ID, make_blocks, pack, read_block, unpack
-from .common import written
+from .common import checkpointed, written
 from .graph import components
 from .words import LOWER, U, mix64, window_hashes, word_hashes, words
 
@@ -353,7 +353,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.first("n").alias("n"), F.first("shingles", ignorenulls=True).alias("shingles")), "classes")
     sets = classes.filter("shingles is not null").select("node", "n", "shingles")
     tiles = make_tiles(sets)
-    first = linked(hub_pairs(tiles), sets).checkpoint()
+    first = checkpointed(linked(hub_pairs(tiles), sets))
     roots = components(first)
     more = linked(open_pairs(tiles, roots, sets, block_sets), sets)
     roots = components(first.union(more))

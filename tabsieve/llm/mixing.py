@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import bounded_broadcast
-from .common import doc_id_text, word_count
+from .common import checkpointed, doc_id_text, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -66,7 +66,7 @@ def repetitions(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats:
     checkpointed, and broadcast only behind a check of its size."""
     docs = docs.withColumn("mix_size", word_count(F.col("text")) if size is None else size)
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum("mix_size").alias("source_size"))
-    targets = source_targets(sizes, weights, max_repeats).checkpoint()
+    targets = checkpointed(source_targets(sizes, weights, max_repeats))
     t = bounded_broadcast(targets.select(F.col("source").alias("__source"), F.col("source_size").alias("mix_source_size"),
                                          F.col("target").alias("mix_target"), F.col("rate").alias("__rate")))
     docs = docs.drop("mix_source_size", "mix_target", "mix_copies")

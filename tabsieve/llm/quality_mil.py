@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import bounded_broadcast
-from .common import doc_id_text, held_out
+from .common import checkpointed, doc_id_text, held_out
 from .words import runs, text_bytes, word_hashes, words
 
 PASSAGE = 64            # words
@@ -175,8 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN, label_col: str =
     labels takes their mean, at least 1/2 as 1; null labels are left out. Of
     several texts under one id one is used, always the same."""
     order = F.xxhash64(F.lit(SEED), doc_id_text(F.col("doc_id")))
-    some = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        (F.avg(label_col) >= 0.5).cast("int").alias("__y")).orderBy(order, "doc_id").limit(most).checkpoint()
+    some = checkpointed(labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        (F.avg(label_col) >= 0.5).cast("int").alias("__y")).orderBy(order, "doc_id").limit(most))
     texts = docs.select("doc_id", "text").join(bounded_broadcast(some), "doc_id").select("doc_id", "text", "__y")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

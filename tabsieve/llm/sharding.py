@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_id_text, hash_cell, power_of_two
+from .common import checkpointed, doc_id_text, hash_cell, power_of_two
 
 CELL_ROWS = 20_000   # rows a window sorts, about
 SEED = 11
@@ -57,7 +57,7 @@ def place(docs: DataFrame, n_shards: int = 16, seed: int = SEED, cell_rows: int
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
     docs = docs.select(*[F.col(f"`{c}`") for c in keep], source.alias("__s"),
                        F.xxhash64(F.lit(seed), doc_id_text(F.col(id_col)), F.coalesce(F.col(text_col), F.lit(""))).alias("__h"))
-    per_source = docs.groupBy("__s").agg(F.count(F.lit(1)).alias("__n")).checkpoint()
+    per_source = checkpointed(docs.groupBy("__s").agg(F.count(F.lit(1)).alias("__n")))
     total = per_source.agg(F.sum("__n")).first()[0] or 0
     cells = power_of_two(total / cell_rows)
     rows = docs.withColumn("__c", hash_cell(F.col("__h"), cells))

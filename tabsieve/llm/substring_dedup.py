@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import NO_ID, make_blocks, pack, read_block, unpack
-from .words import U, mix64, single_spaced, spread, window_hashes, word_hashes, words
+from .common import checkpointed
+from .words import U, mix64, single_spaced, slices, spread, window_hashes, word_hashes, words
 
 WINDOW = 13            # words
 MINIMISER = 3          # words
@@ -79,7 +80,7 @@ class Strings:
         self.bucket = (mix64(route[self.lead]) % U(buckets)).astype(np.int64)
         low = self.start[self.at[self.lead]]
         size = self.end[self.at[self.lead] + self.count + WINDOW - 2] - low
-        bytes_ = self.text[spread(low, size)]
+        bytes_ = slices(self.text, low, size)
         column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [
             None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(bytes_)])
         self.code = column.dictionary_encode().indices.to_numpy().astype(np.int64)
@@ -103,8 +104,8 @@ def _messages(s: Strings, ids: np.ndarray, block: int) -> Iterator[tuple]:
         if i < j:
             w, count = s.at[s.lead[one[i:j]]], s.count[one[i:j]]
             low = s.start[w]
-            strings = s.text[spread(low, s.end[w + count + WINDOW - 2] + 1 - low)]   # each with the space behind it
-            yield int(s.bucket[one[i]]), block, pack(strings), pack(count.astype(np.int32)), pack(least[i:j])
+            strings = slices(s.text, low, s.end[w + count + WINDOW - 2] + 1 - low)   # each with the space behind it
+            yield int(s.bucket[one[i]]), block, pack(strings, 3), pack(count.astype(np.int32)), pack(least[i:j])
 
 
 def _send(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -130,7 +131,7 @@ def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) ->
     step = max(1, COMPARE_BYTES // max(1, int(size.max(initial=1))))
     for i in range(0, len(a), step):
         k = size[i:i + step]
-        same = text[spread(a[i:i + step], k)] == text[spread(b[i:i + step], k)]
+        same = slices(text, a[i:i + step], k) == slices(text, b[i:i + step], k)
         out[i:i + step] = np.logical_and.reduceat(same, np.cumsum(k) - k)
     return out
 
@@ -232,7 +233,7 @@ def hot_minimisers(blocks: DataFrame, buckets: int, sample: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
     some = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(sample)) == 0)
-    found = some.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).checkpoint()
+    found = checkpointed(some.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     total = found.agg(F.sum("n")).first()[0] or 0
     hot = found.filter(F.col("n") * (4 * buckets) > total).filter(F.col("n") > WINDOW).select("key").collect()
     return np.sort(np.array([r[0] for r in hot], np.int64).view(U))

@@ -15,6 +15,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 _KEEP = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], dtype=U)  # low bytes of a 64-bit load
 LONG_WORD = 256   # bytes; longer words are hashed one by one
+STEP_BYTES = 1 << 18
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -105,13 +106,25 @@ def single_spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
     """The words joined by one space (and one after the last): the new bytes
     and the words' new ranges."""
     size = end - start + 1
-    at = spread(start, size)
     new_end = np.cumsum(size) - 1
-    out = data[np.minimum(at, max(0, len(data) - 1))]
+    out = slices(np.append(data, np.uint8(0x20)), start, size)
     out[new_end] = 0x20
     return out, new_end + 1 - size, new_end
 
 
+def slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[start:start + size] of every pair, one behind the other (copied
+    in steps, so that the index stays small)."""
+    end = np.cumsum(size)
+    out = np.empty(int(end[-1]) if len(end) else 0, data.dtype)
+    i, done = 0, 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(end, done + STEP_BYTES, "right")))
+        out[done:end[j - 1]] = data[spread(start[i:j], size[i:j])]
+        i, done = j, int(end[j - 1])
+    return out
+
+
 def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... (count[0] of them), first[1], ..."""
     total = int(count.sum())
