@@ -29,9 +29,13 @@ def _nodes(plan):
     return seen
 
 
+_PLANS: dict = {}
+
+
 def _plan(spark, name):
-    df = E.queries()[name](spark, "/root/testdata/sf0.001")
-    return _nodes(df._jdf.queryExecution().executedPlan())
+    if name not in _PLANS:
+        _PLANS[name] = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+    return _nodes(_PLANS[name])
 
 
 @pytest.mark.parametrize("name", [q for q in QUERIES if q not in LEARNING])
@@ -56,3 +60,25 @@ def test_scans_prune_columns(spark, name):
 def test_lookup_key_is_pushed_to_the_scan(spark):
     scans = [n.toString() for n in _plan(spark, "lookup") if "orders.parquet" in n.toString()]
     assert scans and all("EqualTo(o_custkey" in s for s in scans)
+
+
+def test_reports_join_nothing(spark):
+    from tabsieve.plans import tabular as T
+    from tabsieve.sources.tables import Tables
+
+    labels = T._scored_labels(Tables(spark, "/root/testdata/sf0.001"))
+    assert not any("Join" in n.nodeName() for n in _nodes(labels._jdf.queryExecution().executedPlan()))
+
+
+def test_listing_is_cut_before_its_joins(spark):
+    def joins_above(p, seen):
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return joins_above(p.executedPlan(), seen)
+        if name.startswith("TakeOrdered") or "Limit" in name:
+            return [seen]
+        kids = p.children()
+        return [x for i in range(kids.size()) for x in joins_above(kids.apply(i), seen + ("Join" in name))]
+
+    _plan(spark, "listing")
+    assert max(joins_above(_PLANS["listing"], 0)) == 2
