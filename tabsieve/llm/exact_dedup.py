@@ -96,6 +96,10 @@ def mark_copies(docs: DataFrame, key: Column | None = None, capacity: int = BUCK
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay (all of its columns)."""
+    """The rows of ``docs`` that stay (all of its columns), found again by id
+    and digest."""
     gone = mark_copies(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept"))
-    return docs.join(gone.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti")
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    rows = docs.withColumn("__digest", F.sha2(normalised(F.col(text_col)), 256))
+    same = rows[id_col].eqNullSafe(gone["__id"]) & (rows["__digest"] == gone["__sha"])
+    return rows.join(gone, same, "left_anti").drop("__digest")

@@ -33,8 +33,10 @@ def marked(df, **options):
 def test_copies(make_docs):
     assert marked(make_docs(EDGES)) == copies(EDGES)
     assert marked(make_docs([])) == []
-    kept = exact_dedup.drop_copies(make_docs([r for r in EDGES if r[0] is not None]))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in copies([r for r in EDGES if r[0] is not None]) if r[3])
+    rows = EDGES + [(5, "other"), (2, "other")]
+    kept = exact_dedup.drop_copies(make_docs(rows))
+    assert kept.columns == make_docs(rows).columns
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((r[0] for r in copies(rows) if r[3]), key=repr)
 
 
 def test_collisions_are_chained_and_buckets_split(make_docs):
