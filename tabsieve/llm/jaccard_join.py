@@ -13,8 +13,9 @@ pairs of a group is ever made.
    keep a set that could have been left out. Sets below 0.8 are done.
 3. *Tiles.* Of the rest, linked sets share one of their n - ceil(0.8 n) + 1
    least shingles and lie in the same or in neighbouring size bands (widths
-   of 1.25): a tile is one such shingle and two neighbouring bands. Of
-   shingles that are held by the very same sets, one makes the tiles.
+   of 1.25). The sets that hold such a shingle are gathered under the first
+   of them, its anchor; a tile is one anchor and two neighbouring bands, so
+   the many shingles that near copies share make few tiles.
 4. *Hubs.* Every tile names one hub; each set is compared with one hub of
    its tiles. This ties large groups of near copies together with one
    comparison per set.
@@ -47,7 +48,7 @@ BLOCK_SETS = 1024      # sets on each side of a bitmap block
 PREFIX_ROWS = 200_000  # rows of a batch
 BITS = 8               # of a bitmap, for each member
 HELD_PAIRS = 500_000   # pairs held before repeats among them are dropped
-GROUP_ROWS = 50_000    # rows of bitmap blocks compared in one call
+GROUP_BYTES = 8 << 20  # bitmaps compared in one call
 
 # The similarity 0.8 stands in the code as the ratio 4 / 5.
 MESSAGE = "part long, block long, prints binary"
@@ -214,14 +215,12 @@ def band_column(n: Column) -> Column:
 
 
 def make_tiles(sets: DataFrame) -> DataFrame:
-    """(shingle, band, node, n): the members of every tile. A shingle's
-    members are told from another's by their number and two xors of hashes."""
+    """(anchor, band, node, n): the members of every tile."""
     rows = written(sets.mapInArrow(_prefix_rows, "shingle long, node long, n long"), "prefixes")
-    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"),
-                                       F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
-    one = held.filter("k > 1").groupBy("k", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle")
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("anchor")).filter("k > 1")
+    met = rows.join(held.select("shingle", "anchor"), "shingle").select("anchor", "node", "n").distinct()
     b = band_column(F.col("n"))
-    return written(rows.join(one, "shingle").select("shingle", F.explode(F.array(b, b + 1)).alias("band"), "node", "n"), "tiles")
+    return written(met.select("anchor", F.explode(F.array(b, b + 1)).alias("band"), "node", "n"), "tiles")
 
 
 def bitmap(shingles: np.ndarray, band: int) -> np.ndarray:
@@ -269,10 +268,10 @@ def _compare(key: tuple, table: pa.Table) -> pa.Table:
     """In each of a group's blocks, the pairs - one set of each side, of
     different components, sizes within 0.8 - whose bitmaps allow the overlap
     they need."""
-    col = {c: table.column(c).to_numpy() for c in ("shingle", "band", "r", "c", "node", "n", "root", "side")}
+    col = {c: table.column(c).to_numpy() for c in ("anchor", "band", "r", "c", "node", "n", "root", "side")}
     raw = table.column("bits").to_pylist()
-    order = np.lexsort([col[c] for c in ("c", "r", "band", "shingle")])
-    name = np.stack([col[c][order] for c in ("c", "r", "band", "shingle")])
+    order = np.lexsort([col[c] for c in ("c", "r", "band", "anchor")])
+    name = np.stack([col[c][order] for c in ("c", "r", "band", "anchor")])
     cuts = np.flatnonzero((name[:, 1:] != name[:, :-1]).any(0)) + 1
     out, held = [np.zeros((0, 2), np.int64)], 0
     for block in np.split(order, cuts):
@@ -299,8 +298,8 @@ def _compare(key: tuple, table: pa.Table) -> pa.Table:
 def hub_pairs(tiles: DataFrame) -> DataFrame:
     """(a, b): each set with one hub of its tiles that its size allows."""
     rank = F.xxhash64("node")
-    hubs = tiles.groupBy("shingle", "band").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(rank, "node", "n")).alias("hub"))
-    met = tiles.join(hubs.filter("k > 1"), ["shingle", "band"]).filter(
+    hubs = tiles.groupBy("anchor", "band").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(rank, "node", "n")).alias("hub"))
+    met = tiles.join(hubs.filter("k > 1"), ["anchor", "band"]).filter(
         (F.col("node") != F.col("hub.node")) & (5 * F.least("n", "hub.n") >= 4 * F.greatest("n", "hub.n")))
     return met.groupBy(F.col("node").alias("a")).agg(F.min("hub").alias("hub")).select("a", F.col("hub.node").alias("b"))
 
@@ -308,16 +307,17 @@ def hub_pairs(tiles: DataFrame) -> DataFrame:
 def open_pairs(tiles: DataFrame, roots: DataFrame, sets: DataFrame, block_sets: int) -> DataFrame:
     """(a, b): pairs in unsettled tiles that pass size and bitmap tests."""
     t = tiles.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = t.groupBy("shingle", "band", "root").agg(F.count(F.lit(1)).alias("k"))
-    tile = parts.groupBy("shingle", "band").agg(F.count(F.lit(1)).alias("roots"), F.sum("k").alias("members"),
+    parts = t.groupBy("anchor", "band", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    tile = parts.groupBy("anchor", "band").agg(F.count(F.lit(1)).alias("roots"), F.sum("k").alias("members"), F.sum("n").alias("n"),
                                                 F.max(F.struct("k", "root")).alias("top"))
     unsettled = tile.filter("roots > 1")
-    rows = unsettled.agg(F.sum(F.col("members") * F.ceil(F.col("members") / block_sets))).first()[0] or 0   # at most
-    groups = max(1, -(-int(rows) // GROUP_ROWS))
+    # bytes of bitmaps in all blocks, a little over
+    size = unsettled.agg(F.sum(F.col("n") * F.ceil(F.col("members") / block_sets) * (BITS / 4))).first()[0] or 0
+    groups = max(1, -(-int(size) // GROUP_BYTES))
     unsettled = unsettled.select(
-        "shingle", "band", F.col("top.root").alias("top"), F.ceil(F.col("top.k") / block_sets).cast("int").alias("of_top"),
+        "anchor", "band", F.col("top.root").alias("top"), F.ceil(F.col("top.k") / block_sets).cast("int").alias("of_top"),
         F.ceil((F.col("members") - F.col("top.k")) / block_sets).cast("int").alias("of_rest"))
-    t = t.join(unsettled, ["shingle", "band"])
+    t = t.join(unsettled, ["anchor", "band"])
     # outside the largest component: block row i and column i; inside: a column of every block row
     rest = F.col("root") != F.col("top")
     i = F.pmod(F.xxhash64("node"), F.when(rest, F.col("of_rest")).otherwise(F.col("of_top"))).cast("int")
@@ -327,10 +327,10 @@ def open_pairs(tiles: DataFrame, roots: DataFrame, sets: DataFrame, block_sets:
             x == F.col("i"), cell(x, x, 3)).when(x > F.col("i"), cell(F.col("i"), x, 1)).otherwise(cell(x, F.col("i"), 2))),
         F.transform(F.sequence(F.lit(0), F.col("of_top") - 1), lambda x: cell(F.col("i"), -1 - x, 1)))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("of_rest") - 1), lambda x: cell(x, -1 - F.col("i"), 2))))
-    t = t.select("shingle", "band", "node", "n", "root", F.inline("cells"))
+    t = t.select("anchor", "band", "node", "n", "root", F.inline("cells"))
     maps = sets.mapInArrow(_bitmap_rows, "node long, band int, bits binary")
     t = t.join(maps, ["node", "band"])
-    t = t.withColumn("group", F.pmod(F.xxhash64("shingle", "band", "r", "c"), F.lit(groups)))
+    t = t.withColumn("group", F.pmod(F.xxhash64("anchor", "band", "r", "c"), F.lit(groups)))
     return t.groupBy("group").applyInArrow(_compare, "a long, b long").distinct()
 
 
