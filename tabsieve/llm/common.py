@@ -38,10 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ready(spark: SparkSession) -> None:
-    """Makes sure of the shared folder and of this package on local workers."""
+    """Makes sure of the shared folder and of this package on local workers.
+    Where the session has the default size of Arrow batches (10,000 rows),
+    documents travel in batches of 1,000: whole texts are wide rows."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -68,6 +75,7 @@ def with_missing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import bounded_broadcast
 from .blocks import NO_ID, make_blocks, pack, read_block, unpack
 from .common import checkpointed, written
 from .graph import components
@@ -371,10 +372,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) that stay: one of each group of near
-    duplicates. Rows are found again by id and text, so rows equal in both
-    count as one."""
-    found = near_duplicates(docs, id_col, text_col).filter("kept")
-    key = F.coalesce(F.col(id_col), F.lit(NO_ID))
-    stay = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("mark").alias("__mark")).distinct()
-    rows = docs.withColumns({"__id": key, "__mark": F.xxhash64(text_col)}).join(stay, ["__id", "__mark"], "left_semi")
-    return rows.dropDuplicates(["__id", "__mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    duplicates. Rows are found again by id and hash of the text; those equal
+    in both are one document and stay once.
+
+    What goes is broadcast behind a check of its size (no text is shuffled);
+    beyond the bound both sides are shuffled."""
+    found = near_duplicates(docs, id_col, text_col).select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("mark").alias("__mark"), "kept")
+    keys = found.groupBy("__id", "__mark").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    keys = written(keys.filter("not stays or rows > 1"), "gone")
+    gone, again = (bounded_broadcast(keys.filter(c).select("__id", "__mark")) for c in ("not stays or rows > 1", "stays and rows > 1"))
+    rows = docs.withColumns({"__id": F.coalesce(F.col(id_col), F.lit(NO_ID)), "__mark": F.xxhash64(text_col)})
+    once = rows.join(gone, ["__id", "__mark"], "left_anti")
+    repeated = rows.join(again, ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"])
+    return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
