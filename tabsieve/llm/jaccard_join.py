@@ -47,7 +47,7 @@ SHINGLE = 5            # words
 PART_BYTES = 4 << 20   # text bytes per hash partition of the shared-shingle test
 BLOCK_SETS = 1024      # sets on each side of a bitmap block
 PREFIX_ROWS = 200_000  # rows of a batch
-BITS = 8               # of a bitmap, for each member
+BITS = 16              # of a bitmap, for each member
 HELD_PAIRS = 500_000   # pairs held before repeats among them are dropped
 GROUP_BYTES = 8 << 20  # bitmaps compared in one call
 
@@ -278,9 +278,10 @@ def _compare(key: tuple, table: pa.Table) -> pa.Table:
     for block in np.split(order, cuts):
         side, node, n, root = (col[c][block] for c in ("side", "node", "n", "root"))
         a, b = np.flatnonzero(side != 2), np.flatnonzero(side != 1)   # 1: rows, 2: columns, 3: both
+        band, tile = band_of(n), col["band"][block[0]]                # a pair belongs to the tile of its greater band
         bits = None
         for i in a:
-            j = b[(root[b] != root[i]) & (5 * np.minimum(n[b], n[i]) >= 4 * np.maximum(n[b], n[i]))]
+            j = b[(root[b] != root[i]) & (np.maximum(band[b], band[i]) == tile) & (5 * np.minimum(n[b], n[i]) >= 4 * np.maximum(n[b], n[i]))]
             if len(j):
                 if bits is None:
                     bits = np.frombuffer(b"".join(raw[k] for k in block), U).reshape(len(block), -1)
