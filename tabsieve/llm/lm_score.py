@@ -1,11 +1,13 @@
 """Language-model scores by stupid backoff over the corpus's own n-gram counts.
 
 Every block of documents (``blocks``) explodes its texts into the n-grams of
-all orders and sends each distinct one once, with its count, to the n-gram's
+an order and sends each distinct one once, with its count, to the n-gram's
 hash partition. There the counts of all blocks are summed into the count
 table and joined back to the n-grams that were sent; each block gets the
-corpus counts of its own n-grams and sums the scores per document. An n-gram
-that a third of all documents hold is one entry per block, not per row.
+corpus counts of its own n-grams of all orders and sums the scores per
+document. An n-gram that a third of all documents hold is one entry per block,
+not per row. One order is counted at a time and its answers are written, so
+that no two orders lie on the disks as sent n-grams.
 
 A document is scored by what the *other* documents hold: its own counts are
 taken off every count. For the word w after the context u:
@@ -18,6 +20,7 @@ taken off every count. For the word w after the context u:
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,15 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import NO_ID, make_blocks, pack, read_block, unpack
-from .common import word_count
+from .common import word_count, written
 from .words import LOWER, U, mix64, window_hashes, word_hashes, words
 
 ORDER = 2
+QUERY_ORDER = 3    # of the registered query
 BACKOFF = 0.4
 PART_BYTES = 4 << 20   # text bytes per hash partition of the count tables
 
 MESSAGE = "part long, block long, grams binary, counts binary"
-REPLY = "block long, part long, totals binary"
+ANSWER = "block long, part long, totals binary"
 SCORES = "doc_id long, n_words long, log_score double, mean_log_score double, n_backoffs long"
 
 
@@ -71,7 +75,7 @@ def _send(batches: Iterator[pa.RecordBatch], order: int, parts: int) -> Iterator
         for row in batch.to_pylist():
             _, data, offsets = read_block(row)
             _, each, inside = grams(data, offsets, order)
-            kinds, counts = np.unique(np.concatenate([g[i] for g, i in zip(each, inside)]), return_counts=True)
+            kinds, counts = np.unique(each[-1][inside[-1]], return_counts=True)
             part = _parts(kinds, parts)
             cuts = np.flatnonzero(np.diff(part)) + 1
             out = [(int(part[i]), row["block"], pack_sorted(kinds[i:j]), pack(counts[i:j].astype(np.int32)))
@@ -82,7 +86,7 @@ def _send(batches: Iterator[pa.RecordBatch], order: int, parts: int) -> Iterator
 
 
 def _total(key: tuple, table: pa.Table) -> pa.Table:
-    """The count table of a hash partition, joined to what was sent to it."""
+    """The count table of a hash partition of an order, joined to what was sent to it."""
     rows = table.to_pylist()
     sent = [unpack_sorted(r["grams"]) for r in rows]
     kinds, at = np.unique(np.concatenate(sent), return_inverse=True)
@@ -98,13 +102,12 @@ def _score(block: pa.Table, replies: pa.Table, order: int, backoff: float, total
     ids, data, offsets = read_block(row)
     first, each, inside = grams(data, offsets, order)
     n_words, n = np.diff(first), int(first[-1])
-    kinds = np.unique(np.concatenate([g[i] for g, i in zip(each, inside)]))
-    by_part = sorted((r["part"], r["totals"]) for r in replies.to_pylist())
-    totals = np.concatenate([unpack(t, np.int64) for _, t in by_part]) if by_part else np.zeros(0, np.int64)
+    by_part = sorted((r["n"], r["part"], r["totals"]) for r in replies.to_pylist())
     doc = np.repeat(np.arange(len(n_words)), n_words)
     seen = []      # by order, the count in other documents of the run that begins at each word
-    for g, i in zip(each, inside):
-        at = np.searchsorted(kinds, g[i])
+    for m, (g, i) in enumerate(zip(each, inside), 1):
+        kinds, at = np.unique(g[i], return_inverse=True)
+        totals = np.concatenate([np.zeros(0, np.int64), *[unpack(t, np.int64) for k, _, t in by_part if k == m]])
         pair, inverse, own = np.unique(doc[:len(g)][i] * len(kinds) + at, return_inverse=True, return_counts=True)
         c = np.zeros(n, np.int64)
         c[np.flatnonzero(i)] = totals[at] - own[inverse]
@@ -131,6 +134,16 @@ def _score(block: pa.Table, replies: pa.Table, order: int, backoff: float, total
                     ["doc_id", "n_words", "log_score", "mean_log_score", "n_backoffs"])
 
 
+def _answers(blocks: DataFrame, n: int, parts: int) -> DataFrame:
+    """(block, part, totals, n): the counts of each block's runs of ``n`` words, written."""
+    sent = blocks.mapInArrow(partial(_send, order=n, parts=parts), MESSAGE)
+    out = written(sent.groupBy("part").applyInArrow(_total, ANSWER).withColumn("n", F.lit(n)), "counts")
+    del sent
+    gc.collect()                                   # Spark drops the shuffle files of plans that nobody holds
+    blocks.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_col: str = "doc_id",
                     text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_words, log_score (sum of the natural
@@ -146,7 +159,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     total = docs.agg(F.sum(word_count(F.col(text_col)))).first()[0] or 0
     size = blocks.agg(F.sum("size")).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
-    sent = blocks.mapInArrow(partial(_send, order=order, parts=parts), MESSAGE)
-    replies = sent.groupBy("part").applyInArrow(_total, REPLY)
+    replies = _answers(blocks, 1, parts)
+    for n in range(2, order + 1):
+        replies = replies.unionByName(_answers(blocks, n, parts))
     score = lambda b, r: _score(b, r, order, backoff, total)
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, SCORES)

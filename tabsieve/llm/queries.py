@@ -90,7 +90,7 @@ def op9_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op1_stupid_backoff")
 def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(documents(spark, sf_dir))
+    return lm_score.score_documents(documents(spark, sf_dir), order=lm_score.QUERY_ORDER)
 
 
 @register("op10_ngram_jaccard_join")

@@ -59,6 +59,15 @@ def test_third_order_many_parts(make_docs, monkeypatch):
     close(L.score_documents(make_docs(rows), order=3, part_bytes=100).collect(), brute(rows, 3))
 
 
+def test_registered_query_scores_from_two_words(spark, sf, sf_rows):
+    from tabsieve.llm.queries import QUERIES
+
+    rows = [(r[0], r[1]) for r in sf_rows]
+    want = brute(rows, 3)
+    close(QUERIES["op1_stupid_backoff"](spark, sf).collect(), want)
+    assert [w[2] for w in want] != pytest.approx([w[2] for w in brute(rows, 2)])
+
+
 def test_edges(make_docs):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (4, "one TWO"), (None, "two one"), (5, "alone"), (6, "é " * 3000), (7, "x" * 4000)]
     close(L.score_documents(make_docs(rows)).collect(), brute(rows))
