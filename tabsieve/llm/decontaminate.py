@@ -14,9 +14,10 @@ its own text, and everything at or above ``THRESHOLD`` is retrieved:
   only blocks at or above the threshold are scored, item by item.
 
 A retrieved item counts as contained if enough of its question's and of its
-answer's word 3-grams occur in the text around the passage. Without question
-and answer columns an item's answer is its last quarter of words and its
-question the rest.
+answer's word 3-grams occur in the text around the passage. One changed word
+breaks up to three of them, so of a part of under ``SHORT`` words it is also
+enough that as large a share of its words stand close together. Without
+question and answer columns an item's whole text is its question.
 
 The index is read by every task, so it is split by its measured size: items
 are dealt to index parts of at most ``INDEX_BYTES`` of text and every passage
@@ -41,6 +42,7 @@ K1, B = 1.2, 0.75
 ITEM_BLOCK = 16       # items of a block-max block
 OVERLAP = 0.6         # share of 3-grams that must occur, of question and answer each
 GRAM = 3
+SHORT = 10            # words; of a part with fewer, the words are looked for too
 INDEX_BYTES = 16 << 20
 BOUNDS = 4 << 20      # block bounds held at once
 PIECE_BYTES = 1 << 20  # text bytes looked at together
@@ -96,12 +98,13 @@ class Index:
         self.block_impact = np.maximum.reduceat(self.impact, lead) if len(pair) else np.zeros(0)
         self.block_of = block[lead]
         self.block_post = np.searchsorted(term[lead], np.arange(len(self.vocabulary) + 1))
-        self.parts = []                                        # of each item, the 3-grams of question and answer
+        self.parts = []                                        # of each item, (3-grams, words if few) of question and answer
         part_data, part_offsets = text_bytes(pa.array([p for pair_ in texts for p in pair_], pa.string()))
         ph, pf = terms(part_data, part_offsets)
         self.part_terms = np.diff(pf).reshape(-1, 2)
         for i in range(len(items)):
-            self.parts.append([np.unique(grams(ph[pf[2 * i + s]:pf[2 * i + s + 1]])) for s in (0, 1)])
+            halves = [ph[pf[2 * i + s]:pf[2 * i + s + 1]] for s in (0, 1)]
+            self.parts.append([(np.unique(grams(t)), np.unique(t) if len(t) < SHORT else t[:0]) for t in halves])
         self.table = np.full(1 << 16, False)                  # quick test for hashes outside the vocabulary
         self.table[(self.vocabulary & U(0xFFFF)).astype(np.int64)] = True
 
@@ -150,14 +153,27 @@ def grams(h: np.ndarray) -> np.ndarray:
     return window_hashes(h, GRAM) if len(h) >= GRAM else mix64(window_hashes(h, len(h))) if len(h) else np.zeros(0, U)
 
 
-def contained(part: np.ndarray, around: np.ndarray, n_terms: int) -> float:
-    """Share of a part's grams found in the terms around a passage."""
+def close_words(few: np.ndarray, around: np.ndarray, n_terms: int) -> float:
+    """The greatest share of a part's words found in a run of ``GRAM - 1``
+    terms more than the part has."""
+    run = min(len(around), n_terms + GRAM - 1)
+    seen = np.zeros(len(around) - run + 1, np.int64)
+    for word in few:
+        to = np.concatenate([[0], np.cumsum(around == word)])
+        seen += to[run:] > to[:len(to) - run]
+    return float(seen.max() / len(few))
+
+
+def contained(part: np.ndarray, few: np.ndarray, around: np.ndarray, n_terms: int) -> float:
+    """Share of a part's grams, or of its words if they are few and more of
+    them are found, in the terms around a passage."""
     if not len(part):
         return 1.0
     found = grams(around)
     if n_terms < GRAM:
         found = mix64(window_hashes(around, n_terms)) if len(around) >= n_terms else found[:0]
-    return float(np.isin(part, found).mean())
+    share = float(np.isin(part, found).mean())
+    return max(share, close_words(few, around, n_terms)) if len(few) else share
 
 
 def matches(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float, overlap: float) -> Iterator[tuple]:
@@ -182,7 +198,7 @@ def matches(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: floa
         q, a = index.parts[item]
         if best.get((d, item), (-1.0,))[0] >= score:
             continue
-        over = contained(q, around, index.part_terms[item][0]), contained(a, around, index.part_terms[item][1])
+        over = contained(*q, around, index.part_terms[item][0]), contained(*a, around, index.part_terms[item][1])
         if min(over) >= overlap:
             best[d, item] = score, *over
     for (d, item), found in best.items():
@@ -206,15 +222,10 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndar
 
 
 def with_parts(benchmark: DataFrame) -> DataFrame:
-    """(item_id, question, answer) of the items; of a single text, the last
-    quarter of its words (at least one) is the answer."""
+    """(item_id, question, answer) of the items; a single text is all question."""
     if {"question", "answer"} <= set(benchmark.columns):
         return benchmark.select("item_id", "question", "answer")
-    w = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    n = F.size("w") - F.ceil(F.size("w") / 4).cast("int")
-    return benchmark.select("item_id", w.alias("w")).select(
-        "item_id", F.array_join(F.slice("w", 1, n), " ").alias("question"),
-        F.array_join(F.slice("w", n + 1, F.greatest(F.lit(1), F.size("w"))), " ").alias("answer"))
+    return benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("question"), F.lit("").alias("answer"))
 
 
 def index_parts(benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> Iterator[list[tuple]]:
@@ -233,8 +244,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     document and each benchmark item it contains.
 
     Null and empty texts contain nothing; items without a term are not
-    looked for; an item shorter than four words is all question but for its
-    last word. Repeated rows and items are reported each; a null doc_id
+    looked for; a question or answer without a term counts as contained.
+    Repeated rows and items are reported each; a null doc_id
     stays null. Extra columns are not read; an empty table gives an empty
     result.
     """

@@ -103,6 +103,22 @@ def test_altered_partial_long_and_clean(spark, make_docs):
     assert sorted((r.doc_id or -1) for r in D.drop_leaks(make_docs(rows), bench).collect()) == [21, 22, 23, 24, 25, 27]
 
 
+def test_one_changed_word_at_every_place(spark, make_docs):
+    rng = random.Random(5)
+    whole = {k: words(rng, n, "i") for k, n in enumerate([8, 12, 15, 24, 59])}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in whole.items()], "item_id long, text string")
+    rows = [(100 * k + at, " ".join([*words(rng, 40, "z"), *w[:at], "changed", *w[at + 1:], *words(rng, 40, "z")]))
+            for k, w in whole.items() for at in range(len(w))]
+    rows += [(1000 + k, " ".join(w[:-(len(w) // 4)] + words(rng, 80, "z"))) for k, w in whole.items()]   # without the last quarter
+    assert set(found(make_docs(rows), bench)) == {(d, d // 100 if d < 1000 else d - 1000) for d, _ in rows}
+    pairs = {k: (words(rng, 30, "q"), words(rng, n, "a")) for k, n in enumerate([3, 4, 6, 9, 10])}
+    bench = spark.createDataFrame([(k, " ".join(q), " ".join(a)) for k, (q, a) in pairs.items()], "item_id long, question string, answer string")
+    rows = [(100 * k + at, " ".join([*words(rng, 40, "z"), *(q + a)[:at], "changed", *(q + a)[at + 1:], *words(rng, 40, "z")]))
+            for k, (q, a) in pairs.items() for at in range(len(q + a))]
+    rows += [(1000 + k, " ".join(q + words(rng, 40, "z") + a[:1])) for k, (q, a) in pairs.items()]       # one word of the answer
+    assert set(found(make_docs(rows), bench)) == {(d, d // 100) for d, _ in rows if d < 1000}
+
+
 def test_long_texts_in_pieces(spark, make_docs, monkeypatch):
     rng = random.Random(2)
     bench = spark.createDataFrame([(1, " ".join(words(rng, 30)))], "item_id long, text string")
