@@ -222,9 +222,10 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndar
 
 
 def with_parts(benchmark: DataFrame) -> DataFrame:
-    """(item_id, question, answer) of the items; a single text is all question."""
+    """(item_id, question, answer) of the items; a single text is all question,
+    and a null part is empty."""
     if {"question", "answer"} <= set(benchmark.columns):
-        return benchmark.select("item_id", "question", "answer")
+        return benchmark.select("item_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("question", "answer")])
     return benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("question"), F.lit("").alias("answer"))
 
 

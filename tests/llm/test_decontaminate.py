@@ -119,6 +119,15 @@ def test_one_changed_word_at_every_place(spark, make_docs):
     assert set(found(make_docs(rows), bench)) == {(d, d // 100) for d, _ in rows if d < 1000}
 
 
+def test_items_with_one_part(spark, make_docs):
+    rng = random.Random(6)
+    q, a = " ".join(words(rng, 20, "q")), " ".join(words(rng, 12, "a"))
+    bench = spark.createDataFrame([(1, q, None), (2, None, a), (3, None, None)], "item_id long, question string, answer string")
+    rows = [(k, " ".join([*words(rng, 50, "z"), t, *words(rng, 50, "z")])) for k, t in enumerate([q, a, "clean"], 1)]
+    assert set(found(make_docs(rows), bench)) == {(1, 1), (2, 2)}
+    assert [r.doc_id for r in D.drop_leaks(make_docs(rows), bench).collect()] == [3]
+
+
 def test_long_texts_in_pieces(spark, make_docs, monkeypatch):
     rng = random.Random(2)
     bench = spark.createDataFrame([(1, " ".join(words(rng, 30)))], "item_id long, text string")
