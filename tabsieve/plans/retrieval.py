@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_half_up, truncate_text
@@ -57,6 +57,18 @@ def knn_distance(t: Tables) -> DataFrame:
     return v.select("qid", "predicted", round_half_up("votes", 6).alias("votes"))
 
 
+def knn_distance_all(t: Tables) -> DataFrame:
+    """M18 with distance weights over the whole table: the class of every
+    embedding from its nearest others."""
+    emb = t.embeddings
+    # one more than asked for, as a row may find itself
+    hits = R.nearest(emb, emb.select(F.col("vec_id").alias("qid"), "embedding"), TOP_K + 1, "vec_id", "qid", payload=["label"])
+    place = Window.partitionBy("qid").orderBy("rank")
+    others = hits.filter("vec_id != qid").withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= TOP_K)
+    v = R.knn_vote(others, "qid", "label", weights="distance")
+    return v.select("qid", "predicted", round_half_up("votes", 6).alias("votes"))
+
+
 def chunk_corpus(t: Tables) -> DataFrame:
     ch = K.chunks(t)
     return ch.select("doc_id", "chunk_index", "text", letter_counts("text").alias("embedding"))

@@ -76,3 +76,21 @@ def test_partitions_do_not_matter(tables_small):
                          F.transform("embedding", lambda x: x * F.lit(0.5)).alias("embedding"))
     want = _brute(emb.toPandas(), queries.toPandas())
     assert _spark_hits(R.nearest(emb.repartition(16), queries, K, "vec_id", "qid")) == want
+
+
+def test_every_row_finds_its_nearest_others(tables_small):
+    from tabsieve.plans import retrieval as RV
+
+    pdf = tables_small.embeddings.toPandas()
+    v, ids, label = np.stack(pdf["embedding"]).astype("float64"), pdf["vec_id"].to_numpy(), pdf["label"].to_numpy()
+    want = {}
+    for i in range(len(ids)):
+        d = ((v - v[i]) ** 2).sum(axis=1)
+        near = [j for j in np.lexsort((ids, d)) if j != i][:K]
+        exact = any(d[j] == 0 for j in near)
+        votes = {}
+        for j in near:
+            votes[label[j]] = votes.get(label[j], 0.0) + (float(d[j] == 0) if exact else 1 / d[j])
+        best = min(votes, key=lambda k: (-votes[k], k))
+        want[int(ids[i])] = (best, pytest.approx(votes[best], abs=2e-6))
+    assert {r.qid: (r.predicted, r.votes) for r in RV.knn_distance_all(tables_small).collect()} == want
