@@ -374,11 +374,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) that stay: one of each group of near
     duplicates. Rows are found again by id and hash of the text; those equal
-    in both are one document and stay once.
+    in both are one document and stay once. Rows without a word have no
+    duplicates and stay each.
 
     What goes is broadcast behind a check of its size (no text is shuffled);
     beyond the bound both sides are shuffled."""
-    found = near_duplicates(docs, id_col, text_col).select(
+    found = near_duplicates(docs, id_col, text_col).filter("n_shingles > 0").select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("mark").alias("__mark"), "kept")
     keys = found.groupBy("__id", "__mark").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("rows"))
     keys = written(keys.filter("not stays or rows > 1"), "gone")

@@ -102,6 +102,12 @@ def test_one_of_each_group_stays(make_docs):
         [(3, a + " x"), (4, b), (6, None), (7, ""), (None, "no id"), (4, "other text")], key=repr)
 
 
+def test_rows_without_words_stay_each(make_docs):
+    rows = [(None, None), (None, None), (None, ""), (None, ""), (3, " "), (3, " "), (4, "one two"), (4, "one two")]
+    kept = [(r.doc_id, r.text) for r in J.keep_one(make_docs(rows)).collect()]
+    assert sorted(kept, key=repr) == sorted(rows[:-1], key=repr)
+
+
 def test_null_text_and_ids_of_one_row(make_docs):
     assert found(make_docs([(None, None)])) == [(None, 0, None)]
 
