@@ -12,7 +12,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def parallelism(df: DataFrame) -> int:
@@ -37,6 +37,12 @@ def _already_spread(df: DataFrame) -> bool:
 SPREAD_MAX_BYTES = 8 << 30
 
 
+def split_bytes(spark: SparkSession) -> int:
+    """``spark.sql.files.maxPartitionBytes`` in bytes, however it is spelt
+    (``16m``, ``128MB``, ``1g``): Spark's own configuration parses it."""
+    return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+
+
 def is_narrow(df: DataFrame) -> bool:
     """Small enough to fit in fewer splits than cores, i.e. below
     parallelism x maxPartitionBytes by the plan estimate, and small in
@@ -47,9 +53,7 @@ def is_narrow(df: DataFrame) -> bool:
     if df.isStreaming or _already_spread(df):
         # a stream has no size to check; micro-batches keep the source's splits
         return False
-    conf = df.sparkSession.conf
-    max_split = int(str(conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b") or 134217728)
-    return estimated_bytes(df) < min(parallelism(df) * max_split, SPREAD_MAX_BYTES)
+    return estimated_bytes(df) < min(parallelism(df) * split_bytes(df.sparkSession), SPREAD_MAX_BYTES)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -56,6 +56,13 @@ def query_batches(queries: DataFrame, qid: str, vec: str, max_rows: int) -> Iter
         yield [r[0] for r in rows], np.array([r[1] for r in rows], dtype="float64")
 
 
+def _finite(v) -> bool:
+    """Whether a corpus row takes part. Tested here and not by a filter, which
+    Spark would push below the spreading of the rows, deriving the vector once
+    more in the few tasks of the scan."""
+    return v is not None and None not in v and bool(np.isfinite(np.array(v, dtype="float64")).all())
+
+
 class _Best:
     """The k best (distance, ids, payload) of each query so far."""
 
@@ -88,6 +95,7 @@ def _scan(shared, k: int, ids: Sequence[str], vec: str, payload: Sequence[str]):
         names, q = shared.value
         best = _Best(q, k)
         for pdf in batches:
+            pdf = pdf[pdf[vec].map(_finite).astype(bool)]
             if len(pdf):
                 keys = list(zip(*[pdf[c].tolist() for c in ids]))
                 extra = list(zip(*[pdf[c].tolist() for c in payload])) if payload else [()] * len(pdf)
@@ -116,7 +124,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str | Sequ
     kind = lambda df, c: f"`{c}` {df.schema[c].dataType.simpleString()}"
     qtype = queries.schema[query_id].dataType.simpleString()
     schema = ", ".join([f"qid {qtype}", *[kind(corpus, c) for c in ids], "dist double", *[kind(corpus, c) for c in payload]])
-    body = spread(finite_vectors(corpus.select(*ids, vec_col, *payload), vec_col))
+    body = spread(corpus.select(*ids, vec_col, *payload))
     path = scratch_path(spark, "nearest")
     order = [F.col("dist"), *[F.col(f"`{c}`") for c in ids]]
     group = Window.partitionBy("qid", "__g").orderBy(*order)

@@ -32,8 +32,9 @@ def node_depths(nodes: DataFrame) -> DataFrame:
     level = nodes.filter(F.col("id") == 0).select("treeID", "id", F.lit(0).alias("depth"))
     out = level
     for depth in count(1):
-        nxt = (level.join(edges, (level["treeID"] == edges["treeID"]) & (level["id"] == edges["parent"]))
-                    .select(level["treeID"], F.col("child").alias("id"), F.lit(depth).alias("depth"))).checkpoint()
+        parents = level.select("treeID", F.col("id").alias("parent"))
+        nxt = (parents.join(edges, ["treeID", "parent"])
+                      .select("treeID", F.col("child").alias("id"), F.lit(depth).alias("depth"))).checkpoint()
         if nxt.isEmpty():
             break
         out = out.unionByName(nxt)

@@ -48,21 +48,20 @@ def knn_quality(t: Tables) -> DataFrame:
 
 
 def knn_distance(t: Tables) -> DataFrame:
-    """M18 with distance weights: the class of embeddings in even places from
-    those in odd ones."""
-    emb = t.embeddings
-    hits = R.nearest(emb.filter("vec_id % 2 = 1"), emb.filter("vec_id % 2 = 0").select(
-        F.col("vec_id").alias("qid"), "embedding"), TOP_K, "vec_id", "qid", payload=["label"])
-    v = R.knn_vote(hits, "qid", "label", weights="distance")
-    return v.select("qid", "predicted", round_half_up("votes", 6).alias("votes"))
+    """M18 with distance weights: the class of every embedding whose id is
+    divisible by 20, from its nearest others in the whole table."""
+    return _vote_of_others(t.embeddings, t.embeddings.filter("vec_id % 20 = 0"))
 
 
 def knn_distance_all(t: Tables) -> DataFrame:
     """M18 with distance weights over the whole table: the class of every
     embedding from its nearest others."""
-    emb = t.embeddings
+    return _vote_of_others(t.embeddings, t.embeddings)
+
+
+def _vote_of_others(emb: DataFrame, asked: DataFrame) -> DataFrame:
     # one more than asked for, as a row may find itself
-    hits = R.nearest(emb, emb.select(F.col("vec_id").alias("qid"), "embedding"), TOP_K + 1, "vec_id", "qid", payload=["label"])
+    hits = R.nearest(emb, asked.select(F.col("vec_id").alias("qid"), "embedding"), TOP_K + 1, "vec_id", "qid", payload=["label"])
     place = Window.partitionBy("qid").orderBy("rank")
     others = hits.filter("vec_id != qid").withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= TOP_K)
     v = R.knn_vote(others, "qid", "label", weights="distance")

@@ -533,7 +533,7 @@ SELECT item_id, quality AS predicted, votes FROM b WHERE rr = 1
 register("knn_distance", f"""
 WITH u AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
 d AS (SELECT q.vec_id AS qid, v.vec_id, v.label, sum((CAST(v.x AS DOUBLE) - q.x) * (CAST(v.x AS DOUBLE) - q.x)) AS dist
-      FROM u q JOIN u v ON q.pos = v.pos WHERE q.vec_id % 2 = 0 AND v.vec_id % 2 = 1 GROUP BY ALL),
+      FROM u q JOIN u v ON q.pos = v.pos WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM d),
 t AS (SELECT *, max(dist = 0) OVER (PARTITION BY qid) AS exact FROM r WHERE rank <= 5),
 v AS (SELECT qid, label, sum(CASE WHEN exact THEN CASE WHEN dist = 0 THEN 1e0 ELSE 0e0 END ELSE 1e0 / dist END) AS votes FROM t GROUP BY 1, 2)

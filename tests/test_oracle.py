@@ -4,8 +4,8 @@ at least a successful run (the others), at sf0.001."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
 from oracle_check import compare, duck, spark_pdf
+from paths import SF_SMALL
 
 from tabsieve.plans import suite
 
