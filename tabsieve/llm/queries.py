@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, language_id, lm_score, mixing, quality_mil, sharding, substring_dedup
+from . import chat, decontaminate, exact_dedup, jaccard_join, language_id, lm_score, merkle, mixing, quality_mil, sharding, substring_dedup
 from .common import benchmark, documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,8 @@ def op2_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_mil.fit(docs, quality_mil.training_labels(labels))
     scored = quality_mil.score_quality(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_passages")
+
+
+@register("op13_merkle_manifest", merkle.audit_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(documents(spark, sf_dir))
