@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, language_id, lm_score, merkle, mixing, quality_mil, sharding, substring_dedup
+from . import chat, decontaminate, exact_dedup, jaccard_join, language_id, lm_score, merkle, mixing, pii_crf, quality_mil, sharding, substring_dedup
 from .common import benchmark, documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,13 @@ def op2_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_passages")
 
 
+@register("op12_skip_chain_crf_pii")
+def op12_skip_chain_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = pii_crf.find(docs, pii_crf.fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 @register("op13_merkle_manifest", merkle.audit_sql())
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(documents(spark, sf_dir))
