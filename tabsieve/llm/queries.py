@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, language_id, lm_score, merkle, mixing, pii_crf, quality_mil, sharding, substring_dedup
+from . import chat, decontaminate, exact_dedup, jaccard_join, language_id, lm_score, merkle, mixing, pii_crf, quality_mil, sharding, substring_dedup, token_align
 from .common import benchmark, documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,11 @@ def op2_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_passages")
 
 
+@register("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(documents(spark, sf_dir))
+
+
 @register("op12_skip_chain_crf_pii")
 def op12_skip_chain_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
