@@ -19,10 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.partitioning import estimated_bytes
 from .common import written
 from .words import runs, text_bytes
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, MOST_BYTES = 4 << 20, 64 << 20
+EVEN_BYTES = 32 << 30
 SCHEMA = "block long, size long, ids binary, marks binary, offsets binary, texts binary"
 NO_ID = np.iinfo(np.int64).max   # stands for a null doc_id, after all others
 
@@ -35,11 +37,24 @@ def unpack(b: bytes, kind=np.uint8) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
-def make_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def unit_bytes(docs: DataFrame) -> int:
+    """Text bytes of a block, and of a hash partition that blocks send their
+    pieces to: ``BLOCK_BYTES`` up to ``EVEN_BYTES`` of input and from there
+    with its square root, so that the pieces a block has for a partition stay
+    as many while both numbers grow, up to ``MOST_BYTES`` (at about 256 times
+    ``EVEN_BYTES``), which bounds a task's memory. Beyond, messages shrink
+    to single pieces and what is sent grows in proportion to the input."""
+    grown = BLOCK_BYTES * max(1.0, estimated_bytes(docs) / EVEN_BYTES) ** 0.5
+    return int(min(MOST_BYTES, grown))
+
+
+def make_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """(block, size in bytes, ids, marks, offsets, texts), the arrays
     compressed; a mark is the 64-bit hash of a text, by which its row is
-    found again. A document longer than ``block_bytes`` is a block of its
-    own."""
+    found again. Blocks hold ``unit_bytes`` by default; a document longer
+    than that is a block of its own."""
+    block_bytes = block_bytes or unit_bytes(docs)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:

@@ -22,8 +22,11 @@ pairs of a group is ever made.
 5. *Bitmaps.* Tiles whose sets are all in one component are settled. In the
    others every set outside the tile's largest component meets all sets of
    other components, in square blocks of bounded size: hashed bitmaps, sized
-   by the band, bound the overlap from above by bit counts. Only pairs that
-   pass are compared exactly, by intersecting the sorted arrays.
+   by the band, bound the overlap from above by bit counts, and what they let
+   pass is compared at once, by intersecting the sorted arrays that the block
+   holds. A link joins its two components inside the block, so that no later
+   pair of them is looked at, and only such links leave the block: fewer than
+   it has members. Pairs are never written.
 6. The components of all links give each document its smallest doc_id.
 """
 
@@ -38,18 +41,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import bounded_broadcast
-from .blocks import NO_ID, make_blocks, pack, read_block, unpack
+from .blocks import NO_ID, make_blocks, pack, read_block, unit_bytes, unpack
 from .common import checkpointed, written
 from .graph import components
 from .words import LOWER, U, mix64, window_hashes, word_hashes, words
 
 SHINGLE = 5            # words
-PART_BYTES = 4 << 20   # text bytes per hash partition of the shared-shingle test
 BLOCK_SETS = 1024      # sets on each side of a bitmap block
 PREFIX_ROWS = 200_000  # rows of a batch
 BITS = 16              # of a bitmap, for each member
-HELD_PAIRS = 500_000   # pairs held before repeats among them are dropped
-GROUP_BYTES = 8 << 20  # bitmaps compared in one call
+BLOCK_BYTES = 8 << 20  # bytes of sets on each side of a bitmap block, about
+GROUP_BYTES = 16 << 20  # bytes of sets in one call
+STEP = 64              # sets that one is intersected with at once
 
 # The similarity 0.8 stands in the code as the ratio 4 / 5.
 MESSAGE = "part long, block long, prints binary"
@@ -181,11 +184,13 @@ def _sets(block: pa.Table, replies: pa.Table, parts: int) -> pa.Table:
                      pa.array(sets, pa.binary())], ["row", "doc_id", "mark", "n", "class", "shingles"])
 
 
-def document_sets(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> DataFrame:
-    """(row, doc_id, mark, n, class, shingles) of every row (steps 1 and 2)."""
+def document_sets(docs: DataFrame, id_col: str, text_col: str, part_bytes: int | None) -> DataFrame:
+    """(row, doc_id, mark, n, class, shingles) of every row (steps 1 and 2).
+    ``part_bytes``: text bytes per hash partition of the shared-shingle
+    test, ``blocks.unit_bytes`` by default."""
     blocks = make_blocks(docs, id_col, text_col)
     size = blocks.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -(-size // part_bytes))
+    parts = max(1, -(-size // (part_bytes or unit_bytes(docs))))
     sent = blocks.mapInArrow(partial(_send, parts=parts), MESSAGE)
     replies = sent.groupBy("part").applyInArrow(_shared, REPLY)
     sets = lambda b, r: _sets(b, r, parts)
@@ -235,24 +240,21 @@ def bitmap(shingles: np.ndarray, band: int) -> np.ndarray:
     return np.packbits(flags).view(U)
 
 
-def _bitmap_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for node, n, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "shingles"))):
-            b, s = int(band_of(n)), np.frombuffer(raw, U)
-            yield pa.RecordBatch.from_arrays([pa.array([node] * 2, pa.int64()), pa.array([b, b + 1], pa.int32()), pa.array(
-                [bitmap(s, b).tobytes(), bitmap(s, b + 1).tobytes()], pa.binary())], ["node", "band", "bits"])
+def shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The overlap of a sorted set with each of the others."""
+    size = np.array([len(y) for y in others])
+    flat = np.concatenate(others)
+    hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
 
 
 def _overlaps(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the pairs with their sets, those that link: the sorted arrays are
-    intersected."""
+    """Of the pairs with their sets, those that link."""
     for batch in pairs:
         keep = []
         for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
             x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-            if len(x) > len(y):
-                x, y = y, x
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            both = int(shared(x, [y])[0])
             if 100 * both >= 80 * (len(x) + len(y) - both):
                 keep.append(i)
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
@@ -265,36 +267,49 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long")
 
 
+def joining_links(node: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[np.ndarray], tile: int) -> list[tuple[int, int]]:
+    """Links between sets of the rows (side 1 or 3) and the columns (2 or 3)
+    of a block that tie all components which links of its pairs tie: a
+    spanning forest of them, fewer links than members. Compared are pairs of
+    sizes within 0.8 whose greater band is the tile's (a pair of two others
+    belongs to another tile), of components that are still apart."""
+    rows, columns = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    band, part, bits, out = band_of(n), np.unique(root, return_inverse=True)[1], None, []
+    for i in rows:
+        j = columns[(part[columns] != part[i]) & (np.maximum(band[columns], band[i]) == tile)
+                    & (5 * np.minimum(n[columns], n[i]) >= 4 * np.maximum(n[columns], n[i]))]
+        if not len(j):
+            continue
+        if bits is None:
+            bits = np.stack([bitmap(s, tile) for s in sets])
+        more = np.bitwise_count(bits[i] & ~bits[j]).sum(1).astype(np.int64)
+        less = np.bitwise_count(bits[j] & ~bits[i]).sum(1).astype(np.int64)
+        most = np.minimum(n[i] - more, n[j] - less)
+        may = 9 * most >= 4 * (n[i] + n[j])
+        j = j[may][np.argsort(-most[may], kind="stable")]
+        while len(j):
+            some, j = j[:STEP], j[STEP:]
+            both = shared(sets[i], [sets[k] for k in some])
+            for k in some[9 * both >= 4 * (n[i] + n[some])]:
+                if part[k] != part[i]:
+                    out.append((int(node[i]), int(node[k])))
+                    part[part == part[k]] = part[i]
+            j = j[part[j] != part[i]]
+    return out
+
+
 def _compare(key: tuple, table: pa.Table) -> pa.Table:
-    """In each of a group's blocks, the pairs - one set of each side, of
-    different components, sizes within 0.8 - whose bitmaps allow the overlap
-    they need."""
+    """The joining links of each of a group's blocks."""
     col = {c: table.column(c).to_numpy() for c in ("anchor", "band", "r", "c", "node", "n", "root", "side")}
-    raw = table.column("bits").to_pylist()
+    raw = table.column("shingles").to_pylist()
     order = np.lexsort([col[c] for c in ("c", "r", "band", "anchor")])
-    name = np.stack([col[c][order] for c in ("c", "r", "band", "anchor")])
+    name = np.stack([col[c][order] for c in ("anchor", "band", "r", "c")])
     cuts = np.flatnonzero((name[:, 1:] != name[:, :-1]).any(0)) + 1
-    out, held = [np.zeros((0, 2), np.int64)], 0
+    out = []
     for block in np.split(order, cuts):
-        side, node, n, root = (col[c][block] for c in ("side", "node", "n", "root"))
-        a, b = np.flatnonzero(side != 2), np.flatnonzero(side != 1)   # 1: rows, 2: columns, 3: both
-        band, tile = band_of(n), col["band"][block[0]]                # a pair belongs to the tile of its greater band
-        bits = None
-        for i in a:
-            j = b[(root[b] != root[i]) & (np.maximum(band[b], band[i]) == tile) & (5 * np.minimum(n[b], n[i]) >= 4 * np.maximum(n[b], n[i]))]
-            if len(j):
-                if bits is None:
-                    bits = np.frombuffer(b"".join(raw[k] for k in block), U).reshape(len(block), -1)
-                more = np.bitwise_count(bits[i] & ~bits[j]).sum(1).astype(np.int64)
-                less = np.bitwise_count(bits[j] & ~bits[i]).sum(1).astype(np.int64)
-                j = j[9 * np.minimum(n[i] - more, n[j] - less) >= 4 * (n[i] + n[j])]
-                out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
-                held += len(j)
-        if held > HELD_PAIRS:                         # a pair may come in the blocks of many shingles
-            out = [np.unique(np.concatenate(out), axis=0)]
-            held = 0
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pa.table([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        out += joining_links(*(col[c][block] for c in ("node", "n", "root", "side")), [np.frombuffer(raw[k], U) for k in block], int(col["band"][block[0]]))
+    a, b = zip(*out) if out else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def hub_pairs(tiles: DataFrame) -> DataFrame:
@@ -306,20 +321,21 @@ def hub_pairs(tiles: DataFrame) -> DataFrame:
     return met.groupBy(F.col("node").alias("a")).agg(F.min("hub").alias("hub")).select("a", F.col("hub.node").alias("b"))
 
 
-def open_pairs(tiles: DataFrame, roots: DataFrame, sets: DataFrame, block_sets: int) -> DataFrame:
-    """(a, b): pairs in unsettled tiles that pass size and bitmap tests."""
+def open_links(tiles: DataFrame, roots: DataFrame, sets: DataFrame, block_sets: int) -> DataFrame:
+    """(a, b): links that tie the components of unsettled tiles."""
     t = tiles.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = t.groupBy("anchor", "band", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
-    tile = parts.groupBy("anchor", "band").agg(F.count(F.lit(1)).alias("roots"), F.sum("k").alias("members"), F.sum("n").alias("n"),
-                                                F.max(F.struct("k", "root")).alias("top"))
-    unsettled = tile.filter("roots > 1")
-    # bytes of bitmaps in all blocks, a little over
-    size = unsettled.agg(F.sum(F.col("n") * F.ceil(F.col("members") / block_sets) * (BITS / 4))).first()[0] or 0
+    tile = parts.groupBy("anchor", "band").agg(F.count(F.lit(1)).alias("roots"), F.sum("k").alias("k"), F.sum("n").alias("n"),
+                                                F.max(F.struct("k", "n", "root")).alias("top"))
+    # block rows or columns for k sets of n members together
+    cells = lambda k, n: F.greatest(F.ceil(k / block_sets), F.ceil(n * 8 / BLOCK_BYTES)).cast("int")
+    unsettled = tile.filter("roots > 1").select(
+        "anchor", "band", "n", F.col("top.root").alias("top"), cells(F.col("top.k"), F.col("top.n")).alias("of_top"),
+        cells(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("of_rest"))
+    # bytes of sets in all blocks, a little over
+    size = unsettled.agg(F.sum(F.col("n") * 8 * (F.col("of_rest") + F.col("of_top")))).first()[0] or 0
     groups = max(1, -(-int(size) // GROUP_BYTES))
-    unsettled = unsettled.select(
-        "anchor", "band", F.col("top.root").alias("top"), F.ceil(F.col("top.k") / block_sets).cast("int").alias("of_top"),
-        F.ceil((F.col("members") - F.col("top.k")) / block_sets).cast("int").alias("of_rest"))
-    t = t.join(unsettled, ["anchor", "band"])
+    t = t.join(unsettled.drop("n"), ["anchor", "band"])
     # outside the largest component: block row i and column i; inside: a column of every block row
     rest = F.col("root") != F.col("top")
     i = F.pmod(F.xxhash64("node"), F.when(rest, F.col("of_rest")).otherwise(F.col("of_top"))).cast("int")
@@ -330,13 +346,12 @@ def open_pairs(tiles: DataFrame, roots: DataFrame, sets: DataFrame, block_sets:
         F.transform(F.sequence(F.lit(0), F.col("of_top") - 1), lambda x: cell(F.col("i"), -1 - x, 1)))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("of_rest") - 1), lambda x: cell(x, -1 - F.col("i"), 2))))
     t = t.select("anchor", "band", "node", "n", "root", F.inline("cells"))
-    maps = sets.mapInArrow(_bitmap_rows, "node long, band int, bits binary")
-    t = t.join(maps, ["node", "band"])
+    t = t.join(sets.select("node", "shingles"), "node")
     t = t.withColumn("group", F.pmod(F.xxhash64("anchor", "band", "r", "c"), F.lit(groups)))
     return t.groupBy("group").applyInArrow(_compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES,
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int | None = None,
                     block_sets: int = BLOCK_SETS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest
     doc_id reachable by links, its own included), ``kept`` (true for one row
@@ -357,8 +372,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tiles = make_tiles(sets)
     first = checkpointed(linked(hub_pairs(tiles), sets))
     roots = components(first)
-    more = linked(open_pairs(tiles, roots, sets, block_sets), sets)
-    roots = components(first.union(more))
+    roots = components(first.union(open_links(tiles, roots, sets, block_sets)))
     named = classes.select("class", "least", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = written(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("least"))

@@ -5,7 +5,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tabsieve.llm import blocks
 from tabsieve.llm import jaccard_join as J
 from tabsieve.llm.graph import components
 
@@ -76,6 +78,40 @@ def test_chains_and_many_near_copies(make_docs):
     assert found(make_docs(rows), block_sets=7, part_bytes=300) == brute(rows)
 
 
+def test_a_block_gives_fewer_links_than_members():
+    """Near copies mostly just below 0.8: pairs grow with the square, what
+    leaves a block does not, and its components are those of all pairs."""
+    texts = list(near_copies(5, 400, 120, 9))
+    sets = [np.unique(np.array([hash(g) & (2**64 - 1) for g in shingles(t)], np.uint64)) for t in texts]
+    n = np.array([len(s) for s in sets])
+    node, tile = np.arange(len(sets)), int(J.band_of(n).max())
+    assert J.band_of(n).min() >= tile - 1
+    fits = lambda i, j: 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (n[i] + n[j])
+    pairs = [(i, j) for i in node for j in range(i) if max(J.band_of(n[[i, j]])) == tile and fits(i, j)]
+
+    def parts(links):
+        root = node.copy()
+        for a, b in links:
+            root[root == root[b]] = root[a]
+        return {frozenset(np.flatnonzero(root == r)) for r in set(root)}
+
+    links = J.joining_links(node, n, node, np.full(len(n), 3), sets, tile)
+    assert len(links) < len(n) and len(pairs) > 4 * len(n) and parts(links) == parts(pairs)
+
+
+def test_near_copies_leave_few_rows(make_docs):
+    texts = list(near_copies(6, 400, 120, 9))
+    df = make_docs(list(enumerate(texts)))
+    rows = J.document_sets(df, "doc_id", "text", None)
+    sets = rows.select(F.col("row").alias("node"), "n", "shingles").filter("shingles is not null")
+    tiles = J.make_tiles(sets)
+    roots = components(J.linked(J.hub_pairs(tiles), sets))
+    members = tiles.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("anchor", "band").agg(
+        F.count("node").alias("k"), F.countDistinct("root").alias("roots")).filter("roots > 1").agg(F.sum("k")).first()[0] or 0
+    assert J.open_links(tiles, roots, sets, J.BLOCK_SETS).count() <= 2 * members
+    assert found(df) == brute(list(enumerate(texts)))
+
+
 def test_shared_passage_in_unlike_texts(make_docs):
     rng = random.Random(4)
     passage = " ".join(f"p{i}" for i in range(30))
@@ -138,3 +174,16 @@ def test_bitmaps_never_bound_below_the_overlap():
     p, q = J.bitmap(x, b), J.bitmap(y, b)
     most = min(len(x) - np.bitwise_count(p & ~q).sum(), len(y) - np.bitwise_count(q & ~p).sum())
     assert len(np.intersect1d(x, y)) <= most
+
+
+def test_blocks_and_parts_grow_together(monkeypatch):
+    def unit(size):
+        monkeypatch.setattr(blocks, "estimated_bytes", lambda df: size)
+        return blocks.unit_bytes(None)
+
+    assert unit(0) == unit(1 << 30) == unit(32 << 30) == 4 << 20
+    for size in (64 << 30, 1 << 40, 8 << 40):
+        a = unit(size)
+        # pieces that a block has for a part: its bytes by the number of parts
+        assert a * a / size >= 0.99 * (4 << 20) ** 2 / (32 << 30) and a <= 64 << 20
+    assert unit(100 << 40) == 64 << 20
