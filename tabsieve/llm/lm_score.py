@@ -29,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NO_ID, make_blocks, pack, read_block, unpack
+from .blocks import NO_ID, make_blocks, pack, read_block, unit_bytes, unpack
 from .common import word_count, written
 from .words import LOWER, U, mix64, window_hashes, word_hashes, words
 
 ORDER = 2
 QUERY_ORDER = 3    # of the registered query
 BACKOFF = 0.4
-PART_BYTES = 4 << 20   # text bytes per hash partition of the count tables
 
 MESSAGE = "part long, block long, grams binary, counts binary"
 ANSWER = "block long, part long, totals binary"
@@ -145,7 +144,7 @@ def _answers(blocks: DataFrame, n: int, parts: int) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_col: str = "doc_id",
-                    text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+                    text_col: str = "text", part_bytes: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_words, log_score (sum of the natural
     logs of its words' scores), mean_log_score (per word) and n_backoffs
     (back-off steps taken). Words are lower-cased (A-Z).
@@ -158,7 +157,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     blocks = make_blocks(docs, id_col, text_col)
     total = docs.agg(F.sum(word_count(F.col(text_col)))).first()[0] or 0
     size = blocks.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -(-size // part_bytes))
+    parts = max(1, -(-size // (part_bytes or unit_bytes(docs))))    # hash partitions of the count tables
     replies = _answers(blocks, 1, parts)
     for n in range(2, order + 1):
         replies = replies.unionByName(_answers(blocks, n, parts))

@@ -19,20 +19,19 @@ one by one by their own hash instead. The sample decides only the route.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NO_ID, make_blocks, pack, read_block, unpack
+from .blocks import NO_ID, make_blocks, pack, read_block, unit_bytes, unpack
 from .common import checkpointed
 from .words import U, mix64, single_spaced, slices, spread, window_hashes, word_hashes, words
 
 WINDOW = 13            # words
 MINIMISER = 3          # words
-BUCKET_BYTES = 4 << 20  # text bytes per bucket
+HOT_MOST = 1 << 20      # minimisers whose windows are dealt one by one, fewer than this
 SAMPLE = 32            # one block in so many looks for overfull minimisers
 COMPARE_BYTES = 4 << 20
 
@@ -221,7 +220,8 @@ def _clean(block: pa.Table, replies: pa.Table, buckets: int, hot: np.ndarray) ->
 
 def hot_minimisers(blocks: DataFrame, buckets: int, sample: int) -> np.ndarray:
     """Minimisers that hold more than a quarter of a mean bucket's windows in
-    the sampled blocks: fewer than 4 x ``buckets`` hashes."""
+    the sampled blocks, or more than one part in ``HOT_MOST`` of all: fewer
+    than 4 x ``buckets`` hashes and than ``HOT_MOST`` (8 MB)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -235,11 +235,11 @@ def hot_minimisers(blocks: DataFrame, buckets: int, sample: int) -> np.ndarray:
     some = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(sample)) == 0)
     found = checkpointed(some.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     total = found.agg(F.sum("n")).first()[0] or 0
-    hot = found.filter(F.col("n") * (4 * buckets) > total).filter(F.col("n") > WINDOW).select("key").collect()
+    hot = found.filter(F.col("n") * min(4 * buckets, HOT_MOST) > total).filter(F.col("n") > WINDOW).select("key").collect()
     return np.sort(np.array([r[0] for r in hot], np.int64).view(U))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES,
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int | None = None,
                    sample: int = SAMPLE) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, and ``kept``, the
     words that stay joined by one space. A word goes if a window of
@@ -252,9 +252,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     blocks = make_blocks(docs, id_col, text_col)
     total = blocks.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    hot = hot_minimisers(blocks, buckets, sample)
-    sent = blocks.mapInArrow(partial(_send, buckets=buckets, hot=hot), MESSAGE)
+    buckets = max(1, -(-total // (bucket_bytes or unit_bytes(docs))))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_minimisers(blocks, buckets, sample))
+    sent = blocks.mapInArrow(lambda batches: _send(batches, buckets, hot.value), MESSAGE)
     replies = sent.groupBy("bucket").applyInArrow(_answer, REPLY)
-    clean = lambda b, r: _clean(b, r, buckets, hot)
+    clean = lambda b, r: _clean(b, r, buckets, hot.value)
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(clean, CLEANED)
