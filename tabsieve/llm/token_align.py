@@ -6,6 +6,9 @@ at which a token of each ends cut them into groups, and tokens whose byte
 ranges overlap are linked. Over the corpus, the links of a pair of ids are
 counted.
 
+Byte-level BPE is encoded by a merge-by-rank implementation with the ranks of
+its own file, where that file is nothing more (``ranked_bpe``).
+
 1. *Windows.* A shared end before a token that starts with a space in both
    lists is an anchor. Anchors split a document into windows, mostly a word
    each; a window's groups and links depend on its two tuples of ids alone
@@ -24,9 +27,11 @@ counted.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -40,9 +45,9 @@ from .common import written
 
 TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 16 << 20     # text bytes of a block
+BLOCK_BYTES = 8 << 20      # text bytes of a block
 BATCH_BYTES = 1 << 20      # text bytes encoded in one call
-MEMO = 200_000             # windows a task remembers
+MEMO = 100_000             # windows a task remembers
 MEMO_TOKENS = 64           # longer windows are aligned each time
 
 BLOCKS = ("block long, ids binary, n_a binary, n_b binary, n_windows binary, windows binary, "
@@ -58,6 +63,31 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+# Fixed value: how byte-level BPE splits a text before it merges bytes.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def ranked_bpe(file: bytes):
+    """The byte-level BPE of a tokenizer file as one that merges by rank,
+    which gives the same ids in a third of the time; None unless the file is
+    no more than that: the usual split, no normaliser, ids in order of the
+    merges."""
+    import tiktoken
+
+    spec = json.loads(file)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    extra = {t["id"] for t in spec.get("added_tokens", [])}
+    if (model["type"], split.get("type"), split.get("use_regex"), split.get("add_prefix_space"), spec.get("normalizer")) != (
+            "BPE", "ByteLevel", True, False, None):
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    of = _byte_alphabet()
+    ranks = {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if i not in extra}
+    return tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 256 + len(merges) else None
+
+
 class Tokenizers:
     """Both tokenizers, from the contents of their files, with the bytes of
     every id."""
@@ -69,6 +99,7 @@ class Tokenizers:
 
         self.a = Tokenizer.from_str(a.decode())
         self.a.encode_special_tokens = True
+        self.ranked = ranked_bpe(a)
         self.b = SentencePieceProcessor(model_proto=b)
         of = _byte_alphabet()
         special = {i: t.content for i, t in self.a.get_added_tokens_decoder().items()}
@@ -77,26 +108,32 @@ class Tokenizers:
             self.a_bytes[i] = special[i].encode() if i in special else bytes(of[c] for c in token)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.IsByte(i) else p.replace("▁", " ").encode()
                         for i, p in ((i, self.b.IdToPiece(i)) for i in range(self.b.GetPieceSize()))]
-        self.a_size, self.b_size = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
+        self.a_sizes, self.b_sizes = ([len(t) for t in x] for x in (self.a_bytes, self.b_bytes))
+        self.a_size, self.b_size = np.array(self.a_sizes), np.array(self.b_sizes)
         self.a_space, self.b_space = (np.array([t[:1] == b" " for t in x]) for x in (self.a_bytes, self.b_bytes))
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    def encode_a(self, texts: list[str]) -> Iterator[list[int]]:
+        if self.ranked:
+            return map(self.ranked.encode_ordinary, texts)
+        return (e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False))
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
         """The ids of each text by both, None where it has no tokens: a null
         or empty text, or one that either joins to other bytes."""
         given = [t for t in texts if t]
         if not given:
             yield from (None for _ in texts)
             return
-        a = iter(self.a.encode_batch_fast([" " + t for t in given], add_special_tokens=False))
+        a = iter(self.encode_a([" " + t for t in given]))
         b = iter(self.b.encode(given, num_threads=1))
         for t in texts:
             if not t:
                 yield None
                 continue
-            ids_a, ids_b = next(a).ids, next(b)
+            ids_a, ids_b = next(a), next(b)
             want = b" " + t.encode("utf-8", "surrogatepass")
             same = b"".join(map(self.a_bytes.__getitem__, ids_a)) == want and b"".join(map(self.b_bytes.__getitem__, ids_b)) == want
-            yield (np.array(ids_a, np.int32), np.array(ids_b, np.int32)) if same else None
+            yield (ids_a, ids_b) if same else None
 
 
 @lru_cache(maxsize=2)
@@ -107,26 +144,37 @@ def tokenizers(a: bytes, b: bytes) -> Tokenizers:
 
 def align_window(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[str, list[int], int]:
     """(groups as text, codes of the links, number of groups) of two token
-    lists over the same bytes. A link's code is A's id * 2 ** 32 + B's id."""
-    i = j = first_a = first_b = 0
-    end_a, end_b = a_size[0], b_size[0]
-    groups, links = [], []
+    lists over the same bytes, given the sizes of all ids. A link's code is
+    A's id * 2 ** 32 + B's id."""
+    if len(a) == 1 or len(b) == 1:
+        return f"{','.join(map(str, a))}|{','.join(map(str, b))}", [x << 32 | y for x in a for y in b], 1
+    x, y, i, j = a[0], b[0], 0, 0
+    left_a, left_b = a_size[x], b_size[y]                # bytes of the two tokens that are not passed yet
+    text, links, groups = f"{x}", [x << 32 | y], 1
+    behind = f"{y}"                                      # B's side of the group
     while True:
-        links.append((a[i] << 32) | b[j])
-        step = end_a - end_b
-        if step <= 0:
+        step = left_a - left_b
+        if step < 0:
             i += 1
-        if step >= 0:
+            x = a[i]
+            left_b, left_a = -step, a_size[x]
+            text += f",{x}"
+        elif step > 0:
             j += 1
-        if step == 0:
-            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
+            y = b[j]
+            left_a, left_b = step, b_size[y]
+            behind += f",{y}"
+        else:
+            i, j = i + 1, j + 1
+            text += f"|{behind}"
             if i == len(a):
-                return ";".join(groups), links, len(groups)
-            first_a, first_b = i, j
-        if step <= 0:
-            end_a += a_size[i]
-        if step >= 0:
-            end_b += b_size[j]
+                return text, links, groups
+            x, y = a[i], b[j]
+            left_a, left_b = a_size[x], b_size[y]
+            text += f";{x}"
+            behind = f"{y}"
+            groups += 1
+        links.append(x << 32 | y)
 
 
 def anchors(a: np.ndarray, b: np.ndarray, t: Tokenizers) -> tuple[np.ndarray, np.ndarray]:
@@ -151,46 +199,38 @@ class Block:
         self.ids, self.n_a, self.n_b, self.windows = [], [], [], []
         self.size = 0
 
-    def aligned(self, key: tuple[bytes, bytes]) -> tuple[str, list[int], int]:
-        found = self.memo.get(key)
-        if found is None:
-            a, b = np.frombuffer(key[0], np.int32), np.frombuffer(key[1], np.int32)
-            found = align_window(a.tolist(), b.tolist(), self.t.a_size[a].tolist(), self.t.b_size[b].tolist())
-            if len(a) <= MEMO_TOKENS and len(self.memo) < MEMO:
-                self.memo[key] = found
-        return found
-
-    def add(self, doc_id: int, text_bytes: int, tokens: tuple[np.ndarray, np.ndarray] | None) -> None:
+    def add(self, doc_id: int, text_bytes: int, tokens: tuple[list[int], list[int]] | None) -> None:
         self.size += text_bytes
         self.ids.append(doc_id)
-        if tokens is None:
-            self.n_a.append(0)
-            self.n_b.append(0)
-            self.windows.append(np.zeros(0, np.int32))
-            return
-        a, b = tokens
-        raw_a, raw_b = a.tobytes(), b.tobytes()
-        cut_a, cut_b = anchors(a, b, self.t)
-        cut_a, cut_b = (4 * cut_a).tolist(), (4 * cut_b).tolist()
-        out, number = [], self.number
-        for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:]):
-            key = (raw_a[i:j], raw_b[k:m])
-            n = number.get(key)
-            if n is None:
-                n = number[key] = len(self.names)
-                name, links, groups = self.aligned(key)
-                self.names.append(name)
-                self.links.append(links)
-                self.n_groups.append(groups)
-            out.append(n)
+        a, b = tokens or ((), ())
         self.n_a.append(len(a))
         self.n_b.append(len(b))
+        out = []
+        if tokens:
+            ids_a, ids_b = np.array(a, np.int32), np.array(b, np.int32)
+            raw_a, raw_b = ids_a.tobytes(), ids_b.tobytes()
+            cut_a, cut_b = (c.tolist() for c in anchors(ids_a, ids_b, self.t))
+            number, memo = self.number, self.memo
+            for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:]):
+                key = (raw_a[4 * i:4 * j], raw_b[4 * k:4 * m])
+                n = number.get(key)
+                if n is None:
+                    n = number[key] = len(self.names)
+                    found = memo.get(key)
+                    if found is None:
+                        found = align_window(a[i:j], b[k:m], self.t.a_sizes, self.t.b_sizes)
+                        if j - i <= MEMO_TOKENS and len(memo) < MEMO:
+                            memo[key] = found
+                    self.names.append(found[0])
+                    self.links.append(found[1])
+                    self.n_groups.append(found[2])
+                out.append(n)
         self.windows.append(np.array(out, np.int32))
 
     def row(self, block: int) -> pa.RecordBatch:
         windows = np.concatenate([*self.windows, np.zeros(0, np.int32)])
-        n_links = np.array([len(x) for x in self.links], np.int64)
-        flat = np.array([c for x in self.links for c in x], np.int64)
+        n_links = np.fromiter(map(len, self.links), np.int64, len(self.links))
+        flat = np.fromiter(chain.from_iterable(self.links), np.int64, int(n_links.sum()))
         times = np.repeat(np.bincount(windows, minlength=len(self.names)), n_links)
         codes, at = np.unique(flat, return_inverse=True)
         counts = np.bincount(at, weights=times, minlength=len(codes)).astype(np.int64)

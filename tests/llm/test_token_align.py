@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 from collections import Counter, defaultdict
 
 import pytest
@@ -77,6 +78,19 @@ def test_small_corpus(make_docs, pair):
     assert found(make_docs(rows), block_bytes=200) == want        # many blocks, some of one document
 
 
+def test_ranked_merges_give_the_ids_of_the_tokenizer_file(pair, sf_rows):
+    t = T.Tokenizers(*T.read_files(T.TOKENIZER_A, T.TOKENIZER_B))
+    assert t.ranked
+    texts = [b.decode() for b in t.a_bytes if not any(c > 127 for c in b)]        # every ASCII token by itself
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    texts += ["".join(f"a{c}1 {c}b {c}{c}" for c in chars[i:i + 50]) for i in range(0, len(chars), 50)]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice("aB's tre\n\r\t  é日🙂.,1\u0301\xa0\u2028") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += [r[1] for r in sf_rows[:300] if r[1]]
+    for x, e in zip(texts, pair[0].encode_batch_fast(texts, add_special_tokens=False)):
+        assert t.ranked.encode_ordinary(x) == e.ids
+
+
 def test_empty_table(make_docs):
     assert found(make_docs([])) == [] and found(make_docs([(1, None)])) == [(1, 0, 0, 0, 0, 0, 0, "", "")]
 
