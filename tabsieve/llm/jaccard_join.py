@@ -22,11 +22,12 @@ pairs of a group is ever made.
 5. *Bitmaps.* Tiles whose sets are all in one component are settled. In the
    others every set outside the tile's largest component meets all sets of
    other components, in square blocks of bounded size: hashed bitmaps, sized
-   by the band, bound the overlap from above by bit counts, and what they let
-   pass is compared at once, by intersecting the sorted arrays that the block
-   holds. A link joins its two components inside the block, so that no later
-   pair of them is looked at, and only such links leave the block: fewer than
-   it has members. Pairs are never written.
+   by the band, bound the overlap from above by bit counts. The sets of a
+   block that pass with any other go to the same block once more, now with
+   their sorted arrays, which are intersected there. A link joins its two
+   components inside the block, so that no later pair of them is looked at,
+   and only such links leave the block: fewer than it has members. Pairs are
+   never written.
 6. The components of all links give each document its smallest doc_id.
 """
 
@@ -248,6 +249,14 @@ def shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
 
 
+def _bitmap_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, n, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "shingles"))):
+            b, s = int(band_of(n)), np.frombuffer(raw, U)
+            yield pa.RecordBatch.from_arrays([pa.array([node] * 2, pa.int64()), pa.array([b, b + 1], pa.int32()), pa.array(
+                [bitmap(s, b).tobytes(), bitmap(s, b + 1).tobytes()], pa.binary())], ["node", "band", "bits"])
+
+
 def _overlaps(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the pairs with their sets, those that link."""
     for batch in pairs:
@@ -267,47 +276,84 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long")
 
 
-def joining_links(node: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[np.ndarray], tile: int) -> list[tuple[int, int]]:
-    """Links between sets of the rows (side 1 or 3) and the columns (2 or 3)
-    of a block that tie all components which links of its pairs tie: a
-    spanning forest of them, fewer links than members. Compared are pairs of
-    sizes within 0.8 whose greater band is the tile's (a pair of two others
-    belongs to another tile), of components that are still apart."""
-    rows, columns = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-    band, part, bits, out = band_of(n), np.unique(root, return_inverse=True)[1], None, []
-    for i in rows:
-        j = columns[(part[columns] != part[i]) & (np.maximum(band[columns], band[i]) == tile)
-                    & (5 * np.minimum(n[columns], n[i]) >= 4 * np.maximum(n[columns], n[i]))]
-        if not len(j):
-            continue
-        if bits is None:
-            bits = np.stack([bitmap(s, tile) for s in sets])
-        more = np.bitwise_count(bits[i] & ~bits[j]).sum(1).astype(np.int64)
-        less = np.bitwise_count(bits[j] & ~bits[i]).sum(1).astype(np.int64)
+class _Block:
+    """The sets of a block: rows (side 1 or 3) meet columns (2 or 3), in
+    pairs of sizes within 0.8 whose greater band is the tile's (a pair of
+    two others belongs to another tile)."""
+
+    def __init__(self, node: np.ndarray, n: np.ndarray, side: np.ndarray, tile: int, bits: np.ndarray):
+        self.node, self.n, self.tile, self.bits, self.band = node, n, tile, bits, band_of(n)
+        self.rows, self.columns = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+
+    def passing(self, i: int, part: np.ndarray) -> np.ndarray:
+        """The columns of other parts whose bitmaps allow the overlap that a
+        link with row ``i`` needs, the closest first."""
+        j, n = self.columns, self.n
+        j = j[(part[j] != part[i]) & (np.maximum(self.band[j], self.band[i]) == self.tile) & (5 * np.minimum(n[j], n[i]) >= 4 * np.maximum(n[j], n[i]))]
+        more = np.bitwise_count(self.bits[i] & ~self.bits[j]).sum(1).astype(np.int64)
+        less = np.bitwise_count(self.bits[j] & ~self.bits[i]).sum(1).astype(np.int64)
         most = np.minimum(n[i] - more, n[j] - less)
         may = 9 * most >= 4 * (n[i] + n[j])
-        j = j[may][np.argsort(-most[may], kind="stable")]
-        while len(j):
-            some, j = j[:STEP], j[STEP:]
-            both = shared(sets[i], [sets[k] for k in some])
-            for k in some[9 * both >= 4 * (n[i] + n[some])]:
-                if part[k] != part[i]:
-                    out.append((int(node[i]), int(node[k])))
-                    part[part == part[k]] = part[i]
-            j = j[part[j] != part[i]]
-    return out
+        return j[may][np.argsort(-most[may], kind="stable")]
+
+    def passing_members(self, part: np.ndarray) -> np.ndarray:
+        """Which sets pass with any other."""
+        out = np.zeros(len(self.n), bool)
+        for i in self.rows:
+            j = self.passing(i, part)
+            out[j] = True
+            out[i] |= len(j) > 0
+        return out
+
+    def joining_links(self, part: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links that tie all components which links of the block's pairs
+        tie: a spanning forest of them."""
+        out, n = [], self.n
+        for i in self.rows:
+            j = self.passing(i, part)
+            while len(j):
+                some, j = j[:STEP], j[STEP:]
+                both = shared(sets[i], [sets[k] for k in some])
+                for k in some[9 * both >= 4 * (n[i] + n[some])]:
+                    if part[k] != part[i]:
+                        out.append((int(self.node[i]), int(self.node[k])))
+                        part[part == part[k]] = part[i]
+                j = j[part[j] != part[i]]
+        return out
+
+
+CELL = ("anchor", "band", "r", "c")
+
+
+def _cells(table: pa.Table) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """(rows of the table, their columns) of each block of a group."""
+    col = {c: table.column(c).to_numpy() for c in (*CELL, "node", "n", "root", "side")}
+    order = np.lexsort([col[c] for c in reversed(CELL)])
+    name = np.stack([col[c][order] for c in CELL])
+    cuts = np.flatnonzero((name[:, 1:] != name[:, :-1]).any(0)) + 1
+    for at in np.split(order, cuts):
+        yield at, {c: v[at] for c, v in col.items()}
+
 
+def _pass(key: tuple, table: pa.Table) -> pa.Table:
+    """The rows of a group's sets that pass with any other of their block."""
+    raw = table.column("bits").to_pylist()
+    keep = [np.zeros(0, np.int64)]
+    for at, c in _cells(table):
+        bits = np.frombuffer(b"".join(raw[k] for k in at), U).reshape(len(at), -1)
+        block = _Block(c["node"], c["n"], c["side"], int(c["band"][0]), bits)
+        keep.append(at[block.passing_members(np.unique(c["root"], return_inverse=True)[1])])
+    return table.drop_columns(["bits", "group"]).take(pa.array(np.concatenate(keep)))
 
-def _compare(key: tuple, table: pa.Table) -> pa.Table:
-    """The joining links of each of a group's blocks."""
-    col = {c: table.column(c).to_numpy() for c in ("anchor", "band", "r", "c", "node", "n", "root", "side")}
+
+def _join(key: tuple, table: pa.Table) -> pa.Table:
+    """The joining links of a group's blocks."""
     raw = table.column("shingles").to_pylist()
-    order = np.lexsort([col[c] for c in ("c", "r", "band", "anchor")])
-    name = np.stack([col[c][order] for c in ("anchor", "band", "r", "c")])
-    cuts = np.flatnonzero((name[:, 1:] != name[:, :-1]).any(0)) + 1
     out = []
-    for block in np.split(order, cuts):
-        out += joining_links(*(col[c][block] for c in ("node", "n", "root", "side")), [np.frombuffer(raw[k], U) for k in block], int(col["band"][block[0]]))
+    for at, c in _cells(table):
+        tile, sets = int(c["band"][0]), [np.frombuffer(raw[k], U) for k in at]
+        block = _Block(c["node"], c["n"], c["side"], tile, np.stack([bitmap(s, tile) for s in sets]))
+        out += block.joining_links(np.unique(c["root"], return_inverse=True)[1], sets)
     a, b = zip(*out) if out else ((), ())
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -328,10 +374,10 @@ def open_links(tiles: DataFrame, roots: DataFrame, sets: DataFrame, block_sets:
     tile = parts.groupBy("anchor", "band").agg(F.count(F.lit(1)).alias("roots"), F.sum("k").alias("k"), F.sum("n").alias("n"),
                                                 F.max(F.struct("k", "n", "root")).alias("top"))
     # block rows or columns for k sets of n members together
-    cells = lambda k, n: F.greatest(F.ceil(k / block_sets), F.ceil(n * 8 / BLOCK_BYTES)).cast("int")
+    blocks = lambda k, n: F.greatest(F.ceil(k / block_sets), F.ceil(n * 8 / BLOCK_BYTES)).cast("int")
     unsettled = tile.filter("roots > 1").select(
-        "anchor", "band", "n", F.col("top.root").alias("top"), cells(F.col("top.k"), F.col("top.n")).alias("of_top"),
-        cells(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("of_rest"))
+        "anchor", "band", "n", F.col("top.root").alias("top"), blocks(F.col("top.k"), F.col("top.n")).alias("of_top"),
+        blocks(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("of_rest"))
     # bytes of sets in all blocks, a little over
     size = unsettled.agg(F.sum(F.col("n") * 8 * (F.col("of_rest") + F.col("of_top")))).first()[0] or 0
     groups = max(1, -(-int(size) // GROUP_BYTES))
@@ -346,9 +392,13 @@ def open_links(tiles: DataFrame, roots: DataFrame, sets: DataFrame, block_sets:
         F.transform(F.sequence(F.lit(0), F.col("of_top") - 1), lambda x: cell(F.col("i"), -1 - x, 1)))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("of_rest") - 1), lambda x: cell(x, -1 - F.col("i"), 2))))
     t = t.select("anchor", "band", "node", "n", "root", F.inline("cells"))
-    t = t.join(sets.select("node", "shingles"), "node")
-    t = t.withColumn("group", F.pmod(F.xxhash64("anchor", "band", "r", "c"), F.lit(groups)))
-    return t.groupBy("group").applyInArrow(_compare, "a long, b long").distinct()
+    cells = "anchor long, band int, node long, n long, root long, r int, c int, side int"
+    group = F.pmod(F.xxhash64(*CELL), F.lit(groups)).alias("group")
+    maps = sets.mapInArrow(_bitmap_rows, "node long, band int, bits binary")
+    t = t.join(maps, ["node", "band"]).select(*[c.split()[0] for c in cells.split(", ")], "bits", group)
+    passed = written(t.groupBy("group").applyInArrow(_pass, cells), "passed")
+    passed = passed.join(sets.select("node", "shingles"), "node").withColumn("group", group)
+    return passed.groupBy("group").applyInArrow(_join, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int | None = None,

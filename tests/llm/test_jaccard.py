@@ -95,7 +95,9 @@ def test_a_block_gives_fewer_links_than_members():
             root[root == root[b]] = root[a]
         return {frozenset(np.flatnonzero(root == r)) for r in set(root)}
 
-    links = J.joining_links(node, n, node, np.full(len(n), 3), sets, tile)
+    block = J._Block(node, n, np.full(len(n), 3), tile, np.stack([J.bitmap(s, tile) for s in sets]))
+    assert set(np.flatnonzero(block.passing_members(node))) >= {i for p in pairs for i in p}
+    links = block.joining_links(node.copy(), sets)
     assert len(links) < len(n) and len(pairs) > 4 * len(n) and parts(links) == parts(pairs)
 
 
