@@ -45,7 +45,7 @@ GRAM = 3
 SHORT = 10            # words; of a part with fewer, the words are looked for too
 INDEX_BYTES = 16 << 20
 BOUNDS = 4 << 20      # block bounds held at once
-PIECE_BYTES = 1 << 20  # text bytes looked at together
+PIECE_BYTES, LAP_BYTES = 1 << 20, 1 << 16  # text bytes looked at together, and of neighbouring pieces besides the items'
 
 # ASCII letters and digits and all bytes beyond ASCII make terms, lower-cased; the rest parts them
 _TERM = np.full(256, 0x20, np.uint8)
@@ -75,6 +75,7 @@ class Index:
         texts = [(q or "", a or "") for _, q, a in items]
         self.ids = [i for i, _, _ in items]
         data, offsets = text_bytes(pa.array([q + " " + a for q, a in texts], pa.string()))
+        self.longest = int(np.diff(offsets).max(initial=0))
         h, first = terms(data, offsets)
         self.length = np.diff(first)
         entries = np.maximum(1, -(-self.length // PASSAGE))
@@ -205,19 +206,21 @@ def matches(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: floa
         yield d, item, *found
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def pieces(data: np.ndarray, offsets: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of the first text, bytes, offsets) of texts taken together; a
-    text longer than a piece comes alone, in overlapping pieces."""
-    lap = PIECE_BYTES // 8
+    text longer than a piece comes alone, in pieces that overlap by twice the
+    ``longest`` item and more, so that an item lies whole in one of them."""
+    lap = 2 * longest + LAP_BYTES
+    size = PIECE_BYTES + lap
     for i, j in runs(offsets, PIECE_BYTES):
         lo, hi = int(offsets[i]), int(offsets[j])
-        if j - i > 1 or hi - lo <= PIECE_BYTES:
+        if j - i > 1 or hi - lo <= size:
             yield i, data[lo:hi], offsets[i:j + 1] - lo
             continue
-        for at in range(lo, hi, PIECE_BYTES - lap):
-            piece = data[at:min(hi, at + PIECE_BYTES)]
+        for at in range(lo, hi, PIECE_BYTES):
+            piece = data[at:min(hi, at + size)]
             yield i, piece, np.array([0, len(piece)])
-            if at + PIECE_BYTES >= hi:
+            if at + size >= hi:
                 break
 
 
@@ -276,7 +279,7 @@ def _batch_matches(index: Index, column: pa.Array, threshold: float, overlap: fl
     """The matches of a batch's texts, one for each text and item."""
     best: dict[tuple, tuple] = {}
     data, offsets = text_bytes(column)
-    for i, piece, at in pieces(data, offsets):
+    for i, piece, at in pieces(data, offsets, index.longest):
         for d, item, *found in matches(index, piece, at, threshold, overlap):
             best[i + d, item] = max(best.get((i + d, item), (-1.0,)), tuple(found))
     return [(*k, *v) for k, v in sorted(best.items())]

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_id_text, held_out
@@ -27,7 +27,8 @@ from .words import runs, text_bytes
 
 BITS = 13              # trigrams are hashed to 2 ** BITS counters
 CENTROIDS = 4          # per language
-SAMPLE = 1000          # training texts per language for centroids and limits
+SAMPLE = 1000          # training texts per language for centroids and limits, at most
+LANGUAGES = 256        # learned: those with the most training texts (about 33 MB of centroids)
 UNKNOWN = "und"
 SLACK = 0.5            # a text is rejected below this share of the low similarities at its length
 LOW = 0.02             # quantile of the similarities that counts as low
@@ -41,9 +42,10 @@ _LETTER[0x61:0x7B] = np.arange(0x61, 0x7B)
 _LETTER[0x41:0x5B] = np.arange(0x61, 0x7B)
 
 
-def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def trigrams(data: np.ndarray, offsets: np.ndarray, before: int = 0, after: int = 0) -> np.ndarray:
     """Counts of hashed trigrams, a row per text. A trigram has a letter in
-    the middle; the ends of a text count as spaces."""
+    the middle; the ends of a text count as spaces. Of a piece of one text,
+    the first ``before`` and the last ``after`` bytes are only neighbours."""
     n = len(offsets) - 1
     text = _LETTER[data]
     if len(text):
@@ -52,7 +54,7 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     of = np.repeat(np.arange(n), np.diff(offsets))
     line = np.full(len(text) + n + 1, 0x20, np.uint8)          # one space before, between and after the texts
     line[np.arange(len(text)) + of + 1] = text
-    mid = np.flatnonzero(line[1:-1] != 0x20) + 1
+    mid = np.flatnonzero(line[1 + before:len(line) - 1 - after] != 0x20) + 1 + before
     code = line.astype(np.uint32)
     code = (code[mid - 1] << 16) | (code[mid] << 8) | code[mid + 1]
     slot = ((code * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
@@ -62,6 +64,13 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(row * D + slot, minlength=n * D).reshape(n, D)
 
 
+def _piece(text: np.ndarray, at: int) -> np.ndarray:
+    """The counts of the trigrams whose middles are the ``BLOCK_BYTES`` bytes
+    of a text from ``at``."""
+    lo, hi = max(0, at - 2), min(len(text), at + BLOCK_BYTES + 1)      # a capital's lower case needs the byte before
+    return trigrams(text[lo:hi], np.array([0, hi - lo]), at - lo, hi - min(len(text), at + BLOCK_BYTES))
+
+
 def counted(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(number of the first text, trigram counts) for runs of texts; a text
     longer than a run is counted in pieces."""
@@ -71,8 +80,7 @@ def counted(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             m = min(j, k + BLOCK_TEXTS)
             lo, hi = int(offsets[k]), int(offsets[m])
             if m - k == 1 and hi - lo > BLOCK_BYTES:
-                yield k, sum(trigrams(data[at:min(hi, at + BLOCK_BYTES)], np.array([0, min(hi, at + BLOCK_BYTES) - at]))
-                             for at in range(lo, hi, BLOCK_BYTES))
+                yield k, sum(_piece(data[lo:hi], at) for at in range(0, hi - lo, BLOCK_BYTES))
             else:
                 yield k, trigrams(data[lo:hi], offsets[k:m + 1] - lo)
 
@@ -126,7 +134,7 @@ def _fit(group: pd.DataFrame, idf: np.ndarray, k: int) -> pd.DataFrame:
     """Centroids of a language and its least usual similarity by length: the
     low quantile at each length, of at least 20 texts of this or neighbouring
     lengths, and no greater than for a longer text."""
-    group = group.sort_values("doc_id", kind="stable")
+    group = group.sort_values("h", kind="stable")
     counts = np.concatenate([c for _, c in counted(pa.array(group["text"]))])
     x, bins = vectors(counts, idf), length_bin(counts)
     x, bins = x[counts.sum(1) > 0], bins[counts.sum(1) > 0]
@@ -174,16 +182,18 @@ class Model:
 
 def fit(labelled: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Model:
     """A model from (doc_id, text, lang); rows without language or text are
-    left out."""
+    left out. Of each language the ``sample`` texts with the least hashes of
+    id and text are learned from; a draw by that hash, for about four texts
+    of each wanted, comes before their ranking."""
     rows = labelled.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
     df, n = document_frequencies(rows.select("text"))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    per_lang = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    draw = F.pmod(F.xxhash64(doc_id_text(F.col("doc_id"))), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    share = F.lit(0.0)
-    for lang, k in per_lang.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / k))).otherwise(share)
-    some = rows.filter(draw < share)
+    named = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "lang").limit(LANGUAGES)
+    share = F.broadcast(named.select("lang", F.least(F.lit(1.0), 4.0 * sample / F.col("k")).alias("share")))      # at most LANGUAGES rows
+    drawn = rows.withColumn("h", F.xxhash64(doc_id_text(F.col("doc_id")), "text")).join(share, "lang").filter(
+        F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))
+    some = drawn.withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "h", "text")
     model = some.groupBy("lang").applyInPandas(lambda g: _fit(g, idf, centroids), "lang string, centroids binary, limits binary")
     return Model([tuple(r) for r in model.collect()], idf)
 

@@ -3,8 +3,9 @@
 Sizes are summed per source; the targets follow from the weights; a source's
 repetition rate is target / size. Each document is emitted floor(rate) times
 and once more if its own hash, read as a number in [0, 1), is below the
-rate's fraction: a Bernoulli draw that depends on the id and the seed only,
-so reruns and retried tasks agree.
+rate's fraction: a Bernoulli draw that depends on the id, the text and the
+seed only, so reruns and retried tasks agree and rows with one id (or none)
+are drawn apart.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ MAX_REPEATS = 3
 SEED = 7
 
 
-def draw(doc_id: Column, seed: int = SEED) -> Column:
-    """A number in [0, 1) from the id: the leading 32 bits of an md5."""
-    digest = F.md5(F.concat(doc_id_text(doc_id), F.lit(f":{seed}")))
+def draw(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    """A number in [0, 1) from id and text: the leading 32 bits of an md5."""
+    digest = F.md5(F.concat(doc_id_text(doc_id), F.lit(f":{seed}:"), F.md5(F.coalesce(text, F.lit("")))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
@@ -60,7 +61,7 @@ def repetitions(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats:
     ``mix_copies`` (how often the mix takes the row).
 
     Null texts have size 0; a null source is a source; repeated rows count
-    in their source's size and share one draw; extra columns stay, an
+    in their source's size, and those equal in id and text share one draw; extra columns stay, an
     existing column of one of the four names is replaced. An empty table
     gives an empty result. The per-source table is summed with partial sums,
     checkpointed, and broadcast only behind a check of its size."""
@@ -72,7 +73,7 @@ def repetitions(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats:
     docs = docs.drop("mix_source_size", "mix_target", "mix_copies")
     joined = docs.join(t, docs[source_col].eqNullSafe(t["__source"]))
     whole = F.floor("__rate")
-    extra = (draw(F.col(id_col), seed) < F.col("__rate") - whole).cast("long")
+    extra = (draw(F.col(id_col), F.col("text"), seed) < F.col("__rate") - whole).cast("long")
     return joined.withColumn("mix_copies", whole + extra).drop("__source", "__rate")
 
 

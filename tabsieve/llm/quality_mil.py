@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import bounded_broadcast
-from .common import checkpointed, doc_id_text, held_out
+from .common import checkpointed, doc_id_text, held_out, written
 from .words import runs, text_bytes, word_hashes, words
 
 PASSAGE = 64            # words
 BITS = 8                # trigrams are hashed to 2 ** BITS counters
 TRAIN = 4000            # labelled documents of the fit
-TRAIN_PASSAGES = 32     # of each of them
+TRAIN_PASSAGES = 200_000  # of all of them together (about 110 MB); documents beyond are left out whole
 HIDDEN, GATE = 32, 16
 ROUNDS, BATCH, RATE, DECAY = 20, 64, 3e-3, 1e-4
 SEED = 3
@@ -173,7 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN, label_col: str =
     """A model from ``labels`` (doc_id, quality) and the texts of those
     documents, or None if no text has a label. A document with several
     labels takes their mean, at least 1/2 as 1; null labels are left out. Of
-    several texts under one id one is used, always the same."""
+    several texts under one id one is used, always the same. The sample is
+    the first documents by a hash of the id, at most ``most`` and at most
+    ``TRAIN_PASSAGES`` passages together; each is learned from whole."""
     order = F.xxhash64(F.lit(SEED), doc_id_text(F.col("doc_id")))
     some = checkpointed(labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         (F.avg(label_col) >= 0.5).cast("int").alias("__y")).orderBy(order, "doc_id").limit(most))
@@ -182,18 +184,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN, label_col: str =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, x, first in bags(batch.column(1)):
-                out = []
-                for lo, hi in zip(first, first[1:]):
-                    at = np.unique(np.linspace(lo, hi - 1, min(hi - lo, TRAIN_PASSAGES)).astype(int)) if hi > lo else []
-                    out.append(x[at].astype(np.float16).tobytes() if hi > lo else b"")
+                out = [x[lo:hi].astype(np.float16).tobytes() for lo, hi in zip(first, first[1:])]
                 n = len(out)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(out, pa.binary()), batch.column(2).slice(i, n)],
                                                  ["doc_id", "x", "y"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(encode, f"doc_id {kind}, x binary, y int").groupBy("doc_id").agg(
-        F.min("x").alias("x"), F.min("y").alias("y")).orderBy("doc_id").limit(most).collect()
-    rows = [r for r in rows if len(r.x)]
+    encoded = written(texts.mapInArrow(encode, f"doc_id {kind}, x binary, y int").groupBy("doc_id").agg(
+        F.min("x").alias("x"), F.min("y").alias("y")).filter(F.octet_length("x") > 0), "bags")
+    size = encoded.select("doc_id", order.alias("at"), F.octet_length("x").alias("bytes")).orderBy("at", "doc_id").limit(most).collect()
+    held = np.cumsum([r.bytes for r in size]) <= TRAIN_PASSAGES * WIDTH * 2
+    last = max((r["at"] for r, ok in zip(size, held) if ok), default=None)
+    rows = encoded.filter(order <= F.lit(last)).orderBy("doc_id").collect() if last is not None else []
     if not rows:
         return None
     return train([np.frombuffer(r.x, np.float16).reshape(-1, WIDTH).astype(np.float32) for r in rows], np.array([r.y for r in rows], float))

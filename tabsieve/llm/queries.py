@@ -39,7 +39,7 @@ def op4_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op5_source_mix", r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS most,
          [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight,
@@ -58,7 +58,7 @@ WITH d AS (
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0e0 END AS rate,
-         ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':7'), 1, 8))::BIGINT / 4294967296e0 AS u
+         ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':7:' || md5(coalesce(d.text, ''))), 1, 8))::BIGINT / 4294967296e0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,

@@ -79,3 +79,23 @@ def test_nothing_to_learn_from(make_docs):
     assert [tuple(r) for r in L.identify(make_docs([(1, "text")]), m).collect()] == [(1, "und", 0.0, True)]
     m = L.fit(make_docs([(1, None, "en"), (2, "", "fr"), (3, "only text", "de"), (3, "only text", "de"), (4, "no lang", None)]))
     assert [r.lang_pred for r in L.identify(make_docs([(1, "text")]), m).collect()] == ["de"]
+
+
+def test_a_language_whose_ids_are_null_is_learned(make_docs):
+    rows = [(None, f"the cat number {i} sat on the mat and the dog", "en") for i in range(300)]
+    rows += [(i, f"der Hund Nummer {i} liegt auf der Matte und schläft", "de") for i in range(300)]
+    rows += [(None, "le chat est sur la table", "fr")] * 200                    # all rows equal
+    df = make_docs(rows)
+    model = L.fit(df, sample=50)
+    assert model.names == ["de", "en", "fr"]
+    got = {r.doc_id: r.lang_pred for r in L.identify(make_docs([(1, "the cat and the dog"), (2, "der Hund und die Matte")]), model).collect()}
+    assert got == {1: "en", 2: "de"}
+
+
+def test_a_long_text_counts_like_a_short_one(monkeypatch):
+    text = pa.array(["Ünï cödé Ärger, the End. " * 60])
+    (_, whole), = L.counted(text)
+    for size in (1, 7, 100, 1499):
+        monkeypatch.setattr(L, "BLOCK_BYTES", size)
+        (_, cut), = L.counted(text)
+        assert (cut == whole).all()

@@ -177,3 +177,10 @@ def test_chat(spark):
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("index", F.lit(1))
     assert sorted([tuple(r) for r in chat.render(df, turns_per_part=8).collect()], key=repr) == render(turns, 8)
     assert chat.render(df.limit(0)).collect() == []
+
+
+def test_rows_without_ids_are_drawn_apart(make_docs):
+    rows = [(None, "w " * (1 + i % 9) + str(i), "en", "b") for i in range(1500)] + [(i, "w " * 9, "en", "a") for i in range(900)]
+    r = mixing.repetitions(make_docs(rows)).filter("source = 'b'").collect()
+    taken = sum(x.mix_size * x.mix_copies for x in r)
+    assert abs(taken - r[0].mix_target) < 0.1 * r[0].mix_target
