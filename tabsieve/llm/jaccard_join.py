@@ -269,8 +269,17 @@ def _overlaps(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
+def sets_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of the named nodes, picked where they are read if the names
+    are few enough to be broadcast; else the join that follows on ``node``
+    uses the same shuffle."""
+    return sets.join(bounded_broadcast(nodes.select("node").distinct()), "node", "left_semi")
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets link."""
+    pairs = written(pairs, "pairs")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), sets)
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long")
@@ -391,13 +400,13 @@ def open_links(tiles: DataFrame, roots: DataFrame, sets: DataFrame, block_sets:
             x == F.col("i"), cell(x, x, 3)).when(x > F.col("i"), cell(F.col("i"), x, 1)).otherwise(cell(x, F.col("i"), 2))),
         F.transform(F.sequence(F.lit(0), F.col("of_top") - 1), lambda x: cell(F.col("i"), -1 - x, 1)))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("of_rest") - 1), lambda x: cell(x, -1 - F.col("i"), 2))))
-    t = t.select("anchor", "band", "node", "n", "root", F.inline("cells"))
+    t = written(t.select("anchor", "band", "node", "n", "root", F.inline("cells")), "cells")
     cells = "anchor long, band int, node long, n long, root long, r int, c int, side int"
     group = F.pmod(F.xxhash64(*CELL), F.lit(groups)).alias("group")
-    maps = sets.mapInArrow(_bitmap_rows, "node long, band int, bits binary")
+    maps = sets_of(t, sets).mapInArrow(_bitmap_rows, "node long, band int, bits binary")
     t = t.join(maps, ["node", "band"]).select(*[c.split()[0] for c in cells.split(", ")], "bits", group)
     passed = written(t.groupBy("group").applyInArrow(_pass, cells), "passed")
-    passed = passed.join(sets.select("node", "shingles"), "node").withColumn("group", group)
+    passed = passed.join(sets_of(passed, sets).select("node", "shingles"), "node").withColumn("group", group)
     return passed.groupBy("group").applyInArrow(_join, "a long, b long").distinct()
 
 
