@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.scalar import round_half_up, truncate_text
 from ..functions.text import letter_counts
 from ..operators.partitioning import spread
+from ..operators import ivf as I
 from ..operators import retrieve as R
+from ..operators import sparse as SP
 from ..sources.tables import Tables
 from . import corpus as K
 
@@ -68,6 +70,29 @@ def _vote_of_others(emb: DataFrame, asked: DataFrame) -> DataFrame:
     return v.select("qid", "predicted", round_half_up("votes", 6).alias("votes"))
 
 
+def knn_indexed(t: Tables) -> DataFrame:
+    """M18 through inverted lists: the class of every embedding whose id is
+    divisible by 20 from its nearest others in the whole table."""
+    emb = t.embeddings
+    index = I.build(emb, "vec_id", "embedding", payload=("label",))
+    asked = emb.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    hits = I.search(index, asked, TOP_K + 1, "qid", "embedding", payload=("label",)).filter("vec_id != qid")
+    v = R.knn_vote(hits.filter(F.col("rank") <= TOP_K + 1), "qid", "label", weights="distance")
+    return v.select("qid", "predicted", round_half_up("votes", 6).alias("votes"))
+
+
+def sparse_context(t: Tables) -> DataFrame:
+    """T11 and T12 with hashed TF-IDF vectors: the chunks closest to every
+    benchmark item."""
+    chunks = K.chunks(t).select("doc_id", "chunk_index", "text")
+    return SP.retrieve(chunks, t.benchmark.select("item_id", "text"), TOP_K, ["doc_id", "chunk_index"], "item_id", digits=6)
+
+
+def sparse_documents(t: Tables) -> DataFrame:
+    """The same over whole documents."""
+    return SP.retrieve(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", "text"), TOP_K, ["doc_id"], "item_id", digits=6)
+
+
 def chunk_corpus(t: Tables) -> DataFrame:
     ch = K.chunks(t)
     return ch.select("doc_id", "chunk_index", "text", letter_counts("text").alias("embedding"))

@@ -554,6 +554,28 @@ FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, label)
 """)(RV.knn_distance_all)
 
 
+register("knn_indexed")(RV.knn_indexed)
+register("sparse_context")(RV.sparse_context)
+
+
+def _slots_sql(table: str, key: str) -> str:
+    words = "list_filter(regexp_split_to_array(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+    return f"SELECT {key}, ('0x' || substr(md5(w), 1, 4))::INT AS slot, count(*) AS tf FROM (SELECT {key}, unnest({words}) AS w FROM {table}) GROUP BY 1, 2"
+
+
+register("sparse_documents", f"""
+WITH d AS ({_slots_sql('documents', 'doc_id')}), q AS ({_slots_sql('benchmark', 'item_id')}),
+n AS (SELECT count(*) AS n FROM documents), f AS (SELECT slot, count(*) AS df FROM d GROUP BY 1),
+dw AS (SELECT d.*, tf * (ln((1e0 + n) / (1e0 + df)) + 1) AS w FROM d JOIN f USING (slot), n),
+qw AS (SELECT q.*, tf * (ln((1e0 + n) / (1e0 + coalesce(df, 0))) + 1) AS w FROM q LEFT JOIN f USING (slot), n),
+dn AS (SELECT doc_id, slot, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM dw),
+qn AS (SELECT item_id, slot, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM qw),
+s AS (SELECT item_id, doc_id, {rhu('sum(qn.w * dn.w)', 6)} AS score FROM qn JOIN dn USING (slot) GROUP BY 1, 2)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5
+""")(RV.sparse_documents)
+
+
 def _prompt_sql(ctx: str, q: str, domain: str = "the subject of the corpus") -> str:
     w = PROMPT_WITH_CONTEXT.replace("{domain}", domain).split("{context}")
     w2 = w[1].split("{question}")
