@@ -254,7 +254,7 @@ def _bitmap_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, n, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "shingles"))):
             b, s = int(band_of(n)), np.frombuffer(raw, U)
             yield pa.RecordBatch.from_arrays([pa.array([node] * 2, pa.int64()), pa.array([b, b + 1], pa.int32()), pa.array(
-                [bitmap(s, b).tobytes(), bitmap(s, b + 1).tobytes()], pa.binary())], ["node", "band", "bits"])
+                [pack(bitmap(s, b)), pack(bitmap(s, b + 1))], pa.binary())], ["node", "band", "bits"])
 
 
 def _overlaps(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,9 +279,8 @@ def sets_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets link."""
     pairs = written(pairs, "pairs")
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), sets)
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    one, two = (sets_of(pairs.select(F.col(c).alias("node")), sets).select(F.col("node").alias(c), F.col("shingles").alias(s))
+                for c, s in (("a", "x"), ("b", "y")))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long")
 
 
@@ -305,11 +304,12 @@ class _Block:
         may = 9 * most >= 4 * (n[i] + n[j])
         return j[may][np.argsort(-most[may], kind="stable")]
 
-    def passing_members(self, part: np.ndarray) -> np.ndarray:
-        """Which sets pass with any other."""
+    def passing_members(self, part: np.ndarray, anchor: int, anchors: list[frozenset[int]]) -> np.ndarray:
+        """Which sets pass with any other, in pairs that meet here first: two
+        sets with several anchors in common are compared under the least."""
         out = np.zeros(len(self.n), bool)
         for i in self.rows:
-            j = self.passing(i, part)
+            j = [k for k in self.passing(i, part) if min(anchors[i] & anchors[k]) == anchor]
             out[j] = True
             out[i] |= len(j) > 0
         return out
@@ -346,13 +346,13 @@ def _cells(table: pa.Table) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]
 
 def _pass(key: tuple, table: pa.Table) -> pa.Table:
     """The rows of a group's sets that pass with any other of their block."""
-    raw = table.column("bits").to_pylist()
+    raw, anchors = table.column("bits").to_pylist(), table.column("anchors")
     keep = [np.zeros(0, np.int64)]
     for at, c in _cells(table):
-        bits = np.frombuffer(b"".join(raw[k] for k in at), U).reshape(len(at), -1)
-        block = _Block(c["node"], c["n"], c["side"], int(c["band"][0]), bits)
-        keep.append(at[block.passing_members(np.unique(c["root"], return_inverse=True)[1])])
-    return table.drop_columns(["bits", "group"]).take(pa.array(np.concatenate(keep)))
+        block = _Block(c["node"], c["n"], c["side"], int(c["band"][0]), np.stack([unpack(raw[k], U) for k in at]))
+        met = [frozenset(anchors[k].as_py()) for k in at]
+        keep.append(at[block.passing_members(np.unique(c["root"], return_inverse=True)[1], int(c["anchor"][0]), met)])
+    return table.drop_columns(["bits", "group", "anchors"]).take(pa.array(np.concatenate(keep)))
 
 
 def _join(key: tuple, table: pa.Table) -> pa.Table:
@@ -379,12 +379,15 @@ def hub_pairs(tiles: DataFrame) -> DataFrame:
 def open_links(tiles: DataFrame, roots: DataFrame, sets: DataFrame, block_sets: int) -> DataFrame:
     """(a, b): links that tie the components of unsettled tiles."""
     t = tiles.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = t.groupBy("anchor", "band", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
-    tile = parts.groupBy("anchor", "band").agg(F.count(F.lit(1)).alias("roots"), F.sum("k").alias("k"), F.sum("n").alias("n"),
+    own = t.withColumn("own", band_column(F.col("n")) == F.col("band"))
+    parts = own.groupBy("anchor", "band", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
+                                                    F.max("own").alias("own"))
+    tile = parts.groupBy("anchor", "band").agg(F.count(F.lit(1)).alias("roots"), F.max("own").alias("own"), F.sum("k").alias("k"), F.sum("n").alias("n"),
                                                 F.max(F.struct("k", "n", "root")).alias("top"))
     # block rows or columns for k sets of n members together
     blocks = lambda k, n: F.greatest(F.ceil(k / block_sets), F.ceil(n * 8 / BLOCK_BYTES)).cast("int")
-    unsettled = tile.filter("roots > 1").select(
+    # a tile whose sets are all of the lesser band has no pair: they meet in that band's own tile
+    unsettled = tile.filter("roots > 1 and own").select(
         "anchor", "band", "n", F.col("top.root").alias("top"), blocks(F.col("top.k"), F.col("top.n")).alias("of_top"),
         blocks(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("of_rest"))
     # bytes of sets in all blocks, a little over
@@ -404,7 +407,8 @@ def open_links(tiles: DataFrame, roots: DataFrame, sets: DataFrame, block_sets:
     cells = "anchor long, band int, node long, n long, root long, r int, c int, side int"
     group = F.pmod(F.xxhash64(*CELL), F.lit(groups)).alias("group")
     maps = sets_of(t, sets).mapInArrow(_bitmap_rows, "node long, band int, bits binary")
-    t = t.join(maps, ["node", "band"]).select(*[c.split()[0] for c in cells.split(", ")], "bits", group)
+    anchors = t.groupBy("node").agg(F.collect_set("anchor").alias("anchors"))
+    t = t.join(anchors, "node").join(maps, ["node", "band"]).select(*[c.split()[0] for c in cells.split(", ")], "anchors", "bits", group)
     passed = written(t.groupBy("group").applyInArrow(_pass, cells), "passed")
     passed = passed.join(sets_of(passed, sets).select("node", "shingles"), "node").withColumn("group", group)
     return passed.groupBy("group").applyInArrow(_join, "a long, b long").distinct()

@@ -26,6 +26,7 @@ its own file, where that file is nothing more (``ranked_bpe``).
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -246,6 +247,7 @@ def encode_blocks(docs: DataFrame, files: tuple[bytes, bytes], id_col: str, text
     shared = docs.sparkSession.sparkContext.broadcast(files)         # two vocabulary files
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.freeze()      # a block's many small objects hold no cycles, and those before it need no more looking through
         t, memo = tokenizers(*shared.value), {}
         number, block = TaskContext.get().partitionId() << 32, Block(t, memo)
         for batch in batches:

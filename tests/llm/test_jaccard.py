@@ -96,7 +96,9 @@ def test_a_block_gives_fewer_links_than_members():
         return {frozenset(np.flatnonzero(root == r)) for r in set(root)}
 
     block = J._Block(node, n, np.full(len(n), 3), tile, np.stack([J.bitmap(s, tile) for s in sets]))
-    assert set(np.flatnonzero(block.passing_members(node))) >= {i for p in pairs for i in p}
+    one_tile = [frozenset({5})] * len(n)
+    assert set(np.flatnonzero(block.passing_members(node, 5, one_tile))) >= {i for p in pairs for i in p}
+    assert not block.passing_members(node, 5, [frozenset({3, 5})] * len(n)).any()       # compared under anchor 3
     links = block.joining_links(node.copy(), sets)
     assert len(links) < len(n) and len(pairs) > 4 * len(n) and parts(links) == parts(pairs)
 
