@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import boost as B
 from ..operators import evaluate as E
 from ..operators import learn as L
 from ..operators import ordering as O
@@ -161,3 +162,20 @@ def boosted_history(t: Tables) -> DataFrame:
                                validation_col="is_val", tol=0.01)
     return hist.select("label", "iteration", F.round("train_loss", 6).alias("train_loss"),
                        F.round("val_loss", 6).alias("val_loss"))
+
+
+BOOST = B.BoostParams(n_estimators=30, max_depth=3, learning_rate=0.2, subsample=0.8, colsample=0.8, min_child_weight=1.0,
+                      gamma=0.01, reg_alpha=0.05, reg_lambda=1.0, bins=64, patience=3)
+
+
+def softmax_boost(t: Tables) -> DataFrame:
+    """Softmax boosting with the caller's parameters; the
+    losses of every round, and the best round with its model's accuracy on
+    the test part."""
+    d = split_table(t)
+    rows = d.filter(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
+    model, history = B.fit(rows, FEATURES, "label", ["vec_id"], BOOST, weight="weight", validation="is_val")
+    accuracy = L.accuracy(B.predict(model, d.filter(F.col("split") == "test"), keep=["label"]), "label", "predicted")
+    table = [(i, round(a, 6), None if b is None else round(b, 6), i == model.best, round(accuracy, 6) if i == model.best else None)
+             for i, a, b in history]
+    return t.spark.createDataFrame(table, "iteration int, train_loss double, val_loss double, best boolean, test_accuracy double")

@@ -837,3 +837,4 @@ register("feature_importance")(MD.feature_importance)
 register("tree_metrics")(MD.tree_metrics)
 register("split_usage")(MD.split_usage)
 register("boosted_history")(MD.boosted_history)
+register("softmax_boost")(MD.softmax_boost)
