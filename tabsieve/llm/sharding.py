@@ -66,7 +66,7 @@ def place(docs: DataFrame, n_shards: int = 16, seed: int = SEED, cell_rows: int
     before = in_source.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("__s", "__c").agg(F.count(F.lit(1)).alias("__m")).select(
         "__s", "__c", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__before"), F.sum("__m").over(in_source).alias("__n"))
-    in_cell = Window.partitionBy("__s", "__c").orderBy("__h", id_col)
+    in_cell = Window.partitionBy("__s", "__c").orderBy(F.col("__h") < 0, "__h", id_col)    # unsigned, as the cells are
     ranked = rows.withColumn("__r", F.row_number().over(in_cell) - 1).join(offsets, ["__s", "__c"])
     ranked = ranked.withColumn("__r", F.col("__before") + F.col("__r")).withColumn(
         "__t", F.expr(f"((2 * __r + 1) * {cells}) div (2 * __n)")).drop("__before")

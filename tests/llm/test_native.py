@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,25 @@ def test_shards_match_the_mixture(make_docs):
     assert again == {r.doc_id: (r.shard, r.slot) for r in got}     # whatever the cells and partitions
 
 
+@pytest.mark.parametrize("cell_rows", [40, 20_000])
+def test_order_is_that_of_the_fractional_ranks(make_docs, cell_rows):
+    rng = random.Random(5)
+    df = make_docs([(i, f"t{i}", "en", rng.choice(["hot"] * 6 + ["b", "c", None])) for i in range(1500)]
+                   + [(2000 + i, None, "en", "few") for i in range(3)])
+    hashes = df.select("doc_id", "source", F.xxhash64(F.lit(sharding.SEED), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))),
+                       F.xxhash64(F.lit(sharding.SEED), F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))))
+    of_source = defaultdict(list)
+    for doc_id, source, h, s in hashes.collect():
+        of_source[source].append((h % 2 ** 64, doc_id, s))
+    order = sorted((Fraction(2 * r + 1, 2 * len(rows)), s, doc_id) for rows in of_source.values() for r, (_, doc_id, s) in enumerate(sorted(rows)))
+    total, want, seen = len(order), {}, Counter()
+    for position, (_, _, doc_id) in enumerate(order):
+        shard = position * 16 // total
+        want[doc_id] = (shard, seen[shard], position)
+        seen[shard] += 1
+    assert {r.doc_id: (r.shard, r.slot, r.position) for r in placed(df, n_shards=16, cell_rows=cell_rows)} == want
+
+
 def test_shard_edges(make_docs):
     rows = [(None, None, None, None), (1, "", "en", "s"), (1, "", "en", "s"), (2, "x" * 9000, "en", "=")]
     check_shards(placed(make_docs(rows)), 16)
