@@ -247,7 +247,7 @@ def encode_blocks(docs: DataFrame, files: tuple[bytes, bytes], id_col: str, text
     shared = docs.sparkSession.sparkContext.broadcast(files)         # two vocabulary files
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()     # a block's many small objects hold no cycles: looking through them takes a fifth of the time
+        gc.disable()     # a block's many small objects hold no cycles: looking through them only costs time
         try:
             t, memo = tokenizers(*shared.value), {}
             number, block = TaskContext.get().partitionId() << 32, Block(t, memo)
