@@ -112,6 +112,58 @@ def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42, col: str
     return df.withColumn(col, F.pmod(h, F.lit(k)).cast("int"))
 
 
+def _group_starts(df: DataFrame, label: str, group: str, seed: int, digits: int) -> DataFrame:
+    """One row per group: ``__stratum`` (its most frequent label, the greater
+    one of equals; null without labels), ``__w`` (its rows with that label, or
+    all its rows), ``__start`` (the ``__w`` of the stratum's groups before it in
+    hash order) and ``__total`` (of the stratum). Rows without a group form one."""
+    cells = df.groupBy(F.col(group).alias("__g"), F.col(label).alias("__l")).agg(F.count(F.lit(1)).alias("__c"))
+    top = F.max(F.when(F.col("__l").isNotNull(), F.struct("__c", "__l")))
+    g = cells.groupBy("__g").agg(top.alias("__top"), F.sum("__c").alias("__n"))
+    g = g.select("__g", F.col("__top")["__l"].alias("__stratum"), F.coalesce(F.col("__top")["__c"], F.col("__n")).alias("__w"),
+                 order_hash(["__g"], seed).alias("__h"))
+    g = g.withColumn("__b", F.conv(F.substring("__h", 1, digits), 16, 10).cast("int"))
+    sums = g.groupBy("__stratum", "__b").agg(F.sum("__w").alias("__s"))
+    w = Window.partitionBy("__stratum").orderBy("__b")
+    sums = sums.select(F.col("__stratum").alias("__stratum2"), F.col("__b").alias("__b2"),
+                       (F.sum("__s").over(w) - F.col("__s")).alias("__off"),
+                       F.sum("__s").over(Window.partitionBy("__stratum")).alias("__total"))
+    g = g.join(sums, F.col("__stratum").eqNullSafe(F.col("__stratum2")) & (F.col("__b") == F.col("__b2")))
+    inside = Window.partitionBy("__stratum", "__b").orderBy("__h", "__g")
+    return g.select("__g", "__stratum", "__w", "__total",
+                    (F.col("__off") + F.sum("__w").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__w")).alias("__start"))
+
+
+def _deal(df: DataFrame, label: str, group: str, part: Column, col: str, seed: int) -> DataFrame:
+    starts = _group_starts(df, label, group, seed, prefix_digits(df)).select("__g", part.alias(col))
+    # a group may hold a third of the rows: AQE splits its partition of the rows,
+    # the other side has one row per group
+    return df.join(starts, df[group].eqNullSafe(F.col("__g")), "left").drop("__g")
+
+
+def stratified_group_split(df: DataFrame, label: str, group: str, test: float = 0.2, val: float = 0.1,
+                           seed: int = 42, col: str = "split") -> DataFrame:
+    """M4 with quirk 12: no group in two parts, and parts alike in their
+    classes. Groups are dealt inside strata (the most frequent label) in hash
+    order by quota: the first ``test`` share of the stratum's rows with that
+    label is the test part, the next ``val`` share the validation part, and a
+    group goes where its middle row falls. So in every stratum each part's
+    border is off by at most half of one group; rows of other labels in a group
+    follow it (within sampling error of the group count). A group without
+    labels is dealt among its like by its rows; rows without a group stay
+    together. The running sums are taken in (stratum, hash prefix) cells, so a
+    stratum that holds a third of the groups is many small windows."""
+    at = (F.col("__start") + F.col("__w") / 2.0) / F.col("__total")
+    return _deal(df, label, group, F.when(at < test, "test").when(at < test + val, "val").otherwise("train"), col, seed)
+
+
+def stratified_group_folds(df: DataFrame, label: str, group: str, k: int = 5, seed: int = 42,
+                           col: str = "fold") -> DataFrame:
+    """M5 with quirk 12: the same dealing with ``k`` equal quotas."""
+    at = (F.col("__start") + F.col("__w") / 2.0) / F.col("__total")
+    return _deal(df, label, group, F.least(F.floor(at * k), F.lit(k - 1)).cast("int"), col, seed)
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights n / (k * n_c) per class; one small aggregate."""
     counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("count"))

@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import round_half_up
 from ..operators import boost as B
 from ..operators import evaluate as E
 from ..operators import learn as L
+from ..operators import one_pass as OP
 from ..operators import ordering as O
 from ..operators import split as S
 from ..operators import trees as TR
@@ -72,6 +74,37 @@ def nb_fold_scores(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(i, round(s, 9)) for i, s in enumerate(scores)], "fold int, score double")
 
 
+def _fold_metrics(t: Tables) -> DataFrame:
+    f = materialize(S.stratified_folds(feature_table(t), "label", ["vec_id"], k=5, seed=42), "folds")
+    return OP.fold_metrics(OP.out_of_fold(f, FEATURES, "label", "fold"))
+
+
+def cv_metrics(t: Tables) -> DataFrame:
+    """M5 + M9: metrics of each of five stratified folds and two families, all
+    fitted from one aggregate."""
+    m = _fold_metrics(t)
+    return m.select("family", "fold", "n", *[round_half_up(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+def cv_leaderboard(t: Tables) -> DataFrame:
+    """The families by mean accuracy over the folds."""
+    b = OP.leaderboard(_fold_metrics(t))
+    return b.select("rank", "family", "n_folds", *[round_half_up(c, 6).alias(c) for c in ("cv_mean", "cv_std", "precision", "recall", "f1")])
+
+
+def group_split(t: Tables) -> DataFrame:
+    """M4 with whole groups: a customer's orders all go to one part, parts
+    alike in their order states."""
+    s = S.stratified_group_split(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderstatus", "o_custkey")
+    return s.select("o_orderkey", "o_custkey", "split")
+
+
+def group_folds(t: Tables) -> DataFrame:
+    """M5 with whole groups: rows per fold, order state and customers."""
+    f = S.stratified_group_folds(t.orders.select("o_custkey", "o_orderstatus"), "o_orderstatus", "o_custkey", k=5)
+    return f.groupBy("fold", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers"))
+
+
 def train_evaluate(t: Tables) -> DataFrame:
     """M4 -> A22 -> M6 -> M7 -> M14 -> A24 on the test part."""
     d, pre, model, labels = _fit(t)

@@ -825,6 +825,55 @@ WITH part AS (SELECT vec_id, (r - 1) % 5 AS fold FROM ({_vec_rank(42)})),
 SELECT CAST(k AS INTEGER) AS fold, round(avg(CASE WHEN label = predicted THEN 1e0 ELSE 0e0 END), 9) AS score FROM best GROUP BY k
 """)(MD.nb_fold_scores)
 
+CV_SQL = f"""WITH part AS (SELECT vec_id, label, (r - 1) % 5 AS fold FROM (
+  SELECT vec_id, CAST(label AS VARCHAR) AS label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id) AS r FROM embeddings)),
+x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+runs AS (SELECT unnest([0, 1, 2, 3, 4]) AS k),
+own AS (SELECT r.k, p.label, x.pos, avg(CAST(x.v AS DOUBLE)) AS mu, var_pop(CAST(x.v AS DOUBLE)) AS s2, count(*) AS n
+        FROM x JOIN part p USING (vec_id) JOIN runs r ON p.fold <> r.k GROUP BY 1, 2, 3),
+model AS (SELECT 'naive_bayes' AS family, k, label, pos, mu, s2, n FROM own
+          UNION ALL SELECT 'discriminant', k, label, pos, mu, sum(n * s2) OVER (PARTITION BY k, pos) / sum(n) OVER (PARTITION BY k, pos), n FROM own),
+score AS (SELECT m.family, m.k, x.vec_id, p.label, m.label AS predicted,
+                 ln(any_value(m.n)) - 5e-1 * sum((x.v - m.mu) * (x.v - m.mu) / m.s2 + ln(m.s2)) AS s
+          FROM x JOIN part p USING (vec_id) JOIN model m ON m.k = p.fold AND m.pos = x.pos GROUP BY 1, 2, 3, 4, 5),
+best AS (SELECT family, k AS fold, vec_id, label, arg_max(predicted, s) AS predicted FROM score GROUP BY 1, 2, 3, 4),
+per AS (SELECT a.family, a.fold, a.label, a.support, a.tp, coalesce(g.guessed, 0) AS guessed
+        FROM (SELECT family, fold, label, count(*) AS support, count_if(label = predicted) AS tp FROM best GROUP BY 1, 2, 3) a
+        LEFT JOIN (SELECT family, fold, predicted AS label, count(*) AS guessed FROM best GROUP BY 1, 2, 3) g USING (family, fold, label)),
+pr AS (SELECT *, CASE WHEN guessed > 0 THEN tp / guessed ELSE 0e0 END AS p, tp / support AS r FROM per),
+fm AS (SELECT family, fold, sum(support) AS n, sum(tp) / sum(support) AS accuracy, sum(p * support) / sum(support) AS precision,
+              sum(r * support) / sum(support) AS recall,
+              sum(CASE WHEN p + r > 0 THEN 2e0 * p * r / (p + r) ELSE 0e0 END * support) / sum(support) AS f1
+       FROM pr GROUP BY 1, 2)"""
+
+register("cv_metrics", f"""{CV_SQL}
+SELECT family, CAST(fold AS INTEGER) AS fold, CAST(n AS BIGINT) AS n, {rhu('accuracy', 6)} AS accuracy, {rhu('precision', 6)} AS precision,
+       {rhu('recall', 6)} AS recall, {rhu('f1', 6)} AS f1 FROM fm""")(MD.cv_metrics)
+
+register("cv_leaderboard", f"""{CV_SQL}, b AS (
+  SELECT family, count(*) AS n_folds, avg(accuracy) AS cv_mean, stddev_pop(accuracy) AS cv_std, avg(precision) AS precision,
+         avg(recall) AS recall, avg(f1) AS f1 FROM fm GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY cv_mean DESC, family) AS INTEGER) AS rank, family, n_folds, {rhu('cv_mean', 6)} AS cv_mean,
+       {rhu('cv_std', 6)} AS cv_std, {rhu('precision', 6)} AS precision, {rhu('recall', 6)} AS recall, {rhu('f1', 6)} AS f1 FROM b
+""")(MD.cv_leaderboard)
+
+GROUP_SQL = """WITH cells AS (SELECT o_custkey, o_orderstatus, count(*) AS c FROM orders GROUP BY 1, 2),
+top AS (SELECT o_custkey, o_orderstatus AS stratum, c AS w FROM cells
+        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY c DESC, o_orderstatus DESC) = 1),
+run AS (SELECT *, sum(w) OVER (PARTITION BY stratum ORDER BY md5(CAST(o_custkey AS VARCHAR) || ':42'), o_custkey) - w AS start,
+               sum(w) OVER (PARTITION BY stratum) AS total FROM top),
+dealt AS (SELECT o_custkey, (start + w / 2e0) / total AS place FROM run)"""
+
+register("group_split", f"""{GROUP_SQL}
+SELECT o_orderkey, o_custkey, CASE WHEN place < 2e-1 THEN 'test' WHEN place < 2e-1 + 1e-1 THEN 'val' ELSE 'train' END AS split
+FROM orders JOIN dealt USING (o_custkey)
+""")(MD.group_split)
+
+register("group_folds", f"""{GROUP_SQL}
+SELECT CAST(least(floor(place * 5), 4) AS INTEGER) AS fold, o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS customers
+FROM orders JOIN dealt USING (o_custkey) GROUP BY 1, 2
+""")(MD.group_folds)
+
 # (trees and solvers below have no SQL form: rows-only)
 
 register("train_evaluate")(MD.train_evaluate)
