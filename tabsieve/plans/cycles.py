@@ -8,12 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import round_half_up
 from ..operators import publish as PB
 from ..session import scratch_path
 from ..sources import io as IO
+from ..sources import runs as RN
 from ..sources.tables import Tables
 from . import corpus as K
 from . import facts as FD
+from . import tabular as TB
 from .publishing import urgent_updates
 
 ORDER_COLUMNS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double"
@@ -58,3 +61,36 @@ def corpus_cycle(t: Tables) -> DataFrame:
     facts = FD.fact_documents(t).select("type", "text")
     first = FD.rebuild_corpus(K.load_corpus(t.spark, path), facts)
     return FD.rebuild_corpus(first, facts).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+RUN_FEATURES = ["l_discount", "l_extendedprice", "l_quantity", "l_tax"]
+
+
+def run_registry(t: Tables) -> DataFrame:
+    """Four runs of unequal shape recorded, the newest complete
+    one read back: its status, every metric and its three largest importances
+    (here each column's correlation with returned lines, by amount)."""
+    base = scratch_path(t.spark, "runs")
+    returned = (F.col("l_returnflag") == "R").cast("double")
+    weights = t.lineitem.agg(*[round_half_up(F.abs(F.corr(F.col(c), returned)), 9).alias(c) for c in RUN_FEATURES])
+    as_object = weights.select(F.to_variant_object(F.struct(*RUN_FEATURES)).alias("payload"))
+    as_list = weights.select(F.to_variant_object(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance"))
+                                                           for c in RUN_FEATURES])).alias("payload"))
+    names = RN.literal_payload(t.spark, str(RUN_FEATURES).replace("'", '"'))
+    report = RN.report_payload(TB.class_report(t))
+    RN.create(t.spark, base)
+    for run, stamp, kinds in [("first", "20240101_120000", {"metrics": RN.literal_payload(t.spark, '{"accuracy": 0.5}'),
+                                                            "feature_names": names, "importances": as_object}),
+                              ("second", "20240201_120000", {"metrics": report, "feature_names": names, "importances": as_list}),
+                              ("third", "20240301_120000", {"metrics": report, "feature_names": names}),
+                              ("unstamped", None, {"metrics": report, "feature_names": names, "importances": as_object})]:
+        for kind, payload in kinds.items():
+            RN.append(payload, base, run, stamp, kind)
+    latest = RN.latest_complete(RN.load(t.spark, base)).checkpoint()      # a few records, read four ways
+    state = RN.status(latest).select("run", F.lit("status").alias("part"), F.explode(F.create_map(
+        F.lit("n_features"), F.col("n_features").cast("double"), F.lit("n_classes"), F.col("n_classes").cast("double"),
+        F.lit("accuracy"), F.col("accuracy"))).alias("name", "value")).withColumn("metric", F.lit("value"))
+    measured = RN.metrics(latest).withColumn("part", F.lit("metric"))
+    top = RN.importances(latest, 3).select("run", F.lit("importance").alias("part"), F.col("feature").alias("name"),
+                                           F.lit("value").alias("metric"), F.col("importance").alias("value"))
+    return state.unionByName(measured).unionByName(top)

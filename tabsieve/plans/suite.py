@@ -700,6 +700,23 @@ SELECT type, count(*) AS n FROM r GROUP BY type
 """)(CY.corpus_cycle)
 
 
+register("run_registry", f"""
+WITH rep AS (SELECT * FROM ({ORACLE['class_report']})),
+w AS ({' UNION ALL '.join(f"SELECT '{c}' AS name, {rhu(f"abs(corr({c}, CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END))", 9)} AS value FROM lineitem"
+                          for c in CY.RUN_FEATURES)}),
+m AS (SELECT label AS name, 'value' AS metric, f1 AS value FROM rep WHERE label = 'accuracy'
+      UNION ALL SELECT label, 'precision', precision FROM rep WHERE label <> 'accuracy'
+      UNION ALL SELECT label, 'recall', recall FROM rep WHERE label <> 'accuracy'
+      UNION ALL SELECT label, 'f1', f1 FROM rep WHERE label <> 'accuracy'
+      UNION ALL SELECT label, 'support', CAST(support AS DOUBLE) FROM rep WHERE label <> 'accuracy')
+SELECT 'second' AS run, 'metric' AS part, name, metric, value FROM m
+UNION ALL SELECT 'second', 'importance', name, 'value', value FROM (SELECT * FROM w ORDER BY value DESC, name LIMIT 3)
+UNION ALL SELECT 'second', 'status', 'n_features', 'value', {len(CY.RUN_FEATURES)}e0
+UNION ALL SELECT 'second', 'status', 'n_classes', 'value', CAST(count(*) AS DOUBLE) FROM rep WHERE label NOT IN ('accuracy', 'macro avg', 'weighted avg')
+UNION ALL SELECT 'second', 'status', 'accuracy', 'value', f1 FROM rep WHERE label = 'accuracy'
+""")(CY.run_registry)
+
+
 # ---------------------------------------------------------------- column preparation
 from . import preparation as PR  # noqa: E402
 
