@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_half_up
+from ..operators import bucketed as BK
 from ..operators import publish as PB
 from ..session import scratch_path
 from ..sources import io as IO
@@ -94,3 +95,16 @@ def run_registry(t: Tables) -> DataFrame:
     top = RN.importances(latest, 3).select("run", F.lit("importance").alias("part"), F.col("feature").alias("name"),
                                            F.lit("value").alias("metric"), F.col("importance").alias("value"))
     return state.unionByName(measured).unionByName(top)
+
+
+def bucketed_cycle(t: Tables) -> DataFrame:
+    """K3, K6, F9 on the bucketed layout: every customer written, urgent ones
+    updated by key, then one customer alone (one bucket written anew), who is
+    looked up; all rows read back."""
+    base, cols = scratch_path(t.spark, "bucketed"), ["c_acctbal", "c_mktsegment"]
+    BK.create(t.customer.select("c_custkey", "c_name", *cols), base, "c_custkey", n_buckets=32)
+    BK.upsert(t.spark, base, urgent_updates(t), cols)
+    last = t.customer.agg(F.max("c_custkey").alias("c_custkey")).withColumn("c_mktsegment", F.lit("LAST"))
+    again = BK.upsert(t.spark, base, last, ["c_mktsegment"])
+    found = BK.lookup(t.spark, base, last.first()["c_custkey"]).first()
+    return BK.layout(t.spark, base).read(t.spark).withColumns({"rewritten": F.lit(len(again)), "found": F.lit(found["c_name"])})

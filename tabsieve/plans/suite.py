@@ -690,6 +690,16 @@ SELECT c.c_custkey, c.c_name,
 FROM customer c LEFT JOIN u ON c.c_custkey = u.c_custkey
 """)(CY.publish_cycle)
 
+register("bucketed_cycle", f"""
+WITH u AS (SELECT o_custkey AS c_custkey, {rhu('sum(o_totalprice) / 1e3', 2)} AS new_bal FROM orders
+           WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey),
+z AS (SELECT max(c_custkey) AS k FROM customer)
+SELECT c.c_custkey, c.c_name, CASE WHEN u.c_custkey IS NOT NULL THEN u.new_bal ELSE c.c_acctbal END AS c_acctbal,
+       CASE WHEN c.c_custkey = z.k THEN 'LAST' WHEN u.c_custkey IS NOT NULL THEN 'PRIORITY' ELSE c.c_mktsegment END AS c_mktsegment,
+       1 AS rewritten, (SELECT c_name FROM customer, z WHERE c_custkey = k) AS found
+FROM customer c CROSS JOIN z LEFT JOIN u ON c.c_custkey = u.c_custkey
+""")(CY.bucketed_cycle)
+
 register("csv_cycle", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, 'csv' AS came_from FROM orders")(CY.csv_cycle)
 register("json_cycle", "SELECT p_partkey, p_name, p_retailprice FROM part")(CY.json_cycle)
 
