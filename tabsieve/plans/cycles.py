@@ -15,6 +15,7 @@ from ..session import scratch_path
 from ..sources import io as IO
 from ..sources import runs as RN
 from ..sources.tables import Tables
+from ..streaming import reland as RL
 from . import corpus as K
 from . import facts as FD
 from . import tabular as TB
@@ -108,3 +109,22 @@ def bucketed_cycle(t: Tables) -> DataFrame:
     again = BK.upsert(t.spark, base, last, ["c_mktsegment"])
     found = BK.lookup(t.spark, base, last.first()["c_custkey"]).first()
     return BK.layout(t.spark, base).read(t.spark).withColumns({"rewritten": F.lit(len(again)), "found": F.lit(found["c_name"])})
+
+
+def relanded_corpus(t: Tables) -> DataFrame:
+    """Documents land as one file per language and are ingested; then one
+    language's file lands again without its short documents and replaces its
+    chunks, while the other files' stay."""
+    base, landing, ids = scratch_path(t.spark, "relanded"), scratch_path(t.spark, "landing"), "doc_id long"
+    docs = t.documents.select("doc_id", "text", F.coalesce("lang", F.lit("none")).alias("name"))
+
+    def deliver(rows: DataFrame, delivery: str) -> None:
+        rows.repartition("name").write.partitionBy("name").parquet(f"{landing}/{delivery}")      # one file per name
+        name = F.regexp_extract("__path", "name=([^/]+)/", 1)
+        stream = RL.landed(t.spark, landing, "doc_id long, text string", name)
+        RL.start(stream, base, f"{base}/checkpoint", ["doc_id"]).awaitTermination()
+
+    deliver(docs, "first")
+    again = docs.agg(F.min("name")).scalar()
+    deliver(docs.filter((F.col("name") == again) & (F.length("text") >= 400)), "second")
+    return RL.current(t.spark, base, ids).select("file", "doc_id", "chunk_index", "n_chunks", "text")

@@ -710,6 +710,14 @@ SELECT type, count(*) AS n FROM r GROUP BY type
 """)(CY.corpus_cycle)
 
 
+register("relanded_corpus", f"""
+WITH RECURSIVE kept AS (
+  SELECT coalesce(lang, 'none') AS file, doc_id, {clean_sql('text')} AS t FROM documents
+  WHERE text IS NOT NULL AND (coalesce(lang, 'none') <> (SELECT min(coalesce(lang, 'none')) FROM documents) OR length(text) >= 400)),
+{chunk_ctes('kept', ['file', 'doc_id'])}
+SELECT file, doc_id, chunk_index, n_chunks, text FROM chunked
+""")(CY.relanded_corpus)
+
 register("run_registry", f"""
 WITH rep AS (SELECT * FROM ({ORACLE['class_report']})),
 w AS ({' UNION ALL '.join(f"SELECT '{c}' AS name, {rhu(f"abs(corr({c}, CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END))", 9)} AS value FROM lineitem"
