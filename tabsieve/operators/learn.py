@@ -267,10 +267,44 @@ def fit_boosted(train: DataFrame, pre: Preprocessor, label: str, params: dict, w
     return BoostedOvR(idx, models), list(idx.labels), hist
 
 
-def fallback_predictions(df: DataFrame, actual: str, keep: Sequence[str]) -> DataFrame:
-    """Without a model, the recorded label stands in (source = dataset)."""
-    return df.select(*[F.col(k) for k in keep], F.col(actual).alias("predicted"),
-                     F.lit(None).cast("double").alias("confidence"), F.lit("dataset").alias("source"))
+def fallback_predictions(df: DataFrame, actual: str, keep: Sequence[str], reason: str = "no model") -> DataFrame:
+    """Without a model, the recorded label stands in: source ``dataset``, no
+    confidence, ``fallback`` true and the reason."""
+    return df.select(*[F.col(k) for k in keep], F.col(actual).cast("string").alias("predicted"),
+                     F.lit(None).cast("double").alias("confidence"), F.lit("dataset").alias("source"),
+                     F.lit(True).alias("fallback"), F.lit(reason).alias("reason"))
+
+
+def predict_or_fallback(spark: SparkSession, path: str, df: DataFrame, actual: str, keep: Sequence[str]) -> DataFrame:
+    """The saved model's predictions, or the recorded labels where the model
+    can't be loaded, or ``df`` has none of its features. Either way the same
+    columns: keep, predicted, confidence, source, fallback, reason."""
+    try:
+        model, pre, labels = load_model(spark, path)
+    except Exception as e:      # absent, partly written, or of another version
+        return fallback_predictions(df, actual, keep, f"model not loaded: {type(e).__name__}")
+    if not set(pre.features) & set(df.columns):
+        return fallback_predictions(df, actual, keep, "no feature of the model")
+    scored = predict(model, pre, df, labels, keep=keep)
+    return scored.select(*keep, "predicted", "confidence", "source", F.lit(False).alias("fallback"),
+                         F.lit(None).cast("string").alias("reason"))
+
+
+def predict_file(spark: SparkSession, path: str, csv: str, out: str, key: str) -> DataFrame:
+    """Q7: read a CSV with a header, score it with the saved model and write the
+    predictions as CSV; returns count and mean confidence per predicted label.
+    Every model feature is read as a number (text that is none counts as
+    missing); features that the file lacks are filled like missing values."""
+    from ..sources.io import read_csv, write_csv
+
+    model, pre, labels = load_model(spark, path)
+    header = spark.read.option("header", True).csv(csv).columns
+    rows = read_csv(spark, csv, ", ".join(f"`{c}` string" for c in header), required=[key])
+    rows = rows.select(key, *[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in pre.features if c in header])
+    write_csv(predict(model, pre, rows, labels, keep=[key]), out)
+    done = read_csv(spark, out, ", ".join([f"`{key}` string", "predicted string", "confidence double",
+                                           *[f"`prob_{c}` double" for c in labels], "source string"]))
+    return done.groupBy("predicted").agg(F.count(F.lit(1)).alias("count"), F.avg("confidence").alias("mean_confidence"))
 
 
 def cross_validate(df: DataFrame, pre_features: Sequence[str], label: str, fold_col: str, k: int, family: str,

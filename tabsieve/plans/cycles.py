@@ -8,9 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import round_half_up
+from ..functions.scalar import fill_value, round_half_up
+from ..functions.text import clean_text, html_to_text
 from ..operators import bucketed as BK
 from ..operators import publish as PB
+from ..operators import schema as SC
+from ..operators.filters import min_content
 from ..session import scratch_path
 from ..sources import io as IO
 from ..sources import runs as RN
@@ -128,3 +131,32 @@ def relanded_corpus(t: Tables) -> DataFrame:
     again = docs.agg(F.min("name")).scalar()
     deliver(docs.filter((F.col("name") == again) & (F.length("text") >= 400)), "second")
     return RL.current(t.spark, base, ids).select("file", "doc_id", "chunk_index", "n_chunks", "text")
+
+
+def stored_collection(t: Tables) -> DataFrame:
+    """S3, S4 (stored table), S6, S8, K4, K9, P15, X6: customers with an internal
+    id, NaN balances cleaned, truncated and loaded again, found by the source
+    chain, the id dropped, required columns checked, a literal row added."""
+    path = scratch_path(t.spark, "collection")
+    rows = t.customer.select(F.expr("uuid()").alias("_id"), "c_custkey", "c_name",
+                             F.when(F.col("c_acctbal") < 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal")).alias("c_acctbal"))
+    IO.write_table(rows.limit(0), path)
+    IO.write_table(IO.clean_for_write(rows), path, mode="overwrite")
+    _, source = IO.resolve_source(t.spark, path, None)
+    kept = SC.require_columns(IO.read_collection(t.spark, path), ["c_custkey", "c_acctbal"])
+    kept = kept.unionByName(IO.literal_rows(t.spark, [(0, "added", None)], kept.schema))
+    names = ",".join(SC.feature_names(len(kept.columns), kept.columns) + SC.feature_names(2))
+    return kept.select("c_custkey", "c_name", fill_value("c_acctbal", -1.0).alias("c_acctbal"),
+                       F.lit(source).alias("came_from"), F.lit(names).alias("names"))
+
+
+def binary_ingest(t: Tables) -> DataFrame:
+    """Pages as one file each, read as bytes, extracted, cleaned,
+    short ones put aside."""
+    path = scratch_path(t.spark, "files")
+    t.pages.select("page_id", F.col("html").alias("value")).repartition("page_id").write.partitionBy("page_id").text(path)
+    files = IO.binary_files(t.spark, path, "*.txt")
+    texts = IO.extract_documents(files, lambda _, content: content.decode("utf-8").removesuffix("\n"))      # the text sink's line end
+    page = F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("long")
+    kept, _ = min_content(texts.select(page.alias("page_id"), clean_text(html_to_text("text")).alias("text")), "text", 1500)
+    return kept.select("page_id", F.length("text").alias("n_chars"))

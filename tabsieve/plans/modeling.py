@@ -21,6 +21,7 @@ from ..operators import split as S
 from ..operators import trees as TR
 from ..operators.partitioning import materialize, spread
 from ..session import scratch_path
+from ..sources import io as IO
 from ..sources.tables import Tables
 
 N_DIMS = 64
@@ -62,6 +63,35 @@ def nb_predictions(t: Tables) -> DataFrame:
     return nb_scores(t).select("vec_id", "label", "predicted", F.round("confidence", 5).alias("confidence"))
 
 
+def _saved_nb(t: Tables) -> tuple[DataFrame, str]:
+    """The test part, and the folder of a naive Bayes model of the rest."""
+    d, path = split_table(t), scratch_path(t.spark, "model")
+    train = d.filter(F.col("split").isin("train", "val"))
+    pre = L.Preprocessor.fit(train, FEATURES)
+    model, labels = L.fit_pipeline(train, pre, "label", "naive_bayes", {}, weight=None)
+    L.save_model(model, pre, labels, path)
+    return d.filter(F.col("split") == "test"), path
+
+
+def predict_file(t: Tables) -> DataFrame:
+    """K8 + Q7: the test part as a CSV file, scored by a saved model into another."""
+    test, path = _saved_nb(t)
+    csv, out = scratch_path(t.spark, "csv"), scratch_path(t.spark, "csv")
+    IO.write_csv(test.select("vec_id", *FEATURES), csv)
+    s = L.predict_file(t.spark, path, csv, out, "vec_id")
+    return s.select("predicted", "count", F.round("mean_confidence", 5).alias("mean_confidence"))
+
+
+def predict_fallback(t: Tables) -> DataFrame:
+    """The test part by a saved model, by a folder without one, and without
+    any feature."""
+    test, path = _saved_nb(t)
+    cases = [("model", path, test), ("absent", scratch_path(t.spark, "model"), test), ("columns", path, test.select("vec_id", "label"))]
+    parts = [L.predict_or_fallback(t.spark, at, rows, "label", ["vec_id"]).withColumn("case", F.lit(name)) for name, at, rows in cases]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("case", "vec_id", "predicted", "source", "fallback", F.col("confidence").isNull().alias("unsure"))
+
+
 def nb_report(t: Tables) -> DataFrame:
     """A24 of those predictions."""
     return E.classification_report(nb_scores(t), "label", "predicted", digits=6)

@@ -718,6 +718,17 @@ WITH RECURSIVE kept AS (
 SELECT file, doc_id, chunk_index, n_chunks, text FROM chunked
 """)(CY.relanded_corpus)
 
+register("stored_collection", """
+SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN -1e0 ELSE CAST(c_acctbal AS DOUBLE) END AS c_acctbal, 'table' AS came_from,
+       'c_custkey,c_name,c_acctbal,feature_0,feature_1' AS names FROM customer
+UNION ALL SELECT 0, 'added', -1e0, 'table', 'c_custkey,c_name,c_acctbal,feature_0,feature_1'
+""")(CY.stored_collection)
+
+register("binary_ingest", f"""
+WITH pt AS (SELECT page_id, {clean_sql(html_sql('html'))} AS text FROM pages)
+SELECT page_id, length(text) AS n_chars FROM pt WHERE length({py_strip_sql('text')}) >= 1500
+""")(CY.binary_ingest)
+
 register("run_registry", f"""
 WITH rep AS (SELECT * FROM ({ORACLE['class_report']})),
 w AS ({' UNION ALL '.join(f"SELECT '{c}' AS name, {rhu(f"abs(corr({c}, CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END))", 9)} AS value FROM lineitem"
@@ -854,6 +865,18 @@ FROM best b JOIN score s USING (vec_id) GROUP BY 1, 2, 3
 
 register("nb_report", _report_sql(f"{NB_TEST_SQL}, lab AS (SELECT label AS actual, predicted FROM best)"))(MD.nb_report)
 
+register("predict_file", f"""
+{NB_TEST_SQL}, c AS (SELECT b.vec_id, b.predicted, 1e0 / sum(exp(s.s - b.top)) AS confidence FROM best b JOIN score s USING (vec_id) GROUP BY 1, 2)
+SELECT predicted, count(*) AS count, round(avg(confidence), 5) AS mean_confidence FROM c GROUP BY 1
+""")(MD.predict_file)
+
+register("predict_fallback", f"""
+{NB_TEST_SQL}
+SELECT 'model' AS "case", vec_id, predicted, 'model' AS source, false AS fallback, false AS unsure FROM best
+UNION ALL SELECT 'absent', vec_id, label, 'dataset', true, true FROM best
+UNION ALL SELECT 'columns', vec_id, label, 'dataset', true, true FROM best
+""")(MD.predict_fallback)
+
 register("nb_fold_scores", f"""
 WITH part AS (SELECT vec_id, (r - 1) % 5 AS fold FROM ({_vec_rank(42)})),
 {_nb_sql('SELECT unnest([0, 1, 2, 3, 4]) AS k')}
