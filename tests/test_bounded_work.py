@@ -35,3 +35,17 @@ def test_products_are_those_of_shared_slots():
     terms = sparse.Terms.of(query, slot, np.array([1.0, 2.0, 3.0, 4.0]))
     at, product = terms.products(np.array([0, 0, 1]), np.array([5, 6, 7]), np.array([0.5, 1.0, 0.25]), 3)
     assert sorted(zip(at.tolist(), product.tolist())) == [(0, 0.5), (1, 1.5), (5, 1.0)]
+
+
+def test_sparse_retrieval_derives_the_texts_once(spark):
+    """The texts of sparse_context are chunks: cut once, not once more to be counted."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def derived(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.range(40).selectExpr("id", "concat('the w', id % 7) AS text").mapInArrow(derived, "id long, text string")
+    asked = spark.createDataFrame([(1, "the w3")], "qid long, text string")
+    assert sparse.retrieve(docs, asked, 3, ["id"], "qid").count() == 3 and seen.value == 40
