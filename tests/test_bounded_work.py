@@ -1,6 +1,10 @@
 """Work and memory that grow with the input and no faster."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from tabsieve.operators import sparse
 
@@ -49,3 +53,25 @@ def test_sparse_retrieval_derives_the_texts_once(spark):
     docs = spark.range(40).selectExpr("id", "concat('the w', id % 7) AS text").mapInArrow(derived, "id long, text string")
     asked = spark.createDataFrame([(1, "the w3")], "qid long, text string")
     assert sparse.retrieve(docs, asked, 3, ["id"], "qid").count() == 3 and seen.value == 40
+
+
+def held(run, batches) -> int:
+    """The most bytes that Python holds while a task's batches go through."""
+    tracemalloc.start()
+    try:
+        for _ in run(iter(batches)):
+            pass
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("min_chars", [0])
+def test_chunker_holds_a_piece_and_not_a_batch(min_chars):
+    from tabsieve.operators.chunk import _chunker
+
+    text = "A sentence of some words. " * 160
+    batch = lambda n: pa.RecordBatch.from_pydict({"id": list(range(n)), "text": [text] * n})
+    run = _chunker(["id"], "text", 1000, 200, False, min_chars)
+    small, large = held(run, [batch(500)]), held(run, [batch(5000)])
+    assert large < 1.5 * small and large < 16 << 20
