@@ -66,7 +66,7 @@ def held(run, batches) -> int:
         tracemalloc.stop()
 
 
-@pytest.mark.parametrize("min_chars", [0])
+@pytest.mark.parametrize("min_chars", [0, 100])
 def test_chunker_holds_a_piece_and_not_a_batch(min_chars):
     from tabsieve.operators.chunk import _chunker
 
