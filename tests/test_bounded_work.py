@@ -75,3 +75,14 @@ def test_chunker_holds_a_piece_and_not_a_batch(min_chars):
     run = _chunker(["id"], "text", 1000, 200, False, min_chars)
     small, large = held(run, [batch(500)]), held(run, [batch(5000)])
     assert large < 1.5 * small and large < 16 << 20
+
+
+def test_chunker_keeps_null_ids_and_types(spark):
+    from tabsieve.operators.chunk import chunk_documents
+
+    rows = [(1, None, "a" * 1500), (None, "s", "short"), (3, "s", None), (4, "s", "")]
+    got = chunk_documents(spark.createDataFrame(rows, "id int, source string, text string"), ["id", "source"])
+    assert sorted(map(str, got.select("id", "source", "chunk_index", "n_chunks", "start", "end").collect())) == sorted(
+        f"Row(id={i}, source={s}, chunk_index={c}, n_chunks={n}, start={a}, end={e})" for i, s, c, n, a, e in [
+            (1, None, 0, 2, 0, 1000), (1, None, 1, 2, 800, 1500), (None, "'s'", 0, 1, 0, 5), (4, "'s'", 0, 1, 0, 0)])
+    assert dict(got.dtypes)["id"] == "int"
