@@ -86,3 +86,18 @@ def test_chunker_keeps_null_ids_and_types(spark):
         f"Row(id={i}, source={s}, chunk_index={c}, n_chunks={n}, start={a}, end={e})" for i, s, c, n, a, e in [
             (1, None, 0, 2, 0, 1000), (1, None, 1, 2, 800, 1500), (None, "'s'", 0, 1, 0, 5), (4, "'s'", 0, 1, 0, 0)])
     assert dict(got.dtypes)["id"] == "int"
+
+
+@pytest.mark.parametrize("probes", [1, 40])
+def test_lists_hold_a_block_and_not_a_batch(probes):
+    from types import SimpleNamespace
+
+    from tabsieve.operators.ivf import _nearest_lists
+
+    rng = np.random.default_rng(1)
+    c = rng.normal(size=(400, 16))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(rng.normal(size=(10_000, 16)).tolist())], ["id", "v"])
+    run = _nearest_lists(SimpleNamespace(value=c), "v", probes)
+    out = list(run(iter([rows])))
+    assert sum(b.num_rows for b in out) == 10_000 * probes and max(b.nbytes for b in out) < 16 << 20
+    assert held(run, [rows]) < 48 << 20
