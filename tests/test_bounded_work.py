@@ -101,3 +101,20 @@ def test_lists_hold_a_block_and_not_a_batch(probes):
     out = list(run(iter([rows])))
     assert sum(b.num_rows for b in out) == 10_000 * probes and max(b.nbytes for b in out) < 16 << 20
     assert held(run, [rows]) < 48 << 20
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """One file per row, read in a bounded number of tasks, all of them read."""
+    from tabsieve.sources import io
+
+    n = 400
+    for i in range(n):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")
+    try:
+        files = io.binary_files(spark, str(tmp_path), "*.txt")
+        texts = io.extract_documents(files, lambda _, b: b.decode())
+        assert files.rdd.getNumPartitions() > 100 and texts.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert sorted(r["text"] for r in texts.collect()) == sorted(f"text {i}" for i in range(n))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
