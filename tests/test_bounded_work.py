@@ -55,6 +55,41 @@ def test_sparse_retrieval_derives_the_texts_once(spark):
     assert sparse.retrieve(docs, asked, 3, ["id"], "qid").count() == 3 and seen.value == 40
 
 
+def test_words_of_a_piece_are_looked_up_once(monkeypatch):
+    """The texts of sparse_context are a quarter longer as chunks; a word's
+    slot is asked for once a piece and not once a word."""
+    asked = []
+
+    class Slots(sparse._Slots):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    monkeypatch.setattr(sparse, "_Slots", Slots)
+    texts = [b"The w1, of--w2! " * 500, None, b"", b" .,", b"w1\x00w1 caf\xc3\xa9 \xff\xff", b"of"]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts, pa.binary())], ["id", "__text"])
+    got = pa.Table.from_batches(sparse._count(["id"])(iter([rows.slice(0, 3), rows.slice(3)]))).to_pydict()
+    assert len(asked) <= 8
+    slot = sparse._Slots()
+    for text, slots, tf in zip(texts, got["slots"], got["tf"]):
+        words = bytes(c if chr(c).isalnum() or c > 0x7F else 0x20 for c in text or b"").split()
+        want = {}
+        for w in words:
+            want[slot[w]] = want.get(slot[w], 0) + 1
+        assert dict(zip(slots, tf)) == want and slots == sorted(want)
+
+
+def test_strip_is_pythons(spark):
+    """Only the ends of a text are looked at for whitespace, and give what
+    Python's strip gives."""
+    from tabsieve.functions.text import py_strip
+
+    white = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    texts = [None, "", " ", white, "x", "\U0001F600", f"{white}a{white}b\U0001F600{white}", f"a{white}", f"{white}\U0001F600", "\u200b x\n", "a\n\nb", "$1\\ "]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", py_strip("t").alias("t")).collect()
+    assert {r["i"]: r["t"] for r in got} == {i: t and t.strip() for i, t in enumerate(texts)}
+
+
 def held(run, batches) -> int:
     """The most bytes that Python holds while a task's batches go through."""
     tracemalloc.start()
