@@ -11,8 +11,8 @@ its own file, where that file is nothing more (``ranked_bpe``).
 
 1. *Windows.* A shared end before a token that starts with a space in both
    lists is an anchor. Anchors split a document into windows, mostly a word
-   each; a window's groups and links depend on its two tuples of ids alone
-   and are memoised by them.
+   each; a window's groups and links depend on its two tuples of ids alone,
+   so a block's distinct windows are aligned once, all together.
 2. *Blocks.* Each task packs the documents it reads into blocks: every
    document as numbers of windows, and each distinct window once with its
    groups and links. Blocks are written to the shared folder, so texts are
@@ -26,13 +26,11 @@ its own file, where that file is nothing more (``ranked_bpe``).
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -48,8 +46,6 @@ TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 8 << 20      # text bytes of a block
 BATCH_BYTES = 1 << 20      # text bytes encoded in one call
-MEMO = 100_000             # windows a task remembers
-MEMO_TOKENS = 64           # longer windows are aligned each time
 
 BLOCKS = ("block long, ids binary, n_a binary, n_b binary, n_windows binary, windows binary, "
           "n_links binary, n_groups binary, links binary, codes binary, counts binary, names binary")
@@ -109,8 +105,10 @@ class Tokenizers:
             self.a_bytes[i] = special[i].encode() if i in special else bytes(of[c] for c in token)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.IsByte(i) else p.replace("▁", " ").encode()
                         for i, p in ((i, self.b.IdToPiece(i)) for i in range(self.b.GetPieceSize()))]
-        self.a_sizes, self.b_sizes = ([len(t) for t in x] for x in (self.a_bytes, self.b_bytes))
-        self.a_size, self.b_size = np.array(self.a_sizes), np.array(self.b_sizes)
+        self.a_size, self.b_size = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
+        # ids as they stand in a group's text: before a token of the same list, the other list, the next group, the next window
+        self.n_ids = max(len(self.a_bytes), len(self.b_bytes))
+        self.decimals = [f"{i}{sign}" for sign in ",|;\n" for i in range(self.n_ids)]
         self.a_space, self.b_space = (np.array([t[:1] == b" " for t in x]) for x in (self.a_bytes, self.b_bytes))
 
     def encode_a(self, texts: list[str]) -> Iterator[list[int]]:
@@ -143,39 +141,13 @@ def tokenizers(a: bytes, b: bytes) -> Tokenizers:
     return Tokenizers(a, b)
 
 
-def align_window(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[str, list[int], int]:
-    """(groups as text, codes of the links, number of groups) of two token
-    lists over the same bytes, given the sizes of all ids. A link's code is
-    A's id * 2 ** 32 + B's id."""
-    if len(a) == 1 or len(b) == 1:
-        return f"{','.join(map(str, a))}|{','.join(map(str, b))}", [x << 32 | y for x in a for y in b], 1
-    x, y, i, j = a[0], b[0], 0, 0
-    left_a, left_b = a_size[x], b_size[y]                # bytes of the two tokens that are not passed yet
-    text, links, groups = f"{x}", [x << 32 | y], 1
-    behind = f"{y}"                                      # B's side of the group
-    while True:
-        step = left_a - left_b
-        if step < 0:
-            i += 1
-            x = a[i]
-            left_b, left_a = -step, a_size[x]
-            text += f",{x}"
-        elif step > 0:
-            j += 1
-            y = b[j]
-            left_a, left_b = step, b_size[y]
-            behind += f",{y}"
-        else:
-            i, j = i + 1, j + 1
-            text += f"|{behind}"
-            if i == len(a):
-                return text, links, groups
-            x, y = a[i], b[j]
-            left_a, left_b = a_size[x], b_size[y]
-            text += f";{x}"
-            behind = f"{y}"
-            groups += 1
-        links.append(x << 32 | y)
+def _marks(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+    """For each byte offset up to the last of both ascending lists: 1 for one
+    in A's, 2 for one in B's, 3 for one in both."""
+    out = np.zeros(1 + max(ends_a.max(initial=0), ends_b.max(initial=0)), np.uint8)
+    out[ends_a] = 1
+    out[ends_b] += 2
+    return out
 
 
 def anchors(a: np.ndarray, b: np.ndarray, t: Tokenizers) -> tuple[np.ndarray, np.ndarray]:
@@ -183,21 +155,64 @@ def anchors(a: np.ndarray, b: np.ndarray, t: Tokenizers) -> tuple[np.ndarray, np
     end_a, end_b = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
     at_a, at_b = np.flatnonzero(t.a_space[a[1:]]), np.flatnonzero(t.b_space[b[1:]])
     off_a, off_b = end_a[at_a], end_b[at_b]
-    where = np.minimum(np.searchsorted(off_b, off_a), max(0, len(off_b) - 1))
-    same = off_b[where] == off_a if len(off_b) else np.zeros(len(off_a), bool)
-    return np.concatenate([[0], at_a[same] + 1, [len(a)]]), np.concatenate([[0], at_b[where[same]] + 1 if len(off_b) else [], [len(b)]]).astype(np.int64)
+    both = _marks(off_a, off_b) == 3
+    return tuple(np.concatenate([[0], at[both[off]] + 1, [len(x)]]) for at, off, x in ((at_a, off_a, a), (at_b, off_b, b)))
+
+
+def _window_numbers(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> pa.DictionaryArray:
+    """Every window as the ids of its tokens, A's, -1 and B's, distinct ones
+    once in the order they come."""
+    number = np.arange(len(cut_a) - 1)
+    ids = np.full(len(a) + len(b) + len(number), -1, np.int32)
+    ids[np.arange(len(a)) + np.repeat(cut_b[:-1] + number, np.diff(cut_a))] = a
+    ids[np.arange(len(b)) + np.repeat(cut_a[1:] + number + 1, np.diff(cut_b))] = b
+    ends = 4 * (cut_a + cut_b + np.arange(len(cut_a)))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(number), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]).dictionary_encode()
+
+
+def align_windows(distinct: pa.LargeBinaryArray, t: Tokenizers) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """(groups as text with a line for each window, numbers of groups,
+    numbers of links, codes of the links) of all distinct windows together:
+    their tokens follow each other, and both lists cover the same bytes. A
+    link's code is A's id * 2 ** 32 + B's id."""
+    if not len(distinct):
+        return "", *(np.zeros(0, np.int64) for _ in range(3))
+    _, ends, data = distinct.buffers()
+    ends, ids = np.frombuffer(ends, np.int64, len(distinct) + 1) // 4, np.frombuffer(data, np.int32)
+    ids = ids[:ends[-1]]
+    split = np.flatnonzero(ids == -1)
+    second = np.arange(len(ids)) > np.repeat(split, np.diff(ends))
+    a, b = ids[~second & (ids >= 0)], ids[second]
+    end_a, end_b = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
+    last = end_b[np.cumsum(ends[1:] - split - 1) - 1]                # where windows end
+    # each stretch between two ends of either list links the tokens that cover it
+    kind = _marks(end_a, end_b)
+    stretch = np.flatnonzero(kind)
+    kind = kind[stretch]
+    in_a, in_b, shared = (kind & 1).astype(bool), (kind & 2).astype(bool), kind == 3
+    codes = a[np.cumsum(in_a) - in_a].astype(np.int64) << 32 | b[np.cumsum(in_b) - in_b]
+    of = np.searchsorted(stretch, last) + 1
+    n_links, n_groups = np.diff(of, prepend=0), np.diff(np.cumsum(shared)[of - 1], prepend=0)
+    # the tokens by group, A's before B's, and what stands behind each
+    place = np.cumsum(shared) - shared
+    side = np.concatenate([2 * place[in_a], 2 * place[in_b] + 1])
+    order = np.argsort(side, kind="stable")
+    side = side[order]
+    closes = np.zeros(side[-1] // 2 + 1, np.int64)
+    closes[np.cumsum(n_groups) - 1] = 1
+    group = side[:-1] // 2
+    behind = np.where(side[1:] == side[:-1], 0, np.where(side[1:] // 2 == group, 1, 2 + closes[group]))
+    spelt = np.append(behind, 3) * t.n_ids + np.concatenate([a, b])[order]
+    return "".join(map(t.decimals.__getitem__, spelt.tolist()))[:-1], n_groups, n_links, codes
 
 
 class Block:
-    """The documents of a block as numbers of windows."""
-
-    def __init__(self, t: Tokenizers, memo: dict):
-        self.t, self.memo = t, memo
-        self.number: dict[tuple[bytes, bytes], int] = {}
-        self.names: list[str] = []
-        self.links: list[list[int]] = []
-        self.n_groups: list[int] = []
-        self.ids, self.n_a, self.n_b, self.windows = [], [], [], []
+    """The documents of a block as numbers of windows. ``memo`` is not read:
+    the windows of a block are aligned together."""
+
+    def __init__(self, t: Tokenizers, memo: dict | None = None):
+        self.t = t
+        self.ids, self.n_a, self.n_b, self.a, self.b = [], [], [], [], []
         self.size = 0
 
     def add(self, doc_id: int, text_bytes: int, tokens: tuple[list[int], list[int]] | None) -> None:
@@ -206,39 +221,29 @@ class Block:
         a, b = tokens or ((), ())
         self.n_a.append(len(a))
         self.n_b.append(len(b))
-        out = []
-        if tokens:
-            ids_a, ids_b = np.array(a, np.int32), np.array(b, np.int32)
-            raw_a, raw_b = ids_a.tobytes(), ids_b.tobytes()
-            cut_a, cut_b = (c.tolist() for c in anchors(ids_a, ids_b, self.t))
-            number, memo = self.number, self.memo
-            for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:]):
-                key = (raw_a[4 * i:4 * j], raw_b[4 * k:4 * m])
-                n = number.get(key)
-                if n is None:
-                    n = number[key] = len(self.names)
-                    found = memo.get(key)
-                    if found is None:
-                        found = align_window(a[i:j], b[k:m], self.t.a_sizes, self.t.b_sizes)
-                        if j - i <= MEMO_TOKENS and len(memo) < MEMO:
-                            memo[key] = found
-                    self.names.append(found[0])
-                    self.links.append(found[1])
-                    self.n_groups.append(found[2])
-                out.append(n)
-        self.windows.append(np.array(out, np.int32))
+        self.a.append(np.array(a, np.int32))
+        self.b.append(np.array(b, np.int32))
+
+    def _windows(self) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The windows, and how many each document has: the documents' tokens
+        follow each other, and as every document begins with a space in both
+        lists, a window begins with it."""
+        a, b = np.concatenate(self.a), np.concatenate(self.b)
+        cut_a, cut_b = anchors(a, b, self.t) if len(a) else (np.zeros(1, np.int64),) * 2
+        starts = np.searchsorted(cut_a, np.cumsum([0, *self.n_a]))
+        return _window_numbers(a, b, cut_a, cut_b), np.diff(starts)
 
     def row(self, block: int) -> pa.RecordBatch:
-        windows = np.concatenate([*self.windows, np.zeros(0, np.int32)])
-        n_links = np.fromiter(map(len, self.links), np.int64, len(self.links))
-        flat = np.fromiter(chain.from_iterable(self.links), np.int64, int(n_links.sum()))
-        times = np.repeat(np.bincount(windows, minlength=len(self.names)), n_links)
+        found, n_windows = self._windows()
+        windows = found.indices.to_numpy().astype(np.int32)
+        names, n_groups, n_links, flat = align_windows(found.dictionary, self.t)
+        times = np.repeat(np.bincount(windows, minlength=len(n_links)), n_links)
         codes, at = np.unique(flat, return_inverse=True)
         counts = np.bincount(at, weights=times, minlength=len(codes)).astype(np.int64)
-        cells = [np.array(self.ids, np.int64), np.array(self.n_a, np.int64), np.array(self.n_b, np.int64), np.array([len(x) for x in self.windows], np.int64),
-                 windows, n_links, np.array(self.n_groups, np.int64), at.astype(np.int32), codes, counts]
+        cells = [np.array(self.ids, np.int64), np.array(self.n_a, np.int64), np.array(self.n_b, np.int64), n_windows.astype(np.int64),
+                 windows, n_links.astype(np.int64), n_groups.astype(np.int64), at.astype(np.int32), codes, counts]
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.array([pack(c)], pa.binary()) for c in cells],
-                                           pa.array([pack("\n".join(self.names).encode())], pa.binary())], [c.split()[0] for c in BLOCKS.split(", ")])
+                                           pa.array([pack(names.encode())], pa.binary())], [c.split()[0] for c in BLOCKS.split(", ")])
 
 
 def encode_blocks(docs: DataFrame, files: tuple[bytes, bytes], id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -247,30 +252,26 @@ def encode_blocks(docs: DataFrame, files: tuple[bytes, bytes], id_col: str, text
     shared = docs.sparkSession.sparkContext.broadcast(files)         # two vocabulary files
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()     # a block's many small objects hold no cycles: looking through them only costs time
-        try:
-            t, memo = tokenizers(*shared.value), {}
-            number, block = TaskContext.get().partitionId() << 32, Block(t, memo)
-            for batch in batches:
-                ids = batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_pylist()
-                texts = batch.column(1)
-                lo = 0
-                while lo < len(ids):
-                    some, size = [], 0
-                    while lo + len(some) < len(ids) and (not some or size < BATCH_BYTES):
-                        some.append(texts[lo + len(some)].as_py())
-                        size += len(some[-1] or "")
-                    for k, tokens in enumerate(t.encode(some)):
-                        text_bytes = len((some[k] or "").encode("utf-8", "surrogatepass"))
-                        if block.ids and block.size + text_bytes > block_bytes:
-                            yield block.row(number)
-                            number, block = number + 1, Block(t, memo)
-                        block.add(ids[lo + k], text_bytes, tokens)
-                    lo += len(some)
-            if block.ids:
-                yield block.row(number)
-        finally:
-            gc.enable()
+        t = tokenizers(*shared.value)
+        number, block = TaskContext.get().partitionId() << 32, Block(t)
+        for batch in batches:
+            ids = batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_pylist()
+            texts = batch.column(1)
+            lo = 0
+            while lo < len(ids):
+                some, size = [], 0
+                while lo + len(some) < len(ids) and (not some or size < BATCH_BYTES):
+                    some.append(texts[lo + len(some)].as_py())
+                    size += len(some[-1] or "")
+                for k, tokens in enumerate(t.encode(some)):
+                    text_bytes = len((some[k] or "").encode("utf-8", "surrogatepass"))
+                    if block.ids and block.size + text_bytes > block_bytes:
+                        yield block.row(number)
+                        number, block = number + 1, Block(t)
+                    block.add(ids[lo + k], text_bytes, tokens)
+                lo += len(some)
+        if block.ids:
+            yield block.row(number)
 
     return written(docs.select(id_col, text_col).mapInArrow(write, BLOCKS), "token-blocks")
 

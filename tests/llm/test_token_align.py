@@ -115,3 +115,63 @@ def test_whole_table(spark, sf, sf_rows, pair):
         a, b = tokens(t, pair)
         ends = {j for _, _, j in a} & {j for _, _, j in b}
         assert got[d] == (d, len(a), len(b), len(ends))
+
+
+def calls(run) -> int:
+    """Python functions entered while ``run`` runs."""
+    import sys
+
+    n = 0
+
+    def seen(frame, event, arg):
+        nonlocal n
+        n += event == "call"
+
+    sys.setprofile(seen)
+    try:
+        run()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_distinct_windows_of_a_block_are_aligned_together(pair):
+    """A block's Python work does not grow with its distinct windows."""
+    t = T.Tokenizers(*T.read_files(T.TOKENIZER_A, T.TOKENIZER_B))
+    text = " ".join(f"wq{i}zo" for i in range(4000))
+    tokens, = t.encode([text])
+
+    def work():
+        block = T.Block(t, {})
+        block.add(1, len(text), tokens)
+        assert len(T.unpack(block.row(0).column("n_links")[0].as_py(), "int64")) >= 4000
+
+    assert calls(work) < 2000
+
+
+def test_windows_of_a_block_by_the_rule(pair):
+    """Groups, links and numbers of windows of all documents in one block,
+    those without tokens between them."""
+    t = T.Tokenizers(*T.read_files(T.TOKENIZER_A, T.TOKENIZER_B))
+    rng = random.Random(5)
+    texts = ["the end", None, "the end", "", " ", "▁", *[" ".join(rng.choices(WORDS, k=12)) for _ in range(40)], "x" * 300, "  a  b\n"]
+    block = T.Block(t)
+    for i, (text, tokens_) in enumerate(zip(texts, t.encode(texts))):
+        block.add(i, len(text or ""), tokens_)
+    row = {k: v[0].as_py() for k, v in zip(block.row(7).schema.names, block.row(7).columns)}
+    n_windows, windows = T.unpack(row["n_windows"], "int64").tolist(), T.unpack(row["windows"], "int32").tolist()
+    n_links, at, codes = T.unpack(row["n_links"], "int64").tolist(), T.unpack(row["links"], "int32").tolist(), T.unpack(row["codes"], "int64").tolist()
+    names, n_groups = T.unpack(row["names"]).tobytes().decode().split("\n"), T.unpack(row["n_groups"], "int64").tolist()
+    first = [sum(n_links[:w]) for w in range(len(n_links))]
+    total, lo = Counter(), 0
+    for want, n in zip([tokens(x, pair) for x in texts], n_windows):
+        own, lo = windows[lo:lo + n], lo + n
+        links = [(codes[k] >> 32, codes[k] & 0xFFFFFFFF) for w in own for k in at[first[w]:first[w] + n_links[w]]]
+        a, b = want
+        assert links == [(x, y) for x, i, j in a for y, k, m in b if i < m and k < j]
+        ends = sorted({j for _, _, j in a} & {j for _, _, j in b})
+        assert sum(n_groups[w] for w in own) == len(ends)
+        assert ";".join(names[w] for w in own) == ";".join(
+            ",".join(str(x) for x, _, j in a if p < j <= q) + "|" + ",".join(str(y) for y, _, j in b if p < j <= q) for p, q in zip([0, *ends], ends))
+        total.update(links)
+    assert dict(zip(codes, T.unpack(row["counts"], "int64").tolist())) == {x << 32 | y: n for (x, y), n in total.items()}
