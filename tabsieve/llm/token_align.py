@@ -46,6 +46,7 @@ TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 8 << 20      # text bytes of a block
 BATCH_BYTES = 1 << 20      # text bytes encoded in one call
+STRETCH = 1 << 16          # tokens spelt at once
 
 BLOCKS = ("block long, ids binary, n_a binary, n_b binary, n_windows binary, windows binary, "
           "n_links binary, n_groups binary, links binary, codes binary, counts binary, names binary")
@@ -105,7 +106,7 @@ class Tokenizers:
             self.a_bytes[i] = special[i].encode() if i in special else bytes(of[c] for c in token)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.IsByte(i) else p.replace("▁", " ").encode()
                         for i, p in ((i, self.b.IdToPiece(i)) for i in range(self.b.GetPieceSize()))]
-        self.a_size, self.b_size = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
+        self.a_size, self.b_size = (np.array([len(t) for t in x], np.int32) for x in (self.a_bytes, self.b_bytes))
         # ids as they stand in a group's text: before a token of the same list, the other list, the next group, the next window
         self.n_ids = max(len(self.a_bytes), len(self.b_bytes))
         self.decimals = [f"{i}{sign}" for sign in ",|;\n" for i in range(self.n_ids)]
@@ -150,11 +151,16 @@ def _marks(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _before_spaces(ids: np.ndarray, size: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that a token with a space follows, and where they end."""
+    at = np.flatnonzero(space[ids[1:]])
+    return at, np.cumsum(size[ids])[at]
+
+
 def anchors(a: np.ndarray, b: np.ndarray, t: Tokenizers) -> tuple[np.ndarray, np.ndarray]:
     """The windows' first tokens in both lists, and the lists' lengths last."""
-    end_a, end_b = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
-    at_a, at_b = np.flatnonzero(t.a_space[a[1:]]), np.flatnonzero(t.b_space[b[1:]])
-    off_a, off_b = end_a[at_a], end_b[at_b]
+    at_a, off_a = _before_spaces(a, t.a_size, t.a_space)
+    at_b, off_b = _before_spaces(b, t.b_size, t.b_space)
     both = _marks(off_a, off_b) == 3
     return tuple(np.concatenate([[0], at[both[off]] + 1, [len(x)]]) for at, off, x in ((at_a, off_a, a), (at_b, off_b, b)))
 
@@ -162,12 +168,16 @@ def anchors(a: np.ndarray, b: np.ndarray, t: Tokenizers) -> tuple[np.ndarray, np
 def _window_numbers(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> pa.DictionaryArray:
     """Every window as the ids of its tokens, A's, -1 and B's, distinct ones
     once in the order they come."""
-    number = np.arange(len(cut_a) - 1)
-    ids = np.full(len(a) + len(b) + len(number), -1, np.int32)
-    ids[np.arange(len(a)) + np.repeat(cut_b[:-1] + number, np.diff(cut_a))] = a
-    ids[np.arange(len(b)) + np.repeat(cut_a[1:] + number + 1, np.diff(cut_b))] = b
-    ends = 4 * (cut_a + cut_b + np.arange(len(cut_a)))
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(number), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]).dictionary_encode()
+    n = len(cut_a) - 1
+    sizes = np.ones((n, 3), np.int64)
+    sizes[:, 0], sizes[:, 2] = np.diff(cut_a), np.diff(cut_b)
+    part = np.repeat(np.tile(np.arange(3, dtype=np.uint8), n), sizes.ravel())
+    del sizes
+    ids = np.full(len(part), -1, np.int32)
+    ids[part == 0], ids[part == 2] = a, b
+    del part
+    ends = 4 * (cut_a + cut_b + np.arange(n + 1))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]).dictionary_encode()
 
 
 def align_windows(distinct: pa.LargeBinaryArray, t: Tokenizers) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +213,8 @@ def align_windows(distinct: pa.LargeBinaryArray, t: Tokenizers) -> tuple[str, np
     group = side[:-1] // 2
     behind = np.where(side[1:] == side[:-1], 0, np.where(side[1:] // 2 == group, 1, 2 + closes[group]))
     spelt = np.append(behind, 3) * t.n_ids + np.concatenate([a, b])[order]
-    return "".join(map(t.decimals.__getitem__, spelt.tolist()))[:-1], n_groups, n_links, codes
+    names = "".join("".join(map(t.decimals.__getitem__, spelt[i:i + STRETCH].tolist())) for i in range(0, len(spelt), STRETCH))
+    return names[:-1], n_groups, n_links, codes
 
 
 class Block:
