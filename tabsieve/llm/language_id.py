@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -32,7 +31,8 @@ LANGUAGES = 256        # learned: those with the most training texts (about 33 M
 UNKNOWN = "und"
 SLACK = 0.5            # a text is rejected below this share of the low similarities at its length
 LOW = 0.02             # quantile of the similarities that counts as low
-BLOCK_TEXTS, BLOCK_BYTES = 64, 1 << 20
+BLOCK_TEXTS, BLOCK_BYTES = 64, 1 << 18   # counting takes about 70 times a run's bytes
+FITTED = pa.schema([("lang", pa.string()), ("centroids", pa.binary()), ("limits", pa.binary())])
 
 D = 1 << BITS
 # ASCII letters lower-cased, bytes beyond ASCII kept, the rest is space
@@ -115,6 +115,14 @@ def length_bin(counts: np.ndarray) -> np.ndarray:
     return np.minimum(31, np.log2(1 + counts.sum(1)).astype(np.int64))
 
 
+def sum_of(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """x[rows].sum(0), row by row and so without a copy of the rows."""
+    out = x[rows[0]].copy()
+    for i in rows[1:]:
+        out += x[i]
+    return out
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Unit centroids of unit vectors; the first is the mean, each next one
     starts at the vector farthest from those before."""
@@ -126,20 +134,28 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     for _ in range(rounds):
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
         at = (x @ c.T).argmax(1)
-        c = np.array([x[at == i].sum(0) if (at == i).any() else c[i] for i in range(len(c))])
+        c = np.array([sum_of(x, np.flatnonzero(at == i)) if (at == i).any() else c[i] for i in range(len(c))])
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
-def _fit(group: pd.DataFrame, idf: np.ndarray, k: int) -> pd.DataFrame:
+def learned_vectors(texts: pa.ChunkedArray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vector and length bin of every text that has a trigram. Only the
+    vectors are held for all texts; counts are those of one run."""
+    x, bins, n = np.empty((len(texts), D), np.float32), np.empty(len(texts), np.int64), 0
+    for _, counts in counted(texts):
+        counts = counts[counts.any(1)]
+        m = n + len(counts)
+        x[n:m], bins[n:m], n = vectors(counts, idf), length_bin(counts), m
+    return x[:n], bins[:n]
+
+
+def _fit(group: pa.Table, idf: np.ndarray, k: int) -> pa.Table:
     """Centroids of a language and its least usual similarity by length: the
     low quantile at each length, of at least 20 texts of this or neighbouring
     lengths, and no greater than for a longer text."""
-    group = group.sort_values("h", kind="stable")
-    counts = np.concatenate([c for _, c in counted(pa.array(group["text"]))])
-    x, bins = vectors(counts, idf), length_bin(counts)
-    x, bins = x[counts.sum(1) > 0], bins[counts.sum(1) > 0]
+    x, bins = learned_vectors(group.sort_by("h")["text"], idf)
     if not len(x):                                      # no text of the language has a letter
-        return pd.DataFrame({"lang": [], "centroids": [], "limits": []}).astype("object")
+        return FITTED.empty_table()
     c = k_means(x, k)
     near = (x @ c.T).max(1)
     limits = np.zeros(32)
@@ -147,7 +163,7 @@ def _fit(group: pd.DataFrame, idf: np.ndarray, k: int) -> pd.DataFrame:
         width = next((w for w in range(32) if (abs(bins - b) <= w).sum() >= min(20, len(x))), 32)
         limits[b] = np.quantile(near[abs(bins - b) <= width], LOW)
     limits = np.minimum.accumulate(limits[::-1])[::-1] * SLACK
-    return pd.DataFrame({"lang": [group["lang"].iloc[0]], "centroids": [c.astype(np.float32).tobytes()], "limits": [limits.tobytes()]})
+    return pa.table([[group["lang"][0].as_py()], [c.astype(np.float32).tobytes()], [limits.tobytes()]], FITTED)
 
 
 class Model:
@@ -194,7 +210,7 @@ def fit(labelled: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -
         F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))
     some = drawn.withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "h", "text")
-    model = some.groupBy("lang").applyInPandas(lambda g: _fit(g, idf, centroids), "lang string, centroids binary, limits binary")
+    model = some.groupBy("lang").applyInArrow(lambda g: _fit(g, idf, centroids), "lang string, centroids binary, limits binary")
     return Model([tuple(r) for r in model.collect()], idf)
 
 
