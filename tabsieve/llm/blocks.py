@@ -11,6 +11,7 @@ every later step and after the loss of an executor.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.partitioning import estimated_bytes
-from .common import written
+from .common import trimmed, written
 from .words import runs, text_bytes
 
 BLOCK_BYTES, MOST_BYTES = 4 << 20, 64 << 20
@@ -68,7 +69,7 @@ def make_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     pa.array([pack(marks[i:j])], pa.binary()), pa.array([pack(offsets[i:j + 1] - lo)], pa.binary()),
                     pa.array([pack(np.ascontiguousarray(data[lo:hi]), 3)], pa.binary())], ["block", "size", "ids", "marks", "offsets", "texts"])
                 number += 1
-    return written(docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(write, SCHEMA), "blocks")
+    return written(docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(partial(trimmed, write), SCHEMA), "blocks")
 
 
 def read_block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

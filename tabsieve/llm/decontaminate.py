@@ -27,6 +27,7 @@ queries each part.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import trimmed
 from .words import U, mix64, runs, spread, text_bytes, window_hashes, word_hashes, words
 
 PASSAGE = 64          # words of a query; the next begins PASSAGE / 2 later
@@ -271,7 +273,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                     [batch.column(0).take(pa.array(cols[0], pa.int64())), ids, *[pa.array(c, pa.float64()) for c in cols[2:]]],
                     ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        found = found.unionByName(docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(search, schema))
+        found = found.unionByName(docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(partial(trimmed, search), schema))
     return found
 
 
@@ -298,5 +300,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 leak[[m[0] for m in _batch_matches(index.value, batch.column(at), threshold, overlap)]] = True
                 yield batch.filter(pa.array(~leak))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(partial(trimmed, keep), docs.schema)
     return docs

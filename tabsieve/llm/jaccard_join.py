@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import bounded_broadcast
 from .blocks import NO_ID, make_blocks, pack, read_block, unit_bytes, unpack
-from .common import checkpointed, written
+from .common import checkpointed, trimmed, written
 from .graph import components
 from .words import LOWER, U, mix64, window_hashes, word_hashes, words
 
@@ -192,7 +192,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, part_bytes: int |
     blocks = make_blocks(docs, id_col, text_col)
     size = blocks.agg(F.sum("size")).first()[0] or 0
     parts = max(1, -(-size // (part_bytes or unit_bytes(docs))))
-    sent = blocks.mapInArrow(partial(_send, parts=parts), MESSAGE)
+    sent = blocks.mapInArrow(partial(trimmed, partial(_send, parts=parts)), MESSAGE)
     replies = sent.groupBy("part").applyInArrow(_shared, REPLY)
     sets = lambda b, r: _sets(b, r, parts)
     return written(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(sets, SETS), "sets")
@@ -223,7 +223,7 @@ def band_column(n: Column) -> Column:
 
 def make_tiles(sets: DataFrame) -> DataFrame:
     """(anchor, band, node, n): the members of every tile."""
-    rows = written(sets.mapInArrow(_prefix_rows, "shingle long, node long, n long"), "prefixes")
+    rows = written(sets.mapInArrow(partial(trimmed, _prefix_rows), "shingle long, node long, n long"), "prefixes")
     held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("anchor")).filter("k > 1")
     met = rows.join(held.select("shingle", "anchor"), "shingle").select("anchor", "node", "n").distinct()
     b = band_column(F.col("n"))
@@ -281,7 +281,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = written(pairs, "pairs")
     one, two = (sets_of(pairs.select(F.col(c).alias("node")), sets).select(F.col("node").alias(c), F.col("shingles").alias(s))
                 for c, s in (("a", "x"), ("b", "y")))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(partial(trimmed, _overlaps), "a long, b long")
 
 
 class _Block:
@@ -406,7 +406,7 @@ def open_links(tiles: DataFrame, roots: DataFrame, sets: DataFrame, block_sets:
     t = written(t.select("anchor", "band", "node", "n", "root", F.inline("cells")), "cells")
     cells = "anchor long, band int, node long, n long, root long, r int, c int, side int"
     group = F.pmod(F.xxhash64(*CELL), F.lit(groups)).alias("group")
-    maps = sets_of(t, sets).mapInArrow(_bitmap_rows, "node long, band int, bits binary")
+    maps = sets_of(t, sets).mapInArrow(partial(trimmed, _bitmap_rows), "node long, band int, bits binary")
     anchors = t.groupBy("node").agg(F.collect_set("anchor").alias("anchors"))
     t = t.join(anchors, "node").join(maps, ["node", "band"]).select(*[c.split()[0] for c in cells.split(", ")], "anchors", "bits", group)
     passed = written(t.groupBy("group").applyInArrow(_pass, cells), "passed")

@@ -14,6 +14,7 @@ language (chosen by a hash of the id), as one grouped task per language.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_id_text, held_out
+from .common import doc_id_text, held_out, trimmed
 from .words import runs, text_bytes
 
 BITS = 13              # trigrams are hashed to 2 ** BITS counters
@@ -102,7 +103,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(D), -1)), pa.array(np.append(df, n))], ["slot", "n"])
 
     out, n = np.zeros(D, np.int64), 0
-    for slot, k in texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
+    for slot, k in texts.mapInArrow(partial(trimmed, count), "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
         if slot < 0:
             n = k
         else:
@@ -238,7 +239,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                                              ["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(
-        predict, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+        partial(trimmed, predict), f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -250,4 +251,4 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
         for batch in batches:
             yield batch.filter(pa.array(~shared.value.predict(batch.column(at))[2]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(partial(trimmed, keep), docs.schema)

@@ -1,9 +1,11 @@
 """Language ID: trigram counts and cosines against a direct computation, and
 held-out accuracy."""
 
+import re
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ import pytest
 
 from tabsieve.llm import language_id as L
 from tabsieve.llm import queries
+from tabsieve.llm.common import trimmed
 
 
 @pytest.fixture(scope="module")
@@ -118,3 +121,21 @@ def test_the_fit_holds_its_vectors_once_and_no_counts():
     x = L.vectors(counts, idf)[counts.sum(1) > 0]
     assert len(x) == 600 and fitted["centroids"][0].as_py() == L.k_means(x, L.CENTROIDS).tobytes()
     assert (L.sum_of(x, np.arange(0, 600, 7)) == x[::7].sum(0)).all()
+
+
+def test_a_task_gives_freed_memory_back():
+    def held():
+        return int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    def work(batches):
+        for batch in batches:
+            small = [np.ones(8000) for _ in range(2400)]   # 150 MB in arrays that the C library takes from its own store
+            pins.append(np.ones(8000))                     # what lies behind the freed ones
+            del small
+            used.append(held())
+            yield batch
+
+    pins, used = [], []
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["x"])
+    assert list(trimmed(work, iter([batch]))) == [batch]
+    assert held() < used[-1] - 100
